@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.llm.mixing import OP6_SQL, op6_mixing
 from docmill.llm.packing import op1_packing
 from docmill.llm.token_files import op2_token_files
+from docmill.llm.topk import OP7_SQL, op7_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_files]
+    found = [op1_packing, op2_token_files, op6_mixing, op7_topk]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL}
