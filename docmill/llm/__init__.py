@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm.fingerprints import op8_fingerprints
+from docmill.llm.language import op3_language
 from docmill.llm.mixing import OP6_SQL, op6_mixing
 from docmill.llm.packing import op1_packing
 from docmill.llm.token_files import op2_token_files
@@ -14,7 +15,7 @@ from docmill.llm.topk import OP7_SQL, op7_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_files, op6_mixing, op7_topk, op8_fingerprints]
+    found = [op1_packing, op2_token_files, op3_language, op6_mixing, op7_topk, op8_fingerprints]
     return {f.__name__: f for f in found}
 
 
