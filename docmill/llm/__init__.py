@@ -10,12 +10,13 @@ from docmill.llm.fingerprints import op8_fingerprints
 from docmill.llm.language import op3_language
 from docmill.llm.mixing import OP6_SQL, op6_mixing
 from docmill.llm.packing import op1_packing
+from docmill.llm.repeats import op10_repeats
 from docmill.llm.token_files import op2_token_files
 from docmill.llm.topk import OP7_SQL, op7_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_files, op3_language, op6_mixing, op7_topk, op8_fingerprints]
+    found = [op1_packing, op2_token_files, op3_language, op6_mixing, op7_topk, op8_fingerprints, op10_repeats]
     return {f.__name__: f for f in found}
 
 
