@@ -186,6 +186,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = _sets(docs.join(ids, "doc_id", "left_semi"), words)
     sets = materialize(sets.dropDuplicates(["doc_id"]), f"{name}-sets", compression="none")
+    return materialize(confirm_pairs(pairs, sets, percent), f"{name}-links")
+
+
+def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of sets (doc_id, items: sorted 64-bit values) with 100 * intersection >= percent * union."""
     with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("items_u")), "u")
     both = with_u.join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("items_v")), "v").select("u", "v", "items_u", "items_v")
 
@@ -199,7 +204,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.mapInArrow(confirm, "u bigint, v bigint"), f"{name}-links")
+    return both.mapInArrow(confirm, "u bigint, v bigint")
 
 
 def near_duplicates(
