@@ -12,13 +12,14 @@ from docmill.llm.lines import op5_lines
 from docmill.llm.mixing import OP6_SQL, op6_mixing
 from docmill.llm.near import op9_near
 from docmill.llm.packing import op1_packing
+from docmill.llm.private import op4_private
 from docmill.llm.repeats import op10_repeats
 from docmill.llm.token_files import op2_token_files
 from docmill.llm.topk import OP7_SQL, op7_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_files, op3_language, op5_lines, op6_mixing, op7_topk, op8_fingerprints, op9_near, op10_repeats]
+    found = [op1_packing, op2_token_files, op3_language, op4_private, op5_lines, op6_mixing, op7_topk, op8_fingerprints, op9_near, op10_repeats]
     return {f.__name__: f for f in found}
 
 
