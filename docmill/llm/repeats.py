@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import materialize, mix64, random_words, table, text_slices, utf8_buffers
 
 LENGTH, FIRST, SIDE = 100, 25, 37
+#: Bytes that are hashed at a time; each takes some 100 bytes meanwhile.
+SLICE = 2 << 20
 #: Stands for a null id, before all others.
 _LEAST = -(1 << 63)
 _NONE = np.zeros(0, np.int64)
@@ -43,7 +45,7 @@ class Rolling:
         base = int(random_words(1, seed + 77)[0]) | 1
         n = len(data) + 1
         if seed not in self._powers or len(self._powers[seed][0]) < n:
-            size = max(n, 1 << 23)
+            size = max(n, 1 << 21)
             powers = np.full(size, base, np.uint64)
             inverse = np.full(size, pow(base, -1, 1 << 64), np.uint64)
             powers[0] = inverse[0] = 1
@@ -128,7 +130,7 @@ def _sampled(docs: DataFrame, parts: int) -> DataFrame:
     """Samples of all texts. What repeats an earlier one of the same batch is settled before the shuffle."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             found = samples(*utf8_buffers(batch.column("text")))
             doc = ids[found["text"]]
