@@ -15,14 +15,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps. A piece takes some 200 bytes.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 
 #: Two white-space characters in a row, for which a cut before a space isn't safe.
 _WIDE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|[\x00\x01]"
+#: Words that go to the library as one text.
+_JOINED = 500
 
 
 class PieceEncoder:
-    """Encodes batches of texts. ``spaced``: white space counts (byte-level BPE), else it is dropped."""
+    """Encodes batches of texts. ``spaced``: white space counts (byte-level BPE), else it is dropped.
+
+    Ids of pieces lie in one array. ``where`` has each kept piece's number, ``begin`` and ``size`` its
+    ids by number. Pieces beyond ``KEPT_PIECES`` are forgotten after their batch.
+    """
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,27 +37,83 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
-        self.kept: dict[str, np.ndarray] = {}
-        self.marks = {c: np.array(self._encode([c])[0], np.uint32) for c in ".,"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bound = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin, or end, a word
+        for token, i in vocabulary.items():
+            self.bound[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
+        self.where: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.count = self.used = 0
+        self.marks = {c: self._add([np.array(self._encode([c])[0], np.uint32)]) for c in ".,"}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of different pieces. A mark after a letter or digit is a word of its own."""
-        cores = [p[:-1] if len(p) > 1 and p[-1] in ".," and p[-2].lower()[-1].isalnum() else p for p in pieces]
-        known, kept = {}, self.kept
-        missing = list(dict.fromkeys(c for c in cores if c not in kept))
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            raw = part
-            if self.spaced:
-                raw = ["\n" + p[1:] if p[:1] == "\x00" else p[1:] if p[:1] == "\x01" else " " + p for p in part]
-            known.update(zip(part, (np.array(x, np.uint32) for x in self._encode(raw))))
-        if (room := KEPT_PIECES - len(kept)) > 0:
-            kept.update((p, known[p]) for p in missing[:room])
-        found = [known[c] if c in known else kept[c] for c in cores]
-        return [f if len(c) == len(p) else np.concatenate([f, self.marks[p[-1]]]) for f, c, p in zip(found, cores, pieces)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, found: list[np.ndarray]) -> int:
+        """Append the ids of pieces; the number of the first one."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return self._append(np.concatenate([*found, np.zeros(0, np.uint32)]), sizes)
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x)), x.dtype)])
+        first, end, used = self.count, self.count + len(sizes), self.used + len(ids)
+        self.ids, self.begin, self.size = grown(self.ids, used), grown(self.begin, end), grown(self.size, end)
+        self.ids[self.used : used] = ids
+        self.size[first:end] = sizes
+        self.begin[first:end] = self.used + np.cumsum(sizes) - sizes
+        self.count, self.used = end, used
+        return first
+
+    def _raw(self, piece: str) -> str:
+        if not self.spaced:
+            return piece
+        return "\n" + piece[1:] if piece[:1] == "\x00" else piece[1:] if piece[:1] == "\x01" else " " + piece
+
+    def _learn(self, pieces: list[str]) -> dict[str, int]:
+        """Encode pieces and number them. Words of letters go many at a time, parted by their bounds."""
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
+        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        space = " " if self.spaced else ""
+        numbers: dict[str, int] = {}
+        for at in range(0, len(groups), 20):
+            part = groups[at : at + 20]
+            for group, ids in zip(part, self._encode([space + " ".join(g) for g in part])):
+                ids = np.array(ids, np.uint32)
+                bounds = np.flatnonzero(self.bound[ids])
+                if len(bounds) != len(group):
+                    others += group
+                    continue
+                ends = np.append(bounds[1:], len(ids)) if self.spaced else bounds + 1
+                first = self._append(ids, np.diff(ends, prepend=0))
+                numbers.update(zip(group, range(first, first + len(group))))
+        for at in range(0, len(others), 5000):
+            part = others[at : at + 5000]
+            first = self._add([np.array(x, np.uint32) for x in self._encode([self._raw(p) for p in part])])
+            numbers.update(zip(part, range(first, first + len(part))))
+        return numbers
+
+    def _numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece the number of its core, and that of the mark at its end or -1.
+
+        A mark after a letter or digit is a word of its own.
+        """
+        marks, cores = np.full(len(pieces), -1, np.int64), list(pieces)
+        for i, p in enumerate(pieces):
+            if p[-1:] in self.marks and p[-2:-1].lower()[-1:].isalnum():
+                cores[i], marks[i] = p[:-1], self.marks[p[-1]]
+        if not self.spaced:
+            cores = [c.lower() if c.isascii() else c for c in cores]
+        where = self.where
+        new = self._learn(list(dict.fromkeys(c for c in cores if c not in where)))
+        if new:
+            found = np.fromiter((new[c] if c in new else where[c] for c in cores), np.int64, len(cores))
+        else:
+            found = np.fromiter(map(where.__getitem__, cores), np.int64, len(cores))
+        if (room := KEPT_PIECES - len(where)) > 0:
+            where.update(list(new.items())[:room])
+        return found, marks
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text closed by ``end_id``, and the offset of each text."""
@@ -68,23 +130,27 @@ class PieceEncoder:
         words = pc.split_pattern(cut, " ")
         offsets = words.offsets.to_numpy().astype(np.int64)
         flat = pc.dictionary_encode(words.flatten())
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = self._pieces(flat.dictionary.to_pylist())
-        end = len(ids)
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        full = len(self.where) >= KEPT_PIECES
+        count, used = self.count, self.used
+        cores, marks = self._numbers(flat.dictionary.to_pylist())
+        end = self._add([np.array([end_id], np.uint32)])
+        pairs = np.stack([cores[codes], marks[codes]], axis=1)
         whole = np.flatnonzero(wide)
-        ids.append(np.array([end_id], np.uint32))
-        ids += [np.array(x, np.uint32) for x in self._encode([texts[int(i)].as_py() for i in whole])]
         if len(whole):
-            codes[offsets[whole]] = np.arange(end + 1, end + 1 + len(whole))
-        codes = np.insert(codes, offsets[1:], end)
-        offsets = offsets + np.arange(len(offsets))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = np.cumsum(sizes) - sizes
-        length = sizes[codes]
+            first = self._add([np.array(x, np.uint32) for x in self._encode([texts[int(i)].as_py() for i in whole])])
+            pairs[offsets[whole]] = np.stack([np.arange(first, first + len(whole)), np.full(len(whole), -1)], axis=1)
+        pairs = np.insert(pairs, offsets[1:], [end, -1], axis=0)
+        offsets = 2 * (offsets + np.arange(len(offsets)))
+        numbers = pairs.ravel()
+        length = np.where(numbers < 0, 0, self.size[numbers])
         ends = np.cumsum(length)
-        place = np.repeat(first[codes] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        ends = np.concatenate([[0], ends])
-        return np.concatenate(ids)[place], ends[offsets]
+        place = np.repeat(self.begin[numbers] - (ends - length), length)
+        place += np.arange(len(place))
+        ids, ends = self.ids[place], np.concatenate([[0], ends])
+        if full:  # nothing of this batch was kept
+            self.count, self.used = count, used
+        return ids, ends[offsets]
 
 
 @lru_cache(maxsize=4)
