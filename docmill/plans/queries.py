@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions import embedding
 from docmill.functions import text as t
-from docmill.operators import amounts, documents, reports, review, search
+from docmill.operators import amounts, chunking, documents, reports, review, search
 from docmill.plans.views import Views, with_views
 
 #: Parameters that the queries run with.
@@ -498,3 +499,26 @@ def review_batch_edit(v: Views) -> DataFrame:
       WHERE document_id = 1 AND reading_order <= 1) ELSE text END AS text, reading_order = 1 AS is_deleted FROM v_elements WHERE document_id = 1""")
 def review_merge(v: Views) -> DataFrame:
     return review.merge_run(v.elements, 1, 0, 1).where("document_id = 1").select("reading_order", "text", "is_deleted")
+
+
+# Chunks
+
+
+@query(None)
+def chunk_documents(v: Views) -> DataFrame:
+    return chunking.chunk_documents(v.units)
+
+
+@query(None)
+def context_assembly(v: Views) -> DataFrame:
+    chunks = chunking.chunk_documents(v.units.where("document_id % 10 = 0"))
+    hits = chunks.where("seq < 5").select(
+        (F.col("document_id") % 50).alias("query_id"), (F.col("document_id") * 10 + F.col("seq")).alias("rank"),
+        (F.col("document_id") * 100 + F.col("seq")).alias("chunk_id"), F.concat(F.lit("doc-"), F.col("document_id").cast("string")).alias("filename"), "seq", "text",
+    )
+    return chunking.assemble_context(hits, 1000)
+
+
+@query(None)
+def hash_embedding(v: Views) -> DataFrame:
+    return v.texts.select("document_id", embedding.hashed(F.col("content")).alias("embedding"))
