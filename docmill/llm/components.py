@@ -13,8 +13,12 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one node at most, and on none if others hang on it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    each = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.sum("holds").alias("holds"))
+    return each.where("hangs > 1 OR hangs > 0 AND holds > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -27,20 +31,15 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, name)
-    before = None
     for _ in range(rounds):
+        if _are_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), name)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = _least(down)
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(_least(both), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _least(large)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         edges = materialize(small.distinct(), name)
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

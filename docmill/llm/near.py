@@ -2,12 +2,13 @@
 
 A document's set holds its distinct word shingles. Documents with equal sets form a class, and the
 class's least id stands for it. Each of ``TREES`` trees sorts the classes by a signature of several
-minimal hashes. Neighbours in the order of the first trees share the longest prefixes; they are
-confirmed on the full sets and joined to components. Then each region, of the classes that share a
-prefix in any tree, is searched again for links between different components: at depth 3 where the
-region is small, deeper where it is large. Links inside a component change nothing, so large groups
-of near copies cost no pairs, and no number of partners is capped. At similarity 0.8 two classes
-share no region of depth 4 in any tree with probability below 1e-7.
+minimal hashes. Neighbours in these orders share the longest prefixes; they are confirmed on the full
+sets and joined to components, in rounds of more trees that only look at neighbours in different
+components. Then each region, of the classes that share a prefix in any tree, is searched for what
+links are left between different components: at depth 3 where the region is small, deeper where it is
+large. Links inside a component change nothing, so large groups of near copies cost few pairs, and no
+number of partners is capped; a very large region is searched by pairs of its blocks. At similarity 0.8 two classes share no region of depth 4 in any tree
+with probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ from docmill.llm.common import materialize, mix64, random_words, table, text_sli
 from docmill.llm.components import connected_components
 from docmill.llm.repeats import Rolling
 
-#: Trees; of these the first are sorted deep and give neighbours.
-TREES, DEEP = 32, 4
+#: Trees, and where the rounds that look at neighbours end.
+TREES, ROUNDS = 32, (6, 32)
 #: Minimal hashes of a region's key, and of what orders a region: the first tells a deeper region.
-DEPTH, ORDER_DEEP, ORDER_FLAT = 3, 4, 1
+DEPTH, ORDER = 3, 4
 #: Classes of a region of depth 3 up to which it isn't made deeper.
 SMALL_REGION = 16
+#: Classes of a region, about, that are searched in one task.
+BLOCK = 3000
 #: Bits of the sketch that two sets at 0.8 never differ in: 12.8 of 128 are expected, 3.4 the deviation.
-SKETCH_DIFFERENCE = 36
+SKETCH_DIFFERENCE = 32
 
-_HASHES = DEEP * (DEPTH + ORDER_DEEP) + (TREES - DEEP) * (DEPTH + ORDER_FLAT)
+_HASHES = TREES * (DEPTH + ORDER)
 _FACTORS = random_words(_HASHES, 9) | np.uint64(1)
 _TREE_SALTS = random_words(TREES, 10)
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -108,9 +111,8 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                     for _ in range(DEPTH):
                         key = mix64(key * _C + least[row])
                         row += 1
-                    deep = ORDER_DEEP if tree < DEEP else ORDER_FLAT
                     order = np.zeros(len(full), np.uint64)
-                    for i in range(deep):
+                    for i in range(ORDER):
                         order |= (least[row] >> np.uint64(48)) << np.uint64(48 - 16 * i)
                         row += 1
                     keys[full, tree], orders[full, tree] = key, order
@@ -125,10 +127,10 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(compute, FEATURES)
 
 
-def _sorted_trees(classes: DataFrame) -> DataFrame:
+def _sorted_trees(classes: DataFrame, percent: int) -> DataFrame:
     """One row for each class and tree, sorted by (tree's key, order); classes alone in a region go.
 
-    ``next`` is the class that follows in a deep tree's region.
+    ``next`` is the class that follows in the region, if sizes and sketches allow a link.
     """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trees = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), "keys", "orders"))
@@ -154,14 +156,17 @@ def _sorted_trees(classes: DataFrame) -> DataFrame:
             yield from emit(held, company, True)
 
     def emit(rows: pa.Table, company: bool, end: bool) -> Iterator[pa.RecordBatch]:
-        key, rep, tree = (rows.column(c).to_numpy() for c in ("key", "rep", "tree"))
+        key, rep = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
         after = np.append(key[1:] == key[:-1], False)
         before = np.concatenate([[company], after[:-1]])
         keep = after | before
         if not end:
             keep[-1] = False  # it comes again with the next batch
         following = np.append(rep[1:], 0)
-        valid = after & (tree < DEEP)
+        n, a, b = (rows.column(c).to_numpy() for c in ("n", "sketch_a", "sketch_b"))
+        differ = np.bitwise_count((a[1:] ^ a[:-1]).view(np.uint64)) + np.bitwise_count((b[1:] ^ b[:-1]).view(np.uint64))
+        sized = 100 * np.minimum(n[1:], n[:-1]).astype(np.int64) >= percent * np.maximum(n[1:], n[:-1]).astype(np.int64)
+        valid = after & np.append(sized & (differ <= SKETCH_DIFFERENCE), False)
         out = rows.append_column("next", pa.array(following, mask=~valid)).filter(pa.array(keep))
         yield from out.combine_chunks().to_batches()
 
@@ -170,43 +175,118 @@ def _sorted_trees(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, coarse (32 bits of each item) and items (64 bits) of each text's set."""
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=2 << 20):
             sets, offsets = shingle_sets(*utf8_buffers(batch.column("text")), words)
-            raw = memoryview(sets.astype("<u8").tobytes())
-            packed = [bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "items"])
-
-    return docs.mapInArrow(compute, "doc_id bigint, items binary")
+            cut = lambda x, w: [bytes(x[w * i : w * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            coarse = cut(memoryview((sets >> np.uint64(32)).astype("<u4").tobytes()), 4)
+            items = cut(memoryview(sets.astype("<u8").tobytes()), 8)
+            columns = [batch.column("doc_id"), pa.array(coarse, pa.binary()), pa.array(items, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "coarse", "items"])
 
+    return docs.mapInArrow(compute, "doc_id bigint, coarse binary, items binary")
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Of pairs (u, v) those whose full sets are as similar as ``percent``."""
-    pairs = materialize(pairs.distinct(), f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = _sets(docs.join(ids, "doc_id", "left_semi"), words)
-    sets = materialize(sets.dropDuplicates(["doc_id"]), f"{name}-sets", compression="none")
-    return materialize(confirm_pairs(pairs, sets, percent), f"{name}-links")
 
-
-def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of sets (doc_id, items: sorted 64-bit values) with 100 * intersection >= percent * union."""
-    with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("items_u")), "u")
-    both = with_u.join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("items_v")), "v").select("u", "v", "items_u", "items_v")
+def _similar(pairs: DataFrame, sets: DataFrame, column: str, kind: str, percent: int) -> DataFrame:
+    """Pairs (u, v) whose sorted values in ``column`` are as similar as ``percent``."""
+    with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col(column).alias("of_u")), "u")
+    both = with_u.join(sets.select(F.col("doc_id").alias("v"), F.col(column).alias("of_v")), "v").select("u", "v", "of_u", "of_v")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("items_u").to_pylist(), batch.column("items_v").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                joined = np.sort(np.concatenate([a, b]), kind="stable")
-                shared = int(np.count_nonzero(joined[1:] == joined[:-1]))
+            for a, b in zip(batch.column("of_u").to_pylist(), batch.column("of_v").to_pylist()):
+                a, b = np.frombuffer(a, kind), np.frombuffer(b, kind)
+                # a value that one of them has twice can only raise the count
+                joined = np.sort(np.concatenate([a, b]))
+                shared = min(int(np.count_nonzero(joined[1:] == joined[:-1])), len(a), len(b))
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(confirm, "u bigint, v bigint")
 
 
+def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of sets (doc_id, coarse, items) with 100 * intersection >= percent * union.
+
+    Most pairs fall to the coarse values, which never understate an intersection; the rest are
+    confirmed on the full sets.
+    """
+    likely = materialize(_similar(pairs, sets, "coarse", "<u4", percent), "near-likely")
+    return materialize(_similar(likely, sets, "items", "<u8", percent), "near-links")
+
+
+def _links_in_region(reps: np.ndarray, components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of one region in different components whose coarse sets allow a link.
+
+    Each class but those of the largest component counts what it shares with all others, item by item.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, item = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    postings, begin = owner[order], np.searchsorted(item[order], np.arange(len(values) + 1))
+    found, at = [], np.cumsum(sizes) - sizes
+    names, index, counts = np.unique(components, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(index != np.argmax(counts)):
+        own = np.unique(item[at[i] : at[i] + sizes[i]])
+        shared = np.bincount(np.concatenate([postings[begin[x] : begin[x + 1]] for x in own]), minlength=len(sets))
+        shared = np.minimum(shared, np.minimum(sizes, sizes[i]))
+        linked = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (index != index[i])
+        found += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in np.flatnonzero(linked)]
+    return found
+
+
+def _search_regions(percent: int):
+    """Over rows (region, rep, component, coarse) sorted by region: candidate links (u, v)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            rows = here if held is None else pa.concat_tables([held, here])
+            if not rows.num_rows:
+                continue
+            region = rows.column("region").to_numpy()
+            last = int(np.searchsorted(region, region[-1])) if (np.diff(region) >= 0).all() else int(np.flatnonzero(region != region[-1])[-1]) + 1
+            held = rows.slice(last)
+            yield run(rows.slice(0, last))
+        if held is not None:
+            yield run(held)
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        pairs: set[tuple[int, int]] = set()
+        region, rep, component = (rows.column(c).to_numpy() for c in ("region", "rep", "component"))
+        sets = [np.frombuffer(x, "<u4") for x in rows.column("coarse").to_pylist()]
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1, [len(region)]]) if len(region) else [0]
+        for a, b in zip(begins[:-1], begins[1:]):
+            if (component[a:b] != component[a]).any():
+                pairs.update(_links_in_region(rep[a:b], component[a:b], sets[a:b], percent))
+        u, v = ([int(p[i]) for p in pairs] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return search
+
+
+def join_components(stars: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """node, component after more links; ``stars`` are the components so far, if any."""
+    if links.isEmpty():
+        return stars
+    if stars is not None:
+        links = links.unionByName(stars.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return materialize(connected_components(links), "components")
+
+
+def labelled(rows: DataFrame, stars: DataFrame | None, column: str, label: str) -> DataFrame:
+    """``rows`` with the component of a node; a node without links is its own."""
+    if stars is None:
+        return rows.withColumn(label, F.col(column))
+    named = rows.join(stars.select(F.col("node").alias(column), F.col("component").alias(label)), column, "left")
+    return named.withColumn(label, F.coalesce(label, column))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -226,39 +306,41 @@ def near_duplicates(
     classes = linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     stands = linked.join(classes, ["set_a", "set_b"]).where("doc_id = rep")
     stands = materialize(stands.select("rep", "n", "keys", "orders", "sketch_a", "sketch_b").dropDuplicates(["rep"]), "near-classes")
-    regions = materialize(_sorted_trees(stands), "near-regions")
-    texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    regions = materialize(_sorted_trees(stands, percent), "near-regions")
+    company = regions.select(F.col("rep").alias("doc_id")).distinct()
+    texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").join(company, "doc_id", "left_semi")
+    sets = materialize(_sets(texts, words).dropDuplicates(["doc_id"]), "near-sets", compression="none")
 
-    first = regions.where("next IS NOT NULL").select(F.least("rep", "next").alias("u"), F.greatest("rep", "next").alias("v"))
-    links = _confirmed(first, texts, words, percent, "near-first")
     # rows of one id in two classes are one document, so both of its classes are
     same = linked.join(classes, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    same = same.join(stands.select(F.col("rep").alias("u")), "u", "left_semi")
-    links = links.unionByName(same)
-    components = materialize(connected_components(links), "near-components")
-
-    labelled = regions.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
-    sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = labelled.join(sizes.where("low <> high").select("key", "size"), "key")
+    components = join_components(None, same.join(stands.select(F.col("rep").alias("u")), "u", "left_semi"))
+    done = 0
+    for until in ROUNDS:
+        pairs = regions.where(F.col("next").isNotNull() & F.col("tree").between(done, until - 1))
+        pairs = pairs.select(F.least("rep", "next").alias("u"), F.greatest("rep", "next").alias("v")).distinct()
+        pairs = labelled(labelled(pairs, components, "u", "of_u"), components, "v", "of_v").where("of_u <> of_v")
+        components = join_components(components, confirm_pairs(pairs.select("u", "v"), sets, percent))
+        done = until
+
+    members = labelled(regions, components, "rep", "component")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = members.join(sizes.where("low <> high").select("key", "size"), "key")
     deeper = F.when(F.col("size") <= SMALL_REGION, F.col("key")).otherwise(F.xxhash64("key", F.shiftrightunsigned("ord", 48)))
-    mixed = materialize(mixed.select(deeper.alias("region"), "rep", "n", "sketch_a", "sketch_b", "component"), "near-mixed")
-    other = mixed.select("region", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "sketch_a", "sketch_b", "component")])
-    differ = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_a_2"))) + F.bit_count(F.col("sketch_b").bitwiseXOR(F.col("sketch_b_2")))
-    possible = (
-        (mixed["region"] == other["region"])
-        & (F.col("rep") < F.col("rep_2"))
-        & (F.col("component") != F.col("component_2"))
-        & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
-        & (differ <= SKETCH_DIFFERENCE)
-    )
-    second = mixed.join(other, possible).select(F.col("rep").alias("u"), F.col("rep_2").alias("v"))
-    more = _confirmed(second, texts, words, percent, "near-second")
-    stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    components = connected_components(stars.unionByName(more))
-
-    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    mixed = mixed.select(deeper.alias("region"), "rep", "component")
+    # of a very large region each two blocks meet
+    sizes = mixed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = sizes.where("low <> high").select("region", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    mixed = mixed.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    mixed = mixed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.withColumn("region", F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with")))
+    held = mixed.select("region", "rep", "component").join(sets.select(F.col("doc_id").alias("rep"), "coarse"), "rep")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = (F.shiftrightunsigned("region", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
+    dealt = held.repartitionById(parts, part).sortWithinPartitions("region").select("region", "rep", "component", "coarse")
+    left = dealt.mapInArrow(_search_regions(percent), "u bigint, v bigint").distinct()
+    components = join_components(components, confirm_pairs(materialize(left, "near-left"), sets, percent))
+
+    named = labelled(classes, components, "rep", "component_id").select("set_a", "set_b", "component_id")
     sizes = found.select("doc_id", "set_a", "set_b", F.col("n").cast("long").alias("n_shingles"))
     out = sizes.join(named, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
