@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import materialize, mix64, random_words, table, text_slices
 from docmill.llm.components import connected_components
-from docmill.llm.near import confirm_pairs
-from docmill.llm.repeats import _LEAST, _packed, _part, _unpack
+from docmill.llm.repeats import _LEAST, _packed, _unpack
 
 SHINGLE = 10
-#: 10 bands of 3: lines at similarity 0.8 share none with probability 0.0008.
-BAND, BANDS, ROTATIONS = 3, 10, 32
+#: 8 bands of 3: lines at similarity 0.8 share none with probability 0.003, at 0.9 with 0.00003.
+BAND, BANDS, ROTATIONS = 3, 8, 32
 #: Of the 32 bits of a sketch, two lines at 0.8 differ in 3.2, deviation 1.7.
 SKETCH_DIFFERENCE = 14
 _SHIFT = np.uint64(40)
@@ -33,38 +32,57 @@ _MIXED = np.random.default_rng(5).permutation(ROTATIONS)
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
+_WORDS = random_words(1 << 16, 55)
+_BASE = 0xD6E8FEB86659FD93
+_BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, kept by each process."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            powers = np.full(max(n, 1 << 21), base, np.uint64)
+            powers[0] = 1
+            _powers[i] = np.cumprod(powers)
+    return _powers[0], _powers[1]
+
+
 class Lines:
-    """The lines of texts that aren't blank: text, number in it, hash, and hashes of their shingles."""
+    """The lines of texts that aren't blank: text, number in it, hash, and hashes of their shingles.
+
+    ``owner`` is the line of each shingle; the shingles of short lines come last.
+    """
 
     def __init__(self, texts: list[str]):
         codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.append(np.flatnonzero(codes == 10), len(codes))
         begins = np.append(0, ends[:-1] + 1)
         per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
-        self.text = np.repeat(np.arange(len(texts)), per_text)
-        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        filled = np.append(0, np.cumsum(~_is_blank(codes)))
-        keep = filled[ends] > filled[begins]
-        self.text, self.number, begins, ends = self.text[keep], self.number[keep], begins[keep], ends[keep]
-        factors = np.full(len(codes) + 1, 0xD6E8FEB86659FD93, np.uint64)
-        inverse = np.full(len(codes) + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)
-        factors[0] = inverse[0] = 1
-        powers, inverse = np.cumprod(factors), np.cumprod(inverse)
-        sums = np.append(np.uint64(0), np.cumsum(mix64(codes.astype(np.uint64) + _C) * powers[:-1]))
-        self.hash = mix64((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64) * _C)
-        size = np.minimum(ends - begins, SHINGLE)
-        made = ends - begins - size + 1
-        self.owner = np.repeat(np.arange(len(begins)), made)
-        place = np.repeat(begins - (np.cumsum(made) - made), made) + np.arange(made.sum())
-        self.shingles = mix64((sums[place + size[self.owner]] - sums[place]) * inverse[place])
-        self.ends = np.cumsum(made)
-
-
-_BLANK = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
-
-
-def _is_blank(codes: np.ndarray) -> np.ndarray:
-    return np.isin(codes, _BLANK)
+        text = np.repeat(np.arange(len(texts)), per_text)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        blanks = np.append(0, np.cumsum(_BLANK[np.minimum(codes, 0x3001)], dtype=np.int32))
+        keep = blanks[ends] - blanks[begins] < ends - begins
+        self.text, self.number, begins, ends = text[keep], number[keep], begins[keep], ends[keep]
+        powers, inverse = _powers_to(len(codes) + 1)
+        values = _WORDS[codes & 0xFFFF]
+        high = np.flatnonzero(codes > 0xFFFF)
+        values[high] = mix64(codes[high].astype(np.uint64))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(values * powers[: len(codes)], out=sums[1:])
+        sizes = ends - begins
+        self.hash = mix64((sums[ends] - sums[begins]) * inverse[begins] + sizes.astype(np.uint64) * _C)
+        long = np.flatnonzero(sizes >= SHINGLE)
+        made = sizes[long] - SHINGLE + 1
+        inside = np.zeros(max(len(codes) - SHINGLE + 1, 0) + 1, np.int8)
+        inside[begins[long]] = 1
+        inside[ends[long] - SHINGLE + 1] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        every = (sums[SHINGLE:] - sums[: max(len(sums) - SHINGLE, 0)]) * inverse[: max(len(sums) - SHINGLE, 0)]
+        short = np.flatnonzero(sizes < SHINGLE)
+        few = (sums[ends[short]] - sums[begins[short]]) * inverse[begins[short]]
+        self.shingles = mix64(np.concatenate([every[inside], few]))
+        self.owner = np.concatenate([np.repeat(long, made), short])
 
 
 def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,11 +104,14 @@ def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int32), (end - first).astype(np.int32)
 
 
-ROWS = "part int, key bigint, hash bigint, band boolean, doc_id bigint, line int, n int, sketch int"
+ROWS = "key bigint, hash bigint, doc_id bigint, line int, size int, sketch int"
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows to bring together: each line by its hash, and each different line of a batch by its bands.
 
-def _keyed(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows to bring together: each line by its hash, and each different line of a batch by its bands."""
+    The lowest bit of a key tells a band.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=4 << 20):
@@ -100,12 +121,10 @@ def _keyed(docs: DataFrame, parts: int) -> DataFrame:
             new = np.concatenate([[True], lines.hash[order][1:] != lines.hash[order][:-1]])[: len(order)]
             chosen = np.sort(order[new])
             bands, sketch, size = signatures(lines, chosen)
-            every, by_band = np.arange(len(doc)), np.repeat(chosen, BANDS)
-            at = np.concatenate([every, by_band])
-            key = np.concatenate([lines.hash, bands.ravel()])
-            banded = np.arange(len(at)) >= len(every)
-            zeros = np.zeros(len(every), np.int32)
-            columns = [_part(key, parts), key.view(np.int64), lines.hash[at].view(np.int64), banded, doc[at], lines.number[at].astype(np.int32)]
+            at = np.concatenate([np.arange(len(doc)), np.repeat(chosen, BANDS)])
+            key = np.concatenate([lines.hash & ~np.uint64(1), bands.ravel() | np.uint64(1)])
+            zeros = np.zeros(len(doc), np.int32)
+            columns = [key.view(np.int64), lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32)]
             columns += [np.concatenate([zeros, np.repeat(x, BANDS)]) for x in (size, sketch)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
 
@@ -113,30 +132,29 @@ def _keyed(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, key, hash, id, line) those whose key another line has.
+    """Of rows sorted by (key, hash, id, line) those whose key another row has.
 
-    Of a band's rows with equal hashes the first stays, and ``lead`` is the hash that its run begins with.
+    Of a band's rows with equal hashes the first stays, and ``lead`` is the hash that its run begins
+    with. Rows of one hash have a key of their own, but for the lowest bit of the hash.
     """
     held: pa.Table | None = None
-    prior, lead = None, 0  # of the row before the held one: (band, key, hash); hash its run begins with
+    prior, lead = None, 0  # key and hash of the row before the held one; hash its run begins with
 
     def emit(rows: pa.Table, end: bool):
         nonlocal prior, lead
-        band = rows.column("band").to_numpy()
         key, own = rows.column("key").to_numpy(), rows.column("hash").to_numpy()
         n = len(key)
-        begins = np.concatenate([[prior is None or prior[:2] != (band[0], key[0])], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
-        other = np.concatenate([[prior is None or prior[2] != own[0]], own[1:] != own[:-1]])
+        begins = np.concatenate([[prior is None or prior[0] != key[0]], key[1:] != key[:-1]])
+        other = np.concatenate([[prior is None or prior[1] != own[0]], own[1:] != own[:-1]])
         place = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
         leads = np.where(place >= 0, own[np.maximum(place, 0)], lead)
-        again = band & ~begins & ~other  # the same line of another batch
-        follows = np.append(~begins[1:], False)
-        keep = ~again & (~begins | follows)
+        again = (key & 1 == 1) & ~begins & ~other  # the same line of another batch
+        keep = ~again & (~begins | np.append(~begins[1:], False))
         if not end:
             keep[-1] = False
         out = rows.append_column("lead", pa.array(leads)).filter(pa.array(keep))
         if n > 1:
-            prior, lead = (band[-2], key[-2], own[-2]), int(leads[-2])
+            prior, lead = (key[-2], own[-2]), int(leads[-2])
         return out.combine_chunks().to_batches()
 
     for batch in batches:
@@ -149,50 +167,81 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(held, True)
 
 
-def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id (a line's hash) and items (its full set) of wanted lines (hash, doc_id, line)."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hash and value of wanted lines (hash, doc_id, line)."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, numbers in zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist()):
-                lines = Lines([_unpack(packed).decode("utf-8", "surrogatepass")])
-                chosen = np.flatnonzero(np.isin(lines.number, numbers))
-                ends = np.concatenate([[0], lines.ends])
-                items = [np.unique(lines.shingles[ends[i] : ends[i + 1]]).tobytes() for i in chosen]
-                own = lines.hash[chosen].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(items, pa.binary())], names=["doc_id", "items"])
+            hashes, values = [], []
+            for packed, wanted_lines in zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist()):
+                parts = _unpack(packed).decode("utf-8", "surrogatepass").split("\n")
+                for own in wanted_lines:
+                    if own["line"] < len(parts):
+                        hashes.append(own["hash"])
+                        values.append(parts[own["line"]])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(values, pa.string())], names=["hash", "value"])
 
-    return _packed(docs).join(by_doc, "doc_id").select("packed", "lines").mapInArrow(compute, "doc_id bigint, items binary")
+    return _packed(docs).join(by_doc, "doc_id").select("packed", "lines").mapInArrow(compute, "hash bigint, value string")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of lines whose full sets of shingles are as similar as ``percent``."""
+    with_u = pairs.join(texts.select(F.col("hash").alias("u"), F.col("value").alias("of_u")), "u")
+    both = with_u.join(texts.select(F.col("hash").alias("v"), F.col("value").alias("of_v")), "v").select("u", "v", "of_u", "of_v")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counts = []
+                items = []
+                for column in ("of_u", "of_v"):
+                    lines = Lines(part.column(column).to_pylist())
+                    order = np.lexsort((lines.shingles, lines.owner))
+                    owner, shingle = lines.owner[order], lines.shingles[order]
+                    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])])
+                    items.append((owner[new], shingle[new]))
+                    counts.append(np.bincount(owner[new], minlength=part.num_rows))
+                owner, shingle = (np.concatenate([items[0][i], items[1][i]]) for i in (0, 1))
+                order = np.lexsort((shingle, owner))
+                owner, shingle = owner[order], shingle[order]
+                twice = (owner[1:] == owner[:-1]) & (shingle[1:] == shingle[:-1])
+                shared = np.bincount(owner[1:][twice], minlength=part.num_rows)
+                keep = 100 * shared >= percent * (counts[0] + counts[1] - shared)
+                yield part.select(["u", "v"]).filter(pa.array(keep))
+
+    return both.mapInArrow(confirm, "u bigint, v bigint")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, line: lines that are fuzzy copies of an earlier one. ``docs`` has doc_id (no nulls) and text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _keyed(docs, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("band", "key", "hash", "doc_id", "line")
-    runs = materialize(dealt.drop("part").mapInArrow(_shared, f"{ROWS.split(', ', 1)[1]}, lead bigint"), "lines-runs")
-    bands = runs.where("band")
+    part = (F.shiftrightunsigned("key", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
+    dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("key", "hash", "doc_id", "line")
+    runs = materialize(dealt.mapInArrow(_shared, f"{ROWS}, lead bigint"), "lines-runs")
+    bands = runs.where("key & 1 = 1")
     wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("hash", "at.doc_id", "at.line")
-    sets = materialize(_line_sets(docs, wanted).dropDuplicates(["doc_id"]), "lines-sets", compression="none")
+    texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
 
     star = bands.where("hash <> lead").select(F.least("hash", "lead").alias("u"), F.greatest("hash", "lead").alias("v")).distinct()
-    links = materialize(confirm_pairs(star, sets, percent), "lines-links")
+    links = materialize(_confirmed(star, texts, percent), "lines-links")
     components = materialize(connected_components(links, "lines-components"), "lines-components")
     labelled = bands.join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
-    labelled = labelled.select("key", "hash", "n", "sketch", F.coalesce("component", "hash").alias("component"))
+    labelled = labelled.select("key", "hash", "size", "sketch", F.coalesce("component", "hash").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = materialize(labelled.join(mixed.select("key"), "key"), "lines-mixed")
-    other = mixed.select("key", *[F.col(c).alias(f"{c}_2") for c in ("hash", "n", "sketch", "component")])
+    other = mixed.select("key", *[F.col(c).alias(f"{c}_2") for c in ("hash", "size", "sketch", "component")])
     possible = (
         (mixed["key"] == other["key"])
         & (F.col("hash") < F.col("hash_2"))
         & (F.col("component") != F.col("component_2"))
-        & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
+        & (100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2"))
         & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_2"))) <= SKETCH_DIFFERENCE)
     )
     second = mixed.join(other, possible).select(F.col("hash").alias("u"), F.col("hash_2").alias("v")).distinct()
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    joined = connected_components(stars.unionByName(confirm_pairs(second, sets, percent)), "lines-components")
+    joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
 
     places = runs.select("hash", "doc_id", "line").distinct()
     placed = places.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
