@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.llm.common import materialize, mix64, random_words, table, text_slices
 from docmill.llm.components import connected_components
@@ -254,43 +255,43 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 SCHEMA = "doc_id bigint, n_lines bigint, n_removed bigint, text string"
 
 
-def deduplicate_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(
+    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, n_lines (parts between newlines), n_removed, text (what is left) for each row.
 
     Lines are alike if 100 * intersection >= percent * union of their sets of shingles; ``percent`` is
     80 or more. A shorter line is one shingle. The first line of a component by id and place is kept.
     Blank lines stay. A null text stays null and has no line, an empty one has one. Null ids come first
     and count as one document, as do rows that share an id: a line at the same place of one of them
-    isn't earlier, and each row loses the line numbers that any of them loses. Other columns are left
-    out. An empty table gives no rows.
+    isn't earlier, and each row loses the line numbers that any of them loses. ``carry`` names other
+    columns, which come along in a struct ``carried``; the rest is left out. An empty table gives no rows.
     """
     if percent < 80:
         raise ValueError("percent must be 80 or more")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col(text_col).alias("text"))
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col(text_col).alias("text")
+    rows = docs.select(key, text, text.isNull().alias("absent"), *([F.struct(*carry).alias("carried")] if carry else []))
     texts = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     later = repeated_lines(texts, percent).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    packed = _packed(rows.where("text IS NOT NULL")).unionByName(
-        rows.where("text IS NULL").select("doc_id", F.lit(None).cast("binary").alias("packed"))
-    )
+    carried = [f for f in rows.schema.fields if f.name == "carried"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, texts = [], [], []
-            for packed, numbers in zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist()):
-                if packed is None:
-                    counts, gone, texts = [*counts, 0], [*gone, 0], [*texts, None]
-                    continue
-                lines = _unpack(packed).decode("utf-8", "surrogatepass").split("\n")
+            for packed, absent, numbers in zip(*(batch.column(c).to_pylist() for c in ("packed", "absent", "lines"))):
+                lines = [] if absent else _unpack(packed).decode("utf-8", "surrogatepass").split("\n")
                 out = {x for x in numbers or () if x < len(lines)}
                 counts.append(len(lines))
                 gone.append(len(out))
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in out))
+                texts.append(None if absent else "\n".join(x for i, x in enumerate(lines) if i not in out))
             ids = batch.column("doc_id")
             ids = pc.if_else(pc.equal(ids, _LEAST), pa.scalar(None, pa.int64()), ids)
             columns = [ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_removed", "text"])
+            names = ["doc_id", "n_lines", "n_removed", "text", *(f.name for f in carried)]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name) for f in carried)], names=names)
 
-    return packed.join(later, "doc_id", "left").mapInArrow(cut, SCHEMA)
+    schema = T.StructType([*T._parse_datatype_string(SCHEMA).fields, *carried])
+    return _packed(rows).join(later, "doc_id", "left").mapInArrow(cut, schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

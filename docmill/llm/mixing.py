@@ -112,7 +112,7 @@ draws AS (
 found AS (
   SELECT doc_id, count(*) AS copies FROM draws JOIN sums ON draws.source = sums.source AND sums.s <= draws.u GROUP BY doc_id
 )
-SELECT d.*, c AS copy,
+SELECT d.*, c::INT AS copy,
   ('0x' || substr(md5('mix:order:' || d.doc_id || ':' || c), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
 FROM documents d JOIN found USING (doc_id), LATERAL generate_series(0, found.copies - 1) AS g(c)
 """

@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.llm.common import materialize, mix64, random_words, table, text_slices, utf8_buffers
 
@@ -193,7 +194,8 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text, as texts move through a shuffle."""
+    """doc_id and the compressed text, as texts move through a shuffle; other columns stay."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -201,9 +203,11 @@ def _packed(docs: DataFrame) -> DataFrame:
             data, offsets = utf8_buffers(batch.column("text"))
             raw = memoryview(data.tobytes())
             texts = [squeeze(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
+            columns = [batch.column("doc_id"), pa.array(texts, pa.binary()), *(batch.column(f.name) for f in others)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "packed", *(f.name for f in others)])
 
-    return docs.mapInArrow(pack, "doc_id bigint, packed binary")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType()), *others])
+    return docs.mapInArrow(pack, schema)
 
 
 def _unpack(packed: bytes) -> bytes:
