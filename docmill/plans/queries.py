@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import embedding
 from docmill.functions import text as t
-from docmill.operators import amounts, chunking, documents, reports, review, search
+from docmill.operators import access, amounts, chunking, documents, layout, reports, review, search
 from docmill.plans.views import Views, with_views
 
 #: Parameters that the queries run with.
@@ -522,3 +522,78 @@ def context_assembly(v: Views) -> DataFrame:
 @query(None)
 def hash_embedding(v: Views) -> DataFrame:
     return v.texts.select("document_id", embedding.hashed(F.col("content")).alias("embedding"))
+
+
+# Layout and access
+
+
+@query("""SELECT a.document_id, a.line_no AS id, b.reading_order::BIGINT AS other FROM (SELECT * FROM v_units WHERE document_id < 100) a JOIN (SELECT document_id,
+      reading_order, sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY reading_order) - length(text) - 1 AS s,
+      sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY reading_order) - 1 AS e FROM v_elements) b
+    ON a.document_id = b.document_id AND a.content_start < b.e AND b.s < a.content_end""")
+def elements_behind_chunks(v: Views) -> DataFrame:
+    chunks = v.units.where("document_id < 100").select("document_id", F.col("line_no").alias("id"), F.col("content_start").alias("start"), F.col("content_end").alias("end"))
+    ranges = v.elements.withColumn("s", t.running_offset("document_id", "reading_order", "text"))
+    parts = ranges.select("document_id", F.col("reading_order").alias("id"), F.col("s").alias("start"), (F.col("s") + F.length("text")).alias("end"))
+    return layout.overlapping(chunks, parts)
+
+
+_BOX = """SELECT document_id AS page, reading_order AS box, (reading_order % 4) * 0.2::DOUBLE AS x, (reading_order // 4) * 0.1::DOUBLE AS y, 0.15::DOUBLE AS width,
+    0.08::DOUBLE AS height, text FROM v_elements"""
+
+
+def _boxes(v: Views) -> DataFrame:
+    place = F.col("reading_order")
+    return v.elements.select(
+        F.col("document_id").alias("page"), place.alias("box"), ((place % 4) * F.lit(0.2)).alias("x"), (F.floor(place / 4) * F.lit(0.1)).alias("y"),
+        F.lit(0.15).alias("width"), F.lit(0.08).alias("height"), "text",
+    )
+
+
+@query(f"""WITH b AS ({_BOX}), c AS (SELECT page, box AS cell, x, y, 0.5::DOUBLE AS width, height FROM b WHERE box % 2 = 0)
+    SELECT b.page, box, min(cell) AS cell FROM b JOIN c ON b.page = c.page AND b.x + b.width / 2 BETWEEN c.x AND c.x + c.width
+      AND b.y + b.height / 2 BETWEEN c.y AND c.y + c.height GROUP BY 1, 2""")
+def boxes_in_cells(v: Views) -> DataFrame:
+    cells = _boxes(v).where("box % 2 = 0").select("page", F.col("box").alias("cell"), "x", "y", F.lit(0.5).alias("width"), "height")
+    return layout.cell_of_box(_boxes(v), cells)
+
+
+@query(f"""WITH b AS ({_BOX}) SELECT page, (1 + box // 4)::INT AS line, string_agg(text, ' ' ORDER BY x, box) AS text FROM b GROUP BY 1, 2""")
+def box_lines(v: Views) -> DataFrame:
+    return layout.text_lines(_boxes(v))
+
+
+@query(f"""WITH b AS ({_BOX}) SELECT page, box // 4 AS "row", string_agg(text, ' | ' ORDER BY box % 4) AS text, min(box) < 4 AS is_header, min(x) AS x, max(x + width) AS x2
+    FROM b GROUP BY page, box // 4""")
+def layout_table_rows(v: Views) -> DataFrame:
+    cells = _boxes(v).withColumns(
+        {"table": F.lit(0), "row": F.floor(F.col("box") / 4), "column": F.col("box") % 4, "confidence": F.lit(1.0)}
+    )
+    return layout.table_rows(cells).select("page", "row", "text", "is_header", "x", "x2")
+
+
+@query("""WITH l AS (SELECT document_id % 5 AS document_id, document_id AS page, line AS text, line_no, line_no / 10.0::DOUBLE AS y FROM v_units),
+    k AS (SELECT *, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\d+', '#', 'g') AS key FROM l WHERE y <= 0.12 OR y >= 0.88),
+    p AS (SELECT document_id, count(DISTINCT page) AS pages FROM l GROUP BY 1)
+    SELECT document_id, page, line_no FROM k WHERE (document_id, key) IN (SELECT (k.document_id, key) FROM k JOIN p ON k.document_id = p.document_id
+      GROUP BY k.document_id, key, pages HAVING count(DISTINCT page) >= greatest(3, floor(pages * 0.02 + 0.5)))""")
+def header_footer_lines(v: Views) -> DataFrame:
+    lines = v.units.select(
+        (F.col("document_id") % 5).alias("document_id"), F.col("document_id").alias("page"), F.col("line").alias("text"), "line_no", (F.col("line_no") / F.lit(10.0)).alias("y")
+    )
+    return layout.headers_and_footers(lines, ratio=0.02).select("document_id", "page", "line_no")
+
+
+@query(f"""SELECT id, name, status, role, role IN ('OWNER','EDITOR') AS may_edit, role = 'OWNER' AS may_invite FROM v_projects p
+    JOIN v_members m ON p.id = m.project_id WHERE user_id = {USER}""")
+def project_list(v: Views) -> DataFrame:
+    found = access.project_list(v.members, v.projects, USER)
+    return found.select("id", "name", "status", "role", access.may(F.col("role"), "edit").alias("may_edit"), access.may(F.col("role"), "invite").alias("may_invite"))
+
+
+@query("""SELECT invitee_id, id FROM (SELECT event_id AS id, user_id AS invitee_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place
+    FROM events WHERE event_type = 'signup' AND event_id % 7 = 3) WHERE place = 1 ORDER BY ts DESC, id DESC LIMIT 10""")
+def recent_invitees(v: Views) -> DataFrame:
+    events = v.table("events").where("event_type = 'signup'")
+    sent = events.select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("inviter_id"), F.col("user_id").alias("invitee_id"), F.col("ts").alias("created_at"))
+    return access.recent_invitees(sent, 3).select("invitee_id", "id")
