@@ -95,3 +95,42 @@ def replace_chunks(current: DataFrame, fresh: DataFrame, model: str | None = Non
     if model is not None:
         gone &= F.col("embedding_model") == model
     return joined.where(~gone).drop("rebuilt").unionByName(fresh)
+
+
+def primary_action(status: Column, review: Column) -> Column:
+    """What a reader should do next with a document."""
+    return (
+        F.when(status == "FAILED", "SHOW_ERROR")
+        .when(status.isin("PENDING", "EXTRACTING", "ANALYZING"), "SHOW_PROGRESS")
+        .when(review.isin("PENDING", "IN_PROGRESS"), "REVIEW")
+        .when(review == "COMPLETED", "REVIEW_AGAIN")
+        .otherwise("OPEN")
+    )
+
+
+def judged_category(raw: Column, known: list[str], fallback: str) -> tuple[Column, Column]:
+    """Category and reason of a model's answer in JSON; broken or unknown answers fall back."""
+    parsed = F.from_json(raw, "category string, reason string")
+    broken = parsed.isNull() | parsed["category"].isNull()
+    category = F.when(~broken & parsed["category"].isin(*known), parsed["category"]).otherwise(fallback)
+    return category, F.when(broken, raw).otherwise(F.coalesce(parsed["reason"], F.lit("")))
+
+
+def top_chunks(hits: DataFrame, n: int = 2) -> DataFrame:
+    """The first hits of each document by rank."""
+    order = Window.partitionBy("document_id").orderBy("rank")
+    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def next_status(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """Documents after events (id, event): only a failed one is retried, an extracted one stays."""
+    joined = documents.join(events, "id", "left")
+    event, status = F.col("event"), F.col("status")
+    moved = (
+        F.when((event == "start") & (status == "PENDING"), "EXTRACTING")
+        .when((event == "done") & (status == "EXTRACTING"), "EXTRACTED")
+        .when((event == "fail") & status.isin("PENDING", "EXTRACTING"), "FAILED")
+        .when((event == "retry") & (status == "FAILED"), "PENDING")
+        .otherwise(status)
+    )
+    return joined.withColumn("status", moved).select(*documents.columns)

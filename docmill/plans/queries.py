@@ -597,3 +597,57 @@ def recent_invitees(v: Views) -> DataFrame:
     events = v.table("events").where("event_type = 'signup'")
     sent = events.select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("inviter_id"), F.col("user_id").alias("invitee_id"), F.col("ts").alias("created_at"))
     return access.recent_invitees(sent, 3).select("invitee_id", "id")
+
+
+@query("""SELECT id, CASE WHEN status = 'FAILED' THEN 'SHOW_ERROR' WHEN status IN ('PENDING','EXTRACTING','ANALYZING') THEN 'SHOW_PROGRESS'
+    WHEN review_status IN ('PENDING','IN_PROGRESS') THEN 'REVIEW' WHEN review_status = 'COMPLETED' THEN 'REVIEW_AGAIN' ELSE 'OPEN' END AS action FROM v_documents""")
+def primary_action(v: Views) -> DataFrame:
+    return v.documents.select("id", documents.primary_action(F.col("status"), F.col("review_status")).alias("action"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 AND event_type IN ('view','click') THEN event_type ELSE 'other' END AS category,
+    CASE event_id % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'not json ' || event_id ELSE '{"reason":"x"}' END AS reason FROM events""")
+def analysis_category(v: Views) -> DataFrame:
+    i = F.col("event_id")
+    answer = F.when(i % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("category"), F.lit("r").alias("reason")))).when(
+        i % 3 == 1, F.concat(F.lit("not json "), i.cast("string"))
+    ).otherwise('{"reason":"x"}')
+    category, reason = documents.judged_category(F.col("answer"), ["view", "click"], "other")
+    return v.table("events").withColumn("answer", answer).select(i.alias("id"), category.alias("category"), reason.alias("reason"))
+
+
+@query("""SELECT document_id, chunk_id, place FROM (SELECT document_id, chunk_id, (row_number() OVER (PARTITION BY document_id ORDER BY chunk_id))::INT AS place
+    FROM v_vectors) WHERE place <= 2""")
+def top_chunks_per_document(v: Views) -> DataFrame:
+    return documents.top_chunks(v.vectors.withColumn("rank", F.col("chunk_id"))).select("document_id", "chunk_id", "place")
+
+
+@query("""SELECT id, CASE WHEN id % 2 = 0 AND status = 'PENDING' THEN 'EXTRACTING' WHEN id % 2 = 1 AND status = 'FAILED' THEN 'PENDING' ELSE status END AS status
+    FROM v_documents""")
+def status_transitions(v: Views) -> DataFrame:
+    events = v.documents.select("id", F.when(F.col("id") % 2 == 0, "start").otherwise("retry").alias("event"))
+    return documents.next_status(v.documents, events).select("id", "status")
+
+
+@query("SELECT document_id, reading_order, text, is_deleted, version + (document_id = 1 AND reading_order < 2)::INT * 2 AS version FROM v_elements")
+def review_merge_undo(v: Views) -> DataFrame:
+    operation = review.merge_snapshot(v.elements, 1, 0, 1)
+    back = review.undo_merges(review.merge_run(v.elements, 1, 0, 1), operation)
+    return back.select("document_id", "reading_order", "text", "is_deleted", "version")
+
+
+@query(f"""WITH b AS ({_BOX}) SELECT page, box, coalesce(x - lag(x) OVER w >= 0.025 OR y - (lag(y) OVER w + lag(height) OVER w) >=
+      0.8::DOUBLE * greatest(lag(height) OVER w, height, 0.01), false) AS suggested FROM b WINDOW w AS (PARTITION BY page ORDER BY box)""")
+def paragraph_starts(v: Views) -> DataFrame:
+    return review.paragraph_starts(_boxes(v)).select("page", "box", "suggested")
+
+
+@query(f"""WITH b AS ({_BOX} WHERE document_id = 2) SELECT page, box + (box > 1)::INT AS box, x, width FROM b WHERE box <> 1 UNION ALL
+    SELECT page, 1, x, width * 0.25::DOUBLE FROM b WHERE box = 1 UNION ALL SELECT page, 2, x + width * 0.25::DOUBLE, width * 0.75::DOUBLE FROM b WHERE box = 1""")
+def element_split(v: Views) -> DataFrame:
+    return review.split_element(_boxes(v).where("page = 2"), 2, 1, 0.25, vertical=True).select("page", "box", "x", "width")
+
+
+@query(f"""WITH b AS (SELECT *, (box // 4)::INT AS line FROM ({_BOX})) SELECT page, line, string_agg(text, '' ORDER BY x, box) AS text FROM b GROUP BY page, line""")
+def box_line_join(v: Views) -> DataFrame:
+    return review.joined_boxes(_boxes(v).withColumn("line", F.floor(F.col("box") / 4).cast("int")))
