@@ -170,7 +170,7 @@ def joined_boxes(boxes: DataFrame) -> DataFrame:
     order = Window.partitionBy("page", "line").orderBy("x", "box")
     before, end, height = F.lag("text").over(order), F.lag(F.col("x") + F.col("width")).over(order), F.lag("height").over(order)
     mean = (F.greatest(height, F.lit(1.0)) + F.greatest(F.col("height"), F.lit(1.0))) / 2
-    single = (F.length(before) == 1) & (F.length("text") == 1) & (F.col("x") - end <= mean * 0.8)
+    single = (F.length(before) == 1) & (F.length("text") == 1) & (F.col("x") - end <= mean * 0.6)
     joint = F.when(before.isNull() | single | (F.col("x") - end <= mean * 0.15), "").otherwise(" ")
     parts = F.array_sort(F.collect_list(F.struct("x", "box", "part")))
     glued = boxes.withColumn("part", F.concat(joint, F.col("text")))
