@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,10 +69,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_list(text: Column) -> Column:
-    """Words of a text: ASCII lower case, separated by ASCII white space."""
-    ascii_lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(ascii_lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+#: Stands for a null id, before all others.
+LEAST_ID = -(1 << 63)
+
+
+def id_buckets(docs: DataFrame, buckets: int) -> Column:
+    """A column that numbers ranges of the key column ``doc_id``, about evenly; nulls come first.
+
+    The bounds are quantiles of the ids alone, so no text is read for them.
+    """
+    key = F.coalesce("doc_id", F.lit(LEAST_ID))
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    bounds = docs.select(F.percentile_approx(key, shares, 100 * buckets)).first()[0]
+    bounds = np.unique(np.array(bounds or [], np.int64))[: buckets - 1]
+
+    @F.pandas_udf("int")
+    def bucket_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left"))
+
+    return bucket_of(key)
+
+
+def deal_by_id(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows in partitions that are ascending ranges of doc_id."""
+    bucket = id_buckets(docs, parts)
+    return docs.withColumn("__bucket", bucket).repartitionById(parts, F.col("__bucket")).drop("__bucket")
 
 
 def text_slices(

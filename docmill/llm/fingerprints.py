@@ -13,19 +13,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import mix64, random_words, table
+from docmill.llm.common import LEAST_ID, id_buckets, mix64, random_words, table
 
 #: Characters of a k-mer, signatures of a fingerprint, k-mers of a tuple.
 KMER, SIGNATURES, TUPLE = 8, 128, 2
 _ROTATIONS = np.sort(random_words(SIGNATURES, 8))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Stands for a null id, after all others in descending order.
-_LEAST = -(1 << 63)
 
 
 def fingerprint(text: str) -> np.ndarray:
@@ -71,16 +68,8 @@ def with_next(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: s
     Returns doc_id, text, bucket, guest, sorted within partitions, a bucket in each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
-    shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    bounds = rows.select(F.percentile_approx("key", shares, 100 * buckets)).first()[0]
-    bounds = np.unique(np.array(bounds or [], np.int64))[: buckets - 1]
-
-    @F.pandas_udf("int")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left"))
-
-    rows = rows.withColumn("bucket", bucket_of("key")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    rows = rows.withColumn("bucket", id_buckets(rows, buckets)).withColumn("tie", F.xxhash64("text"))
     firsts = sorted(rows.groupBy("bucket").agg(F.max(F.struct("key", "tie"))).collect())  # a row for each bucket
     to = [b for b, _ in firsts[1:]] + [b for b, _ in firsts[:1]]
     spark = docs.sparkSession

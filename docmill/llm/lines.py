@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import materialize, mix64, random_words, table, text_slices
+from docmill.llm.common import LEAST_ID, materialize, mix64, random_words, table, text_slices
 from docmill.llm.components import connected_components
-from docmill.llm.repeats import _LEAST, _packed, _unpack
+from docmill.llm.repeats import _packed, _unpack
 
 SHINGLE = 10
 #: 8 bands of 3: lines at similarity 0.8 share none with probability 0.003, at 0.9 with 0.00003.
@@ -269,7 +269,7 @@ def deduplicate_lines(
     """
     if percent < 80:
         raise ValueError("percent must be 80 or more")
-    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col(text_col).alias("text")
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col(text_col).alias("text")
     rows = docs.select(key, text, text.isNull().alias("absent"), *([F.struct(*carry).alias("carried")] if carry else []))
     texts = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     later = repeated_lines(texts, percent).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
@@ -285,7 +285,7 @@ def deduplicate_lines(
                 gone.append(len(out))
                 texts.append(None if absent else "\n".join(x for i, x in enumerate(lines) if i not in out))
             ids = batch.column("doc_id")
-            ids = pc.if_else(pc.equal(ids, _LEAST), pa.scalar(None, pa.int64()), ids)
+            ids = pc.if_else(pc.equal(ids, LEAST_ID), pa.scalar(None, pa.int64()), ids)
             columns = [ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]
             names = ["doc_id", "n_lines", "n_removed", "text", *(f.name for f in carried)]
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name) for f in carried)], names=names)

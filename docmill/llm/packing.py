@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table, text_slices
+from docmill.llm.common import SLICE_BYTES, table, text_slices
 from docmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
@@ -45,7 +45,7 @@ def pack_documents(
         raise ValueError("longest must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=2 * SLICE_BYTES):
             ids, offsets = encoder(tokenizer_path, spaced).encode(batch.column("text"), end_id)
             data = memoryview(ids.astype("<u4").tobytes())
             row, start, length = [], [], []

@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import materialize, mix64, random_words, table, text_slices, utf8_buffers
+from docmill.llm.common import LEAST_ID, materialize, mix64, random_words, table, text_slices, utf8_buffers
 
 LENGTH, FIRST, SIDE = 100, 25, 37
 #: Bytes that are hashed at a time; each takes some 100 bytes meanwhile.
 SLICE = 2 << 20
-#: Stands for a null id, before all others.
-_LEAST = -(1 << 63)
 _NONE = np.zeros(0, np.int64)
 
 
@@ -288,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows that share an id: a string at the same place of one of them isn't earlier, and each row loses
     what any of them loses. Other columns are left out. An empty table gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc_id")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id")
     rows = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = repeated_windows(rows).groupBy("doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
 
@@ -307,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.cumsum(change[:-1]) > 0
                 spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if len(gone) else 0
                 kept = data[~gone].tobytes() if lows else text
-                own = None if doc_id == _LEAST else doc_id
+                own = None if doc_id == LEAST_ID else doc_id
                 out.append((own, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import shared_path, table, text_slices
+from docmill.llm.common import SLICE_BYTES, deal_by_id, shared_path, table, text_slices
 from docmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, token_ids array<int>"
@@ -53,7 +53,7 @@ def encode_documents(
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=2 * SLICE_BYTES):
             ids, offsets = encoder(tokenizer_path, spaced).encode(batch.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
@@ -70,7 +70,7 @@ def encode_documents(
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chosen.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = deal_by_id(chosen, n).sortWithinPartitions("doc_id")
     return ordered.mapInArrow(encode, SCHEMA)
 
 

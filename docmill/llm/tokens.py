@@ -14,15 +14,33 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from docmill.llm.common import utf8_buffers
+
 #: Pieces whose ids a worker keeps. A piece takes some 200 bytes.
 KEPT_PIECES = 600_000
 
 #: Two white-space characters in a row, for which a cut before a space isn't safe.
 _WIDE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|[\x00\x01]"
+#: Bytes: 1 for white space, 4 for what else needs a closer look.
+_BYTES = np.zeros(256, np.uint8)
+_BYTES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
+_BYTES[[0, 1, 0xC2, 0xE1, 0xE2, 0xE3]] = 4
 #: Words that go to the library as one text.
 _JOINED = 500
 
 
+def _has_wide_space(texts: pa.Array) -> np.ndarray:
+    """Texts that ``_WIDE`` matches; most are told by their bytes."""
+    data, offsets = utf8_buffers(texts)
+    kinds = _BYTES[data]
+    near = np.flatnonzero((kinds[1:] & kinds[:-1] & 1) | (kinds[1:] & 4)) + 1
+    near = np.append(near, [0] if len(kinds) and kinds[0] else [])
+    found = np.zeros(len(texts), bool)
+    likely = np.unique(np.searchsorted(offsets, near.astype(np.int64), side="right") - 1)
+    found[likely] = pc.match_substring_regex(texts.take(pa.array(likely)), _WIDE).to_numpy(zero_copy_only=False)
+    return found
+
+
 class PieceEncoder:
     """Encodes batches of texts. ``spaced``: white space counts (byte-level BPE), else it is dropped.
 
@@ -106,20 +124,18 @@ class PieceEncoder:
         if not self.spaced:
             cores = [c.lower() if c.isascii() else c for c in cores]
         where = self.where
-        new = self._learn(list(dict.fromkeys(c for c in cores if c not in where)))
-        if new:
-            found = np.fromiter((new[c] if c in new else where[c] for c in cores), np.int64, len(cores))
-        else:
-            found = np.fromiter(map(where.__getitem__, cores), np.int64, len(cores))
-        if (room := KEPT_PIECES - len(where)) > 0:
-            where.update(list(new.items())[:room])
+        room, new = KEPT_PIECES - len(where), self._learn(list(set(cores) - where.keys()))
+        where.update(new)
+        found = np.fromiter(map(where.__getitem__, cores), np.int64, len(cores))
+        for piece in list(new)[max(room, 0) :]:
+            del where[piece]
         return found, marks
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text closed by ``end_id``, and the offset of each text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if self.spaced:
-            wide = pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False)
+            wide = _has_wide_space(texts)
             cut = pc.replace_substring(texts, "\n", " \x00")
             cut = pc.binary_join_element_wise(pa.scalar("\x01", pa.large_string()), cut, pa.scalar("", pa.large_string()))
             if wide.any():  # those are encoded as they are
@@ -133,24 +149,44 @@ class PieceEncoder:
         codes = flat.indices.to_numpy(zero_copy_only=False)
         full = len(self.where) >= KEPT_PIECES
         count, used = self.count, self.used
-        cores, marks = self._numbers(flat.dictionary.to_pylist())
-        end = self._add([np.array([end_id], np.uint32)])
-        pairs = np.stack([cores[codes], marks[codes]], axis=1)
+        cores, marks = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         whole = np.flatnonzero(wide)
+        cores = np.concatenate([cores, [self._add([np.array([end_id], np.uint32)])]])
         if len(whole):
             first = self._add([np.array(x, np.uint32) for x in self._encode([texts[int(i)].as_py() for i in whole])])
-            pairs[offsets[whole]] = np.stack([np.arange(first, first + len(whole)), np.full(len(whole), -1)], axis=1)
-        pairs = np.insert(pairs, offsets[1:], [end, -1], axis=0)
-        offsets = 2 * (offsets + np.arange(len(offsets)))
-        numbers = pairs.ravel()
-        length = np.where(numbers < 0, 0, self.size[numbers])
-        ends = np.cumsum(length)
-        place = np.repeat(self.begin[numbers] - (ends - length), length)
-        place += np.arange(len(place))
-        ids, ends = self.ids[place], np.concatenate([[0], ends])
+            codes = codes.copy()
+            codes[offsets[whole]] = np.arange(len(cores), len(cores) + len(whole))
+            cores = np.concatenate([cores, np.arange(first, first + len(whole))])
+        marks = np.concatenate([marks, np.full(len(cores) - len(marks), -1)])
+        numbers = np.stack([cores, marks], axis=1).ravel()
+        sizes = np.where(numbers < 0, 0, self.size[numbers])
+        ids = self.ids[_ranges(self.begin[numbers], sizes)]  # of each different piece
+        sizes = sizes[::2] + sizes[1::2]
+        begin = np.cumsum(sizes) - sizes
         if full:  # nothing of this batch was kept
             self.count, self.used = count, used
-        return ids, ends[offsets]
+        end = len(flat.dictionary)
+        parts, ends = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(texts), _ROWS):  # small arrays stay in the processor's cache
+            rows = offsets[at : at + _ROWS + 1]
+            own = np.insert(codes[rows[0] : rows[-1]], rows[1:] - rows[0], end)
+            size = sizes[own]
+            parts.append(ids[_ranges(begin[own], size)])
+            last = rows[1:] - rows[0] + np.arange(1, len(rows))
+            ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(size)])[last])
+        return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.concatenate(ends)
+
+
+#: Texts whose ids are gathered at a time.
+_ROWS = 200
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + size - 1 of each range, in a row."""
+    ends = np.cumsum(size)
+    places = np.repeat(begin - (ends - size), size)
+    places += np.arange(len(places))
+    return places
 
 
 @lru_cache(maxsize=4)
