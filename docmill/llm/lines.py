@@ -20,13 +20,16 @@ from pyspark.sql import types as T
 
 from docmill.llm.common import LEAST_ID, materialize, mix64, random_words, table, text_slices
 from docmill.llm.components import connected_components
+from docmill.llm.near import linked_across
 from docmill.llm.repeats import _packed, _unpack
 
 SHINGLE = 10
 #: 8 bands of 3: lines at similarity 0.8 share none with probability 0.003, at 0.9 with 0.00003.
 BAND, BANDS, ROTATIONS = 3, 8, 32
-#: Of the 32 bits of a sketch, two lines at 0.8 differ in 3.2, deviation 1.7.
-SKETCH_DIFFERENCE = 14
+#: Of the 32 two-bit values of a sketch, two lines at 0.8 differ in 4.8, deviation 2.0; more are rare.
+SKETCH_DIFFERENCE = 12
+#: Bytes of text that are taken apart at a time; small arrays stay in the processor's cache.
+SLICE = 1 << 20
 _SHIFT = np.uint64(40)
 _AT = np.sort(random_words(ROTATIONS, 5) >> np.uint64(24))
 _MIXED = np.random.default_rng(5).permutation(ROTATIONS)
@@ -96,16 +99,16 @@ def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.searchsorted(keys, line[:, None] | _AT)
     at = np.where(at < end[:, None], at, first[:, None])
     picks = mix64((keys[at] & np.uint64((1 << 40) - 1)) + _AT)[:, _MIXED]
-    sketch = np.zeros(len(chosen), np.uint32)
+    sketch = np.zeros(len(chosen), np.uint64)
     for i in range(ROTATIONS):
-        sketch |= (picks[:, i] & np.uint64(1)).astype(np.uint32) << np.uint32(i)
+        sketch |= (picks[:, i] & np.uint64(3)) << np.uint64(2 * i)
     bands = np.full((len(chosen), BANDS), _C)
     for i in range(BAND):
         bands = mix64(bands * _C + picks[:, i * BANDS : (i + 1) * BANDS])
-    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int32), (end - first).astype(np.int32)
+    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int64), (end - first).astype(np.int32)
 
 
-ROWS = "key bigint, hash bigint, doc_id bigint, line int, size int, sketch int"
+ROWS = "key bigint, hash bigint, doc_id bigint, line int, size int, sketch bigint"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=SLICE):
             lines = Lines(batch.column("text").to_pylist())
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[lines.text]
             order = np.lexsort((lines.number, doc, lines.hash))
@@ -124,52 +127,88 @@ def _keyed(docs: DataFrame) -> DataFrame:
             bands, sketch, size = signatures(lines, chosen)
             at = np.concatenate([np.arange(len(doc)), np.repeat(chosen, BANDS)])
             key = np.concatenate([lines.hash & ~np.uint64(1), bands.ravel() | np.uint64(1)])
-            zeros = np.zeros(len(doc), np.int32)
             columns = [key.view(np.int64), lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32)]
-            columns += [np.concatenate([zeros, np.repeat(x, BANDS)]) for x in (size, sketch)]
+            columns += [np.concatenate([np.zeros(len(doc), x.dtype), np.repeat(x, BANDS)]) for x in (size, sketch)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
 
     return docs.mapInArrow(compute, ROWS)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, hash, id, line) those whose key another row has.
+#: Rows of one key that are compared with each other; of a longer run all rows go on.
+_RUN = 16
+#: Rows of one key that are held until the next key comes.
+_HELD = 20_000
 
-    Of a band's rows with equal hashes the first stays, and ``lead`` is the hash that its run begins
-    with. Rows of one hash have a key of their own, but for the lowest bit of the hash.
+
+def _possible(size_a, size_b, sketch_a, sketch_b, percent: int) -> np.ndarray:
+    """Whether sizes and sketches allow a link."""
+    differ = sketch_a ^ sketch_b
+    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    sized = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    return sized & (np.bitwise_count(differ) <= SKETCH_DIFFERENCE)
+
+
+def _shared(percent: int):
+    """Of rows sorted by (key, hash, id, line) those that may have to do with another of their key.
+
+    Equal lines meet under a key of their own; all of them go on. Of a band's rows with equal hashes the
+    first stays, and it goes on if another row of the band may be linked with it. ``lead`` is the hash
+    that its run begins with, if it may be linked with that.
     """
-    held: pa.Table | None = None
-    prior, lead = None, 0  # key and hash of the row before the held one; hash its run begins with
 
-    def emit(rows: pa.Table, end: bool):
-        nonlocal prior, lead
+    def judge(rows: pa.Table, before: tuple | None, more: bool) -> tuple[list[pa.RecordBatch], tuple | None]:
+        """``before``: key, hash and lead row of the run that goes on in ``rows``; ``more``: the last goes on."""
         key, own = rows.column("key").to_numpy(), rows.column("hash").to_numpy()
-        n = len(key)
-        begins = np.concatenate([[prior is None or prior[0] != key[0]], key[1:] != key[:-1]])
-        other = np.concatenate([[prior is None or prior[1] != own[0]], own[1:] != own[:-1]])
-        place = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
-        leads = np.where(place >= 0, own[np.maximum(place, 0)], lead)
-        again = (key & 1 == 1) & ~begins & ~other  # the same line of another batch
-        keep = ~again & (~begins | np.append(~begins[1:], False))
-        if not end:
-            keep[-1] = False
-        out = rows.append_column("lead", pa.array(leads)).filter(pa.array(keep))
-        if n > 1:
-            prior, lead = (key[-2], own[-2]), int(leads[-2])
-        return out.combine_chunks().to_batches()
-
-    for batch in batches:
-        here = pa.Table.from_batches([batch])
-        rows = here if held is None else pa.concat_tables([held, here])
-        if rows.num_rows:
-            yield from emit(rows, False)
-            held = rows.slice(rows.num_rows - 1)
-    if held is not None:
-        yield from emit(held, True)
+        again = np.concatenate([[before is not None and before[:2] == (key[0], own[0])], (key[1:] == key[:-1]) & (own[1:] == own[:-1])])
+        rows = rows.filter(pa.array(~(again & (key & 1 == 1))))
+        if not rows.num_rows:
+            return [], before
+        key, own = rows.column("key").to_numpy(), rows.column("hash").to_numpy()
+        size, sketch = rows.column("size").to_numpy().astype(np.int64), rows.column("sketch").to_numpy().view(np.uint64)
+        n, goes_on = len(key), before is not None and before[0] == key[0]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(begin, n))
+        run = np.repeat(np.arange(len(begin)), length)
+        open_run = np.zeros(len(begin), bool)
+        open_run[0], open_run[-1] = goes_on, more or (open_run[-1] if len(begin) > 1 else goes_on)
+        long = ((length > _RUN) | open_run)[run]
+        keep = ((key & 1 == 0) & (length > 1)[run]) | long
+        for step in range(1, min(_RUN, n)):
+            same = np.flatnonzero((run[step:] == run[:-step]) & ~long[step:] & (key[step:] & 1 == 1))
+            good = same[_possible(size[same], size[same + step], sketch[same], sketch[same + step], percent)]
+            keep[good] = keep[good + step] = True
+        lead_hash, lead_size, lead_sketch = own[begin], size[begin], sketch[begin]
+        if goes_on:
+            lead_hash[0], lead_size[0], lead_sketch[0] = before[2]
+        led = (key & 1 == 1) & (own != lead_hash[run]) & _possible(size, lead_size[run], sketch, lead_sketch[run], percent)
+        out = rows.append_column("lead", pa.array(lead_hash[run], mask=~led)).filter(pa.array(keep))
+        return out.combine_chunks().to_batches(), (int(key[-1]), int(own[-1]), (lead_hash[-1], lead_size[-1], lead_sketch[-1]))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        before = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            rows = here if held is None else pa.concat_tables([held, here])
+            if not rows.num_rows:
+                continue
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if len(key) - last > _HELD:
+                last = len(key)
+            held = rows.slice(last)
+            if last:
+                out, after = judge(rows.slice(0, last), before, last == len(key))
+                before = after if last == len(key) else None
+                yield from out
+        if held is not None and held.num_rows:
+            yield from judge(held, before, False)[0]
+
+    return shared
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash and value of wanted lines (hash, doc_id, line)."""
+    """hash, value and coarse set (32 bits of each shingle) of wanted lines (hash, doc_id, line)."""
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +220,23 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     if own["line"] < len(parts):
                         hashes.append(own["hash"])
                         values.append(parts[own["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(values, pa.string())], names=["hash", "value"])
+            coarse = []
+            for at in range(0, len(values), 1000):
+                owner, shingle = _sets(Lines(values[at : at + 1000]))
+                cuts = np.searchsorted(owner, np.arange(1, len(values[at : at + 1000])))
+                coarse += [x.tobytes() for x in np.split((shingle >> np.uint64(32)).astype("<u4"), cuts)]
+            columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(coarse, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "coarse"])
+
+    return _packed(docs).join(by_doc, "doc_id").select("packed", "lines").mapInArrow(compute, "hash bigint, value string, coarse binary")
+
 
-    return _packed(docs).join(by_doc, "doc_id").select("packed", "lines").mapInArrow(compute, "hash bigint, value string")
+def _sets(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of each distinct shingle, sorted."""
+    order = np.lexsort((lines.shingles, lines.owner))
+    owner, shingle = lines.owner[order], lines.shingles[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])])[: len(owner)]
+    return owner[new], shingle[new]
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -198,12 +251,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 counts = []
                 items = []
                 for column in ("of_u", "of_v"):
-                    lines = Lines(part.column(column).to_pylist())
-                    order = np.lexsort((lines.shingles, lines.owner))
-                    owner, shingle = lines.owner[order], lines.shingles[order]
-                    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])])
-                    items.append((owner[new], shingle[new]))
-                    counts.append(np.bincount(owner[new], minlength=part.num_rows))
+                    items.append(_sets(Lines(part.column(column).to_pylist())))
+                    counts.append(np.bincount(items[-1][0], minlength=part.num_rows))
                 owner, shingle = (np.concatenate([items[0][i], items[1][i]]) for i in (0, 1))
                 order = np.lexsort((shingle, owner))
                 owner, shingle = owner[order], shingle[order]
@@ -220,27 +269,17 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = (F.shiftrightunsigned("key", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
     dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("key", "hash", "doc_id", "line")
-    runs = materialize(dealt.mapInArrow(_shared, f"{ROWS}, lead bigint"), "lines-runs")
+    runs = materialize(dealt.mapInArrow(_shared(percent), f"{ROWS}, lead bigint"), "lines-runs")
     bands = runs.where("key & 1 = 1")
     wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("hash", "at.doc_id", "at.line")
     texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
 
-    star = bands.where("hash <> lead").select(F.least("hash", "lead").alias("u"), F.greatest("hash", "lead").alias("v")).distinct()
+    star = bands.where("lead IS NOT NULL").select(F.least("hash", "lead").alias("u"), F.greatest("hash", "lead").alias("v")).distinct()
     links = materialize(_confirmed(star, texts, percent), "lines-links")
     components = materialize(connected_components(links, "lines-components"), "lines-components")
     labelled = bands.join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
-    labelled = labelled.select("key", "hash", "size", "sketch", F.coalesce("component", "hash").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    mixed = materialize(labelled.join(mixed.select("key"), "key"), "lines-mixed")
-    other = mixed.select("key", *[F.col(c).alias(f"{c}_2") for c in ("hash", "size", "sketch", "component")])
-    possible = (
-        (mixed["key"] == other["key"])
-        & (F.col("hash") < F.col("hash_2"))
-        & (F.col("component") != F.col("component_2"))
-        & (100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2"))
-        & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_2"))) <= SKETCH_DIFFERENCE)
-    )
-    second = mixed.join(other, possible).select(F.col("hash").alias("u"), F.col("hash_2").alias("v")).distinct()
+    labelled = labelled.select(F.col("key").alias("region"), F.col("hash").alias("rep"), F.coalesce("component", "hash").alias("component"))
+    second = linked_across(labelled, texts.select(F.col("hash").alias("doc_id"), "coarse"), percent)
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
 

@@ -287,6 +287,21 @@ def labelled(rows: DataFrame, stars: DataFrame | None, column: str, label: str)
     return named.withColumn(label, F.coalesce(label, column))
 
 
+def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate links (u, v) between members (region, rep, component) of one region in different
+    components, by their coarse sets (doc_id, coarse). Of a very large region each two blocks meet."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = sizes.where("low <> high").select("region", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    mixed = members.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    mixed = mixed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.withColumn("region", F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with")))
+    held = mixed.select("region", "rep", "component").join(sets.select(F.col("doc_id").alias("rep"), "coarse"), "rep")
+    part = (F.shiftrightunsigned("region", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
+    dealt = held.repartitionById(parts, part).sortWithinPartitions("region").select("region", "rep", "component", "coarse")
+    return dealt.mapInArrow(_search_regions(percent), "u bigint, v bigint").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -326,18 +341,7 @@ def near_duplicates(
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = members.join(sizes.where("low <> high").select("key", "size"), "key")
     deeper = F.when(F.col("size") <= SMALL_REGION, F.col("key")).otherwise(F.xxhash64("key", F.shiftrightunsigned("ord", 48)))
-    mixed = mixed.select(deeper.alias("region"), "rep", "component")
-    # of a very large region each two blocks meet
-    sizes = mixed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = sizes.where("low <> high").select("region", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    mixed = mixed.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    mixed = mixed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.withColumn("region", F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with")))
-    held = mixed.select("region", "rep", "component").join(sets.select(F.col("doc_id").alias("rep"), "coarse"), "rep")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = (F.shiftrightunsigned("region", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
-    dealt = held.repartitionById(parts, part).sortWithinPartitions("region").select("region", "rep", "component", "coarse")
-    left = dealt.mapInArrow(_search_regions(percent), "u bigint, v bigint").distinct()
+    left = linked_across(mixed.select(deeper.alias("region"), "rep", "component"), sets, percent)
     components = join_components(components, confirm_pairs(materialize(left, "near-left"), sets, percent))
 
     named = labelled(classes, components, "rep", "component_id").select("set_a", "set_b", "component_id")
