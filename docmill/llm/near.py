@@ -218,10 +218,15 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(_similar(likely, sets, "items", "<u8", percent), "near-links")
 
 
+#: Items by which a coarse set may overstate what two sets share; three such collisions don't happen.
+_SLACK = 2
+
+
 def _links_in_region(reps: np.ndarray, components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of one region in different components whose coarse sets allow a link.
 
     Each class but those of the largest component counts what it shares with all others, item by item.
+    Components that a link beyond doubt has joined need no other link between them.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -230,12 +235,19 @@ def _links_in_region(reps: np.ndarray, components: np.ndarray, sets: list[np.nda
     postings, begin = owner[order], np.searchsorted(item[order], np.arange(len(values) + 1))
     found, at = [], np.cumsum(sizes) - sizes
     names, index, counts = np.unique(components, return_inverse=True, return_counts=True)
+    root = np.arange(len(names))
     for i in np.flatnonzero(index != np.argmax(counts)):
         own = np.unique(item[at[i] : at[i] + sizes[i]])
         shared = np.bincount(np.concatenate([postings[begin[x] : begin[x + 1]] for x in own]), minlength=len(sets))
         shared = np.minimum(shared, np.minimum(sizes, sizes[i]))
-        linked = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (index != index[i])
-        found += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in np.flatnonzero(linked)]
+        allowed = lambda n: 100 * n >= percent * (sizes + sizes[i] - n)
+        apart = root[index] != root[index[i]]
+        sure = np.flatnonzero(allowed(shared - _SLACK) & apart)
+        joined, first = np.unique(root[index[sure]], return_index=True)
+        links = sure[first].tolist()
+        root[np.isin(root, joined)] = root[index[i]]
+        links += np.flatnonzero(allowed(shared) & (root[index] != root[index[i]])).tolist()
+        found += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in links]
     return found
 
 
