@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import SLICE_BYTES, table, text_slices
 from docmill.llm.tokens import encoder
 
+#: Pieces of words that a worker keeps; other stages of a pipeline share its memory.
+KEPT_PIECES = 250_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
@@ -46,7 +48,7 @@ def pack_documents(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=2 * SLICE_BYTES):
-            ids, offsets = encoder(tokenizer_path, spaced).encode(batch.column("text"), end_id)
+            ids, offsets = encoder(tokenizer_path, spaced, KEPT_PIECES).encode(batch.column("text"), end_id)
             data = memoryview(ids.astype("<u4").tobytes())
             row, start, length = [], [], []
             for i, n in enumerate(np.diff(offsets).tolist()):

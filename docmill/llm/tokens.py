@@ -45,16 +45,16 @@ class PieceEncoder:
     """Encodes batches of texts. ``spaced``: white space counts (byte-level BPE), else it is dropped.
 
     Ids of pieces lie in one array. ``where`` has each kept piece's number, ``begin`` and ``size`` its
-    ids by number. Pieces beyond ``KEPT_PIECES`` are forgotten after their batch.
+    ids by number. Pieces beyond ``most`` are forgotten after their batch.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int = KEPT_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
+        self.spaced, self.most = spaced, most
         vocabulary = self.tokenizer.get_vocab()
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin, or end, a word
         for token, i in vocabulary.items():
@@ -124,7 +124,7 @@ class PieceEncoder:
         if not self.spaced:
             cores = [c.lower() if c.isascii() else c for c in cores]
         where = self.where
-        room, new = KEPT_PIECES - len(where), self._learn(list(set(cores) - where.keys()))
+        room, new = self.most - len(where), self._learn(list(set(cores) - where.keys()))
         where.update(new)
         found = np.fromiter(map(where.__getitem__, cores), np.int64, len(cores))
         for piece in list(new)[max(room, 0) :]:
@@ -147,7 +147,7 @@ class PieceEncoder:
         offsets = words.offsets.to_numpy().astype(np.int64)
         flat = pc.dictionary_encode(words.flatten())
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        full = len(self.where) >= KEPT_PIECES
+        full = len(self.where) >= self.most
         count, used = self.count, self.used
         cores, marks = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         whole = np.flatnonzero(wide)
@@ -190,6 +190,6 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, most: int = KEPT_PIECES) -> PieceEncoder:
     """One encoder for each Python worker and vocabulary."""
-    return PieceEncoder(path, spaced)
+    return PieceEncoder(path, spaced, most)
