@@ -220,7 +220,7 @@ def rrf_hybrid(v: Views) -> DataFrame:
         "chunk_id", "document_id", F.col("chunk_id").alias("seq"), F.least(similarity, F.lit(1.0)).alias("score")
     )
     near = near.orderBy(F.desc("score"), "chunk_id").limit(search.CANDIDATES)
-    texts = v.texts.where("document_id < 500").select(
+    texts = v.texts.select(
         F.col("document_id").alias("chunk_id"), (F.col("document_id") % 50).alias("document_id"), F.col("document_id").alias("seq"), F.col("content").alias("text")
     )
     words = search.keyword_topk(texts, TERM, by_count=True).select("chunk_id", "document_id", "seq", "score")
