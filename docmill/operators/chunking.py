@@ -1,15 +1,17 @@
 """Structure-aware chunks of a document's lines, and the context of a query under a token budget.
 
-Both are folds over a short ordered list: Spark groups and orders the lines of a document (the chunks
-of a query), and a small function walks each group.
+Both are folds over ordered rows: Spark groups the lines of a document, and sorts the chunks of a query,
+for a small function that walks them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,27 +166,37 @@ def assemble_context(hits: DataFrame, budget: int) -> DataFrame:
     chunk_id, evidence, tokens.
     """
 
-    def assemble(group: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        used, rows = 0, []
-        for hit in group.sort_values("rank").itertuples(index=False):
-            fresh = {}
-            for sentence in (s.strip() for s in SENTENCE.split(hit.text) if s.strip()):
-                key = " ".join(sentence.split())
-                if key not in seen:
-                    fresh.setdefault(key, sentence)
-            if not fresh:
-                continue
-            header = f"[{len(rows) + 1}] {hit.filename} #{hit.seq + 1}\n"
-            body = " ".join(fresh.values())
-            if used + tokens(header + body) > budget:
-                room = int((budget - tokens(header)) * t.CHARS_PER_TOKEN) - 2
-                if rows or room <= 0:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, seen, used, index = None, set(), 0, 0
+        for batch in batches:
+            rows = []
+            for query_id, chunk_id, filename, seq, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if query_id != query:
+                    query, seen, used, index = query_id, set(), 0, 0
+                fresh = {}
+                for sentence in (s.strip() for s in SENTENCE.split(text) if s.strip()):
+                    key = " ".join(sentence.split())
+                    if key not in seen:
+                        fresh.setdefault(key, sentence)
+                if not fresh:
                     continue
-                body = body[:room]
-            seen.update(fresh)
-            used += tokens(header + body)
-            rows.append((hit.query_id, len(rows) + 1, hit.chunk_id, header + body, tokens(header + body)))
-        return pd.DataFrame(rows, columns=["query_id", "index", "chunk_id", "evidence", "tokens"])
-
-    return hits.groupBy("query_id").applyInPandas(assemble, "query_id long, index long, chunk_id long, evidence string, tokens long")
+                header = f"[{index + 1}] {filename} #{seq + 1}\n"
+                body = " ".join(fresh.values())
+                if used + tokens(header + body) > budget:
+                    room = int((budget - tokens(header)) * t.CHARS_PER_TOKEN) - 2
+                    if index or room <= 0:
+                        continue
+                    body = body[:room]
+                seen.update(fresh)
+                used += tokens(header + body)
+                index += 1
+                rows.append((query_id, index, chunk_id, header + body, tokens(header + body)))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()]
+            names = ["query_id", "index", "chunk_id", "evidence", "tokens"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    # A query's hits pass through one task in their order; only what it has accepted is held.
+    dealt = hits.repartition("query_id").sortWithinPartitions("query_id", "rank")
+    given = dealt.select("query_id", "chunk_id", "filename", "seq", "text")
+    return given.mapInArrow(assemble, "query_id long, index long, chunk_id long, evidence string, tokens long")

@@ -511,10 +511,10 @@ def chunk_documents(v: Views) -> DataFrame:
 
 @query(None)
 def context_assembly(v: Views) -> DataFrame:
-    chunks = chunking.chunk_documents(v.units.where("document_id % 10 = 0"))
-    hits = chunks.where("seq < 5").select(
-        (F.col("document_id") % 50).alias("query_id"), (F.col("document_id") * 10 + F.col("seq")).alias("rank"),
-        (F.col("document_id") * 100 + F.col("seq")).alias("chunk_id"), F.concat(F.lit("doc-"), F.col("document_id").cast("string")).alias("filename"), "seq", "text",
+    place = F.shiftleft("document_id", 32) + F.col("seq")
+    hits = chunking.chunk_documents(v.units).select(
+        (F.col("document_id") % 50).alias("query_id"), place.alias("rank"), place.alias("chunk_id"),
+        F.concat(F.lit("doc-"), F.col("document_id").cast("string")).alias("filename"), "seq", "text",
     )
     return chunking.assemble_context(hits, 1000)
 
@@ -532,7 +532,7 @@ def hash_embedding(v: Views) -> DataFrame:
       sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY reading_order) - 1 AS e FROM v_elements) b
     ON a.document_id = b.document_id AND a.content_start < b.e AND b.s < a.content_end""")
 def elements_behind_chunks(v: Views) -> DataFrame:
-    chunks = v.units.where("document_id < 100").select("document_id", F.col("line_no").alias("id"), F.col("content_start").alias("start"), F.col("content_end").alias("end"))
+    chunks = v.units.select("document_id", F.col("line_no").alias("id"), F.col("content_start").alias("start"), F.col("content_end").alias("end"))
     ranges = v.elements.withColumn("s", t.running_offset("document_id", "reading_order", "text"))
     parts = ranges.select("document_id", F.col("reading_order").alias("id"), F.col("s").alias("start"), (F.col("s") + F.length("text")).alias("end"))
     return layout.overlapping(chunks, parts)
