@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at a time.
@@ -73,6 +73,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LEAST_ID = -(1 << 63)
 
 
+#: Repeated ids that are gathered and broadcast at most.
+REPEATED_IDS = 100_000
+
+
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with ``row``, which tells different texts of one id apart.
+
+    It is 0 where the id occurs once, so that it costs nothing in shuffles, else a hash of the text.
+    With very many repeated ids it is the hash everywhere. Equal rows have equal keys.
+    """
+    again = rows.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(REPEATED_IDS + 1).collect()
+    own = F.xxhash64("text")
+    if not again:
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    if len(again) > REPEATED_IDS:
+        return rows.withColumn("row", own)
+    ids = rows.sparkSession.createDataFrame([(r["doc_id"], True) for r in again], "doc_id long, again boolean")
+    keyed = rows.join(F.broadcast(ids), "doc_id", "left")
+    return keyed.withColumn("row", F.when(F.col("again"), own).otherwise(F.lit(0).cast("long"))).drop("again")
+
+
+def numbered_twins(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``twin``: 0 for the first of the rows that share doc_id and row, more for others."""
+    return rows.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("row")) - 1)
+
+
 def id_buckets(docs: DataFrame, buckets: int) -> Column:
     """A column that numbers ranges of the key column ``doc_id``, about evenly; nulls come first.
 

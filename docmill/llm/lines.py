@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import LEAST_ID, materialize, mix64, random_words, table, text_slices
+from docmill.llm.common import LEAST_ID, materialize, mix64, numbered_twins, random_words, table, text_slices, with_row_key
 from docmill.llm.components import connected_components
 from docmill.llm.near import linked_across
 from docmill.llm.repeats import _packed, _unpack
@@ -108,7 +108,7 @@ def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int64), (end - first).astype(np.int32)
 
 
-ROWS = "key bigint, hash bigint, doc_id bigint, line int, size int, sketch bigint"
+ROWS = "key bigint, hash bigint, doc_id bigint, line int, row bigint, size int, sketch bigint"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -121,13 +121,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
         for batch in text_slices(batches, limit=SLICE):
             lines = Lines(batch.column("text").to_pylist())
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[lines.text]
-            order = np.lexsort((lines.number, doc, lines.hash))
+            row = batch.column("row").to_numpy(zero_copy_only=False)[lines.text]
+            order = np.lexsort((row, lines.number, doc, lines.hash))
             new = np.concatenate([[True], lines.hash[order][1:] != lines.hash[order][:-1]])[: len(order)]
             chosen = np.sort(order[new])
             bands, sketch, size = signatures(lines, chosen)
             at = np.concatenate([np.arange(len(doc)), np.repeat(chosen, BANDS)])
             key = np.concatenate([lines.hash & ~np.uint64(1), bands.ravel() | np.uint64(1)])
-            columns = [key.view(np.int64), lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32)]
+            columns = [key.view(np.int64), lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32), row[at]]
             columns += [np.concatenate([np.zeros(len(doc), x.dtype), np.repeat(x, BANDS)]) for x in (size, sketch)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
 
@@ -149,7 +150,7 @@ def _possible(size_a, size_b, sketch_a, sketch_b, percent: int) -> np.ndarray:
 
 
 def _shared(percent: int):
-    """Of rows sorted by (key, hash, id, line) those that may have to do with another of their key.
+    """Of rows sorted by (key, hash, id, line, row key) those that may have to do with another of their key.
 
     Equal lines meet under a key of their own; all of them go on. Of a band's rows with equal hashes the
     first stays, and it goes on if another row of the band may be linked with it. ``lead`` is the hash
@@ -208,8 +209,8 @@ def _shared(percent: int):
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, value and coarse set (32 bits of each shingle) of wanted lines (hash, doc_id, line)."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
+    """hash, value and coarse set (32 bits of each shingle) of wanted lines (hash, doc_id, line, row)."""
+    by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +229,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(coarse, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "coarse"])
 
-    return _packed(docs).join(by_doc, "doc_id").select("packed", "lines").mapInArrow(compute, "hash bigint, value string, coarse binary")
+    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(compute, "hash bigint, value string, coarse binary")
 
 
 def _sets(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -265,13 +266,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, line: lines that are fuzzy copies of an earlier one. ``docs`` has doc_id (no nulls) and text."""
+    """doc_id, row, line: lines that are fuzzy copies of an earlier one.
+
+    ``docs`` has doc_id (no nulls), text and row, which tells rows of one id apart.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = (F.shiftrightunsigned("key", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
-    dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("key", "hash", "doc_id", "line")
+    dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("key", "hash", "doc_id", "line", "row")
     runs = materialize(dealt.mapInArrow(_shared(percent), f"{ROWS}, lead bigint"), "lines-runs")
     bands = runs.where("key & 1 = 1")
-    wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("hash", "at.doc_id", "at.line")
+    wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at")).select("hash", "at.doc_id", "at.line", "at.row")
     texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
 
     star = bands.where("lead IS NOT NULL").select(F.least("hash", "lead").alias("u"), F.greatest("hash", "lead").alias("v")).distinct()
@@ -283,12 +287,12 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
 
-    places = runs.select("hash", "doc_id", "line").distinct()
+    places = runs.select("hash", "doc_id", "line", "row").distinct()
     placed = places.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
-    placed = materialize(placed.select(F.coalesce("component", "hash").alias("component"), "doc_id", "line"), "lines-placed")
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    later = placed.join(first, "component").where("first.doc_id <> doc_id OR first.line <> line")
-    return later.select("doc_id", "line")
+    placed = materialize(placed.select(F.coalesce("component", "hash").alias("component"), "doc_id", "line", "row"), "lines-placed")
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line", "row")).alias("first"))
+    later = placed.join(first, "component").where("first.doc_id <> doc_id OR first.line <> line OR first.row <> row")
+    return later.select("doc_id", "row", "line")
 
 
 SCHEMA = "doc_id bigint, n_lines bigint, n_removed bigint, text string"
@@ -301,25 +305,26 @@ def deduplicate_lines(
 
     Lines are alike if 100 * intersection >= percent * union of their sets of shingles; ``percent`` is
     80 or more. A shorter line is one shingle. The first line of a component by id and place is kept.
-    Blank lines stay. A null text stays null and has no line, an empty one has one. Null ids come first
-    and count as one document, as do rows that share an id: a line at the same place of one of them
-    isn't earlier, and each row loses the line numbers that any of them loses. ``carry`` names other
+    Blank lines stay. A null text stays null and has no line, an empty one has one. Null ids come first.
+    Of rows that share an id, the line of the lower number is earlier, at equal numbers that of the lower
+    hash of the text; of equal rows one is first. Each row loses what it repeats itself. ``carry`` names other
     columns, which come along in a struct ``carried``; the rest is left out. An empty table gives no rows.
     """
     if percent < 80:
         raise ValueError("percent must be 80 or more")
     key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col(text_col).alias("text")
     rows = docs.select(key, text, text.isNull().alias("absent"), *([F.struct(*carry).alias("carried")] if carry else []))
-    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    later = repeated_lines(texts, percent).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    rows = with_row_key(rows)
+    texts = rows.select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
+    later = repeated_lines(texts, percent).groupBy("doc_id", "row").agg(F.collect_list("line").alias("lines"))
     carried = [f for f in rows.schema.fields if f.name == "carried"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, texts = [], [], []
-            for packed, absent, numbers in zip(*(batch.column(c).to_pylist() for c in ("packed", "absent", "lines"))):
+            for packed, absent, twin, numbers in zip(*(batch.column(c).to_pylist() for c in ("packed", "absent", "twin", "lines"))):
                 lines = [] if absent else _unpack(packed).decode("utf-8", "surrogatepass").split("\n")
-                out = {x for x in numbers or () if x < len(lines)}
+                out = {i for i, x in enumerate(lines) if x.strip()} if twin else set(numbers or ())
                 counts.append(len(lines))
                 gone.append(len(out))
                 texts.append(None if absent else "\n".join(x for i, x in enumerate(lines) if i not in out))
@@ -330,7 +335,7 @@ def deduplicate_lines(
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name) for f in carried)], names=names)
 
     schema = T.StructType([*T._parse_datatype_string(SCHEMA).fields, *carried])
-    return _packed(rows).join(later, "doc_id", "left").mapInArrow(cut, schema)
+    return numbered_twins(_packed(rows)).join(later, ["doc_id", "row"], "left").mapInArrow(cut, schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

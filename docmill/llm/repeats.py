@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import LEAST_ID, materialize, mix64, random_words, table, text_slices, utf8_buffers
+from docmill.llm.common import LEAST_ID, materialize, mix64, numbered_twins, random_words, table, text_slices, utf8_buffers, with_row_key
 
 LENGTH, FIRST, SIDE = 100, 25, 37
 #: Bytes that are hashed at a time; each takes some 100 bytes meanwhile.
@@ -111,18 +111,28 @@ def _part(ranks: np.ndarray, parts: int) -> np.ndarray:
     return ((ranks >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
 
 
+def _run_heads(same: np.ndarray) -> np.ndarray:
+    """The first row of each row's run; ``same`` tells whether a row goes on with the run before."""
+    return np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+
+
 def _later(*keys: np.ndarray) -> np.ndarray:
-    """Rows, in order of all keys, that equal the row before in all but the last two (id and place)."""
+    """Rows, in order of all keys, that equal earlier ones in all but the last three (id, place, row key).
+
+    What has the id, place and row key of the first of its run is the same string, not a later one.
+    """
     order = np.lexsort(keys[::-1])
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for key in keys[:-2]:
-        same &= key[order][1:] == key[order][:-1]
+    if not len(order):
+        return np.zeros(0, bool)
+    sorted_ = [key[order] for key in keys]
+    same = np.concatenate([[False], np.all([k[1:] == k[:-1] for k in sorted_[:-3]], axis=0)])
+    head = _run_heads(same)
     later = np.zeros(len(order), bool)
-    later[order[1:][same]] = True
+    later[order] = np.any([k != k[head] for k in sorted_[-3:]], axis=0)
     return later
 
 
-SAMPLE_SCHEMA = "part int, settled boolean, rank bigint, stretch bigint, sides bigint, doc_id bigint, low int, high int"
+SAMPLE_SCHEMA = "part int, settled boolean, rank bigint, stretch bigint, sides bigint, doc_id bigint, low int, row bigint, high int"
 
 
 def _sampled(docs: DataFrame, parts: int) -> DataFrame:
@@ -132,11 +142,11 @@ def _sampled(docs: DataFrame, parts: int) -> DataFrame:
         for batch in text_slices(batches, limit=SLICE):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             found = samples(*utf8_buffers(batch.column("text")))
-            doc = ids[found["text"]]
-            settled = _later(found["rank"], found["stretch"], doc, found["low"]) if len(doc) else np.zeros(0, bool)
+            doc, row = ids[found["text"]], batch.column("row").to_numpy(zero_copy_only=False)[found["text"]]
+            settled = _later(found["rank"], found["stretch"], doc, found["low"], row)
             part = np.where(settled, np.arange(len(doc)) % parts, _part(found["rank"].view(np.uint64), parts)).astype(np.int32)
             longs = [found[k].view(np.int64) for k in ("rank", "stretch", "sides")]
-            columns = [part, settled, *longs, doc, found["low"].astype(np.int32), found["high"].astype(np.int32)]
+            columns = [part, settled, *longs, doc, found["low"].astype(np.int32), row, found["high"].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SAMPLE_SCHEMA.split(", ")])
 
     return docs.mapInArrow(sample, SAMPLE_SCHEMA)
@@ -147,16 +157,24 @@ _HELD = 200_000
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (settled, rank, stretch, id, place): repeated stretches, and those to look into."""
+    """Of rows sorted by (settled, rank, stretch, id, place, row key): repeated stretches, and those to look into."""
 
-    def judge(rows: list[np.ndarray], open_before: bool, open_after: bool, before: tuple | None) -> pa.RecordBatch:
-        settled, rank, stretch, sides, doc, low, high = rows
+    def judge(rows: list[np.ndarray], open_before: bool, open_after: bool, before: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+        """``before``: rank, stretch, id, place and row key of the head of the run that may go on in ``rows``."""
+        settled, rank, stretch, sides, doc, low, row, high = rows
         n = len(rank)
-        same_rank = np.concatenate([[before is not None and n > 0 and before[0] == rank[0]], rank[1:] == rank[:-1]])
-        same = same_rank & np.concatenate([[before is not None and n > 0 and before[1] == stretch[0]], stretch[1:] == stretch[:-1]])
-        same &= ~settled
-        repeated = settled | same
-        rest = np.flatnonzero(~repeated)
+        goes_on = before is not None and before[:2] == (rank[0], stretch[0]) and not settled[0]
+        same = np.concatenate([[False], (rank[1:] == rank[:-1]) & (stretch[1:] == stretch[:-1]) & (settled[1:] == settled[:-1])])
+        head = _run_heads(same)
+        firsts = [key[head] for key in (doc, low, row)]
+        if goes_on:
+            for key, value in zip(firsts, before[2:]):
+                key[head == 0] = value
+        later = (doc != firsts[0]) | (low != firsts[1]) | (row != firsts[2])
+        # Equal rows share id, place and row key; one stands for them all.
+        twin = ~settled & ~later & ((head != np.arange(n)) | (goes_on & (head == 0)))
+        repeated = settled | later
+        rest = np.flatnonzero(~repeated & ~twin)
         onward = np.zeros(n, bool)
         for shift in (0, 32):  # the right sides, then the left ones
             side = (sides[rest].view(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
@@ -164,12 +182,13 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             equal = (rank[rest][order][1:] == rank[rest][order][:-1]) & (side[order][1:] == side[order][:-1])
             onward[rest[order[1:][equal]]] = onward[rest[order[:-1][equal]]] = True
         if open_before and n:  # part of a very long run: all that isn't settled goes on
-            onward |= (rank == rank[0]) & ~repeated
+            onward |= (rank == rank[0]) & ~repeated & ~twin
         if open_after and n:
-            onward |= (rank == rank[-1]) & ~repeated
+            onward |= (rank == rank[-1]) & ~repeated & ~twin
         out = repeated | onward
-        columns = [doc[out], low[out], high[out], repeated[out]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "low", "high", "repeated"])
+        columns = [doc[out], row[out], low[out], high[out], repeated[out]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "row", "low", "high", "repeated"])
+        return batch, (rank[-1], stretch[-1], *(key[-1] for key in firsts))
 
     held: list[np.ndarray] | None = None
     before, cut = None, False
@@ -182,13 +201,14 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changes = np.flatnonzero((rank[1:] != rank[:-1]) | (held[0][1:] != held[0][:-1]))
         end = int(changes[-1]) + 1 if len(changes) else 0
         if len(rank) - end > _HELD:
-            yield judge(held, cut, True, before)
-            before, cut, held = (held[1][-1], held[2][-1]), True, None
+            out, before = judge(held, cut, True, before)
+            yield out
+            cut, held = True, None
         elif end and end >= 50_000:
-            yield judge([c[:end] for c in held], cut, False, before)
+            yield judge([c[:end] for c in held], cut, False, before)[0]
             before, cut, held = None, False, [c[end:] for c in held]
     if held is not None and len(held[1]):
-        yield judge(held, cut, False, before)
+        yield judge(held, cut, False, before)[0]
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -213,7 +233,7 @@ def _unpack(packed: bytes) -> bytes:
 
 
 def _third(pairs: DataFrame, parts: int) -> DataFrame:
-    """Names of the windows of stretches: (part, settled, name, name2, doc_id, low)."""
+    """Names of the windows of stretches: (part, settled, name, name2, doc_id, low, row)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,49 +251,55 @@ def _third(pairs: DataFrame, parts: int) -> DataFrame:
                 inside = place + LENGTH <= offsets[text + 1]
                 place, text = place[inside], text[inside]
                 names = [Rolling(data, seed).of(place, place + LENGTH) for seed in (1, 2)]
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
+                doc, row = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "row"))
                 start = (place - offsets[text]).astype(np.int32)
-                settled = _later(*names, doc, start)
+                settled = _later(*names, doc, start, row)
                 to = np.where(settled, np.arange(len(doc)) % parts, _part(names[0], parts)).astype(np.int32)
-                columns = [to, settled, *(x.view(np.int64) for x in names), doc, start]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "settled", "name", "name2", "doc_id", "low"])
+                columns = [to, settled, *(x.view(np.int64) for x in names), doc, start, row]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "settled", "name", "name2", "doc_id", "low", "row"])
 
-    return pairs.mapInArrow(windows, "part int, settled boolean, name bigint, name2 bigint, doc_id bigint, low int")
+    return pairs.mapInArrow(windows, "part int, settled boolean, name bigint, name2 bigint, doc_id bigint, low int, row bigint")
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (settled, name, name2, id, place): all but the first of a run."""
+    """Of rows sorted by (settled, name, name2, id, place, row key): all but the first string of a run."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        settled, name, name2, doc, low = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        same = (name[1:] == name[:-1]) & (name2[1:] == name2[:-1])
-        first = last is not None and last == (name[0], name2[0])
-        later = settled | np.concatenate([[first], same])
+        settled, name, name2, doc, low, row = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        same = (name[1:] == name[:-1]) & (name2[1:] == name2[:-1]) & (settled[1:] == settled[:-1])
+        head = _run_heads(np.concatenate([[False], same]))
+        firsts = [key[head] for key in (doc, low, row)]
+        if last is not None and last[:2] == (name[0], name2[0]) and not settled[0]:
+            for key, value in zip(firsts, last[2:]):
+                key[head == 0] = value
+        later = settled | (doc != firsts[0]) | (low != firsts[1]) | (row != firsts[2])
         unsettled = np.flatnonzero(~settled)
         if len(unsettled):
-            last = (name[unsettled[-1]], name2[unsettled[-1]])
-        out = [pa.array(doc[later]), pa.array(low[later]), pa.array(low[later])]
-        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "low", "high"])
+            at = unsettled[-1]
+            last = (name[at], name2[at], *(key[at] for key in firsts))
+        out = [pa.array(doc[later]), pa.array(row[later]), pa.array(low[later]), pa.array(low[later])]
+        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "row", "low", "high"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, low, high: the windows low .. high of a document start a string that starts earlier, too.
+    """doc_id, row, low, high: the windows low .. high of a document start a string that starts earlier, too.
 
-    ``docs`` has doc_id (no nulls) and text.
+    ``docs`` has doc_id (no nulls), text and row, which tells rows of one id apart.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["settled", "rank", "stretch", "doc_id", "low"]
+    order = ["settled", "rank", "stretch", "doc_id", "low", "row"]
     dealt = _sampled(docs, parts).repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
-    judged = dealt.select("settled", "rank", "stretch", "sides", "doc_id", "low", "high")
-    second = materialize(judged.mapInArrow(_second, "doc_id bigint, low int, high int, repeated boolean"), "repeats-second")
-    onward = second.where("NOT repeated").groupBy("doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    pairs = onward.join(_packed(docs), "doc_id")
+    judged = dealt.select("settled", "rank", "stretch", "sides", "doc_id", "low", "row", "high")
+    second = materialize(judged.mapInArrow(_second, "doc_id bigint, row bigint, low int, high int, repeated boolean"), "repeats-second")
+    onward = second.where("NOT repeated").groupBy("doc_id", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    pairs = onward.join(_packed(docs), ["doc_id", "row"])
     third = _third(pairs, parts).repartitionById(parts, F.col("part"))
-    third = third.sortWithinPartitions("settled", "name", "name2", "doc_id", "low").select("settled", "name", "name2", "doc_id", "low")
-    found = third.mapInArrow(_later_windows, "doc_id bigint, low int, high int")
-    return second.where("repeated").select("doc_id", "low", "high").unionByName(found)
+    third = third.sortWithinPartitions("settled", "name", "name2", "doc_id", "low", "row")
+    third = third.select("settled", "name", "name2", "doc_id", "low", "row")
+    found = third.mapInArrow(_later_windows, "doc_id bigint, row bigint, low int, high int")
+    return second.where("repeated").select("doc_id", "row", "low", "high").unionByName(found)
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -282,20 +308,22 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for each row; ``kept`` are the bytes left.
 
-    Texts are UTF-8 bytes; a null text is empty. Null ids come first and count as one document, as do
-    rows that share an id: a string at the same place of one of them isn't earlier, and each row loses
-    what any of them loses. Other columns are left out. An empty table gives no rows.
+    Texts are UTF-8 bytes; a null text is empty. Null ids come first. Of rows that share an id,
+    the string at the lower place is earlier, at equal places that of the lower hash of the text; of
+    equal rows one is first. Each row loses what it repeats itself. Other columns are left out. An empty table gives no rows.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id")
-    rows = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = repeated_windows(rows).groupBy("doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    rows = with_row_key(docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    found = repeated_windows(rows).groupBy("doc_id", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, packed, lows, highs in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, packed, twin, lows, highs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "twin", "lows", "highs"))):
                 text = _unpack(packed)
                 data = np.frombuffer(text, np.uint8)
+                if twin and len(data) >= LENGTH:
+                    lows, highs = [0], [len(data) - LENGTH]
                 change = np.zeros(len(data) + 1, np.int32)
                 if lows:
                     low = np.minimum(np.array(lows, np.int64), len(data))
@@ -312,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    joined = _packed(rows).join(found, "doc_id", "left")
+    joined = numbered_twins(_packed(rows)).join(found, ["doc_id", "row"], "left")
     return joined.mapInArrow(cut, SCHEMA)
 
 
