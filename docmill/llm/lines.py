@@ -1,8 +1,7 @@
 """Line dedup by MinHash: fuzzy copies of a line go, wherever they stand; the first one stays.
 
 A line's set holds its distinct shingles of ``SHINGLE`` characters. Its signature takes, for each of
-``ROTATIONS`` random values, the first hash of the set at or after it (a minimal hash under a rotation
-of the hash values). Bands of ``BAND`` of them are keys; lines that share a key are candidates, which
+``HASHES`` hash functions, the least value of the set. Bands of ``BAND`` of them are keys; lines that share a key are candidates, which
 the Jaccard similarity of the full sets confirms. Union-find makes components, of which one line is
 kept. Equal lines meet by a key of their own.
 """
@@ -24,15 +23,17 @@ from docmill.llm.near import linked_across
 from docmill.llm.repeats import _packed, _unpack
 
 SHINGLE = 10
-#: 8 bands of 3: lines at similarity 0.8 share none with probability 0.003, at 0.9 with 0.00003.
-BAND, BANDS, ROTATIONS = 3, 8, 32
-#: Of the 32 two-bit values of a sketch, two lines at 0.8 differ in 4.8, deviation 2.0; more are rare.
-SKETCH_DIFFERENCE = 12
+#: 14 bands of 2: lines at similarity 0.8 share none with probability 0.36 ** 14 = 6.1e-7.
+BAND, BANDS, HASHES = 2, 14, 28
+#: Of the 28 two-bit values of a sketch, two lines at 0.8 differ in 4.2, deviation 1.9; in more than
+#: this with probability 4e-8.
+SKETCH_DIFFERENCE = 16
+#: Sets so small are linked only with equal ones, from 80 percent on; one band finds these.
+ONE_BAND = 3
 #: Bytes of text that are taken apart at a time; small arrays stay in the processor's cache.
 SLICE = 1 << 20
 _SHIFT = np.uint64(40)
-_AT = np.sort(random_words(ROTATIONS, 5) >> np.uint64(24))
-_MIXED = np.random.default_rng(5).permutation(ROTATIONS)
+_TIMES = random_words(HASHES, 5) | np.uint64(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,16 +97,21 @@ def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     line = chosen.astype(np.uint64) << _SHIFT
     first = np.searchsorted(keys, line)
     end = np.searchsorted(keys, (chosen.astype(np.uint64) + np.uint64(1)) << _SHIFT)
-    at = np.searchsorted(keys, line[:, None] | _AT)
-    at = np.where(at < end[:, None], at, first[:, None])
-    picks = mix64((keys[at] & np.uint64((1 << 40) - 1)) + _AT)[:, _MIXED]
+    size = end - first
+    begin = np.cumsum(size) - size
+    own = keys[np.repeat(first - begin, size) + np.arange(size.sum())] & np.uint64((1 << 40) - 1)
+    picks = np.empty((len(chosen), HASHES), np.uint64)
+    for i in range(HASHES if len(chosen) else 0):
+        values = own * _TIMES[i]
+        picks[:, i] = np.minimum.reduceat(values ^ values >> np.uint64(29), begin)
+    picks = mix64(picks)
     sketch = np.zeros(len(chosen), np.uint64)
-    for i in range(ROTATIONS):
+    for i in range(HASHES):
         sketch |= (picks[:, i] & np.uint64(3)) << np.uint64(2 * i)
     bands = np.full((len(chosen), BANDS), _C)
     for i in range(BAND):
         bands = mix64(bands * _C + picks[:, i * BANDS : (i + 1) * BANDS])
-    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int64), (end - first).astype(np.int32)
+    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int64), size.astype(np.int32)
 
 
 ROWS = "key bigint, hash bigint, doc_id bigint, line int, row bigint, size int, sketch bigint"
@@ -126,10 +132,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
             new = np.concatenate([[True], lines.hash[order][1:] != lines.hash[order][:-1]])[: len(order)]
             chosen = np.sort(order[new])
             bands, sketch, size = signatures(lines, chosen)
-            at = np.concatenate([np.arange(len(doc)), np.repeat(chosen, BANDS)])
-            key = np.concatenate([lines.hash & ~np.uint64(1), bands.ravel() | np.uint64(1)])
+            made = np.where(size > ONE_BAND, BANDS, 1)
+            at = np.concatenate([np.arange(len(doc)), np.repeat(chosen, made)])
+            bands = bands[np.arange(BANDS) < made[:, None]]
+            key = np.concatenate([lines.hash & ~np.uint64(1), bands | np.uint64(1)])
             columns = [key.view(np.int64), lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32), row[at]]
-            columns += [np.concatenate([np.zeros(len(doc), x.dtype), np.repeat(x, BANDS)]) for x in (size, sketch)]
+            columns += [np.concatenate([np.zeros(len(doc), x.dtype), np.repeat(x, made)]) for x in (size, sketch)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
 
     return docs.mapInArrow(compute, ROWS)
