@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = where.get() if where.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="docmill-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -59,6 +63,42 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What ``frugal`` calls at the end of a partition, beside giving memory back.
+_at_end: list[Callable[[], None]] = []
+
+
+def at_partition_end(drop: Callable[[], None]) -> Callable[[], None]:
+    """Register ``drop``, which empties a cache of a Python worker."""
+    _at_end.append(drop)
+    return drop
+
+
+def _give_back() -> None:
+    for drop in _at_end:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a partition, after which the worker gives its memory back.
+
+    Spark uses a Python worker for one task after another, of all stages of a session.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 #: Rows of a batch that goes to a Python worker; whole texts can be long.
 BATCH_ROWS = 2500
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, mix64, table, text_slices
+from docmill.llm.common import frugal, materialize, mix64, table, text_slices
 
 #: Order of the models; 16 bits of each character go into an n-gram of 64 bits.
 ORDER = 4
@@ -118,7 +118,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                 held = {}
         yield from _counted(held, merged)
 
-    return rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(frugal(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _counted(held: dict, merged) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def _calibrate(spark: SparkSession, rows: DataFrame, model: Model) -> None:
             values = entropies[np.arange(len(at)), at]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(values), pa.array(counts)], names=["lang", "h", "n"])
 
-    fitted = sample.mapInArrow(own, "lang string, h double, n bigint").where("n > 0").groupBy("lang")
+    fitted = sample.mapInArrow(frugal(own), "lang string, h double, n bigint").where("n > 0").groupBy("lang")
     found = {r["lang"]: r for r in fitted.agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("d")).collect()}
     model.mean = np.array([found[x]["m"] if x in found else -FLOOR for x in model.langs])
     model.deviation = np.array([max(found[x]["d"], 0.02) if x in found else 1.0 for x in model.langs])
@@ -299,9 +299,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield batch.filter(pa.array(~judged(batch.column(text_at))[3]))
 
     if keep:
-        return docs.mapInArrow(kept, docs.schema)
+        return docs.mapInArrow(frugal(kept), docs.schema)
     chosen = docs.select(F.col(id_at).cast("long").alias("doc_id"), F.col(text_at).alias("text"))
-    return chosen.mapInArrow(label, SCHEMA)
+    return chosen.mapInArrow(frugal(label), SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:

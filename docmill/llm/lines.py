@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import LEAST_ID, materialize, mix64, numbered_twins, random_words, table, text_slices, with_row_key
+from docmill.llm.common import LEAST_ID, at_partition_end, frugal, materialize, mix64, numbered_twins, random_words, table, text_slices, with_row_key
 from docmill.llm.components import connected_components
 from docmill.llm.near import linked_across
 from docmill.llm.repeats import _packed, _unpack
@@ -53,6 +53,11 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+@at_partition_end
+def _drop_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 class Lines:
     """The lines of texts that aren't blank: text, number in it, hash, and hashes of their shingles.
 
@@ -140,7 +145,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             columns += [np.concatenate([np.zeros(len(doc), x.dtype), np.repeat(x, made)]) for x in (size, sketch)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
 
-    return docs.mapInArrow(compute, ROWS)
+    return docs.mapInArrow(frugal(compute), ROWS)
 
 
 #: Rows of one key that are compared with each other; of a longer run all rows go on.
@@ -237,7 +242,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(coarse, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "coarse"])
 
-    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(compute, "hash bigint, value string, coarse binary")
+    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), "hash bigint, value string, coarse binary")
 
 
 def _sets(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +275,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep = 100 * shared >= percent * (counts[0] + counts[1] - shared)
                 yield part.select(["u", "v"]).filter(pa.array(keep))
 
-    return both.mapInArrow(confirm, "u bigint, v bigint")
+    return both.mapInArrow(frugal(confirm), "u bigint, v bigint")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -281,7 +286,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = (F.shiftrightunsigned("key", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
     dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("key", "hash", "doc_id", "line", "row")
-    runs = materialize(dealt.mapInArrow(_shared(percent), f"{ROWS}, lead bigint"), "lines-runs")
+    runs = materialize(dealt.mapInArrow(frugal(_shared(percent)), f"{ROWS}, lead bigint"), "lines-runs")
     bands = runs.where("key & 1 = 1")
     wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at")).select("hash", "at.doc_id", "at.line", "at.row")
     texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
@@ -343,7 +348,7 @@ def deduplicate_lines(
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name) for f in carried)], names=names)
 
     schema = T.StructType([*T._parse_datatype_string(SCHEMA).fields, *carried])
-    return numbered_twins(_packed(rows)).join(later, ["doc_id", "row"], "left").mapInArrow(cut, schema)
+    return numbered_twins(_packed(rows)).join(later, ["doc_id", "row"], "left").mapInArrow(frugal(cut), schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,18 +74,20 @@ def mix_sources(
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rated = own.join(rates, F.col("__source").eqNullSafe(F.col("__rated")))
-    draw = lambda j: F.size(F.filter(F.col("__sums"), lambda s: s <= unit_hash(seed, F.col("__id"), j)))
+    # a number for each step, bound before it is compared with the sums
+    drawn = F.transform(F.sequence(F.lit(1), F.col("__steps")), lambda j: unit_hash(seed, F.col("__id"), j))
     one = F.array_position(F.transform(F.col("__sums"), lambda s: s > F.col("__u")), True) - 1
-    rated = rated.withColumn("__u", unit_hash(seed, F.col("__id"), F.lit(1)))
+    rated = rated.withColumn("__u", unit_hash(seed, F.col("__id"), F.lit(1))).withColumn("__us", F.when(F.col("__steps") > 1, drawn))
     one = F.when(one >= 0, one).otherwise(F.size("__sums")).cast("int")
-    more = F.aggregate(F.sequence(F.lit(1), F.col("__steps")), F.lit(0), lambda acc, j: acc + draw(j))
+    more = F.aggregate("__us", F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("__sums"), lambda s: s <= u)))
     count = F.when(F.col("__steps") == 1, one).otherwise(more)
     copies = rated.withColumn("__count", count).where("__count > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
     copies = copies.withColumn("shuffle_key", unit_hash(seed, F.lit("order"), F.col("__id"), F.col("copy")))
     copies = copies.select(*[c for c in docs.columns if c not in ("copy", "shuffle_key")], "copy", "shuffle_key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    # the key is uniform in [0, 1), so its ranges need no sample
+    return copies.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", "copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, mix64, random_words, table, text_slices, utf8_buffers
+from docmill.llm.common import frugal, materialize, mix64, random_words, table, text_slices, utf8_buffers
 from docmill.llm.components import connected_components
 from docmill.llm.repeats import Rolling
 
@@ -124,7 +124,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             out = [batch.column("doc_id"), longs[0], longs[1], pa.array(sizes.astype(np.int32)), *lists, longs[2], longs[3]]
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in FEATURES.split(", ")])
 
-    return docs.mapInArrow(compute, FEATURES)
+    return docs.mapInArrow(frugal(compute), FEATURES)
 
 
 def _sorted_trees(classes: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _sorted_trees(classes: DataFrame, percent: int) -> DataFrame:
         yield from out.combine_chunks().to_batches()
 
     schema = "rep bigint, n int, sketch_a bigint, sketch_b bigint, tree int, key bigint, ord bigint, next bigint"
-    return dealt.mapInArrow(neighbours, schema)
+    return dealt.mapInArrow(frugal(neighbours), schema)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(coarse, pa.binary()), pa.array(items, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "coarse", "items"])
 
-    return docs.mapInArrow(compute, "doc_id bigint, coarse binary, items binary")
+    return docs.mapInArrow(frugal(compute), "doc_id bigint, coarse binary, items binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, column: str, kind: str, percent: int) -> DataFrame:
@@ -205,7 +205,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, column: str, kind: str, percent:
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(confirm, "u bigint, v bigint")
+    return both.mapInArrow(frugal(confirm), "u bigint, v bigint")
 
 
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +311,7 @@ def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     held = mixed.select("region", "rep", "component").join(sets.select(F.col("doc_id").alias("rep"), "coarse"), "rep")
     part = (F.shiftrightunsigned("region", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
     dealt = held.repartitionById(parts, part).sortWithinPartitions("region").select("region", "rep", "component", "coarse")
-    return dealt.mapInArrow(_search_regions(percent), "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(frugal(_search_regions(percent)), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(

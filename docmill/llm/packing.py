@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import SLICE_BYTES, table, text_slices
+from docmill.llm.common import SLICE_BYTES, frugal, table, text_slices
 from docmill.llm.tokens import encoder
 
 #: Pieces of words that a worker keeps; other stages of a pipeline share its memory.
@@ -74,7 +74,7 @@ def pack_documents(
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return (
-        chosen.mapInArrow(pieces, SCHEMA)
+        chosen.mapInArrow(frugal(pieces), SCHEMA)
         .withColumn("bucket", F.col("length"))
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))

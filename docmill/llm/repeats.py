@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import LEAST_ID, materialize, mix64, numbered_twins, random_words, table, text_slices, utf8_buffers, with_row_key
+from docmill.llm.common import LEAST_ID, at_partition_end, frugal, materialize, mix64, numbered_twins, random_words, table, text_slices, utf8_buffers, with_row_key
 
 LENGTH, FIRST, SIDE = 100, 25, 37
 #: Bytes that are hashed at a time; each takes some 100 bytes meanwhile.
@@ -61,6 +61,9 @@ class Rolling:
         return mix64((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
 
 
+at_partition_end(Rolling._powers.clear)
+
+
 def samples(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """For each sampled position of each text: text, place, first and last window, and ranks.
 
@@ -107,8 +110,8 @@ def samples(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _part(ranks: np.ndarray, parts: int) -> np.ndarray:
-    """Deal by the rank's leading bits."""
-    return ((ranks >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
+    """Deal by the mixed rank: a sample is the least of many hashes, so its own leading bits are near zero."""
+    return ((mix64(ranks) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
 
 
 def _run_heads(same: np.ndarray) -> np.ndarray:
@@ -149,7 +152,7 @@ def _sampled(docs: DataFrame, parts: int) -> DataFrame:
             columns = [part, settled, *longs, doc, found["low"].astype(np.int32), row, found["high"].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SAMPLE_SCHEMA.split(", ")])
 
-    return docs.mapInArrow(sample, SAMPLE_SCHEMA)
+    return docs.mapInArrow(frugal(sample), SAMPLE_SCHEMA)
 
 
 #: Rows of one first rank that are looked at together for the second; beyond it all go on to the third.
@@ -225,7 +228,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "packed", *(f.name for f in others)])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType()), *others])
-    return docs.mapInArrow(pack, schema)
+    return docs.mapInArrow(frugal(pack), schema)
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -258,7 +261,7 @@ def _third(pairs: DataFrame, parts: int) -> DataFrame:
                 columns = [to, settled, *(x.view(np.int64) for x in names), doc, start, row]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "settled", "name", "name2", "doc_id", "low", "row"])
 
-    return pairs.mapInArrow(windows, "part int, settled boolean, name bigint, name2 bigint, doc_id bigint, low int, row bigint")
+    return pairs.mapInArrow(frugal(windows), "part int, settled boolean, name bigint, name2 bigint, doc_id bigint, low int, row bigint")
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +295,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     order = ["settled", "rank", "stretch", "doc_id", "low", "row"]
     dealt = _sampled(docs, parts).repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
     judged = dealt.select("settled", "rank", "stretch", "sides", "doc_id", "low", "row", "high")
-    second = materialize(judged.mapInArrow(_second, "doc_id bigint, row bigint, low int, high int, repeated boolean"), "repeats-second")
+    second = materialize(judged.mapInArrow(frugal(_second), "doc_id bigint, row bigint, low int, high int, repeated boolean"), "repeats-second")
     onward = second.where("NOT repeated").groupBy("doc_id", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     pairs = onward.join(_packed(docs), ["doc_id", "row"])
     third = _third(pairs, parts).repartitionById(parts, F.col("part"))
     third = third.sortWithinPartitions("settled", "name", "name2", "doc_id", "low", "row")
     third = third.select("settled", "name", "name2", "doc_id", "low", "row")
-    found = third.mapInArrow(_later_windows, "doc_id bigint, row bigint, low int, high int")
+    found = third.mapInArrow(frugal(_later_windows), "doc_id bigint, row bigint, low int, high int")
     return second.where("repeated").select("doc_id", "row", "low", "high").unionByName(found)
 
 
@@ -341,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     joined = numbered_twins(_packed(rows)).join(found, ["doc_id", "row"], "left")
-    return joined.mapInArrow(cut, SCHEMA)
+    return joined.mapInArrow(frugal(cut), SCHEMA)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import SLICE_BYTES, deal_by_id, shared_path, table, text_slices
+from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, shared_path, table, text_slices
 from docmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, token_ids array<int>"
@@ -71,7 +71,7 @@ def encode_documents(
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = deal_by_id(chosen, n).sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(encode, SCHEMA)
+    return ordered.mapInArrow(frugal(encode), SCHEMA)
 
 
 def write_tokens(encoded: DataFrame, path: str) -> None:
@@ -107,7 +107,7 @@ def digest(tokens: DataFrame) -> DataFrame:
                 [*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
             )
 
-    return tokens.mapInArrow(crc, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return tokens.mapInArrow(frugal(crc), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,25 @@
 
 A text is cut where a word can end whatever follows, each different piece is encoded once by the
 ``tokenizers`` library, and the ids of the pieces are gathered. The ids are those that the library
-gives for the whole text. A bounded number of pieces is kept by each Python worker.
+gives for the whole text, as it is set up in its file: the string of a special token is that token. A
+bounded number of bytes of pieces and ids is kept by each Python worker.
 """
 
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from docmill.llm.common import utf8_buffers
+from docmill.llm.common import at_partition_end, utf8_buffers
 
-#: Pieces whose ids a worker keeps. A piece takes some 200 bytes.
-KEPT_PIECES = 600_000
+#: Bytes of pieces and their ids that a worker keeps; a piece takes some 180 bytes beside its text.
+KEPT_BYTES, PIECE_BYTES = 48 << 20, 180
+#: Longest piece that is kept; scripts without spaces make whole lines into pieces.
+KEPT_LENGTH = 64
 
 #: Two white-space characters in a row, for which a cut before a space isn't safe.
 _WIDE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|[\x00\x01]"
@@ -45,16 +48,18 @@ class PieceEncoder:
     """Encodes batches of texts. ``spaced``: white space counts (byte-level BPE), else it is dropped.
 
     Ids of pieces lie in one array. ``where`` has each kept piece's number, ``begin`` and ``size`` its
-    ids by number. Pieces beyond ``most`` are forgotten after their batch.
+    ids by number. What is beyond ``most`` bytes is forgotten after its batch, and so are the ids of
+    texts that are encoded as they are.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = KEPT_PIECES):
+    def __init__(self, path: str, spaced: bool, most: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.most = spaced, most
+        self.spaced, self.most, self.kept = spaced, most, 0
+        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = "|".join(re.escape(t) for t in special if t)  # a text that holds one goes whole
         vocabulary = self.tokenizer.get_vocab()
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin, or end, a word
         for token, i in vocabulary.items():
@@ -112,8 +117,8 @@ class PieceEncoder:
             numbers.update(zip(part, range(first, first + len(part))))
         return numbers
 
-    def _numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each piece the number of its core, and that of the mark at its end or -1.
+    def _numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Of each piece the number of its core, and that of the mark at its end or -1; new cores.
 
         A mark after a letter or digit is a word of its own.
         """
@@ -124,32 +129,46 @@ class PieceEncoder:
         if not self.spaced:
             cores = [c.lower() if c.isascii() else c for c in cores]
         where = self.where
-        room, new = self.most - len(where), self._learn(list(set(cores) - where.keys()))
+        new = self._learn(list(set(cores) - where.keys()))
         where.update(new)
         found = np.fromiter(map(where.__getitem__, cores), np.int64, len(cores))
-        for piece in list(new)[max(room, 0) :]:
-            del where[piece]
-        return found, marks
+        return found, marks, new
+
+    def _forget(self, new: dict[str, int], count: int, used: int) -> None:
+        """Keep the batch's new pieces if there is room for all of them, else none of it."""
+        for piece in [p for p in new if len(p) > KEPT_LENGTH]:
+            del new[piece], self.where[piece]
+        grown = self.kept + sum(map(len, new)) + PIECE_BYTES * len(new)
+        if grown <= self.most:
+            end = max(new.values(), default=count - 1) + 1
+            self.kept, self.count, self.used = grown, end, int(self.begin[end - 1] + self.size[end - 1])
+        else:
+            for piece in new:
+                del self.where[piece]
+            self.count, self.used = count, used
+        if len(self.ids) > 4 * max(self.used, 1 << 16):  # a wide batch stretched the arrays
+            self.ids = self.ids[: max(self.used, 1 << 16)].copy()
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text closed by ``end_id``, and the offset of each text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        wide = np.zeros(len(texts), bool)
+        if self.special:
+            wide = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
         if self.spaced:
-            wide = _has_wide_space(texts)
+            wide = wide | _has_wide_space(texts)
             cut = pc.replace_substring(texts, "\n", " \x00")
             cut = pc.binary_join_element_wise(pa.scalar("\x01", pa.large_string()), cut, pa.scalar("", pa.large_string()))
-            if wide.any():  # those are encoded as they are
-                cut = pc.if_else(pa.array(wide), pa.scalar("\x01", pa.large_string()), cut)
         else:
-            wide = np.zeros(len(texts), bool)
             cut = pc.replace_substring(texts, "\n", " ")
+        if wide.any():  # those are encoded as they are
+            cut = pc.if_else(pa.array(wide), pa.scalar("\x01" if self.spaced else "", pa.large_string()), cut)
         words = pc.split_pattern(cut, " ")
         offsets = words.offsets.to_numpy().astype(np.int64)
         flat = pc.dictionary_encode(words.flatten())
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        full = len(self.where) >= self.most
         count, used = self.count, self.used
-        cores, marks = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
+        cores, marks, new = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         whole = np.flatnonzero(wide)
         cores = np.concatenate([cores, [self._add([np.array([end_id], np.uint32)])]])
         if len(whole):
@@ -163,8 +182,7 @@ class PieceEncoder:
         ids = self.ids[_ranges(self.begin[numbers], sizes)]  # of each different piece
         sizes = sizes[::2] + sizes[1::2]
         begin = np.cumsum(sizes) - sizes
-        if full:  # nothing of this batch was kept
-            self.count, self.used = count, used
+        self._forget(new, count, used)
         end = len(flat.dictionary)
         parts, ends = [], [np.zeros(1, np.int64)]
         for at in range(0, len(texts), _ROWS):  # small arrays stay in the processor's cache
@@ -189,7 +207,17 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return places
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool, most: int = KEPT_PIECES) -> PieceEncoder:
-    """One encoder for each Python worker and vocabulary."""
-    return PieceEncoder(path, spaced, most)
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> PieceEncoder:
+    """The encoder of a Python worker: one at a time, dropped by another vocabulary or ``drop_encoders``."""
+    if (path, spaced) not in _encoders:
+        _encoders.clear()
+        _encoders[path, spaced] = PieceEncoder(path, spaced)
+    return _encoders[path, spaced]
+
+
+@at_partition_end
+def drop_encoders() -> None:
+    _encoders.clear()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table
+from docmill.llm.common import frugal, table
 
 #: Rows of a block, and its components at most.
 BLOCK_ROWS = 1024
@@ -116,13 +116,13 @@ def top_k(
     spark = vectors.sparkSession
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = integer_vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("x").alias("x"))
-    asked = asked.mapInArrow(_blocks, BLOCK_SCHEMA).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "terms", "weights")])
+    asked = asked.mapInArrow(frugal(_blocks), BLOCK_SCHEMA).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "terms", "weights")])
     asked = asked.withColumn("query_block", F.monotonically_increasing_id())
     asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    blocks = integer_vectors(vectors, id_col, vector_col, scale).mapInArrow(_blocks, BLOCK_SCHEMA)
+    blocks = integer_vectors(vectors, id_col, vector_col, scale).mapInArrow(frugal(_blocks), BLOCK_SCHEMA)
     blocks = blocks.withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int"))
     pairs = blocks.join(asked, "slot").sortWithinPartitions("query_block")
-    found = pairs.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    found = pairs.mapInPandas(frugal(_search(k)), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -18,6 +18,7 @@ from docmill import llm
 from docmill.llm import components, fingerprints, language, lines, mixing, near, packing, private, repeats, token_files, topk
 
 ODD = [None, "", " ", "a", "  a  b\n\n c ", "it's. he'll, 3.5 a..", "é́a b", "x" * 3000, "word " * 900, "ẞ. İ, Σ.", "1.2.3.4 +1 (234) 555-0199 a@b.co"]
+ODD += ["a<|endoftext|>b c", "<|endoftext|>", "x  <|startoftext|> <|ENDOFTEXT|>\n"]
 
 
 def table(spark, texts, extra=True):
@@ -49,7 +50,6 @@ def texts(n=60, seed=1):
 
 def ids_of(name, texts_, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [x.ids + [end] for x in tokenizer.encode_batch([t or "" for t in texts_], add_special_tokens=False)]
 
 
