@@ -139,6 +139,17 @@ def numbered_twins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("row")) - 1)
 
 
+#: Bytes of input, as Spark estimates them, for a partition of a shuffle of texts.
+PART_BYTES = 64 << 20
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions for a shuffle that moves ``df``: by its size, and no fewer than the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if held > 1 << 60 else max(least, -(-held // PART_BYTES))  # Spark doesn't know the size of an RDD
+
+
 def id_buckets(docs: DataFrame, buckets: int) -> Column:
     """A column that numbers ranges of the key column ``doc_id``, about evenly; nulls come first.
 
@@ -149,6 +160,11 @@ def id_buckets(docs: DataFrame, buckets: int) -> Column:
     bounds = docs.select(F.percentile_approx(key, shares, 100 * buckets)).first()[0]
     bounds = np.unique(np.array(bounds or [], np.int64))[: buckets - 1]
 
+    # numbers of equal ranges: a binary search in a literal array
+    edges = F.array(*[F.lit(int(b)) for b in bounds]) if len(bounds) <= 64 else None
+    if edges is not None:
+        return F.size(F.filter(edges, lambda b: b < key)).cast("int")
+
     @F.pandas_udf("int")
     def bucket_of(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left"))

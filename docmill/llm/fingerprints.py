@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import LEAST_ID, frugal, id_buckets, mix64, random_words, table
+from docmill.llm.common import LEAST_ID, frugal, id_buckets, mix64, parts_for, random_words, table
 
 #: Characters of a k-mer, signatures of a fingerprint, k-mers of a tuple.
 KMER, SIGNATURES, TUPLE = 8, 128, 2
@@ -131,7 +131,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(docs)
     return with_next(docs, n, id_col, text_col).mapInArrow(frugal(compare), SCHEMA)
 
 

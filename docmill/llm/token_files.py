@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, shared_path, table, text_slices
+from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, parts_for, shared_path, table, text_slices
 from docmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, token_ids array<int>"
@@ -69,7 +69,7 @@ def encode_documents(
             before += int(offsets[-1])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(chosen)
     ordered = deal_by_id(chosen, n).sortWithinPartitions("doc_id")
     return ordered.mapInArrow(frugal(encode), SCHEMA)
 

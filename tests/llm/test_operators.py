@@ -65,7 +65,12 @@ def test_packing(spark):
     for r in found:
         assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0
         pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
-    assert len({r.sequence_id for r in found}) == len(found)
+    assert sorted(r.sequence_id for r in found) == list(range(len(found)))
+    batches = [r.length for r in sorted(found, key=lambda r: r.sequence_id)]
+    assert batches == sorted(batches, reverse=True) and all(r.bucket == r.length for r in found)
+    again = packing.pack_documents(table(spark, given).repartition(7), public_tokenizers.path("word_bpe_49k.json")).collect()
+    where = lambda rows: {(r.doc_id, r.start, r.sequence_id) for r in rows}
+    assert where(found) == where(again)
     for i, ids in enumerate(wanted):
         assert sum((p for _, p in sorted(pieces[i])), []) == ids
     assert packing.binary_lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
