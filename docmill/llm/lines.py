@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import LEAST_ID, at_partition_end, frugal, materialize, mix64, numbered_twins, random_words, table, text_slices, with_row_key
+from docmill.llm.common import LEAST_ID, at_partition_end, frugal, materialize, mix64, numbered_twins, parts_for, random_words, table, text_slices, with_row_key
 from docmill.llm.components import connected_components
 from docmill.llm.near import linked_across
-from docmill.llm.repeats import _packed, _unpack
+from docmill.llm.repeats import _packed, _run_heads, _unpack
 
 SHINGLE = 10
 #: 14 bands of 2: lines at similarity 0.8 share none with probability 0.36 ** 14 = 6.1e-7.
@@ -119,13 +119,14 @@ def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int64), size.astype(np.int32)
 
 
-ROWS = "key bigint, hash bigint, doc_id bigint, line int, row bigint, size int, sketch bigint"
+ROWS = "key bigint, settled boolean, hash bigint, doc_id bigint, line int, row bigint, size int, sketch bigint"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows to bring together: each line by its hash, and each different line of a batch by its bands.
+    """Rows to bring together: the first line of each hash in a batch by its hash and by its bands.
 
-    The lowest bit of a key tells a band.
+    The lowest bit of a key tells a band. ``size`` of a row by hash counts the lines of that hash in the
+    batch. The others of these are later ones for certain: they are settled, and meet nobody.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +136,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
             row = batch.column("row").to_numpy(zero_copy_only=False)[lines.text]
             order = np.lexsort((row, lines.number, doc, lines.hash))
             new = np.concatenate([[True], lines.hash[order][1:] != lines.hash[order][:-1]])[: len(order)]
-            chosen = np.sort(order[new])
+            head = order[_run_heads(~new)] if len(order) else order
+            other = (doc[order] != doc[head]) | (lines.number[order] != lines.number[head]) | (row[order] != row[head])
+            settled = order[other]  # equal rows name the same place, which isn't later than itself
+            copies = np.diff(np.append(np.flatnonzero(new), len(order)))
+            by = np.argsort(order[new], kind="stable")
+            chosen, copies = order[new][by], copies[by]
             bands, sketch, size = signatures(lines, chosen)
             made = np.where(size > ONE_BAND, BANDS, 1)
-            at = np.concatenate([np.arange(len(doc)), np.repeat(chosen, made)])
+            at = np.concatenate([settled, chosen, np.repeat(chosen, made)])
             bands = bands[np.arange(BANDS) < made[:, None]]
-            key = np.concatenate([lines.hash & ~np.uint64(1), bands | np.uint64(1)])
-            columns = [key.view(np.int64), lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32), row[at]]
-            columns += [np.concatenate([np.zeros(len(doc), x.dtype), np.repeat(x, made)]) for x in (size, sketch)]
+            key = np.concatenate([lines.hash[settled] & ~np.uint64(1), lines.hash[chosen] & ~np.uint64(1), bands | np.uint64(1)])
+            columns = [key.view(np.int64), np.arange(len(at)) < len(settled), lines.hash[at].view(np.int64), doc[at]]
+            columns += [lines.number[at].astype(np.int32), row[at]]
+            columns += [np.concatenate([np.ones(len(settled), np.int32), copies.astype(np.int32), np.repeat(size, made)])]
+            columns += [np.concatenate([np.zeros(len(settled) + len(chosen), np.int64), np.repeat(sketch, made)])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
 
     return docs.mapInArrow(frugal(compute), ROWS)
@@ -162,12 +170,16 @@ def _possible(size_a, size_b, sketch_a, sketch_b, percent: int) -> np.ndarray:
     return sized & (np.bitwise_count(differ) <= SKETCH_DIFFERENCE)
 
 
+FOUND = "key bigint, hash bigint, doc_id bigint, line int, row bigint, other bigint, long boolean"
+
+
 def _shared(percent: int):
-    """Of rows sorted by (key, hash, id, line, row key) those that may have to do with another of their key.
+    """Of rows sorted by (settled, key, hash, id, line, row key) those that may have to do with another of their key.
 
-    Equal lines meet under a key of their own; all of them go on. Of a band's rows with equal hashes the
-    first stays, and it goes on if another row of the band may be linked with it. ``lead`` is the hash
-    that its run begins with, if it may be linked with that.
+    Equal lines meet under a key of their own; all of them go on, and so do settled ones. Of a band's rows
+    with equal hashes the first stays. In a short run each row meets the others, and those go on that sizes
+    and sketches allow a link with ``other``. All rows of a longer run go on as ``long``; ``other`` is the
+    hash that the run begins with, if it allows a link.
     """
 
     def judge(rows: pa.Table, before: tuple | None, more: bool) -> tuple[list[pa.RecordBatch], tuple | None]:
@@ -185,23 +197,38 @@ def _shared(percent: int):
         run = np.repeat(np.arange(len(begin)), length)
         open_run = np.zeros(len(begin), bool)
         open_run[0], open_run[-1] = goes_on, more or (open_run[-1] if len(begin) > 1 else goes_on)
-        long = ((length > _RUN) | open_run)[run]
-        keep = ((key & 1 == 0) & (length > 1)[run]) | long
+        band = key & 1 == 1
+        long = ((length > _RUN) | open_run)[run] & band
+        first, second = [], []
         for step in range(1, min(_RUN, n)):
-            same = np.flatnonzero((run[step:] == run[:-step]) & ~long[step:] & (key[step:] & 1 == 1))
+            same = np.flatnonzero((run[step:] == run[:-step]) & ~long[step:] & band[step:])
             good = same[_possible(size[same], size[same + step], sketch[same], sketch[same + step], percent)]
-            keep[good] = keep[good + step] = True
+            first.append(good)
+            second.append(good + step)
+        first, second = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (first, second))
         lead_hash, lead_size, lead_sketch = own[begin], size[begin], sketch[begin]
         if goes_on:
             lead_hash[0], lead_size[0], lead_sketch[0] = before[2]
-        led = (key & 1 == 1) & (own != lead_hash[run]) & _possible(size, lead_size[run], sketch, lead_sketch[run], percent)
-        out = rows.append_column("lead", pa.array(lead_hash[run], mask=~led)).filter(pa.array(keep))
+        led = long & (own != lead_hash[run]) & _possible(size, lead_size[run], sketch, lead_sketch[run], percent)
+        equal = ~band & ((length[run] > 1) | open_run[run] | (size > 1))
+        alone = np.setdiff1d(second, first)  # each line of a pair comes once at least
+        at = np.concatenate([np.flatnonzero(equal | long), first, alone])
+        other = np.concatenate([lead_hash[run][equal | long], own[second], own[alone]])
+        named = np.concatenate([led[equal | long], np.ones(len(first), bool), np.zeros(len(alone), bool)])
+        out = rows.select(["key", "hash", "doc_id", "line", "row"]).take(pa.array(at))
+        out = out.append_column("other", pa.array(other, mask=~named)).append_column("long", pa.array(long[at]))
         return out.combine_chunks().to_batches(), (int(key[-1]), int(own[-1]), (lead_hash[-1], lead_size[-1], lead_sketch[-1]))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         before = None
         for batch in batches:
+            settled = batch.column("settled")
+            if pc.any(settled).as_py():
+                sure = batch.filter(settled).select(["key", "hash", "doc_id", "line", "row"])
+                none, short = pa.nulls(sure.num_rows, pa.int64()), pa.array(np.zeros(sure.num_rows, bool))
+                yield pa.RecordBatch.from_arrays([*sure.columns, none, short], names=[*sure.schema.names, "other", "long"])
+                batch = batch.filter(pc.invert(settled))
             here = pa.Table.from_batches([batch])
             rows = here if held is None else pa.concat_tables([held, here])
             if not rows.num_rows:
@@ -222,23 +249,27 @@ def _shared(percent: int):
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, value and coarse set (32 bits of each shingle) of wanted lines (hash, doc_id, line, row)."""
-    by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
+    """hash and value of wanted lines (hash, doc_id, line, row, long), and the coarse set (32 bits of each
+    shingle) of long ones."""
+    by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "hash", "long")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, values = [], []
+            hashes, values, long = [], [], []
             for packed, wanted_lines in zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist()):
                 parts = _unpack(packed).decode("utf-8", "surrogatepass").split("\n")
                 for own in wanted_lines:
                     if own["line"] < len(parts):
                         hashes.append(own["hash"])
                         values.append(parts[own["line"]])
-            coarse = []
-            for at in range(0, len(values), 1000):
-                owner, shingle = _sets(Lines(values[at : at + 1000]))
-                cuts = np.searchsorted(owner, np.arange(1, len(values[at : at + 1000])))
-                coarse += [x.tobytes() for x in np.split((shingle >> np.uint64(32)).astype("<u4"), cuts)]
+                        long.append(own["long"])
+            coarse, those = [None] * len(values), np.flatnonzero(long)
+            for at in range(0, len(those), 1000):
+                part = those[at : at + 1000]
+                owner, shingle = _sets(Lines([values[i] for i in part]))
+                cuts = np.searchsorted(owner, np.arange(1, len(part)))
+                for i, own in zip(part, np.split((shingle >> np.uint64(32)).astype("<u4"), cuts)):
+                    coarse[i] = own.tobytes()
             columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(coarse, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "coarse"])
 
@@ -283,29 +314,31 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     ``docs`` has doc_id (no nulls), text and row, which tells rows of one id apart.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
     part = (F.shiftrightunsigned("key", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
-    dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("key", "hash", "doc_id", "line", "row")
-    runs = materialize(dealt.mapInArrow(frugal(_shared(percent)), f"{ROWS}, lead bigint"), "lines-runs")
+    part = F.when(F.col("settled"), F.pmod(F.hash("doc_id", "line"), F.lit(parts))).otherwise(part)
+    dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("settled", "key", "hash", "doc_id", "line", "row")
+    runs = materialize(dealt.mapInArrow(frugal(_shared(percent)), FOUND), "lines-runs")
     bands = runs.where("key & 1 = 1")
-    wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at")).select("hash", "at.doc_id", "at.line", "at.row")
+    wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"), F.max("long").alias("long"))
+    wanted = wanted.select("hash", "at.doc_id", "at.line", "at.row", "long")
     texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
 
-    star = bands.where("lead IS NOT NULL").select(F.least("hash", "lead").alias("u"), F.greatest("hash", "lead").alias("v")).distinct()
-    links = materialize(_confirmed(star, texts, percent), "lines-links")
+    pairs = bands.where("other IS NOT NULL").select(F.least("hash", "other").alias("u"), F.greatest("hash", "other").alias("v")).distinct()
+    links = materialize(_confirmed(pairs, texts, percent), "lines-links")
     components = materialize(connected_components(links, "lines-components"), "lines-components")
-    labelled = bands.join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
+    # what links there are in long runs beside those with the run's first line
+    labelled = bands.where("long").join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
     labelled = labelled.select(F.col("key").alias("region"), F.col("hash").alias("rep"), F.coalesce("component", "hash").alias("component"))
     second = linked_across(labelled, texts.select(F.col("hash").alias("doc_id"), "coarse"), percent)
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
 
-    places = runs.select("hash", "doc_id", "line", "row").distinct()
-    placed = places.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
-    placed = materialize(placed.select(F.coalesce("component", "hash").alias("component"), "doc_id", "line", "row"), "lines-placed")
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line", "row")).alias("first"))
-    later = placed.join(first, "component").where("first.doc_id <> doc_id OR first.line <> line OR first.row <> row")
-    return later.select("doc_id", "row", "line")
+    # all places but the first one of each component are later; minima by hash, then by component, are small
+    firsts = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"))
+    firsts = firsts.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
+    firsts = firsts.groupBy(F.coalesce("component", "hash")).agg(F.min("at").alias("at")).select("at.*")
+    return runs.select("doc_id", "row", "line").distinct().join(firsts, ["doc_id", "row", "line"], "left_anti")
 
 
 SCHEMA = "doc_id bigint, n_lines bigint, n_removed bigint, text string"

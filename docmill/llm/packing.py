@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, parts_for, shared_path, table, text_slices
+from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, parts_for, shared_path, table, text_slices, tidy_shuffles
 from docmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, part int, place bigint"
@@ -98,7 +98,8 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
     before = conf.get(_WRITERS, None)
     conf.set(_WRITERS, "64")
     try:
-        pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+        with tidy_shuffles(pieces.sparkSession):
+            pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     finally:
         conf.set(_WRITERS, before) if before is not None else conf.unset(_WRITERS)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, parts_for, shared_path, table, text_slices
+from docmill.llm.common import SLICE_BYTES, deal_by_id, frugal, parts_for, shared_path, table, text_slices, tidy_shuffles
 from docmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, token_ids array<int>"
@@ -76,7 +76,8 @@ def encode_documents(
 
 def write_tokens(encoded: DataFrame, path: str) -> None:
     """Write one file for each range, so files and rows ascend by id."""
-    encoded.write.options(**WRITE_OPTIONS).parquet(path)
+    with tidy_shuffles(encoded.sparkSession):
+        encoded.write.options(**WRITE_OPTIONS).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
