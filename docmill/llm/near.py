@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import frugal, materialize, mix64, random_words, table, text_slices, utf8_buffers
+from docmill.llm.common import frugal, materialize, mix64, parts_for, random_words, table, text_slices, utf8_buffers
 from docmill.llm.components import connected_components
 from docmill.llm.repeats import Rolling
 
@@ -31,7 +31,9 @@ DEPTH, ORDER = 3, 4
 #: Classes of a region of depth 3 up to which it isn't made deeper.
 SMALL_REGION = 16
 #: Classes of a region, about, that are searched in one task.
-BLOCK = 3000
+BLOCK = 1500
+#: Copies of a class's name, between which the class's documents are dealt.
+_SALTS = 8
 #: Bits of the sketch that two sets at 0.8 never differ in: 12.8 of 128 are expected, 3.4 the deviation.
 SKETCH_DIFFERENCE = 32
 
@@ -132,7 +134,7 @@ def _sorted_trees(classes: DataFrame, percent: int) -> DataFrame:
 
     ``next`` is the class that follows in the region, if sizes and sketches allow a link.
     """
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(classes)
     trees = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), "keys", "orders"))
     rows = classes.select("rep", "n", "sketch_a", "sketch_b", trees.alias("t")).select(
         "rep", "n", "sketch_a", "sketch_b", F.col("t.tree").alias("tree"), F.col("t.keys").alias("key"), F.col("t.orders").alias("ord")
@@ -301,13 +303,27 @@ def labelled(rows: DataFrame, stars: DataFrame | None, column: str, label: str)
 
 def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate links (u, v) between members (region, rep, component) of one region in different
-    components, by their coarse sets (doc_id, coarse). Of a very large region each two blocks meet."""
+    components, by their coarse sets (doc_id, coarse).
+
+    Of a very large region, blocks of what isn't in its largest component meet blocks of all members,
+    so members of the largest component are copied once for each block of the others only.
+    """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = sizes.where("low <> high").select("region", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    held = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = held.groupBy("region").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")
+    )
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    sizes = sizes.where("components > 1").select(
+        "region", F.col("top.component").alias("top"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("top.n")).alias("rows")
+    )
     mixed = members.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    mixed = mixed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.withColumn("region", F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with")))
+    mixed = mixed.withColumn("row", F.when(F.col("component") != F.col("top"), F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int")))
+    cell = lambda row, block: F.struct(row.alias("row"), block.alias("block"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: cell(i, F.col("own")))
+    across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: cell(F.col("row"), i))
+    cells = F.when(F.col("row").isNull(), cells).otherwise(F.array_union(cells, across))
+    mixed = mixed.withColumn("cell", F.explode(cells)).withColumn("region", F.xxhash64("region", "cell.row", "cell.block"))
     held = mixed.select("region", "rep", "component").join(sets.select(F.col("doc_id").alias("rep"), "coarse"), "rep")
     part = (F.shiftrightunsigned("region", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
     dealt = held.repartitionById(parts, part).sortWithinPartitions("region").select("region", "rep", "component", "coarse")
@@ -331,7 +347,8 @@ def near_duplicates(
     found = materialize(features(rows, words), "near-features")
     linked = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    stands = linked.join(classes, ["set_a", "set_b"]).where("doc_id = rep")
+    # by the id of the class's document, not by its set, which very many copies may share
+    stands = linked.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).withColumn("rep", F.col("doc_id"))
     stands = materialize(stands.select("rep", "n", "keys", "orders", "sketch_a", "sketch_b").dropDuplicates(["rep"]), "near-classes")
     regions = materialize(_sorted_trees(stands, percent), "near-regions")
     company = regions.select(F.col("rep").alias("doc_id")).distinct()
@@ -339,7 +356,9 @@ def near_duplicates(
     sets = materialize(_sets(texts, words).dropDuplicates(["doc_id"]), "near-sets", compression="none")
 
     # rows of one id in two classes are one document, so both of its classes are
-    same = linked.join(classes, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    several = linked.groupBy("doc_id").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).where("low <> high")
+    same = linked.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, ["set_a", "set_b"]).where("doc_id <> rep")
+    same = same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     components = join_components(None, same.join(stands.select(F.col("rep").alias("u")), "u", "left_semi"))
     done = 0
     for until in ROUNDS:
@@ -356,10 +375,16 @@ def near_duplicates(
     left = linked_across(mixed.select(deeper.alias("region"), "rep", "component"), sets, percent)
     components = join_components(components, confirm_pairs(materialize(left, "near-left"), sets, percent))
 
-    named = labelled(classes, components, "rep", "component_id").select("set_a", "set_b", "component_id")
+    # documents that stand for their class, or belong to none, know their name; copies are dealt by salt
     sizes = found.select("doc_id", "set_a", "set_b", F.col("n").cast("long").alias("n_shingles"))
-    out = sizes.join(named, ["set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    held = linked.groupBy("set_a", "set_b").agg(F.count(F.lit(1)).alias("copies"))
+    named = labelled(classes, components, "rep", "component_id").join(held, ["set_a", "set_b"])
+    named = named.where("copies > 1 OR component_id <> rep").select("set_a", "set_b", "component_id")
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(1))  # null meets nothing
+    out = sizes.withColumn("salt", F.when(own.isNotNull(), salt).otherwise(-1 - salt)).join(named, ["set_a", "set_b", "salt"], "left")
+    component = F.when(own.isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
