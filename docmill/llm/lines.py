@@ -25,9 +25,9 @@ from docmill.llm.repeats import _packed, _run_heads, _unpack
 SHINGLE = 10
 #: 14 bands of 2: lines at similarity 0.8 share none with probability 0.36 ** 14 = 6.1e-7.
 BAND, BANDS, HASHES = 2, 14, 28
-#: Of the 28 two-bit values of a sketch, two lines at 0.8 differ in 4.2, deviation 1.9; in more than
-#: this with probability 4e-8.
-SKETCH_DIFFERENCE = 16
+#: Of the 28 four-bit values of a sketch, two lines at 0.8 differ in 5.3, deviation 2.1; in more than
+#: this with probability 3e-8.
+SKETCH_DIFFERENCE = 18
 #: Sets so small are linked only with equal ones, from 80 percent on; one band finds these.
 ONE_BAND = 3
 #: Bytes of text that are taken apart at a time; small arrays stay in the processor's cache.
@@ -64,7 +64,7 @@ class Lines:
     ``owner`` is the line of each shingle; the shingles of short lines come last.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], shingled: bool = True):
         codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.append(np.flatnonzero(codes == 10), len(codes))
         begins = np.append(0, ends[:-1] + 1)
@@ -82,6 +82,8 @@ class Lines:
         np.cumsum(values * powers[: len(codes)], out=sums[1:])
         sizes = ends - begins
         self.hash = mix64((sums[ends] - sums[begins]) * inverse[begins] + sizes.astype(np.uint64) * _C)
+        if not shingled:
+            return
         long = np.flatnonzero(sizes >= SHINGLE)
         made = sizes[long] - SHINGLE + 1
         inside = np.zeros(max(len(codes) - SHINGLE + 1, 0) + 1, np.int8)
@@ -96,7 +98,7 @@ class Lines:
 
 
 def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys, sketch and set size of the chosen lines."""
+    """Band keys, sketch (two values) and set size of the chosen lines."""
     keys = np.sort((lines.owner.astype(np.uint64) << _SHIFT) | (lines.shingles >> np.uint64(24)))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     line = chosen.astype(np.uint64) << _SHIFT
@@ -110,140 +112,169 @@ def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
         values = own * _TIMES[i]
         picks[:, i] = np.minimum.reduceat(values ^ values >> np.uint64(29), begin)
     picks = mix64(picks)
-    sketch = np.zeros(len(chosen), np.uint64)
+    sketch = np.zeros((len(chosen), 2), np.uint64)
     for i in range(HASHES):
-        sketch |= (picks[:, i] & np.uint64(3)) << np.uint64(2 * i)
+        sketch[:, i // 16] |= (picks[:, i] & np.uint64(15)) << np.uint64(4 * (i % 16))
     bands = np.full((len(chosen), BANDS), _C)
     for i in range(BAND):
         bands = mix64(bands * _C + picks[:, i * BANDS : (i + 1) * BANDS])
-    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch.view(np.int64), size.astype(np.int32)
+    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch, size.astype(np.int32)
 
 
-ROWS = "key bigint, settled boolean, hash bigint, doc_id bigint, line int, row bigint, size int, sketch bigint"
+PLACES = "hash bigint, doc_id bigint, line int, row bigint, gone boolean"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows to bring together: the first line of each hash in a batch by its hash and by its bands.
-
-    The lowest bit of a key tells a band. ``size`` of a row by hash counts the lines of that hash in the
-    batch. The others of these are later ones for certain: they are settled, and meet nobody.
-    """
+def _places(docs: DataFrame) -> DataFrame:
+    """Where lines stand: of each hash in a batch the first place, and as ``gone`` all later ones."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=SLICE):
-            lines = Lines(batch.column("text").to_pylist())
+        for batch in text_slices(batches, limit=4 * SLICE):
+            lines = Lines(batch.column("text").to_pylist(), shingled=False)
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[lines.text]
             row = batch.column("row").to_numpy(zero_copy_only=False)[lines.text]
             order = np.lexsort((row, lines.number, doc, lines.hash))
             new = np.concatenate([[True], lines.hash[order][1:] != lines.hash[order][:-1]])[: len(order)]
             head = order[_run_heads(~new)] if len(order) else order
-            other = (doc[order] != doc[head]) | (lines.number[order] != lines.number[head]) | (row[order] != row[head])
-            settled = order[other]  # equal rows name the same place, which isn't later than itself
-            copies = np.diff(np.append(np.flatnonzero(new), len(order)))
-            by = np.argsort(order[new], kind="stable")
-            chosen, copies = order[new][by], copies[by]
-            bands, sketch, size = signatures(lines, chosen)
-            made = np.where(size > ONE_BAND, BANDS, 1)
-            at = np.concatenate([settled, chosen, np.repeat(chosen, made)])
-            bands = bands[np.arange(BANDS) < made[:, None]]
-            key = np.concatenate([lines.hash[settled] & ~np.uint64(1), lines.hash[chosen] & ~np.uint64(1), bands | np.uint64(1)])
-            columns = [key.view(np.int64), np.arange(len(at)) < len(settled), lines.hash[at].view(np.int64), doc[at]]
-            columns += [lines.number[at].astype(np.int32), row[at]]
-            columns += [np.concatenate([np.ones(len(settled), np.int32), copies.astype(np.int32), np.repeat(size, made)])]
-            columns += [np.concatenate([np.zeros(len(settled) + len(chosen), np.int64), np.repeat(sketch, made)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ROWS.split(", ")])
+            later = (doc[order] != doc[head]) | (lines.number[order] != lines.number[head]) | (row[order] != row[head])
+            at, gone = order[new | later], later[new | later]  # equal rows name the same place, which isn't later than itself
+            columns = [lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32), row[at], gone]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PLACES.split(", ")])
+
+    return docs.mapInArrow(frugal(compute), PLACES)
 
-    return docs.mapInArrow(frugal(compute), ROWS)
 
+#: A line under a band's key.
+_ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("a", "<u8"), ("b", "<u8"), ("size", "<i4")])
+#: Entries of a batch of them for each partition, about.
+_ENTRIES = 1000
 
-#: Rows of one key that are compared with each other; of a longer run all rows go on.
+
+def _banded(docs: DataFrame, parts: int) -> DataFrame:
+    """part, entries: each different line of a task under the key of each of its bands, many to a row."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in text_slices(batches, limit=SLICE):
+            lines = Lines(batch.column("text").to_pylist())
+            chosen = np.sort(np.unique(lines.hash, return_index=True)[1])
+            bands, sketch, size = signatures(lines, chosen)
+            made = np.where(size > ONE_BAND, BANDS, 1)
+            at = np.repeat(np.arange(len(chosen)), made)
+            found = np.empty(len(at), _ENTRY)
+            found["key"], found["hash"] = bands[np.arange(BANDS) < made[:, None]], lines.hash[chosen][at]
+            found["a"], found["b"], found["size"] = sketch[at, 0], sketch[at, 1], size[at]
+            held.append(found)
+            count += len(found)
+            if count >= min(_ENTRIES * parts, 1 << 20):
+                yield emit(np.concatenate(held))
+                held, count = [], 0
+        if count:
+            yield emit(np.concatenate(held))
+
+    def emit(found: np.ndarray) -> pa.RecordBatch:
+        part = ((found["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        found, part = found[order], part[order]
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        cuts = [found[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(part)))]
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(cuts, pa.binary())], names=["part", "entries"])
+
+    return docs.mapInArrow(frugal(compute), "part int, entries binary")
+
+
+#: Different lines under one key that are compared with each other; a longer run is searched as a region.
 _RUN = 16
-#: Rows of one key that are held until the next key comes.
-_HELD = 20_000
+#: Entries that a task holds before it drops equal ones and lets go of the longest runs.
+_HELD = 3_000_000
 
 
-def _possible(size_a, size_b, sketch_a, sketch_b, percent: int) -> np.ndarray:
-    """Whether sizes and sketches allow a link."""
-    differ = sketch_a ^ sketch_b
-    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    sized = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-    return sized & (np.bitwise_count(differ) <= SKETCH_DIFFERENCE)
+def _possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches of entries allow a link."""
+    count = np.zeros(np.broadcast(x["size"], y["size"]).shape, np.uint8)
+    for half in ("a", "b"):
+        differ = x[half] ^ y[half]
+        differ |= differ >> np.uint64(1)
+        differ |= differ >> np.uint64(2)
+        count += np.bitwise_count(differ & np.uint64(0x1111111111111111))
+    least, most = np.minimum(x["size"], y["size"]).astype(np.int64), np.maximum(x["size"], y["size"]).astype(np.int64)
+    return (count <= SKETCH_DIFFERENCE) & (100 * least >= percent * most)
 
 
-FOUND = "key bigint, hash bigint, doc_id bigint, line int, row bigint, other bigint, long boolean"
+FOUND = "key bigint, hash bigint, other bigint, long boolean"
 
 
 def _shared(percent: int):
-    """Of rows sorted by (settled, key, hash, id, line, row key) those that may have to do with another of their key.
+    """Over rows of entries: lines that sizes and sketches allow a link with another one of their key.
 
-    Equal lines meet under a key of their own; all of them go on, and so do settled ones. Of a band's rows
-    with equal hashes the first stays. In a short run each row meets the others, and those go on that sizes
-    and sketches allow a link with ``other``. All rows of a longer run go on as ``long``; ``other`` is the
-    hash that the run begins with, if it allows a link.
+    In a short run each such pair goes on as ``hash`` and ``other``. Of a longer run the lines go on as
+    ``long`` that may be linked with any other of it; ``other`` is the run's first, if it is that one. A run
+    that is too long to hold goes on as a whole.
     """
 
-    def judge(rows: pa.Table, before: tuple | None, more: bool) -> tuple[list[pa.RecordBatch], tuple | None]:
-        """``before``: key, hash and lead row of the run that goes on in ``rows``; ``more``: the last goes on."""
-        key, own = rows.column("key").to_numpy(), rows.column("hash").to_numpy()
-        again = np.concatenate([[before is not None and before[:2] == (key[0], own[0])], (key[1:] == key[:-1]) & (own[1:] == own[:-1])])
-        rows = rows.filter(pa.array(~(again & (key & 1 == 1))))
-        if not rows.num_rows:
-            return [], before
-        key, own = rows.column("key").to_numpy(), rows.column("hash").to_numpy()
-        size, sketch = rows.column("size").to_numpy().astype(np.int64), rows.column("sketch").to_numpy().view(np.uint64)
-        n, goes_on = len(key), before is not None and before[0] == key[0]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(begin, n))
-        run = np.repeat(np.arange(len(begin)), length)
-        open_run = np.zeros(len(begin), bool)
-        open_run[0], open_run[-1] = goes_on, more or (open_run[-1] if len(begin) > 1 else goes_on)
-        band = key & 1 == 1
-        long = ((length > _RUN) | open_run)[run] & band
-        first, second = [], []
-        for step in range(1, min(_RUN, n)):
-            same = np.flatnonzero((run[step:] == run[:-step]) & ~long[step:] & band[step:])
-            good = same[_possible(size[same], size[same + step], sketch[same], sketch[same + step], percent)]
-            first.append(good)
-            second.append(good + step)
-        first, second = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (first, second))
-        lead_hash, lead_size, lead_sketch = own[begin], size[begin], sketch[begin]
-        if goes_on:
-            lead_hash[0], lead_size[0], lead_sketch[0] = before[2]
-        led = long & (own != lead_hash[run]) & _possible(size, lead_size[run], sketch, lead_sketch[run], percent)
-        equal = ~band & ((length[run] > 1) | open_run[run] | (size > 1))
-        alone = np.setdiff1d(second, first)  # each line of a pair comes once at least
-        at = np.concatenate([np.flatnonzero(equal | long), first, alone])
-        other = np.concatenate([lead_hash[run][equal | long], own[second], own[alone]])
-        named = np.concatenate([led[equal | long], np.ones(len(first), bool), np.zeros(len(alone), bool)])
-        out = rows.select(["key", "hash", "doc_id", "line", "row"]).take(pa.array(at))
-        out = out.append_column("other", pa.array(other, mask=~named)).append_column("long", pa.array(long[at]))
-        return out.combine_chunks().to_batches(), (int(key[-1]), int(own[-1]), (lead_hash[-1], lead_size[-1], lead_sketch[-1]))
+    def rows(key, hash_, other, named, long) -> pa.RecordBatch:
+        longs = [np.asarray(x, np.uint64).view(np.int64) for x in (key, hash_, other)]
+        columns = [pa.array(longs[0]), pa.array(longs[1]), pa.array(longs[2], mask=~np.asarray(named, bool)), pa.array(np.full(len(longs[0]), long))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+
+    def distinct(parts: list[np.ndarray]) -> np.ndarray:
+        found = np.concatenate(parts)
+        found = found[np.lexsort((found["hash"], found["key"]))]
+        return found[np.concatenate([[True], (found["key"][1:] != found["key"][:-1]) | (found["hash"][1:] != found["hash"][:-1])])[: len(found)]]
+
+    def region(run: np.ndarray, lead: np.ndarray, whole: bool) -> pa.RecordBatch:
+        """``lead``: the run's first entry, an array of one."""
+        keep = np.full(len(run), whole)
+        for at in range(0, 0 if whole else len(run), 256):
+            part = run[at : at + 256]
+            allowed = _possible(part[:, None], run[None, :], percent)
+            allowed[np.arange(len(part)), at + np.arange(len(part))] = False
+            keep[at : at + 256] = allowed.any(axis=1)
+        named = _possible(run, lead, percent) & (run["hash"] != lead["hash"])
+        keep |= run["hash"] == lead["hash"][0]
+        return rows(run["key"][keep], run["hash"][keep], np.full(keep.sum(), lead["hash"][0]), named[keep], True)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        before = None
+        held, count = [], 0
+        leads: dict[int, np.ndarray] = {}  # of runs that were too long to hold
         for batch in batches:
-            settled = batch.column("settled")
-            if pc.any(settled).as_py():
-                sure = batch.filter(settled).select(["key", "hash", "doc_id", "line", "row"])
-                none, short = pa.nulls(sure.num_rows, pa.int64()), pa.array(np.zeros(sure.num_rows, bool))
-                yield pa.RecordBatch.from_arrays([*sure.columns, none, short], names=[*sure.schema.names, "other", "long"])
-                batch = batch.filter(pc.invert(settled))
-            here = pa.Table.from_batches([batch])
-            rows = here if held is None else pa.concat_tables([held, here])
-            if not rows.num_rows:
-                continue
-            key = rows.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if len(key) - last > _HELD:
-                last = len(key)
-            held = rows.slice(last)
-            if last:
-                out, after = judge(rows.slice(0, last), before, last == len(key))
-                before = after if last == len(key) else None
-                yield from out
-        if held is not None and held.num_rows:
-            yield from judge(held, before, False)[0]
+            for entries in batch.column("entries").to_pylist():
+                held.append(np.frombuffer(entries, _ENTRY))
+                count += len(held[-1])
+                if count > _HELD:
+                    found = distinct(held)
+                    if len(found) > _HELD // 2:
+                        begin, length = bounds(found)
+                        away = np.zeros(len(found), bool)
+                        for i in np.flatnonzero(length > max(_RUN, _HELD // 64)):
+                            run = found[begin[i] : begin[i] + length[i]]
+                            lead = leads.setdefault(int(run["key"][0]), run[:1].copy())
+                            yield region(run, lead, True)
+                            away[begin[i] : begin[i] + length[i]] = True
+                        found = found[~away]
+                    held, count = [found], max(0, len(found) - _HELD // 2)
+        if held:
+            yield from last(distinct(held), leads)
+
+    def bounds(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(np.concatenate([[True], found["key"][1:] != found["key"][:-1]])[: len(found)])
+        return begin, np.diff(np.append(begin, len(found)))
+
+    def last(found: np.ndarray, leads: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        begin, length = bounds(found)
+        long = length > _RUN
+        if leads:
+            long |= np.isin(found["key"][begin], np.fromiter(leads, np.uint64, len(leads)))
+        for i in np.flatnonzero(long):
+            run = found[begin[i] : begin[i] + length[i]]
+            lead = leads.get(int(run["key"][0]))
+            yield region(run, run[:1] if lead is None else lead, lead is not None)
+        short = found[np.repeat(~long & (length > 1), length)]
+        for step in range(1, min(_RUN, len(short))):
+            x, y = short[:-step], short[step:]
+            same = np.flatnonzero(x["key"] == y["key"])
+            x, y = x[same], y[same]
+            good = _possible(x, y, percent)
+            yield rows(x["key"][good], x["hash"][good], y["hash"][good], np.ones(good.sum(), bool), False)
 
     return shared
 
@@ -315,30 +346,30 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     ``docs`` has doc_id (no nulls), text and row, which tells rows of one id apart.
     """
     parts = parts_for(docs)
-    part = (F.shiftrightunsigned("key", 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
-    part = F.when(F.col("settled"), F.pmod(F.hash("doc_id", "line"), F.lit(parts))).otherwise(part)
-    dealt = _keyed(docs).repartitionById(parts, part).sortWithinPartitions("settled", "key", "hash", "doc_id", "line", "row")
+    places = materialize(_places(docs), "lines-places")
+    dealt = _banded(docs, parts).repartitionById(parts, F.col("part")).select("entries")
     runs = materialize(dealt.mapInArrow(frugal(_shared(percent)), FOUND), "lines-runs")
-    bands = runs.where("key & 1 = 1")
-    wanted = bands.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"), F.max("long").alias("long"))
-    wanted = wanted.select("hash", "at.doc_id", "at.line", "at.row", "long")
+    ends = runs.select(F.explode(F.array("hash", "other")).alias("hash"), "long").where("hash IS NOT NULL")
+    wanted = ends.groupBy("hash").agg(F.max("long").alias("long"))
+    by_hash = places.where("NOT gone").groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"))
+    wanted = wanted.join(by_hash, "hash").select("hash", "at.doc_id", "at.line", "at.row", "long")
     texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
 
-    pairs = bands.where("other IS NOT NULL").select(F.least("hash", "other").alias("u"), F.greatest("hash", "other").alias("v")).distinct()
+    pairs = runs.where("other IS NOT NULL").select(F.least("hash", "other").alias("u"), F.greatest("hash", "other").alias("v")).distinct()
     links = materialize(_confirmed(pairs, texts, percent), "lines-links")
     components = materialize(connected_components(links, "lines-components"), "lines-components")
     # what links there are in long runs beside those with the run's first line
-    labelled = bands.where("long").join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
+    labelled = runs.where("long").join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
     labelled = labelled.select(F.col("key").alias("region"), F.col("hash").alias("rep"), F.coalesce("component", "hash").alias("component"))
     second = linked_across(labelled, texts.select(F.col("hash").alias("doc_id"), "coarse"), percent)
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
 
     # all places but the first one of each component are later; minima by hash, then by component, are small
-    firsts = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"))
-    firsts = firsts.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
+    firsts = by_hash.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
     firsts = firsts.groupBy(F.coalesce("component", "hash")).agg(F.min("at").alias("at")).select("at.*")
-    return runs.select("doc_id", "row", "line").distinct().join(firsts, ["doc_id", "row", "line"], "left_anti")
+    later = places.where("NOT gone").select("doc_id", "row", "line").distinct().join(firsts, ["doc_id", "row", "line"], "left_anti")
+    return places.where("gone").select("doc_id", "row", "line").distinct().unionByName(later)
 
 
 SCHEMA = "doc_id bigint, n_lines bigint, n_removed bigint, text string"

@@ -32,6 +32,8 @@ DEPTH, ORDER = 3, 4
 SMALL_REGION = 16
 #: Classes of a region, about, that are searched in one task.
 BLOCK = 1500
+#: Regions to search up to which their list is broadcast.
+BROADCAST_REGIONS = 100_000
 #: Copies of a class's name, between which the class's documents are dealt.
 _SALTS = 8
 #: Bits of the sketch that two sets at 0.8 never differ in: 12.8 of 128 are expected, 3.4 the deviation.
@@ -317,6 +319,9 @@ def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     sizes = sizes.where("components > 1").select(
         "region", F.col("top.component").alias("top"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("top.n")).alias("rows")
     )
+    sizes = materialize(sizes, "near-sizes")
+    if sizes.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:  # else Spark splits what is skewed
+        sizes = F.broadcast(sizes)
     mixed = members.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     mixed = mixed.withColumn("row", F.when(F.col("component") != F.col("top"), F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int")))
     cell = lambda row, block: F.struct(row.alias("row"), block.alias("block"))

@@ -13,6 +13,7 @@ def test_short_lines_meet():
     given = ["".join(r.choice("abcdefghijklmnop") for _ in range(lines.SHINGLE + 4)) for _ in range(n)]
     found = lines.Lines([*given, *(x[:-1] for x in given)])  # 4 of 5 shingles
     bands, sketch, size = lines.signatures(found, np.arange(2 * n))
-    sketch, size = sketch.view(np.uint64), size.astype(np.int64)
     assert (bands[:n] == bands[n:]).any(axis=1).all()
-    assert lines._possible(size[:n], size[n:], sketch[:n], sketch[n:], 80).all()
+    entries = np.zeros(2 * n, lines._ENTRY)
+    entries["a"], entries["b"], entries["size"] = sketch[:, 0], sketch[:, 1], size
+    assert lines._possible(entries[:n], entries[n:], 80).all()
