@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import LEAST_ID, at_partition_end, frugal, materialize, mix64, numbered_twins, parts_for, random_words, table, text_slices, with_row_key
+from docmill.llm.common import LEAST_ID, frugal, materialize, mix64, numbered_twins, parts_for, random_words, table, text_slices, with_row_key
 from docmill.llm.components import connected_components
 from docmill.llm.near import linked_across
 from docmill.llm.repeats import _packed, _run_heads, _unpack
@@ -32,93 +33,81 @@ SKETCH_DIFFERENCE = 18
 ONE_BAND = 3
 #: Bytes of text that are taken apart at a time; small arrays stay in the processor's cache.
 SLICE = 1 << 20
-_SHIFT = np.uint64(40)
-_TIMES = random_words(HASHES, 5) | np.uint64(1)
+#: Shingles whose minimal hashes are taken at a time.
+_CHUNK = 1 << 17
+_TIMES = (random_words(HASHES, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
-
-
 _WORDS = random_words(1 << 16, 55)
 _BASE = 0xD6E8FEB86659FD93
-_BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, kept by each process."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            powers = np.full(max(n, 1 << 21), base, np.uint64)
-            powers[0] = 1
-            _powers[i] = np.cumprod(powers)
-    return _powers[0], _powers[1]
 
 
-@at_partition_end
-def _drop_powers() -> None:
-    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def line_hash(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-class Lines:
-    """The lines of texts that aren't blank: text, number in it, hash, and hashes of their shingles.
+class Shingles:
+    """64-bit hashes of the character shingles of lines, in order: ``first`` and ``count`` tell each line's.
 
-    ``owner`` is the line of each shingle; the shingles of short lines come last.
+    A line of fewer than ``SHINGLE`` characters has one, of all of it.
     """
 
-    def __init__(self, texts: list[str], shingled: bool = True):
-        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.append(np.flatnonzero(codes == 10), len(codes))
-        begins = np.append(0, ends[:-1] + 1)
-        per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
-        text = np.repeat(np.arange(len(texts)), per_text)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        blanks = np.append(0, np.cumsum(_BLANK[np.minimum(codes, 0x3001)], dtype=np.int32))
-        keep = blanks[ends] - blanks[begins] < ends - begins
-        self.text, self.number, begins, ends = text[keep], number[keep], begins[keep], ends[keep]
-        powers, inverse = _powers_to(len(codes) + 1)
+    def __init__(self, lines: list[str]):
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
         values = _WORDS[codes & 0xFFFF]
         high = np.flatnonzero(codes > 0xFFFF)
         values[high] = mix64(codes[high].astype(np.uint64))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(values * powers[: len(codes)], out=sums[1:])
-        sizes = ends - begins
-        self.hash = mix64((sums[ends] - sums[begins]) * inverse[begins] + sizes.astype(np.uint64) * _C)
-        if not shingled:
-            return
-        long = np.flatnonzero(sizes >= SHINGLE)
-        made = sizes[long] - SHINGLE + 1
-        inside = np.zeros(max(len(codes) - SHINGLE + 1, 0) + 1, np.int8)
-        inside[begins[long]] = 1
-        inside[ends[long] - SHINGLE + 1] -= 1
-        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-        every = (sums[SHINGLE:] - sums[: max(len(sums) - SHINGLE, 0)]) * inverse[: max(len(sums) - SHINGLE, 0)]
-        short = np.flatnonzero(sizes < SHINGLE)
-        few = (sums[ends[short]] - sums[begins[short]]) * inverse[begins[short]]
-        self.shingles = mix64(np.concatenate([every[inside], few]))
-        self.owner = np.concatenate([np.repeat(long, made), short])
-
-
-def signatures(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys, sketch (two values) and set size of the chosen lines."""
-    keys = np.sort((lines.owner.astype(np.uint64) << _SHIFT) | (lines.shingles >> np.uint64(24)))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    line = chosen.astype(np.uint64) << _SHIFT
-    first = np.searchsorted(keys, line)
-    end = np.searchsorted(keys, (chosen.astype(np.uint64) + np.uint64(1)) << _SHIFT)
-    size = end - first
-    begin = np.cumsum(size) - size
-    own = keys[np.repeat(first - begin, size) + np.arange(size.sum())] & np.uint64((1 << 40) - 1)
-    picks = np.empty((len(chosen), HASHES), np.uint64)
-    for i in range(HASHES if len(chosen) else 0):
-        values = own * _TIMES[i]
-        picks[:, i] = np.minimum.reduceat(values ^ values >> np.uint64(29), begin)
-    picks = mix64(picks)
-    sketch = np.zeros((len(chosen), 2), np.uint64)
+        every, width = values, 1
+        for bit in bin(SHINGLE)[3:]:  # twice as wide, or twice and one more, until all characters are in
+            every = self._joined(every, every, width, width)
+            width *= 2
+            if bit == "1":
+                every, width = self._joined(every, values, width, 1), width + 1
+        begins = np.cumsum(sizes) - sizes
+        self.count = np.maximum(sizes - SHINGLE + 1, 1)
+        self.first = np.cumsum(self.count) - self.count
+        place = np.repeat(begins - self.first, self.count) + np.arange(self.count.sum())
+        self.hash = every[np.minimum(place, max(len(every) - 1, 0))] if len(every) else np.zeros(len(place), np.uint64)
+        for i in np.flatnonzero(sizes < SHINGLE).tolist():
+            self.hash[self.first[i]] = line_hash(lines[i])
+        self.hash ^= self.hash >> np.uint64(32)
+        self.hash *= _C
+
+    @staticmethod
+    def _joined(left: np.ndarray, right: np.ndarray, skip: int, width: int) -> np.ndarray:
+        """Hashes of what ``left`` hashes, followed by what ``right`` hashes ``skip`` places on."""
+        n = max(len(right) - skip, 0)
+        return left[:n] * np.uint64(pow(_BASE, width, 1 << 64)) + right[skip : skip + n]
+
+    def sets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Line and upper bits of the hash of each distinct shingle, sorted; ``bits`` as far as there is room."""
+        room = min(bits, 63 - len(self.count).bit_length())
+        owner = np.repeat(np.arange(len(self.count), dtype=np.uint64), self.count)
+        keys = np.sort(owner << np.uint64(room) | self.hash >> np.uint64(64 - room))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+        return (keys >> np.uint64(room)).astype(np.int64), keys & np.uint64((1 << room) - 1)
+
+
+def signatures(shingles: Shingles) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and sketch (two values) of each line."""
+    picks = np.empty((len(shingles.count), HASHES), np.uint64)
+    ends = shingles.first + shingles.count
+    at = 0
+    while at < len(ends):  # lines of about _CHUNK shingles
+        to = max(at + 1, int(np.searchsorted(ends, shingles.first[at] + _CHUNK, side="right")))
+        own = (shingles.hash[shingles.first[at] : ends[to - 1]] >> np.uint64(32)).astype(np.uint32)
+        begin = shingles.first[at:to] - shingles.first[at]
+        for i in range(HASHES):
+            picks[at:to, i] = np.minimum.reduceat(own * _TIMES[i], begin)
+        at = to
+    picks = mix64(picks + np.arange(HASHES, dtype=np.uint64) * _C)
+    sketch = np.zeros((len(picks), 2), np.uint64)
     for i in range(HASHES):
         sketch[:, i // 16] |= (picks[:, i] & np.uint64(15)) << np.uint64(4 * (i % 16))
-    bands = np.full((len(chosen), BANDS), _C)
+    bands = np.full((len(picks), BANDS), _C)
     for i in range(BAND):
         bands = mix64(bands * _C + picks[:, i * BANDS : (i + 1) * BANDS])
-    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch, size.astype(np.int32)
+    return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch
 
 
 PLACES = "hash bigint, doc_id bigint, line int, row bigint, gone boolean"
@@ -128,41 +117,58 @@ def _places(docs: DataFrame) -> DataFrame:
     """Where lines stand: of each hash in a batch the first place, and as ``gone`` all later ones."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=4 * SLICE):
-            lines = Lines(batch.column("text").to_pylist(), shingled=False)
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[lines.text]
-            row = batch.column("row").to_numpy(zero_copy_only=False)[lines.text]
-            order = np.lexsort((row, lines.number, doc, lines.hash))
-            new = np.concatenate([[True], lines.hash[order][1:] != lines.hash[order][:-1]])[: len(order)]
+        for batch in text_slices(batches):
+            hashes, text, number = [], [], []
+            for i, lines in enumerate(batch.column("text").to_pylist()):
+                for j, line in enumerate(lines.split("\n")):
+                    if line and not line.isspace():
+                        hashes.append(line_hash(line))
+                        text.append(i)
+                        number.append(j)
+            own, number = np.array(hashes, np.uint64), np.array(number, np.int32)
+            doc, row = (batch.column(c).to_numpy(zero_copy_only=False)[np.array(text, np.int64)] for c in ("doc_id", "row"))
+            order = np.lexsort((row, number, doc, own))
+            new = np.concatenate([[True], own[order][1:] != own[order][:-1]])[: len(order)]
             head = order[_run_heads(~new)] if len(order) else order
-            later = (doc[order] != doc[head]) | (lines.number[order] != lines.number[head]) | (row[order] != row[head])
+            later = (doc[order] != doc[head]) | (number[order] != number[head]) | (row[order] != row[head])
             at, gone = order[new | later], later[new | later]  # equal rows name the same place, which isn't later than itself
-            columns = [lines.hash[at].view(np.int64), doc[at], lines.number[at].astype(np.int32), row[at], gone]
+            columns = [own[at].view(np.int64), doc[at], number[at], row[at], gone]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PLACES.split(", ")])
 
     return docs.mapInArrow(frugal(compute), PLACES)
 
 
 #: A line under a band's key.
-_ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("a", "<u8"), ("b", "<u8"), ("size", "<i4")])
+_ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("a", "<u8"), ("b", "<u8")])
 #: Entries of a batch of them for each partition, about.
 _ENTRIES = 1000
+#: Hashes of lines that a task remembers, so that it sends an often repeated line once.
+_SEEN = 300_000
 
 
 def _banded(docs: DataFrame, parts: int) -> DataFrame:
     """part, entries: each different line of a task under the key of each of its bands, many to a row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, seen = [], 0, set()
         for batch in text_slices(batches, limit=SLICE):
-            lines = Lines(batch.column("text").to_pylist())
-            chosen = np.sort(np.unique(lines.hash, return_index=True)[1])
-            bands, sketch, size = signatures(lines, chosen)
-            made = np.where(size > ONE_BAND, BANDS, 1)
-            at = np.repeat(np.arange(len(chosen)), made)
+            new: dict[int, str] = {}
+            for text in batch.column("text").to_pylist():
+                for line in text.split("\n"):
+                    if line and not line.isspace():
+                        new.setdefault(line_hash(line), line)
+            for own in seen.intersection(new):
+                del new[own]
+            seen = seen.union(new) if len(seen) < _SEEN else set(new)
+            if not new:
+                continue
+            shingles = Shingles(list(new.values()))
+            bands, sketch = signatures(shingles)
+            made = np.where(shingles.count > ONE_BAND, BANDS, 1)
+            at = np.repeat(np.arange(len(made)), made)
             found = np.empty(len(at), _ENTRY)
-            found["key"], found["hash"] = bands[np.arange(BANDS) < made[:, None]], lines.hash[chosen][at]
-            found["a"], found["b"], found["size"] = sketch[at, 0], sketch[at, 1], size[at]
+            found["key"], found["hash"] = bands[np.arange(BANDS) < made[:, None]], np.fromiter(new, np.uint64, len(new))[at]
+            found["a"], found["b"] = sketch[at, 0], sketch[at, 1]
             held.append(found)
             count += len(found)
             if count >= min(_ENTRIES * parts, 1 << 20):
@@ -188,27 +194,26 @@ _RUN = 16
 _HELD = 3_000_000
 
 
-def _possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches of entries allow a link."""
-    count = np.zeros(np.broadcast(x["size"], y["size"]).shape, np.uint8)
+def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches of entries allow a link."""
+    count = np.zeros(np.broadcast(x["a"], y["a"]).shape, np.uint8)
     for half in ("a", "b"):
         differ = x[half] ^ y[half]
         differ |= differ >> np.uint64(1)
         differ |= differ >> np.uint64(2)
         count += np.bitwise_count(differ & np.uint64(0x1111111111111111))
-    least, most = np.minimum(x["size"], y["size"]).astype(np.int64), np.maximum(x["size"], y["size"]).astype(np.int64)
-    return (count <= SKETCH_DIFFERENCE) & (100 * least >= percent * most)
+    return count <= SKETCH_DIFFERENCE
 
 
 FOUND = "key bigint, hash bigint, other bigint, long boolean"
 
 
-def _shared(percent: int):
-    """Over rows of entries: lines that sizes and sketches allow a link with another one of their key.
+def _shared():
+    """Over rows of entries: lines that their sketches allow a link with another one of their key.
 
-    In a short run each such pair goes on as ``hash`` and ``other``. Of a longer run the lines go on as
-    ``long`` that may be linked with any other of it; ``other`` is the run's first, if it is that one. A run
-    that is too long to hold goes on as a whole.
+    In a short run, and in one where a line has few others, each such pair goes on as ``hash`` and ``other``.
+    Of another run the lines go on as ``long`` that may be linked with any other of it; ``other`` is the
+    run's first, if it is that one. A run that is too long to hold goes on as a whole.
     """
 
     def rows(key, hash_, other, named, long) -> pa.RecordBatch:
@@ -223,13 +228,21 @@ def _shared(percent: int):
 
     def region(run: np.ndarray, lead: np.ndarray, whole: bool) -> pa.RecordBatch:
         """``lead``: the run's first entry, an array of one."""
-        keep = np.full(len(run), whole)
+        keep, first, second, count = np.full(len(run), whole), [], [], 0
         for at in range(0, 0 if whole else len(run), 256):
             part = run[at : at + 256]
-            allowed = _possible(part[:, None], run[None, :], percent)
+            allowed = _possible(part[:, None], run[None, :])
             allowed[np.arange(len(part)), at + np.arange(len(part))] = False
             keep[at : at + 256] = allowed.any(axis=1)
-        named = _possible(run, lead, percent) & (run["hash"] != lead["hash"])
+            if count <= _RUN * len(run):
+                x, y = np.nonzero(allowed)
+                first.append(x[y > x + at] + at)
+                second.append(y[y > x + at])
+                count += len(first[-1])
+        if not whole and count <= _RUN * len(run):
+            x, y = (run[np.concatenate([*i, np.zeros(0, np.int64)]).astype(np.int64)] for i in (first, second))
+            return rows(x["key"], x["hash"], y["hash"], np.ones(len(x), bool), False)
+        named = _possible(run, lead) & (run["hash"] != lead["hash"])
         keep |= run["hash"] == lead["hash"][0]
         return rows(run["key"][keep], run["hash"][keep], np.full(keep.sum(), lead["hash"][0]), named[keep], True)
 
@@ -273,7 +286,7 @@ def _shared(percent: int):
             x, y = short[:-step], short[step:]
             same = np.flatnonzero(x["key"] == y["key"])
             x, y = x[same], y[same]
-            good = _possible(x, y, percent)
+            good = _possible(x, y)
             yield rows(x["key"][good], x["hash"][good], y["hash"][good], np.ones(good.sum(), bool), False)
 
     return shared
@@ -297,9 +310,9 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             coarse, those = [None] * len(values), np.flatnonzero(long)
             for at in range(0, len(those), 1000):
                 part = those[at : at + 1000]
-                owner, shingle = _sets(Lines([values[i] for i in part]))
+                owner, shingle = Shingles([values[i] for i in part]).sets(32)
                 cuts = np.searchsorted(owner, np.arange(1, len(part)))
-                for i, own in zip(part, np.split((shingle >> np.uint64(32)).astype("<u4"), cuts)):
+                for i, own in zip(part, np.split(shingle.astype("<u4"), cuts)):
                     coarse[i] = own.tobytes()
             columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(coarse, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "coarse"])
@@ -307,14 +320,6 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), "hash bigint, value string, coarse binary")
 
 
-def _sets(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """Line and hash of each distinct shingle, sorted."""
-    order = np.lexsort((lines.shingles, lines.owner))
-    owner, shingle = lines.owner[order], lines.shingles[order]
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])])[: len(owner)]
-    return owner[new], shingle[new]
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of lines whose full sets of shingles are as similar as ``percent``."""
     with_u = pairs.join(texts.select(F.col("hash").alias("u"), F.col("value").alias("of_u")), "u")
@@ -322,18 +327,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                counts = []
-                items = []
-                for column in ("of_u", "of_v"):
-                    items.append(_sets(Lines(part.column(column).to_pylist())))
-                    counts.append(np.bincount(items[-1][0], minlength=part.num_rows))
-                owner, shingle = (np.concatenate([items[0][i], items[1][i]]) for i in (0, 1))
-                order = np.lexsort((shingle, owner))
-                owner, shingle = owner[order], shingle[order]
-                twice = (owner[1:] == owner[:-1]) & (shingle[1:] == shingle[:-1])
-                shared = np.bincount(owner[1:][twice], minlength=part.num_rows)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                n, both = part.num_rows, part.column("of_u").to_pylist() + part.column("of_v").to_pylist()
+                owner, shingle = Shingles(both).sets(64)
+                sizes = np.bincount(owner, minlength=2 * n)
+                keys = np.sort((owner % n).astype(np.uint64) << np.uint64(54) | shingle & np.uint64((1 << 54) - 1))
+                counts = sizes[:n], sizes[n:]
+                shared = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(54)).astype(np.int64), minlength=n)
                 keep = 100 * shared >= percent * (counts[0] + counts[1] - shared)
                 yield part.select(["u", "v"]).filter(pa.array(keep))
 
@@ -348,7 +349,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = parts_for(docs)
     places = materialize(_places(docs), "lines-places")
     dealt = _banded(docs, parts).repartitionById(parts, F.col("part")).select("entries")
-    runs = materialize(dealt.mapInArrow(frugal(_shared(percent)), FOUND), "lines-runs")
+    runs = materialize(dealt.mapInArrow(frugal(_shared()), FOUND), "lines-runs")
     ends = runs.select(F.explode(F.array("hash", "other")).alias("hash"), "long").where("hash IS NOT NULL")
     wanted = ends.groupBy("hash").agg(F.max("long").alias("long"))
     by_hash = places.where("NOT gone").groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"))
