@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +122,34 @@ def parse_quantity(raw: Column) -> Column:
     number = F.regexp_extract(F.replace(raw, F.lit(","), F.lit("")), r"(-?\d+(?:\.\d+)?)", 1)
     value = F.when(number != "", number).try_cast("decimal(18,4)")
     return F.when(~is_empty_mark(raw) & (value >= 0), value)
+
+
+# Fixed value: a list item begins with a Hangul syllable and a dot or a bracket.
+LIST_ITEM = r"^[가-하]\s*[.)]\s*\S"
+
+
+def is_list_item(text: Column) -> Column:
+    return F.regexp_like(strip(text), F.lit(LIST_ITEM))
+
+
+def is_strong_heading(text: Column) -> Column:
+    """A heading that isn't a list item, so that items don't take the place of the heading above them."""
+    return is_heading(text) & ~is_list_item(text)
+
+
+def _normalized(form: str, text: Column) -> Column:
+    @F.pandas_udf("string")
+    def normalize(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+
+    return normalize(text)
+
+
+def nfc(text: Column) -> Column:
+    """Composed characters (Unicode NFC); most texts are so already."""
+    return _normalized("NFC", text)
+
+
+def plain_letters(text: Column) -> Column:
+    """Letters without their accents."""
+    return F.regexp_replace(_normalized("NFD", text), r"\p{Mn}+", "")

@@ -28,3 +28,59 @@ def recent_invitees(invitations: DataFrame, inviter_id: int, limit: int = 10) ->
     newest = Window.partitionBy("invitee_id").orderBy(F.desc("created_at"), F.desc("id"))
     own = invitations.where(F.col("inviter_id") == inviter_id).withColumn("place", F.row_number().over(newest)).where("place = 1")
     return own.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).drop("place")
+
+
+def pending_invitations(invitations: DataFrame, projects: DataFrame, user_id: int) -> DataFrame:
+    """A user's open invitations to active projects, newest first."""
+    active = projects.where("status = 'ACTIVE'").select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    own = invitations.where((F.col("invitee_id") == user_id) & (F.col("status") == "PENDING"))
+    return own.join(active, "project_id").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def project_members(members: DataFrame, users: DataFrame, project_id: int) -> DataFrame:
+    """Members of a project with their names, in the order in which they came."""
+    own = members.where(F.col("project_id") == project_id)
+    return own.join(users.select(F.col("id").alias("user_id"), "name"), "user_id").orderBy("invited_at", "user_id")
+
+
+def invite(invitations: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Invitations after requests (project_id, invitee_id, inviter_id, role, at), one for a project and person.
+
+    ``outcome`` is DUPLICATE_MEMBER for members and for oneself, OWNER_ROLE_RESERVED, DUPLICATE_INVITATION
+    while one is open, RESET where an answered one is opened again, or NEW.
+    """
+    own = members.select("project_id", F.col("user_id").alias("invitee_id"), F.lit(True).alias("is_member")).distinct()
+    before = invitations.select("project_id", "invitee_id", F.col("status").alias("was"))
+    joined = asked.join(own, ["project_id", "invitee_id"], "left").join(before, ["project_id", "invitee_id"], "left")
+    outcome = (
+        F.when((F.col("inviter_id") == F.col("invitee_id")) | F.col("is_member"), "DUPLICATE_MEMBER")
+        .when(F.col("role") == "OWNER", "OWNER_ROLE_RESERVED")
+        .when(F.col("was") == "PENDING", "DUPLICATE_INVITATION")
+        .when(F.col("was").isNotNull(), "RESET")
+        .otherwise("NEW")
+    )
+    return joined.select(*asked.columns, outcome.alias("outcome"))
+
+
+def answer(invitations: DataFrame, answers: DataFrame) -> DataFrame:
+    """Invitations after answers (id, answer: ACCEPTED, DECLINED or CANCELED); closed ones raise INVITATION_NOT_PENDING."""
+    joined = invitations.join(answers, "id", "left")
+    closed = F.col("answer").isNotNull() & (F.col("status") != "PENDING")
+    status = F.when(closed, F.raise_error(F.lit("INVITATION_NOT_PENDING"))).otherwise(F.coalesce("answer", "status"))
+    return joined.withColumn("status", status).drop("answer")
+
+
+def accepted_members(members: DataFrame, invitations: DataFrame) -> DataFrame:
+    """Members with those whose invitation was accepted and who weren't members before."""
+    new = invitations.where("status = 'ACCEPTED'").select("project_id", F.col("invitee_id").alias("user_id"), "role")
+    return members.select("project_id", "user_id", "role").unionByName(new.join(members, ["project_id", "user_id"], "left_anti"))
+
+
+def change_member(members: DataFrame, owners: DataFrame, changes: DataFrame) -> DataFrame:
+    """Members after changes (project_id, user_id, new_role; null: remove); an owner's row stays, and no one becomes owner."""
+    joined = members.join(owners.select("project_id", F.col("user_id").alias("owner_id")), "project_id", "left")
+    joined = joined.join(changes.withColumn("asked", F.lit(True)), ["project_id", "user_id"], "left")
+    reserved = F.coalesce(F.col("owner_id") == F.col("user_id"), F.lit(False)) | (F.coalesce("new_role", F.lit("")) == "OWNER")
+    acts = F.coalesce("asked", F.lit(False)) & ~reserved
+    kept = joined.where(~(acts & F.col("new_role").isNull()))
+    return kept.withColumn("role", F.when(acts, F.col("new_role")).otherwise(F.col("role"))).select(*members.columns)

@@ -134,3 +134,38 @@ def next_status(documents: DataFrame, events: DataFrame) -> DataFrame:
         .otherwise(status)
     )
     return joined.withColumn("status", moved).select(*documents.columns)
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def chunks_of(chunks: DataFrame, document_id: int) -> DataFrame:
+    """Chunks of a document in their order."""
+    return chunks.where(F.col("document_id") == document_id).orderBy("seq")
+
+
+def chunk_units(elements: DataFrame, lines: DataFrame) -> DataFrame:
+    """What a document is chunked from: its live elements if it has any, else the lines of its text."""
+    own = elements.withColumn("source", F.lit("elements"))
+    rest = lines.join(elements.select("document_id").distinct(), "document_id", "left_anti")
+    return own.unionByName(rest.withColumn("source", F.lit("text")))
+
+
+def repaired_units(units: DataFrame) -> DataFrame:
+    """Units (document_id, place, text, element_type, is_paragraph_start) with structure.
+
+    A document of which any unit has a type or begins a paragraph is left as it is. In others strong
+    headings become headings, and these and list items begin paragraphs.
+    """
+    from docmill.functions.text import is_list_item, is_strong_heading
+
+    whole = Window.partitionBy("document_id")
+    marked = F.max((F.col("element_type") != "TEXT_LINE") | F.col("is_paragraph_start")).over(whole)
+    strong, listed = is_strong_heading(F.col("text")), is_list_item(F.col("text"))
+    held = units.withColumn("marked", marked)
+    own = {
+        "element_type": F.when(~F.col("marked") & strong, "HEADING").otherwise(F.col("element_type")),
+        "is_paragraph_start": F.when(~F.col("marked"), strong | listed).otherwise(F.col("is_paragraph_start")),
+    }
+    return held.withColumns(own).drop("marked")

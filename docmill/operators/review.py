@@ -85,6 +85,11 @@ def merge_run(elements: DataFrame, document_id: int, first: int, last: int) -> D
     ).select(*elements.columns)
 
 
+def in_content(elements: DataFrame) -> DataFrame:
+    """Elements whose text counts: in the content, not deleted and not excluded."""
+    return elements.where("is_in_content AND NOT is_deleted AND NOT is_excluded")
+
+
 def confidence_buckets(elements: DataFrame) -> DataFrame:
     level = F.when(F.col("confidence").isNull() | (F.col("confidence") < 0.65), "low").when(F.col("confidence") < 0.85, "medium").otherwise("high")
     return elements.groupBy("document_id", level.alias("level")).agg(F.count("*").alias("n"))

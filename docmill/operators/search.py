@@ -37,15 +37,24 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def vector_topk(
-    vectors: DataFrame, query: list[float], model: str, projects: list[int], k: int = CANDIDATES, minimum: float | None = None
+    vectors: DataFrame, query: list[float], model: str, projects: list[int], k: int = CANDIDATES, minimum: float | None = None, document_id: int | None = None
 ) -> DataFrame:
-    """The nearest chunks of one model in a scope; the least similarity cuts after the limit."""
-    scored = vectors.where((F.col("embedding_model") == model) & F.col("project_id").isin(*projects))
-    similarity = cosine_similarity(F.col("embedding"), F.array(*map(F.lit, query)))
+    """The nearest chunks of one model in a scope, of one document if it is named; the least similarity cuts
+    after the limit, before the similarity is rounded. An empty query vector or scope finds nothing."""
+    scored = vectors.where((F.col("embedding_model") == model) & F.col("project_id").isin(*projects) & F.lit(bool(query)))
+    if document_id is not None:
+        scored = scored.where(F.col("document_id") == document_id)
+    similarity = cosine_similarity(F.col("embedding"), F.array(*map(F.lit, query)).cast("array<double>"))
     scored = scored.select("chunk_id", "document_id", "project_id", F.least(similarity, F.lit(1.0)).alias("score"))
     top = scored.orderBy(F.desc("score"), "chunk_id").limit(k)
-    top = top.select("chunk_id", "document_id", "project_id", F.round("score", 6).alias("similarity"))
-    return top if minimum is None else top.where(F.col("similarity") >= minimum)
+    top = top if minimum is None else top.where(F.col("score") >= minimum)
+    return top.select("chunk_id", "document_id", "project_id", F.round("score", 6).alias("similarity"))
+
+
+def with_names(hits: DataFrame, documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Hits with the names of their documents and of the projects that their chunks belong to."""
+    named = hits.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
+    return named.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id")
 
 
 def _trigrams(text: str) -> list[str]:
@@ -66,7 +75,7 @@ def _word_similarity(term: set[str], text: list[str]) -> float:
             seen = last + 1
             common.add(text[last])
             best = max(best, len(common) / (len(term) + len(stretch) - len(common)))
-            if len(stretch) > 2 * len(term) + 2 * len(common):  # longer stretches only score less
+            if len(term) <= best * len(stretch):  # a longer stretch can't score more
                 break
     return best
 

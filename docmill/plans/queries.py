@@ -11,28 +11,16 @@ from pyspark.sql import functions as F
 from docmill.functions import embedding
 from docmill.functions import text as t
 from docmill.operators import access, amounts, chunking, documents, layout, reports, review, search
+from docmill.plans import workflow  # noqa: F401  registers its queries
+from docmill.plans.registry import PROJECT, QUERIES, SINCE, TERM, UNTIL, USER, query
 from docmill.plans.views import Views, with_views
 
-#: Parameters that the queries run with.
-PROJECT, USER, TERM, SINCE, UNTIL = 3, 7, "the", date(1998, 1, 1), date(1998, 6, 30)
-
-_QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None):
-    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        _QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in _QUERIES.items() if sql is not None}
+    return {name: with_views(sql) for name, (_, sql) in QUERIES.items() if sql is not None}
 
 
 # Dashboard
@@ -207,7 +195,7 @@ _CHUNK_VECTORS = """SELECT chunk_id, document_id, chunk_id AS seq,
 
 @query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM ({_CHUNK_VECTORS}) QUALIFY rank <= 30),
     b AS (SELECT doc_id AS chunk_id, doc_id % 50 AS document_id, doc_id AS seq, (length(text) - length(replace(lower(text), '{TERM}', ''))) // 3 AS score
-      FROM documents WHERE text ILIKE '%{TERM}%' AND doc_id < 500),
+      FROM documents WHERE text ILIKE '%{TERM}%'),
     c AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id, seq) AS rank FROM b QUALIFY rank <= 30)
     SELECT coalesce(a.chunk_id, c.chunk_id) AS chunk_id, round(coalesce(1 / (60.0 + a.rank), 0) + coalesce(1 / (60.0 + c.rank), 0), 8) AS fused,
       CASE WHEN c.rank IS NULL THEN 'vector' WHEN a.rank IS NULL THEN 'keyword' ELSE 'both' END AS match_kind
@@ -527,7 +515,7 @@ def hash_embedding(v: Views) -> DataFrame:
 # Layout and access
 
 
-@query("""SELECT a.document_id, a.line_no AS id, b.reading_order::BIGINT AS other FROM (SELECT * FROM v_units WHERE document_id < 100) a JOIN (SELECT document_id,
+@query("""SELECT a.document_id, a.line_no AS id, b.reading_order::BIGINT AS other FROM v_units a JOIN (SELECT document_id,
       reading_order, sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY reading_order) - length(text) - 1 AS s,
       sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY reading_order) - 1 AS e FROM v_elements) b
     ON a.document_id = b.document_id AND a.content_start < b.e AND b.s < a.content_end""")
