@@ -1,10 +1,14 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-Spark counts character 4-grams by language over all rows to learn from. Their discounted
-probabilities, the continuation counts of the shorter orders and the interpolation weights of each
-context become one sorted array of hashed n-grams for each order, with a column for each language.
-A text takes the language of the lowest cross-entropy per character; a text whose cross-entropy lies
-far above what the language's own texts show is rejected.
+Spark counts character 4-grams by language over all rows to learn from, and from these the
+continuation counts of the shorter orders: tables of hashed n-grams, without a bound on their number
+or on the number of languages. Texts are dealt into blocks. The different n-grams of each block are
+joined with the tables, which gives each block a sorted array of its own n-grams with their
+log-probabilities by language, and the block's texts are scored with that. So what a task holds is
+bounded by the text of its block, and nothing of the models is broadcast.
+
+A text takes the language of the lowest cross-entropy per character. A text whose cross-entropy lies
+far above what rows of the language show that were not learned from is rejected.
 """
 
 from __future__ import annotations
@@ -15,32 +19,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import frugal, materialize, mix64, table, text_slices
+from docmill.llm.common import frugal, materialize, parts_for, table, text_slices
 
-#: Order of the models; 16 bits of each character go into an n-gram of 64 bits.
+#: Order of the models; 16 bits of each character go into an n-gram of 64 bits, so that letters beyond
+#: the first 65536 characters share symbols with others.
 ORDER = 4
 #: What Kneser-Ney takes from each count.
 DISCOUNT = 0.75
-#: n-grams of an order that the model holds for each language, the most frequent ones; with ORDER
-#: and the number of languages this bounds what the driver gathers and broadcasts.
-MODEL_NGRAMS = 100_000
-#: Languages at most, the most frequent ones.
-MODEL_LANGUAGES = 64
-#: Rows, about so many by their hash, from which the limit of rejection is fitted.
-CALIBRATION_ROWS = 20_000
+#: One of so many rows with a language, by a hash of the text, calibrates the limit of rejection.
+CALIBRATION = 16
 #: Bytes of text that are taken apart at a time; each takes some 100 bytes meanwhile.
 SLICE = 1 << 20
 #: A text is rejected beyond this many deviations above its language's mean cross-entropy, if that is
 #: also more than this many times the mean.
 REJECT_DEVIATIONS, REJECT_TIMES = 8.0, 2.0
-#: Cross-entropy per character is capped here: a character no model knows.
-FLOOR = np.float32(np.log(1e-6))
-
-_MASK = np.uint64(0xFFFF)
-
+#: What is left to characters that no model knows, and the least log-probability.
+UNKNOWN = 1e-6
+FLOOR = float(np.log(UNKNOWN))
 
 def _symbols(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """16-bit symbols of all texts, each text between two blanks, and where each begins.
@@ -131,130 +129,162 @@ def _counted(held: dict, merged) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Sorted hashes of the n-grams of each order and their log-probabilities by language; sorted
-    hashes of contexts and the log-weight with which each passes on to the shorter order."""
+    """Counts of each order (lang, gram, n) and of its contexts (lang, context, total, kinds), and how
+    far cross-entropies of rows that weren't learned from lie, by language."""
 
     langs: list[str]
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
+    counts: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text in each language; characters scored."""
-        symbols, starts = _symbols(texts)
-        grams, _, counts = _grams(symbols, starts)
-        total = np.zeros((len(texts), len(self.langs)))
-        if len(grams):
-            text_of = np.repeat(np.arange(len(texts)), counts)
-            distinct, inverse = np.unique(grams, return_inverse=True)
-            logs = self._log(distinct, ORDER)[inverse]
-            for column in range(logs.shape[1]):
-                total[:, column] = np.bincount(text_of, logs[:, column], len(texts))
-        return -total / np.maximum(counts, 1)[:, None], counts
-
-    def _log(self, grams: np.ndarray, order: int) -> np.ndarray:
-        """Interpolated log-probability of each gram's last symbol after the others."""
-        place, there = _find(self.keys[order - 1], grams)
-        found = np.full((len(grams), len(self.langs)), -np.inf, np.float32)
-        if there.any():
-            found[there] = self.logs[order - 1][place[there]]
-        lacking = np.flatnonzero(np.isinf(found).any(axis=1))
-        if len(lacking):
-            if order == 1:
-                shorter = np.full((len(lacking), len(self.langs)), FLOOR)
-            else:
-                mask = np.uint64((1 << 16 * (order - 1)) - 1)
-                shorter = self._log(grams[lacking] & mask, order - 1)
-                place, there = _find(self.contexts[order - 1], grams[lacking] >> np.uint64(16))
-                shorter[there] += self.weights[order - 1][place[there]]
-            found[lacking] = np.where(np.isinf(found[lacking]), shorter, found[lacking])
-        return np.maximum(found, FLOOR)
-
-
-def _hashed(grams: np.ndarray) -> np.ndarray:
-    return mix64(grams)
-
-
-def _find(keys: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = _hashed(grams)
-    place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-    return place, keys[place] == hashes if len(keys) else np.zeros(len(grams), bool)
+
+def _context(order: int) -> Column:
+    return F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
+
+
+def _suffix(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """Learn from rows of (lang, text); None if there are none. All rows are counted."""
-    spark = rows.sparkSession
-    counts = materialize(count_ngrams(rows), "ngrams")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MODEL_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    """Learn from rows of (lang, text); None if there are none. All rows are counted but those that calibrate."""
+    own = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
+    current = materialize(count_ngrams(rows.where(~own)), "language-grams")
+    langs = sorted(r["lang"] for r in current.select("lang").distinct().collect())  # a row for each language
     if not langs:
         return None
-    column = {lang: i for i, lang in enumerate(langs)}
-    keys, logs, contexts, weights = [], [], [], []
-    tables, current = {ORDER: counts}, counts
+    counts, contexts = {ORDER: current}, {}
     for order in range(ORDER - 1, 0, -1):  # a shorter gram counts once for each symbol seen before it
-        mask = F.lit((1 << 16 * order) - 1)
-        current = current.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        tables[order] = current
-    arrays: dict[int, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for order, df in tables.items():
-        context = F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
-        seen = df.withColumn("context", context)
-        totals = seen.groupBy("lang", "context").agg(F.sum("n").alias("total"))
-        top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        best = df.withColumn("place", F.row_number().over(top)).where(F.col("place") <= MODEL_NGRAMS)
-        best = best.withColumn("context", context).join(totals, ["lang", "context"]).select("lang", "gram", "n", "total")
-        best = best.where(F.col("lang").isin(langs)).toPandas()  # MODEL_NGRAMS for each language at most
-        arrays[order] = {
-            lang: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(float), g["total"].to_numpy(float))
-            for lang, g in best.groupby("lang")
-        }
-    model = Model(langs, keys, logs, contexts, weights)
-    for order in range(1, ORDER + 1):
-        cells = arrays[order]
-        grams = np.unique(np.concatenate([c[0] for c in cells.values()]))
-        heads = np.unique(grams >> np.uint64(16))
-        hashes, head_hashes = _hashed(grams), _hashed(heads)
-        by, head_by = np.argsort(hashes), np.argsort(head_hashes)
-        table_, passed = np.full((len(grams), len(langs)), -np.inf, np.float32), np.zeros((len(heads), len(langs)), np.float32)
-        shorter = model._log(grams & np.uint64((1 << 16 * (order - 1)) - 1), order - 1) if order > 1 else None
-        for lang, (own, n, total) in cells.items():
-            share = (n - DISCOUNT) / total
-            head = np.searchsorted(heads, own >> np.uint64(16))
-            rest = 1 - np.bincount(head, share, len(heads))  # what the context's grams leave to the shorter order
-            rest = np.clip(rest, 1e-6, 1)
-            at = np.searchsorted(grams, own)
-            below = np.exp(shorter[at, column[lang]]) if order > 1 else np.exp(FLOOR)
-            table_[at, column[lang]] = np.log(share + rest[head] * below)
-            passed[:, column[lang]] = np.log(rest)
-        keys.append(hashes[by])
-        logs.append(table_[by])
-        contexts.append(head_hashes[head_by])
-        weights.append(passed[head_by])
-    _calibrate(spark, rows, model)
+        shorter = current.groupBy("lang", _suffix(order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts[order] = current = materialize(shorter, "language-grams")
+    for order, df in counts.items():
+        totals = df.groupBy("lang", _context(order).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        contexts[order] = materialize(totals, "language-contexts")
+    model = Model(langs, counts, contexts)
+    _calibrate(rows.where(own & F.col("lang").isin(langs)), model)
     return model
 
 
-def _calibrate(spark: SparkSession, rows: DataFrame, model: Model) -> None:
-    """Mean and deviation of the cross-entropy of a bounded sample of the rows learned from."""
-    share = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = rows.where(F.col("lang").isin(model.langs) & chosen)
+def probabilities(model: Model, grams: DataFrame) -> DataFrame:
+    """gram, logs for different ``grams``: the log-probability of the last symbol after the others in each language.
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=SLICE):
-            entropies, counts = model.entropies(batch.column("text"))
-            at = np.array([model.langs.index(x) for x in batch.column("lang").to_pylist()])
-            values = entropies[np.arange(len(at)), at]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(values), pa.array(counts)], names=["lang", "h", "n"])
+    An order gives what is left of its counts after the discount, and passes on the rest to the shorter
+    one; a context that a language hasn't seen passes on all. 
+    """
+    every = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(x).alias("lang")) for i, x in enumerate(model.langs)])
+    asked = {ORDER: grams.select("gram").distinct()}
+    for order in range(ORDER - 1, 0, -1):
+        asked[order] = asked[order + 1].select(_suffix(order).alias("gram")).distinct()
+    shorter = None
+    for order in range(1, ORDER + 1):
+        cells = asked[order].select("gram", F.inline(every)).withColumns({"context": _context(order), "suffix": _suffix(order - 1)})
+        cells = cells.join(model.counts[order], ["lang", "gram"], "left").join(model.contexts[order], ["lang", "context"], "left")
+        if shorter is None:
+            cells = cells.withColumn("below", F.lit(UNKNOWN))
+        else:
+            cells = cells.join(shorter.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+        kept = F.coalesce(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"), F.lit(0.0))
+        passed = F.coalesce(F.lit(DISCOUNT) * F.col("kinds") / F.col("total"), F.lit(1.0))
+        shorter = cells.select("gram", "lang", "place", (kept + passed * F.col("below")).alias("p"))
+        if order < ORDER:
+            shorter = materialize(shorter, "language-shorter")
+    cell = F.struct("place", F.greatest(F.log("p"), F.lit(FLOOR)).alias("log"))
+    return shorter.groupBy("gram").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["log"].cast("float")).alias("logs"))
+
+
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of a block's texts."""
+    held: list[np.ndarray] = []
+    for batch in text_slices(batches, limit=SLICE):
+        held.append(np.unique(_grams(*_symbols(batch.column("text")))[0]))
+        if len(held) > 16:
+            held = [np.unique(np.concatenate(held))]
+    if held:
+        found = np.unique(np.concatenate(held))
+        for at in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000].view(np.int64))], names=["gram"])
+
+
+def score(docs: DataFrame, model: Model, text_col: str, judge, schema: str) -> DataFrame:
+    """``judge(rows, entropies, counts)`` over batches of the rows of ``docs``: cross-entropy per character
+    of each text in each language, and characters scored. Rows come back in any order."""
+    n = max(1, parts_for(docs) // 2)  # large blocks repeat fewer n-grams
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    plain = [F.col("doc")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # copies of a text part by their ids
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(*plain), F.lit(n)).cast("int"))
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId()
+        for batch in _distinct_grams(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block), pa.int32()), batch.column(0)], names=["block", "gram"])
+
+    texts = rows.select("block", text.alias("text")).repartitionById(n, F.col("block")).select("text")
+    grams = materialize(texts.mapInArrow(frugal(tagged), "block int, gram bigint"), "language-asked")
+    known = grams.join(probabilities(model, grams), "gram").select("block", "gram", "logs")
+    # a block's n-grams come before its rows
+    first = known.select("block", F.lit(0).alias("kind"), "gram", "logs", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"))
+    then = rows.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("array<float>").alias("logs"), "doc")
+    dealt = first.unionByName(then).repartitionById(n, F.col("block")).sortWithinPartitions("kind").select("kind", "gram", "logs", "doc")
+    width = len(model.langs)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        keys = logs = None
+        for batch in batches:
+            at = int(np.searchsorted(batch.column("kind").to_numpy(), 1))
+            if at:
+                own = batch.slice(0, at)
+                parts.append((own.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), own.column("logs").flatten().to_numpy(zero_copy_only=False).astype(np.float32)))
+            if at == batch.num_rows:
+                continue
+            if keys is None:
+                keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
+                order = np.argsort(keys)
+                keys = keys[order]
+                logs = np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)]).reshape(-1, width)[order]
+                parts = []
+            doc = batch.slice(at).column("doc")
+            rest = pa.RecordBatch.from_arrays(doc.flatten(), schema=pa.schema(list(doc.type)))
+            for part in text_slices(iter([rest]), text_col, SLICE):
+                yield judge(part, *_entropies(part.column(text_col), keys, logs))
+
+    return dealt.mapInArrow(frugal(scored), schema)
+
+
+def _entropies(texts: pa.Array, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    symbols, starts = _symbols(texts)
+    grams, _, counts = _grams(symbols, starts)
+    total = np.zeros((len(texts), logs.shape[1]))
+    if len(grams):
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        place = np.searchsorted(keys, grams)
+        for column in range(logs.shape[1]):
+            total[:, column] = np.bincount(text_of, logs[place, column], len(texts))
+    return -total / np.maximum(counts, 1)[:, None], counts
+
+
+def _calibrate(rows: DataFrame, model: Model) -> None:
+    """Mean and deviation of the cross-entropy of rows that weren't learned from, in their own language.
+
+    A language without such rows takes those of all languages together.
+    """
+
+    langs = tuple(model.langs)
+
+    def own(rows: pa.RecordBatch, entropies: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        at = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], np.int64)
+        return pa.RecordBatch.from_arrays([rows.column("lang"), pa.array(entropies[np.arange(len(at)), at]), pa.array(counts)], names=["lang", "h", "n"])
 
-    fitted = sample.mapInArrow(frugal(own), "lang string, h double, n bigint").where("n > 0").groupBy("lang")
-    found = {r["lang"]: r for r in fitted.agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("d")).collect()}
-    model.mean = np.array([found[x]["m"] if x in found else -FLOOR for x in model.langs])
-    model.deviation = np.array([max(found[x]["d"], 0.02) if x in found else 1.0 for x in model.langs])
+    values = score(rows, model, "text", own, "lang string, h double, n bigint").where("n > 0")
+    found = values.rollup("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("d"), F.count(F.lit(1)).alias("n")).collect()
+    by = {r["lang"]: r for r in found if r["n"]}
+    value = lambda lang, c, none: by[lang][c] if lang in by else by[None][c] if None in by else none
+    model.mean = np.array([value(x, "m", -FLOOR) for x in langs])
+    model.deviation = np.array([max(value(x, "d", 1.0), 0.02) for x in langs])
 
 
 SCHEMA = "doc_id bigint, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -268,40 +298,36 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     with long texts counted as 50 characters. ``keep`` returns the rows of ``docs`` that aren't
     rejected, with their columns. Null ids stay null, repeated rows stay.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    id_at, text_at = id_col, text_col
-
-    def judged(texts: pa.Array):
-        own = broadcast.value
-        if own is None:
-            n = len(texts)
-            return ["und"] * n, np.zeros(n), np.zeros(n), ~_lettered(texts)
-        entropies, counts = own.entropies(texts)
+    held = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = text_col if keep else "text"
+    if model is None:
+        lettered = F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}"))
+        if keep:
+            return docs.where(lettered)
+        return held.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), (~lettered).alias("rejected"))
+    langs, mean, deviation = list(model.langs), model.mean, model.deviation
+
+    def judged(texts: pa.Array, entropies: np.ndarray, counts: np.ndarray):
         best = np.argmin(entropies, axis=1)
         lowest = entropies[np.arange(len(best)), best]
         weight = np.minimum(np.maximum(counts, 1), 50)[:, None]
         score = 1 / np.exp(-(entropies - lowest[:, None]) * weight).sum(axis=1)
         lettered = _lettered(texts)
-        spread = own.deviation[best] * np.sqrt(1 + 200 / np.maximum(counts, 1))
-        limit = np.maximum(own.mean[best] + REJECT_DEVIATIONS * spread, REJECT_TIMES * own.mean[best])
+        spread = deviation[best] * np.sqrt(1 + 200 / np.maximum(counts, 1))
+        limit = np.maximum(mean[best] + REJECT_DEVIATIONS * spread, REJECT_TIMES * mean[best])
         far = (lowest > limit) & (counts > 0)
-        names = [own.langs[b] if ok else "und" for b, ok in zip(best, lettered)]
+        names = [langs[b] if ok else "und" for b, ok in zip(best, lettered)]
         return names, np.where(lettered, score, 0.0), lowest, far | ~lettered
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=SLICE):
-            names, score, lowest, out = judged(batch.column("text"))
-            columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(lowest), pa.array(out)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_at, SLICE):
-            yield batch.filter(pa.array(~judged(batch.column(text_at))[3]))
-
-    if keep:
-        return docs.mapInArrow(frugal(kept), docs.schema)
-    chosen = docs.select(F.col(id_at).cast("long").alias("doc_id"), F.col(text_at).alias("text"))
-    return chosen.mapInArrow(frugal(label), SCHEMA)
+    def label(rows: pa.RecordBatch, entropies: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        names, score, lowest, out = judged(rows.column("text"), entropies, counts)
+        columns = [rows.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(lowest), pa.array(out)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+
+    def kept(rows: pa.RecordBatch, entropies: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return rows.filter(pa.array(~judged(rows.column(text), entropies, counts)[3]))
+
+    return score(held, model, text, kept if keep else label, docs.schema if keep else SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:

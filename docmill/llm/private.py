@@ -1,11 +1,14 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-Base entities are found by regular expressions. They seed a graph of lexical patterns (the word or
-the two words before an entity, the word after it) and instances (identifier-shaped strings). Spark
-scores the graph in rounds: a pattern by the weight of its trusted instances among all it extracts,
-an instance by its best patterns. A pattern is trusted if enough different seeds support it, it
-extracts mostly trusted instances, and the words it is made of mostly stand at identifiers in the
-whole corpus. Trusted patterns add identifiers that the base patterns miss, as spans of kind ``id``.
+Seed entities are found by regular expressions: the base kinds, and long mixed strings such as keys.
+They seed a graph of lexical patterns and instances. A pattern is what stands beside an entity: the
+word before it with the marks between, that word alone, the two words before it, the word after it,
+or the words on both sides. An instance is a string of identifier shape. Spark scores the graph in
+rounds: a pattern by the trusted instances among all that it extracts, an instance by its best trusted
+pattern. A pattern is trusted in a round if enough different trusted instances support it, it extracts
+mostly trusted ones, and its word mostly stands at identifiers in the whole corpus. Instances that one
+round finds support new patterns in the next one, so patterns are reached that no seed stands beside.
+Trusted patterns add identifiers that no expression describes, as spans of kind ``id``.
 
 Only DataFrame functions are used: matches come from extracting by an expression, their places from
 splitting by it.
@@ -25,17 +28,28 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 #: A run of digits with single separators is taken whole; only runs of 14 to 19 digits can be cards.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Strings of identifier shape: seven digits or more, with separators, after a few letters or none.
-IDENTIFIER = r"(?<![\p{L}\p{N}+])(?:[A-Za-z]{1,4}-?)?[0-9](?:[\x20._/():-]{0,2}[0-9]){6,24}(?![\p{L}\p{N}])"
-
-KINDS = ("email", "ip", "card", "phone", "id")
-#: Rounds of scoring; seeds that must support a pattern; share of trusted instances among what a
-#: pattern extracts; share of its words' occurrences that stand at identifiers; score of an instance.
-ROUNDS, SUPPORT, PRECISION, SPECIFIC, TRUSTED = 3, 3, 0.5, 0.2, 0.5
+#: Keys and tokens: 20 characters or more with letters and digits, standing alone.
+SECRET = r"(?<![\p{L}\p{N}_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+(?![\p{L}\p{N}])"
+#: Strings of identifier shape: digits with separators after a few letters or none, or else any word of
+#: four characters or more that holds a digit.
+IDENTIFIER = (
+    r"(?<![\p{L}\p{N}+])(?:(?:[A-Za-z]{1,4}-?)?[0-9](?:[\x20._/():-]{0,2}[0-9]){6,24}(?![\p{L}\p{N}])"
+    r"|(?<![_-])(?=[\p{L}._/-]*+[0-9])[\p{L}\p{N}](?:[._/-]?[\p{L}\p{N}]){3,}+)"
+)
+
+#: Kinds that are counted, those that seed, and all.
+BASE = ("email", "ip", "card", "phone")
+SEEDS = (*BASE, "secret")
+KINDS = (*SEEDS, "id")
+#: Rounds of scoring; instances that must support a pattern; share of trusted instances among what a
+#: pattern extracts; share of its word's occurrences that stand at identifiers; score of an instance.
+ROUNDS, SUPPORT, PRECISION, SPECIFIC, TRUSTED = 4, 3, 0.3, 0.5, 0.3
 #: Added to what a pattern extracts, so that rare patterns score low.
 SMOOTHING = 1.0
-#: Patterns up to which their list is broadcast.
-BROADCAST_PATTERNS = 100_000
+#: Characters of a value from which all its occurrences are found, not only those at trusted patterns.
+TELLING = 7
+#: Characters beside an entity in which the words of its patterns end.
+BESIDE = 200
 
 
 def _cut(text: Column, pattern: str, here: Column) -> tuple[Column, Column]:
@@ -63,8 +77,8 @@ def _spans(values: Column, pieces: Column, starts: Column) -> Column:
             start.alias("start"),
             (start + F.length(F.get(values, i))).alias("end"),
             F.get(values, i).alias("value"),
-            F.substring(F.get(pieces, i), -60, 60).alias("left"),
-            F.substring(F.get(pieces, i + 1), 1, 40).alias("right"),
+            F.substring(F.get(pieces, i), -BESIDE, BESIDE).alias("left"),
+            F.substring(F.get(pieces, i + 1), 1, BESIDE).alias("right"),
         )
 
     kind = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -87,7 +101,7 @@ def _ip_parts(value: Column) -> Column:
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, and the base spans of each kind, with candidates ``id`` that overlap none."""
+    """row, doc_id, and the spans of each kind that seeds, with candidates ``id`` that overlap none."""
     text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digits = F.regexp_like(text, F.lit("[0-9]"))
@@ -96,6 +110,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "ip": (IP, digits),
         "card": (CARD, digits),
         "phone": (PHONE, F.contains(text, F.lit("+"))),
+        "secret": (SECRET, digits),
         "id": (IDENTIFIER, digits),
     }
     parts = [c.alias(f"{name}_{k}") for k, (p, here) in patterns.items() for c, name in zip(_cut(text, p, here), ("values", "pieces"))]
@@ -110,63 +125,61 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.filter("ip", lambda s: _ip_parts(s["value"])).alias("ip"),
         F.filter("card", lambda s: count(s).between(14, 19) & _luhn(s["value"])).alias("card"),
         F.filter("phone", lambda s: count(s).between(10, 15)).alias("phone"),
+        "secret",
         "id",
     )
-    base = F.concat(*KINDS[:4])
-    clear = F.filter("id", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return found.withColumn("id", clear).withColumn("row", F.monotonically_increasing_id())
+    apart = lambda kind, others: F.filter(kind, lambda c: ~F.exists(F.concat(*others), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = found.withColumn("secret", apart("secret", BASE))
+    return found.withColumn("id", apart("id", SEEDS)).withColumn("row", F.monotonically_increasing_id())
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """row, start, end, seed, instance, pattern (side, words) for each entity and each of its patterns."""
+    """row, start, end, seed, instance, side, words, word for each entity and each of its patterns."""
     tagged = lambda name: F.transform(name, lambda s: F.struct(F.lit(name != "id").alias("seed"), s.alias("s")))
     each = found.where(F.size(F.concat(*KINDS)) > 0).select("row", F.explode(F.concat(*[tagged(k) for k in KINDS])).alias("e"))
     each = each.select("row", "e.seed", "e.s.*")
     left, right = F.lower("left"), F.lower("right")
-    one, two = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
-    after = F.regexp_extract(right, r"^\s*(\S+)", 1)
+    near = F.regexp_replace(F.regexp_extract(left, r"(\p{L}++[^\p{L}\p{N}]{0,12})$", 1), r"\s+", " ")
+    bare, after = F.regexp_extract(near, r"^(\p{L}+)", 1), F.regexp_extract(right, r"^[^\p{L}\p{N}]{0,12}(\p{L}+)", 1)
+    two = F.regexp_extract(left, r"(\p{L}++)[^\p{L}\p{N}]{1,12}\p{L}++[^\p{L}\p{N}]{0,12}$", 1)
+    pattern = lambda side, words, word, here: F.when(here, F.struct(F.lit(side).alias("side"), words.alias("words"), word.alias("word")))
     patterns = F.array(
-        F.struct(F.lit("one").alias("side"), one.alias("words")),
-        F.struct(F.lit("two").alias("side"), F.regexp_replace(two, r"\s+", " ").alias("words")),
-        F.struct(F.lit("after").alias("side"), after.alias("words")),
-    )
-    lettered = F.filter(patterns, lambda p: F.regexp_like(p["words"], F.lit(r"\p{L}")))
-    # all digits, or without any the value, name an instance
-    name = F.when(F.length(_digits(F.col("value"))) >= 7, _digits(F.col("value"))).otherwise(F.lower("value"))
-    return each.select("row", "start", "end", "seed", name.alias("instance"), F.explode(lettered).alias("p")).select(
-        "row", "start", "end", "seed", "instance", "p.side", "p.words"
+        pattern("near", near, bare, bare != ""),
+        pattern("bare", bare, bare, bare != ""),
+        pattern("two", F.concat_ws(" ", two, bare), bare, (two != "") & (bare != "")),
+        pattern("after", after, after, after != ""),
+        pattern("around", F.concat_ws("|", bare, after), bare, (bare != "") & (after != "")),
     )
+    # all digits, or without enough of them the value, name an instance
+    name = F.when(F.length(_digits(F.col("value"))) >= TELLING, _digits(F.col("value"))).otherwise(F.lower("value"))
+    named = each.select("row", "start", "end", "seed", name.alias("instance"), F.explode(F.array_compact(patterns)).alias("p"))
+    return named.select("row", "start", "end", "seed", "instance", "p.side", "p.words", "p.word")
 
 
-def _corpus_counts(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
-    """How often the words of each pattern (the last one of two) stand in the whole corpus."""
-    key = F.element_at(F.split("words", " "), -1)
-    wanted = patterns.select(key.alias("word")).distinct()
-    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
-    if wanted.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
-        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("everywhere"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("everywhere")).join(wanted, "word", "left_semi")
+def _corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """How often each word stands in the whole corpus; a task sums up its own words first."""
+    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("everywhere"))
 
 
 def trusted_patterns(docs: DataFrame, edges: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns (side, words), and scores of the instances that aren't seeds."""
-    graph = edges.groupBy("side", "words", "instance").agg(F.count(F.lit(1)).alias("weight"), F.max("seed").alias("seed"))
-    backed = graph.where("seed").groupBy("side", "words").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    graph = materialize(graph.join(backed, ["side", "words"]), "private-graph")
-    counted = _corpus_counts(docs, graph.select("words").distinct(), text_col)
-    instances = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
+    """Trusted patterns (side, words), and the instances (instance, score) that they give."""
+    graph = edges.groupBy("side", "words", "word", "instance").agg(F.count(F.lit(1)).alias("weight"), F.max("seed").alias("seed"))
+    sizes = graph.groupBy("side", "words", "word").agg(F.count(F.lit(1)).alias("kinds"), F.sum("weight").alias("extracted"))
+    # a pattern of fewer instances can never be supported, one whose word mostly stands elsewhere is never trusted
+    able = sizes.where(F.col("kinds") >= SUPPORT).join(_corpus_counts(docs, text_col), "word").where(F.col("extracted") >= SPECIFIC * F.col("everywhere"))
+    graph = materialize(graph.join(able.select("side", "words", "extracted"), ["side", "words"]), "private-graph")
+    scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    trusted = (F.col("score") >= TRUSTED).cast("int")
     for _ in range(ROUNDS):
-        rated = graph.join(instances, "instance").groupBy("side", "words").agg(
-            (F.sum(F.col("weight") * F.col("score")) / (F.sum("weight") + SMOOTHING)).alias("precision"),
-            F.sum("weight").alias("extracted"),
+        rated = graph.join(scores, "instance").groupBy("side", "words").agg(
+            F.sum(trusted).alias("support"), (F.sum(F.col("weight") * trusted) / (F.first("extracted") + SMOOTHING)).alias("precision")
         )
-        rated = materialize(rated, "private-patterns")
-        found = graph.join(rated, ["side", "words"]).groupBy("instance").agg(F.max("precision").alias("best"), F.max("seed").alias("seed"))
-        instances = found.select("instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("best")).alias("score"))
-        instances = materialize(instances, "private-instances")
-    rated = rated.withColumn("word", F.element_at(F.split("words", " "), -1)).join(counted, "word")
-    good = rated.where((F.col("precision") >= PRECISION) & (F.col("extracted") >= SPECIFIC * F.col("everywhere")))
-    return good.select("side", "words"), instances.where(F.col("score") >= TRUSTED)
+        good = materialize(rated.where((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION)), "private-patterns")
+        best = graph.join(good, ["side", "words"], "left").groupBy("instance").agg(F.max("precision").alias("best"), F.max("seed").alias("seed"))
+        found = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+        scores = materialize(best.select("instance", found.alias("score")), "private-instances")
+    return good.select("side", "words"), scores.where(F.col("score") >= TRUSTED)
 
 
 def _written(spans: Column) -> Column:
@@ -175,32 +188,36 @@ def _written(spans: Column) -> Column:
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_added for each row.
 
-    Counts are of base spans; ``spans`` has these and those of kind ``id`` that the patterns add. A null
-    text is empty. Null ids stay null, repeated rows stay. Without seeds or patterns nothing is added.
+    Counts are of base spans; ``spans`` has these, keys of kind ``secret``, and those of kind ``id`` that the
+    patterns add. A null text is empty. Null ids stay null, repeated rows stay. Without seeds or patterns nothing is added.
     Other columns are left out. An empty table gives no rows.
     """
     found = materialize(extract(docs, id_col, text_col), "private-found")
     edges = materialize(_edges(found), "private-edges")
     patterns, instances = trusted_patterns(docs, edges, text_col)
-    added = edges.where("NOT seed").join(patterns, ["side", "words"], "left_semi").join(instances, "instance", "left_semi")
-    same_value = edges.where("NOT seed").join(added.select("instance").distinct(), "instance", "left_semi")
-    spans = same_value.select("row", "start", "end").distinct().groupBy("row").agg(
-        F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("order"), F.lit("id").alias("kind"), "end")).alias("added")
+    new = edges.where("NOT seed")
+    at_patterns = new.join(patterns, ["side", "words"], "left_semi").join(instances, "instance", "left_semi")
+    telling = at_patterns.where(F.length("instance") >= TELLING).select("instance").distinct()
+    everywhere = new.join(telling, "instance", "left_semi").unionByName(at_patterns.select(*new.columns))
+    spans = everywhere.select("row", "start", "end").distinct().groupBy("row").agg(
+        F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("order"), F.lit("id").alias("kind"), "end")).alias("added")
     )
     joined = found.join(spans, "row", "left")
     def ordered(kind: str) -> Column:
         order = F.lit(KINDS.index(kind)).alias("order")
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), order, F.lit(kind).alias("kind"), s["end"].alias("end")))
 
-    base = F.concat(*[ordered(k) for k in KINDS[:4]])
-    every = F.when(F.col("added").isNull(), base).otherwise(F.concat(base, F.col("added")))
+    base = F.concat(*[ordered(k) for k in BASE])
+    own = F.concat(base, ordered("secret"))
+    every = F.when(F.col("added").isNull(), own).otherwise(F.concat(own, F.col("added")))
     return joined.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_written(base), 256).alias("base_sha256"),
         _written(every).alias("spans"),
+        F.size("secret").cast("long").alias("n_secret"),
         F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"),
     )
 
