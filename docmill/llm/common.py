@@ -159,11 +159,11 @@ def numbered_twins(rows: DataFrame) -> DataFrame:
 PART_BYTES = 64 << 20
 
 
-def parts_for(df: DataFrame) -> int:
-    """Partitions for a shuffle that moves ``df``: by its size, and no fewer than the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def parts_for(df: DataFrame, size: int = PART_BYTES, least: int = 0) -> int:
+    """Partitions of ``size`` bytes for a shuffle that moves ``df``, and no fewer than ``least`` or the session's."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if held > 1 << 60 else max(least, -(-held // PART_BYTES))  # Spark doesn't know the size of an RDD
+    return own if held > 1 << 60 else max(least or own, -(-held // size))  # Spark doesn't know the size of an RDD
 
 
 def id_buckets(docs: DataFrame, buckets: int) -> Column:

@@ -31,6 +31,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: One of so many rows with a language, by a hash of the text, calibrates the limit of rejection.
 CALIBRATION = 16
+#: Bytes of input, as Spark estimates them, for a block of texts that are scored together.
+BLOCK_BYTES = 12 << 20
 #: Bytes of text that are taken apart at a time; each takes some 100 bytes meanwhile.
 SLICE = 1 << 20
 #: A text is rejected beyond this many deviations above its language's mean cross-entropy, if that is
@@ -209,7 +211,7 @@ def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def score(docs: DataFrame, model: Model, text_col: str, judge, schema: str) -> DataFrame:
     """``judge(rows, entropies, counts)`` over batches of the rows of ``docs``: cross-entropy per character
     of each text in each language, and characters scored. Rows come back in any order."""
-    n = max(1, parts_for(docs) // 2)  # large blocks repeat fewer n-grams
+    n = parts_for(docs, BLOCK_BYTES, least=1)  # by size alone: the more blocks, the more n-grams stand in several
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.coalesce(F.col("doc")[text_col], F.lit(""))
     plain = [F.col("doc")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # copies of a text part by their ids
