@@ -116,7 +116,7 @@ def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 
 
 #: Rows of a batch that goes to a Python worker; whole texts can be long.
-BATCH_ROWS = 2500
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ DEPTH, ORDER = 3, 4
 #: Classes of a region of depth 3 up to which it isn't made deeper.
 SMALL_REGION = 16
 #: Classes of a region, about, that are searched in one task.
-BLOCK = 1500
+BLOCK = 600
 #: Regions to search up to which their list is broadcast.
 BROADCAST_REGIONS = 100_000
 #: Copies of a class's name, between which the class's documents are dealt.
@@ -95,7 +95,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     """Size and name of each document's set, its key and order in each tree, and a sketch of bits."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=2 << 20):
+        for batch in text_slices(batches, limit=1 << 20):
             sets, offsets = shingle_sets(*utf8_buffers(batch.column("text")), words)
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, coarse (32 bits of each item) and items (64 bits) of each text's set."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=2 << 20):
+        for batch in text_slices(batches, limit=1 << 20):
             sets, offsets = shingle_sets(*utf8_buffers(batch.column("text")), words)
             cut = lambda x, w: [bytes(x[w * i : w * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             coarse = cut(memoryview((sets >> np.uint64(32)).astype("<u4").tobytes()), 4)

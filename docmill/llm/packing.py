@@ -51,7 +51,7 @@ def cut_documents(
         from pyspark import TaskContext
 
         part, held = TaskContext.get().partitionId(), np.zeros(longest.bit_length(), np.int64)
-        for batch in text_slices(batches, limit=2 * SLICE_BYTES):
+        for batch in text_slices(batches, limit=SLICE_BYTES // 2):
             ids, offsets = encoder(tokenizer_path, spaced).encode(batch.column("text"), end_id)
             data = memoryview(ids.astype("<u4").tobytes())
             row, start, length = [], [], []

@@ -53,7 +53,7 @@ def encode_documents(
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        for batch in text_slices(batches, limit=2 * SLICE_BYTES):
+        for batch in text_slices(batches, limit=SLICE_BYTES // 2):
             ids, offsets = encoder(tokenizer_path, spaced).encode(batch.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
