@@ -76,7 +76,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     options = {"compression": "zstd"} | options
     with tidy_shuffles(df.sparkSession):
         df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.kept_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in tables:
+        if hasattr(df, "kept_at"):
+            _delete(df.sparkSession, df.kept_at)
 
 
 #: What ``frugal`` calls at the end of a partition, beside giving memory back.

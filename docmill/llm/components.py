@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize
+from docmill.llm.common import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         least = _least(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = materialize(small.distinct(), name)
+        before, edges = edges, materialize(small.distinct(), name)
+        discard(before)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,10 +1,8 @@
 """Document fingerprints by Order MinHash.
 
-A text's k-mers are numbered by occurrence, so that each is different. Each of ``SIGNATURES`` orders
-selects the ``TUPLE`` minimal ones; they are put in the order of the text and hashed as a tuple, so
-likeness falls when parts move, as edit distance grows. An order is a rotation of the hash values:
-the minimal elements are the first ones at or after a random value, which one sort of the hashes
-gives for all orders.
+A text's k-mers are numbered by occurrence, so that each is different. Each of ``SIGNATURES`` orders,
+a hash function of its own, selects the ``TUPLE`` minimal ones; they are put in the order of the text
+and hashed as a tuple, so likeness falls when parts move, as edit distance grows.
 """
 
 from __future__ import annotations
@@ -20,8 +18,11 @@ from pyspark.sql import functions as F
 from docmill.llm.common import LEAST_ID, frugal, id_buckets, mix64, parts_for, random_words, table
 
 #: Characters of a k-mer, signatures of a fingerprint, k-mers of a tuple.
-KMER, SIGNATURES, TUPLE = 8, 128, 2
-_ROTATIONS = np.sort(random_words(SIGNATURES, 8))
+KMER, SIGNATURES, TUPLE = 8, 64, 2
+#: Each order hashes a numbered k-mer x to (x ^ salt) * odd, modulo 2**64.
+_SALTS, _ODDS = random_words(SIGNATURES, 8), random_words(SIGNATURES, 18) | np.uint64(1)
+#: Hashes that are held at a time.
+_CELLS = 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,9 +44,14 @@ def fingerprint(text: str) -> np.ndarray:
     occurrence = np.empty(len(kmers), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     numbered = mix64(kmers + occurrence * _FACTOR)
-    order = np.argsort(numbered)
-    first = np.searchsorted(numbered[order], _ROTATIONS)
-    chosen = order[(first[:, None] + np.arange(min(TUPLE, len(kmers)))) % len(kmers)]
+    chosen = np.empty((SIGNATURES, min(TUPLE, len(kmers))), np.int64)
+    step = max(1, _CELLS // len(kmers))
+    for at in range(0, SIGNATURES, step):
+        values = (numbered[None, :] ^ _SALTS[at : at + step, None]) * _ODDS[at : at + step, None]
+        rows = np.arange(len(values))
+        for j in range(chosen.shape[1]):  # the least, the least of the others, and so on
+            chosen[at : at + step, j] = values.argmin(axis=1)
+            values[rows, chosen[at : at + step, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
     chosen.sort(axis=1)
     found = np.zeros(SIGNATURES, np.uint64)
     for column in chosen.T:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import frugal, materialize, parts_for, table, text_slices
+from docmill.llm.common import discard, frugal, materialize, parts_for, table, text_slices
 
 #: Order of the models; 16 bits of each character go into an n-gram of 64 bits, so that letters beyond
 #: the first 65536 characters share symbols with others.
@@ -178,7 +178,7 @@ def probabilities(model: Model, grams: DataFrame) -> DataFrame:
     asked = {ORDER: grams.select("gram").distinct()}
     for order in range(ORDER - 1, 0, -1):
         asked[order] = asked[order + 1].select(_suffix(order).alias("gram")).distinct()
-    shorter = None
+    shorter, done = None, []
     for order in range(1, ORDER + 1):
         cells = asked[order].select("gram", F.inline(every)).withColumns({"context": _context(order), "suffix": _suffix(order - 1)})
         cells = cells.join(model.counts[order], ["lang", "gram"], "left").join(model.contexts[order], ["lang", "context"], "left")
@@ -191,8 +191,11 @@ def probabilities(model: Model, grams: DataFrame) -> DataFrame:
         shorter = cells.select("gram", "lang", "place", (kept + passed * F.col("below")).alias("p"))
         if order < ORDER:
             shorter = materialize(shorter, "language-shorter")
+            done.append(shorter)
     cell = F.struct("place", F.greatest(F.log("p"), F.lit(FLOOR)).alias("log"))
-    return shorter.groupBy("gram").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["log"].cast("float")).alias("logs"))
+    found = materialize(shorter.groupBy("gram").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["log"].cast("float")).alias("logs")), "language-logs")
+    discard(*done)
+    return found
 
 
 def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

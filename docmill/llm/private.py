@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, table
+from docmill.llm.common import discard, materialize, table
 
 #: Patterns are possessive and start only where a run starts or the last match ended, so that no text
 #: takes quadratic time or deep recursion; they find what the plain patterns find.
@@ -176,9 +176,11 @@ def trusted_patterns(docs: DataFrame, edges: DataFrame, text_col: str = "text")
             F.sum(trusted).alias("support"), (F.sum(F.col("weight") * trusted) / (F.first("extracted") + SMOOTHING)).alias("precision")
         )
         good = materialize(rated.where((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION)), "private-patterns")
+        before = scores
         best = graph.join(good, ["side", "words"], "left").groupBy("instance").agg(F.max("precision").alias("best"), F.max("seed").alias("seed"))
         found = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
         scores = materialize(best.select("instance", found.alias("score")), "private-instances")
+        discard(before)
     return good.select("side", "words"), scores.where(F.col("score") >= TRUSTED)
 
 
