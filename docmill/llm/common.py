@@ -98,8 +98,8 @@ def at_partition_end(drop: Callable[[], None]) -> Callable[[], None]:
     return drop
 
 
-def _give_back() -> None:
-    for drop in _at_end:
+def _give_back(keep: bool) -> None:
+    for drop in () if keep else _at_end:
         drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -109,17 +109,21 @@ def _give_back() -> None:
         pass
 
 
-def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def frugal(work: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
     """``work`` over the batches of a partition, after which the worker gives its memory back.
 
-    Spark uses a Python worker for one task after another, of all stages of a session.
+    Spark uses a Python worker for one task after another, of all stages of a session. With ``keep`` its
+    caches, which are bounded in bytes, stay for the next partition; the first one of other work drops them.
     """
 
     def run(batches: Iterator) -> Iterator:
+        if not keep:
+            for drop in _at_end:
+                drop()
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            _give_back(keep)
 
     return run
 

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from docmill.llm.common import LEAST_ID, frugal, id_buckets, mix64, parts_for, random_words, table
 
 #: Characters of a k-mer, signatures of a fingerprint, k-mers of a tuple.
-KMER, SIGNATURES, TUPLE = 8, 64, 2
-#: Each order hashes a numbered k-mer x to (x ^ salt) * odd, modulo 2**64.
-_SALTS, _ODDS = random_words(SIGNATURES, 8), random_words(SIGNATURES, 18) | np.uint64(1)
+KMER, SIGNATURES, TUPLE = 8, 48, 2
+#: Each order hashes the upper half x of a numbered k-mer to (x ^ salt) * odd, modulo 2**32; ties go to the earlier one.
+_SALTS, _ODDS = ((random_words(SIGNATURES, seed) >> np.uint64(32)).astype(np.uint32) for seed in (8, 18))
+_ODDS |= np.uint32(1)
 #: Hashes that are held at a time.
 _CELLS = 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +45,7 @@ def fingerprint(text: str) -> np.ndarray:
     occurrence = np.empty(len(kmers), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     numbered = mix64(kmers + occurrence * _FACTOR)
+    numbered = (numbered >> np.uint64(32)).astype(np.uint32)
     chosen = np.empty((SIGNATURES, min(TUPLE, len(kmers))), np.int64)
     step = max(1, _CELLS // len(kmers))
     for at in range(0, SIGNATURES, step):
@@ -51,7 +53,7 @@ def fingerprint(text: str) -> np.ndarray:
         rows = np.arange(len(values))
         for j in range(chosen.shape[1]):  # the least, the least of the others, and so on
             chosen[at : at + step, j] = values.argmin(axis=1)
-            values[rows, chosen[at : at + step, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            values[rows, chosen[at : at + step, j]] = np.uint32(0xFFFFFFFF)
     chosen.sort(axis=1)
     found = np.zeros(SIGNATURES, np.uint64)
     for column in chosen.T:

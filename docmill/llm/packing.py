@@ -85,7 +85,7 @@ def cut_documents(
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = deal_by_id(chosen, parts_for(chosen)).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(frugal(pieces), SCHEMA)
+    return ordered.mapInArrow(frugal(pieces, keep=True), SCHEMA)
 
 
 #: Writers that a task holds open; a length's folder needs one, so that pieces aren't sorted for them.

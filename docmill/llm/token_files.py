@@ -71,7 +71,7 @@ def encode_documents(
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = parts_for(chosen)
     ordered = deal_by_id(chosen, n).sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(frugal(encode), SCHEMA)
+    return ordered.mapInArrow(frugal(encode, keep=True), SCHEMA)
 
 
 def write_tokens(encoded: DataFrame, path: str) -> None:

@@ -252,7 +252,7 @@ def plain_fingerprint(text):
         seen[kmers[-1]] += 1
     out = []
     for salt, odd in zip(fingerprints._SALTS.tolist(), fingerprints._ODDS.tolist()):
-        least = sorted(range(len(numbered)), key=lambda i: (numbered[i] ^ salt) * odd & mask)[: fingerprints.TUPLE]
+        least = sorted(range(len(numbered)), key=lambda i: ((numbered[i] >> 32) ^ salt) * odd & 0xFFFFFFFF)[: fingerprints.TUPLE]
         x = 0
         for i in sorted(least):
             x = mixed((x * factor + kmers[i]) & mask)
