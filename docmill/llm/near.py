@@ -95,7 +95,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     """Size and name of each document's set, its key and order in each tree, and a sketch of bits."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=1 << 20):
+        for batch in text_slices(batches, limit=1 << 18):
             sets, offsets = shingle_sets(*utf8_buffers(batch.column("text")), words)
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
