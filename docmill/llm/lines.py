@@ -31,8 +31,10 @@ BAND, BANDS, HASHES = 2, 14, 28
 SKETCH_DIFFERENCE = 18
 #: Sets so small are linked only with equal ones, from 80 percent on; one band finds these.
 ONE_BAND = 3
-#: Bytes of text that are taken apart at a time; small arrays stay in the processor's cache.
+#: Bytes of text that are taken apart at a time.
 SLICE = 1 << 20
+#: Characters of lines that are hashed at a time; small arrays stay in the processor's cache.
+_BLOCK = 1 << 18
 #: Shingles whose minimal hashes are taken at a time.
 _CHUNK = 1 << 17
 _TIMES = (random_words(HASHES, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -110,6 +112,22 @@ def signatures(shingles: Shingles) -> tuple[np.ndarray, np.ndarray]:
     return mix64(bands + np.arange(1, BANDS + 1, dtype=np.uint64)), sketch
 
 
+def _signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of shingles, band keys and sketch of each line."""
+    shingles = Shingles(lines)
+    return shingles.count, *signatures(shingles)
+
+
+def _blocks(lines: list[str]) -> Iterator[list[str]]:
+    """``lines`` in runs of about ``_BLOCK`` characters, one line at least."""
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    at = 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK, side="right")))
+        yield lines[at:to]
+        at = to
+
+
 PLACES = "hash bigint, doc_id bigint, line int, row bigint, gone boolean"
 
 
@@ -162,9 +180,8 @@ def _banded(docs: DataFrame, parts: int) -> DataFrame:
             seen = seen.union(new) if len(seen) < _SEEN else set(new)
             if not new:
                 continue
-            shingles = Shingles(list(new.values()))
-            bands, sketch = signatures(shingles)
-            made = np.where(shingles.count > ONE_BAND, BANDS, 1)
+            counts, bands, sketch = (np.concatenate(x) for x in zip(*map(_signed, _blocks(list(new.values())))))
+            made = np.where(counts > ONE_BAND, BANDS, 1)
             at = np.repeat(np.arange(len(made)), made)
             found = np.empty(len(at), _ENTRY)
             found["key"], found["hash"] = bands[np.arange(BANDS) < made[:, None]], np.fromiter(new, np.uint64, len(new))[at]
@@ -324,18 +341,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of lines whose full sets of shingles are as similar as ``percent``."""
     with_u = pairs.join(texts.select(F.col("hash").alias("u"), F.col("value").alias("of_u")), "u")
     both = with_u.join(texts.select(F.col("hash").alias("v"), F.col("value").alias("of_v")), "v").select("u", "v", "of_u", "of_v")
+    both = both.sortWithinPartitions("v")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                n, both = part.num_rows, part.column("of_u").to_pylist() + part.column("of_v").to_pylist()
-                owner, shingle = Shingles(both).sets(64)
-                sizes = np.bincount(owner, minlength=2 * n)
-                keys = np.sort((owner % n).astype(np.uint64) << np.uint64(54) | shingle & np.uint64((1 << 54) - 1))
-                counts = sizes[:n], sizes[n:]
-                shared = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(54)).astype(np.int64), minlength=n)
-                keep = 100 * shared >= percent * (counts[0] + counts[1] - shared)
+                # a line of several pairs is taken apart once
+                named = pa.concat_arrays([part.column("of_u"), part.column("of_v")]).dictionary_encode()
+                owner, shingle = Shingles(named.dictionary.to_pylist()).sets(54)
+                sizes = np.bincount(owner, minlength=len(named.dictionary))
+                begin = np.cumsum(sizes) - sizes
+                lines = named.indices.to_numpy().astype(np.int64).reshape(2, -1)
+                low, high = (f(sizes[lines[0]], sizes[lines[1]]) for f in (np.minimum, np.maximum))
+                likely = np.flatnonzero(100 * low >= percent * high)
+                ends = lines[:, likely].ravel()
+                place = np.repeat(begin[ends] - (np.cumsum(sizes[ends]) - sizes[ends]), sizes[ends]) + np.arange(sizes[ends].sum())
+                pair = np.repeat(np.tile(likely, 2), sizes[ends]).astype(np.uint64)
+                keys = np.sort(pair << np.uint64(54) | shingle[place])
+                shared = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(54)).astype(np.int64), minlength=part.num_rows)
+                keep = 100 * shared >= percent * (low + high - shared)
                 yield part.select(["u", "v"]).filter(pa.array(keep))
 
     return both.mapInArrow(frugal(confirm), "u bigint, v bigint")
