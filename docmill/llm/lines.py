@@ -196,7 +196,7 @@ def _banded(docs: DataFrame, parts: int) -> DataFrame:
 
     def emit(found: np.ndarray) -> pa.RecordBatch:
         part = ((found["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # short values are counted, not compared
         found, part = found[order], part[order]
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         cuts = [found[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(part)))]
@@ -238,9 +238,21 @@ def _shared():
         columns = [pa.array(longs[0]), pa.array(longs[1]), pa.array(longs[2], mask=~np.asarray(named, bool)), pa.array(np.full(len(longs[0]), long))]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
-    def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    def distinct(parts: list[np.ndarray], needed: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        """Different entries by key and hash; with ``needed`` only those that share their key or have one of its keys."""
         found = np.concatenate(parts)
-        found = found[np.lexsort((found["hash"], found["key"]))]
+        key = np.ascontiguousarray(found["key"])
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        runs = order[several]  # the others are in place
+        order[several] = runs[np.lexsort((found["hash"][runs], found["key"][runs]))]
+        if needed is not None:
+            if needed:
+                several |= np.isin(key, np.fromiter(needed, np.uint64, len(needed)))
+            order = order[several]
+        found = found[order]
         return found[np.concatenate([[True], (found["key"][1:] != found["key"][:-1]) | (found["hash"][1:] != found["hash"][:-1])])[: len(found)]]
 
     def region(run: np.ndarray, lead: np.ndarray, whole: bool) -> pa.RecordBatch:
@@ -283,7 +295,7 @@ def _shared():
                         found = found[~away]
                     held, count = [found], max(0, len(found) - _HELD // 2)
         if held:
-            yield from last(distinct(held), leads)
+            yield from last(distinct(held, leads), leads)
 
     def bounds(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.flatnonzero(np.concatenate([[True], found["key"][1:] != found["key"][:-1]])[: len(found)])
