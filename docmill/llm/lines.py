@@ -322,8 +322,8 @@ def _shared():
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash and value of wanted lines (hash, doc_id, line, row, long), and the coarse set (32 bits of each
-    shingle) of long ones."""
+    """hash, value and n (size of the set) of wanted lines (hash, doc_id, line, row, long), and the coarse set
+    (32 bits of each shingle) of long ones."""
     by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "hash", "long")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,23 +336,27 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         hashes.append(own["hash"])
                         values.append(parts[own["line"]])
                         long.append(own["long"])
-            coarse, those = [None] * len(values), np.flatnonzero(long)
-            for at in range(0, len(those), 1000):
-                part = those[at : at + 1000]
-                owner, shingle = Shingles([values[i] for i in part]).sets(32)
-                cuts = np.searchsorted(owner, np.arange(1, len(part)))
-                for i, own in zip(part, np.split(shingle.astype("<u4"), cuts)):
-                    coarse[i] = own.tobytes()
-            columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(coarse, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "coarse"])
-
-    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), "hash bigint, value string, coarse binary")
+            coarse, sizes, at = [None] * len(values), np.zeros(len(values), np.int32), 0
+            for part in (block[i : i + 500] for block in _blocks(values) for i in range(0, len(block), 500)):
+                owner, shingle = Shingles(part).sets(54)  # so few lines leave room for all 54 bits
+                counts = np.bincount(owner, minlength=len(part))
+                sizes[at : at + len(part)] = counts
+                cuts = np.cumsum(counts)
+                for i in np.flatnonzero(long[at : at + len(part)]).tolist():
+                    own = shingle[cuts[i] - counts[i] : cuts[i]] >> np.uint64(22)
+                    coarse[at + i] = np.unique(own.astype("<u4")).tobytes()
+                at += len(part)
+            columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(sizes), pa.array(coarse, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "n", "coarse"])
+
+    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), "hash bigint, value string, n int, coarse binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of lines whose full sets of shingles are as similar as ``percent``."""
-    with_u = pairs.join(texts.select(F.col("hash").alias("u"), F.col("value").alias("of_u")), "u")
-    both = with_u.join(texts.select(F.col("hash").alias("v"), F.col("value").alias("of_v")), "v").select("u", "v", "of_u", "of_v")
+    of = lambda end: texts.select(F.col("hash").alias(end), F.col("value").alias(f"of_{end}"), F.col("n").alias(f"n_{end}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    both = both.select("u", "v", "of_u", "of_v")
     both = both.sortWithinPartitions("v")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
