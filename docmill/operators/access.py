@@ -18,9 +18,10 @@ def may(role: Column, action: str) -> Column:
 
 
 def project_list(members: DataFrame, projects: DataFrame, user_id: int) -> DataFrame:
-    """A user's projects, active ones first."""
+    """A user's projects with their places in the list: active ones first, of these the newest."""
     own = members.where(F.col("user_id") == user_id).select(F.col("project_id").alias("id"), "role")
-    return projects.join(own, "id").orderBy("status", "name")
+    order = Window.orderBy("status", F.desc("created_at"), "id")  # one user's projects are few
+    return projects.join(own, "id").withColumn("place", F.row_number().over(order)).orderBy("place")
 
 
 def recent_invitees(invitations: DataFrame, inviter_id: int, limit: int = 10) -> DataFrame:

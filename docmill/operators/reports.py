@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.operators.storage import checkpointed
+
 # States that count as being processed, as waiting for review, and report kinds.
 PROCESSING = ("PENDING", "EXTRACTING", "ANALYZING")
 REVIEWING = ("PENDING", "IN_PROGRESS")
@@ -126,13 +128,18 @@ def growth(before: Column, now: Column) -> Column:
     return F.map_filter(F.map_zip_with(before, now, lambda k, a, b: zero(b) - zero(a)), lambda k, v: v > 0)
 
 
-def open_chain(decisions: DataFrame, spark) -> DataFrame:
-    """Each superseded decision with the one that holds in the end, and the steps to it."""
-    decisions.createOrReplaceTempView("__decisions")
-    return spark.sql(
-        """WITH RECURSIVE chain(id, last, steps) MAX RECURSION LEVEL 100 AS (
-             SELECT id, superseded_by, 1 FROM __decisions WHERE superseded_by IS NOT NULL
-             UNION ALL
-             SELECT c.id, d.superseded_by, c.steps + 1 FROM chain c JOIN __decisions d ON c.last = d.id WHERE d.superseded_by IS NOT NULL)
-           SELECT id, max_by(last, steps) AS last, max(steps) AS steps FROM chain GROUP BY id"""
-    )
+def open_chain(decisions: DataFrame, rounds: int = 40) -> DataFrame:
+    """Each superseded decision (id) with the one that holds in the end (last), and the steps to it.
+
+    Pointers double: each round joins what decisions point at with what that points at, so rounds grow
+    with the logarithm of the longest chain. A circle is an error. Nulls point at nothing.
+    """
+    links = decisions.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("last"), F.lit(1).alias("steps"))
+    for _ in range(rounds):
+        links = checkpointed(links)
+        further = links.select(F.col("id").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"))
+        longer = links.join(further, "last", "left")
+        if longer.where("further IS NOT NULL").isEmpty():
+            return links
+        links = longer.select("id", F.coalesce("further", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+    raise ValueError("DECISION_CIRCLE")

@@ -358,7 +358,7 @@ def open_decisions(v: Views) -> DataFrame:
       UNION ALL SELECT c.id, d.superseded_by, c.steps + 1 FROM chain c JOIN v_decisions d ON c.last = d.id WHERE d.superseded_by IS NOT NULL)
     SELECT id, arg_max(last, steps) AS last, max(steps) AS steps FROM chain GROUP BY id""")
 def decision_supersede_chain(v: Views) -> DataFrame:
-    return reports.open_chain(v.decisions, v.spark)
+    return reports.open_chain(v.decisions)
 
 
 @query("""WITH m AS (SELECT c_nationkey AS project_id, count(*) FILTER (o_orderdate < DATE '1998-01-01') AS a, count(*) AS b FROM orders
@@ -572,11 +572,11 @@ def header_footer_lines(v: Views) -> DataFrame:
     return layout.headers_and_footers(lines, ratio=0.02).select("document_id", "page", "line_no")
 
 
-@query(f"""SELECT id, name, status, role, role IN ('OWNER','EDITOR') AS may_edit, role = 'OWNER' AS may_invite FROM v_projects p
+@query(f"""SELECT row_number() OVER (ORDER BY status, created_at DESC) AS place, id, name, status, role, role IN ('OWNER','EDITOR') AS may_edit, role = 'OWNER' AS may_invite FROM v_projects p
     JOIN v_members m ON p.id = m.project_id WHERE user_id = {USER}""")
 def project_list(v: Views) -> DataFrame:
     found = access.project_list(v.members, v.projects, USER)
-    return found.select("id", "name", "status", "role", access.may(F.col("role"), "edit").alias("may_edit"), access.may(F.col("role"), "invite").alias("may_invite"))
+    return found.select("place", "id", "name", "status", "role", access.may(F.col("role"), "edit").alias("may_edit"), access.may(F.col("role"), "invite").alias("may_invite"))
 
 
 @query("""SELECT invitee_id, id FROM (SELECT event_id AS id, user_id AS invitee_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place

@@ -23,7 +23,8 @@ class Views:
     @property
     def projects(self) -> DataFrame:
         status = F.when(F.col("n_regionkey") == 0, "ARCHIVED").otherwise("ACTIVE")
-        return self.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), status.alias("status"))
+        created = F.date_add(F.lit("1992-01-01").cast("date"), F.col("n_nationkey").cast("int"))
+        return self.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), status.alias("status"), created.alias("created_at"))
 
     @property
     def members(self) -> DataFrame:
@@ -164,7 +165,7 @@ class Views:
 
 #: The same views in SQL, in an order in which each uses only earlier ones.
 SQL = {
-    "v_projects": "SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_regionkey = 0 THEN 'ARCHIVED' ELSE 'ACTIVE' END AS status FROM nation",
+    "v_projects": "SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_regionkey = 0 THEN 'ARCHIVED' ELSE 'ACTIVE' END AS status, DATE '1992-01-01' + n_nationkey::INTEGER AS created_at FROM nation",
     "v_members": """SELECT DISTINCT s_nationkey AS project_id, o_custkey AS user_id, ['OWNER','EDITOR','VIEWER'][o_custkey % 3 + 1] AS role
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
     "v_documents": """SELECT d.doc_id AS id, (d.doc_id % 25)::INT AS project_id, concat('doc-', d.doc_id, '.', source) AS filename,

@@ -13,10 +13,10 @@ DOCUMENT = "document_id long, content string, text_version int"
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """Lines of documents (document_id, content) with their offsets; blank ones go."""
+    """Lines of documents (document_id, content) with their offsets; those of Unicode white space alone go."""
     parts = documents.select("document_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
     placed = parts.withColumn("content_start", running_offset("document_id", "line_no", "line"))
-    return placed.where(F.trim("line") != "").withColumn("content_end", F.col("content_start") + F.length("line"))
+    return placed.where(F.col("line").rlike(r"[^\s\p{Z}\x{85}\x1c-\x1f]")).withColumn("content_end", F.col("content_start") + F.length("line"))
 
 
 def rebuild(current: DataFrame, arrived: DataFrame, model: str) -> DataFrame:
