@@ -241,6 +241,9 @@ def _links_in_region(reps: np.ndarray, components: np.ndarray, sets: list[np.nda
     names, index, counts = np.unique(components, return_inverse=True, return_counts=True)
     root = np.arange(len(names))
     for i in np.flatnonzero(index != np.argmax(counts)):
+        alike = 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+        if not (alike & (root[index] != root[index[i]])).any():
+            continue
         own = np.unique(item[at[i] : at[i] + sizes[i]])
         shared = np.bincount(np.concatenate([postings[begin[x] : begin[x + 1]] for x in own]), minlength=len(sets))
         shared = np.minimum(shared, np.minimum(sizes, sizes[i]))
