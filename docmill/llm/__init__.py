@@ -16,12 +16,14 @@ from docmill.llm.private import op4_private
 from docmill.llm.repeats import op10_repeats
 from docmill.llm.token_files import op2_token_files
 from docmill.llm.topk import OP7_SQL, op7_topk
+from docmill.llm.warc import OP13_SQL, op13_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_packing, op2_token_files, op3_language, op4_private, op5_lines, op6_mixing, op7_topk, op8_fingerprints, op9_near, op10_repeats]
+    found += [op13_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL, "op13_warc": OP13_SQL}
