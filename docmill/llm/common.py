@@ -248,3 +248,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random_words(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random unsigned 64-bit values."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+def places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each of the ranges, one after the other."""
+    first = np.cumsum(count) - count
+    return np.arange(count.sum()) - np.repeat(first - begin, count)
