@@ -7,26 +7,24 @@ what an absent term adds to a pair of sources is summed from how often each coun
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, frugal, materialize, parts_for, places, table, text_slices
+from docmill.llm.common import discard, frugal, materialize, places, table, text_slices, utf8_buffers
 
 #: A lang keeps the terms of at least so many of its documents; a group reports so many terms.
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: Shares are counted in parts of this.
 UNIT = 1_000_000_000
-#: Bytes of text, and distinct terms, after which a block ends.
-BLOCK_BYTES, BLOCK_TERMS = 32 << 20, 1_000_000
-#: Bytes of one text that are taken apart at a time, and occurrences that are held at most.
+#: Bytes of text of a block.
+BLOCK_BYTES = 32 << 20
+#: Bytes of one text that are taken apart at a time, and terms or occurrences that are held at most.
 PIECE_BYTES, HELD = 4 << 20, 4_000_000
 #: Pairs of postings that are compared at a time.
 PAIRS = 2_000_000
@@ -48,113 +46,122 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts with the number of their block, and behind them the document frequencies of the block's terms."""
-    block, held, found = TaskContext.get().partitionId() << 32, 0, {}
+    """block, lang, term, n: documents of the block that have the term."""
+    held: list[pa.Table] = []
+    own = None
 
-    def frequencies() -> Iterator[pa.RecordBatch]:
-        for lang, terms in found.items():
-            n, none = len(terms), lambda n, t: pa.nulls(n, t)
-            terms_, counts = pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(list(terms.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([lang]).take(pa.array(np.zeros(n, np.int32))), none(n, pa.string()), none(n, pa.string()), terms_, counts], names=BLOCK_NAMES)
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
 
     for batch in text_slices(batches, "text"):
-        texts = batch.column("text")
-        for lang, text in zip(batch.column("lang").to_pylist(), texts.cast(pa.binary()).to_pylist()):
+        own, texts = batch.slice(0, 1), batch.column("text")
+        long = pc.greater(pc.binary_length(texts), PIECE_BYTES)
+        for text in texts.filter(long).cast(pa.binary()).to_pylist():
             words: set[bytes] = set()
             for piece in pieces(text):
                 words.update(piece.split())
-            found.setdefault(lang, Counter()).update(words)
-            held += len(text)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column("lang"), batch.column("source"), texts, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=BLOCK_NAMES)
-        if held >= BLOCK_BYTES or sum(map(len, found.values())) >= BLOCK_TERMS:
-            yield from frequencies()
-            block, held, found = block + 1, 0, {}
-    yield from frequencies()
-
-
-BLOCK_SCHEMA = "block bigint, lang string, source string, text string, term string, n bigint"
-BLOCK_NAMES = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+            held.append(pa.table({"term": pa.array(list(words), pa.binary()).cast(pa.string()), "n": np.ones(len(words), np.int64)}))
+        data, offsets = utf8_buffers(texts.filter(pc.invert(long)))
+        lower = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data.tobytes().translate(_BYTES)))
+        split = pc.split_pattern(lower, " ")
+        coded = split.flatten().dictionary_encode()
+        k = max(len(coded.dictionary), 1)
+        once = np.unique(pc.list_parent_indices(split).to_numpy().astype(np.int64) * k + coded.indices.to_numpy())
+        held.append(pa.table({"term": coded.dictionary.cast(pa.string()), "n": np.bincount(once % k, minlength=len(coded.dictionary))}))
+        if sum(t.num_rows for t in held) >= HELD:
+            held = [summed()]
+    if held:
+        for part in summed().filter(pc.field("term") != "").to_batches(max_chunksize=65536):
+            same = pa.array(np.zeros(part.num_rows, np.int32))
+            yield pa.RecordBatch.from_arrays([own.column("block").take(same), own.column("lang").take(same), *part.columns], names=["block", "lang", "term", "n"])
 
 
 class _Recount:
-    """The kept terms of one block, and what occurs of them in each group."""
+    """The kept terms of one block, and what occurs of them in each source."""
 
     def __init__(self) -> None:
         import ahocorasick
 
-        self.automaton, self.terms, self.kept, self.found, self.held = ahocorasick.Automaton(), [], {}, {}, 0
-        self.ready = False
+        self.automaton, self.terms, self.found, self.held, self.ready = ahocorasick.Automaton(), [], {}, 0, False
 
-    def keep(self, langs: list[str], terms: list[str]) -> None:
-        for lang, term in zip(langs, terms):
-            word = f" {term} ".encode().decode("latin-1")  # a letter for each byte
-            number = self.automaton.get(word, None)
-            if number is None:
-                number = len(self.terms)
-                self.automaton.add_word(word, number)
-                self.terms.append(term)
-            self.kept.setdefault(lang, []).append(number)
+    def keep(self, terms: list[str]) -> None:
+        for number, term in enumerate(terms, len(self.terms)):
+            self.automaton.add_word(f" {term} ".encode().decode("latin-1"), number)  # a letter for each byte
+        self.terms += terms
 
-    def count(self, lang: str, source: str, text: bytes) -> None:
+    def count(self, source: str, text: bytes) -> None:
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
-            for own, numbers in self.kept.items():
-                self.kept[own] = np.zeros(len(self.terms), bool)
-                self.kept[own][numbers] = True
-        if lang in self.kept:
-            for piece in pieces(text):
-                ids = np.fromiter(map(itemgetter(1), self.automaton.iter(piece.decode("latin-1"))), np.int32)
-                ids = ids[self.kept[lang][ids]]
-                self.found.setdefault((lang, source), []).append(ids)
-                self.held += len(ids)
+        for piece in pieces(text) if self.terms else ():
+            ids = np.fromiter(map(itemgetter(1), self.automaton.iter(piece.decode("latin-1"))), np.int32)
+            self.found.setdefault(source, []).append(ids)
+            self.held += len(ids)
 
     def counted(self) -> Iterator[pa.RecordBatch]:
         terms = pa.array(self.terms, pa.string())
-        for (lang, source), ids in self.found.items():
+        for source, ids in self.found.items():
             ids, counts = np.unique(np.concatenate(ids), return_counts=True)
-            same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(ids), np.int32)))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([same(lang), same(source), terms.take(pa.array(ids)), pa.array(counts.astype(np.int64))], names=["lang", "source", "term", "n"])
+            same = pa.array([source], pa.string()).take(pa.array(np.zeros(len(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([same, terms.take(pa.array(ids)), pa.array(counts.astype(np.int64))], names=["source", "term", "n"])
         self.found, self.held = {}, 0
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of kept terms by group; rows come by block, first its terms and then its texts."""
-    block, state = None, None
+    """Occurrences of kept terms by source in one block; its terms come first, then its texts."""
+    state, lang = _Recount(), None
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for batch in state.counted():
+            own = pa.array([lang], pa.string()).take(pa.array(np.zeros(batch.num_rows, np.int32)))
+            yield pa.RecordBatch.from_arrays([own, *batch.columns], names=["lang", "source", "term", "n"])
+
     for batch in text_slices(batches, "content"):
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        is_text = batch.column("is_text").to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            if blocks[a] != block:
-                if state:
-                    yield from state.counted()
-                block, state = blocks[a], _Recount()
-            part = batch.slice(a, b - a)
-            langs, content = part.column("lang").to_pylist(), part.column("content")
-            if not is_text[a]:
-                state.keep(langs, content.to_pylist())
-                continue
-            for lang, source, text in zip(langs, part.column("source").to_pylist(), content.cast(pa.binary()).to_pylist()):
-                state.count(lang, source, text)
-                if state.held >= HELD:
-                    yield from state.counted()
-    if state:
-        yield from state.counted()
+        texts = int(np.searchsorted(batch.column("is_text").to_numpy(zero_copy_only=False), 1))
+        state.keep(batch.column("content").slice(0, texts).to_pylist())
+        rest = batch.slice(texts)
+        if rest.num_rows:
+            lang = rest.column("lang")[0].as_py()
+        for source, text in zip(rest.column("source").to_pylist(), rest.column("content").cast(pa.binary()).to_pylist()):
+            state.count(source, text)
+            if state.held >= HELD:
+                yield from rows()
+    yield from rows()
+
+
+def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with their block, and the number of blocks.
+
+    A block has about ``BLOCK_BYTES`` of text of one lang. Sources stand one behind the other, and a document goes to
+    a place within its source's bytes by its hash, so that a large source has several blocks and small ones share one.
+    """
+    sizes = docs.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("size"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before(Window.partitionBy("lang").orderBy("source"))), F.lit(0)))
+    langs = sizes.groupBy("lang").agg((F.floor(F.sum("size") / BLOCK_BYTES) + 1).alias("blocks"))
+    langs = langs.withColumn("first", F.coalesce(F.sum("blocks").over(before(Window.orderBy("lang"))), F.lit(0)))  # a row for each lang
+    sizes = materialize(sizes.join(langs, "lang"), "source-sizes")
+    blocks = sizes.agg(F.max(F.col("first") + F.col("blocks"))).first()[0] or 1
+    place = F.col("before") + F.pmod(F.col("key"), F.greatest("size", F.lit(1)))
+    dealt = docs.join(sizes, ["lang", "source"]).withColumn("block", (F.col("first") + F.floor(place / BLOCK_BYTES)).cast("int"))
+    return dealt.select("block", "lang", "source", "text"), int(blocks)
 
 
 def count_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """kept (lang, term), and postings (lang, source, term, n) of what occurs of it; ``docs`` has lang, source, text without nulls."""
-    blocks = materialize(docs.mapInArrow(frugal(_first_pass), BLOCK_SCHEMA), "term-blocks")
-    seen = blocks.where("term IS NOT NULL").select("block", "lang", "term", "n")
+    """kept (lang, term), and postings (lang, source, term, n) of what occurs of it.
+
+    ``docs`` has lang, source and text without nulls, and a key that deals documents out evenly.
+    """
+    texts, blocks = in_blocks(docs)
+    dealt = texts.select("block", "lang", "text").repartitionById(blocks, "block")
+    seen = materialize(dealt.mapInArrow(frugal(_first_pass), "block int, lang string, term string, n bigint"), "block-terms")
     kept = materialize(seen.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "term"), "kept-terms")
-    terms = seen.join(kept, ["lang", "term"]).select("block", F.lit(0).alias("is_text"), "lang", F.lit(None).cast("string").alias("source"), F.col("term").alias("content"))
-    texts = blocks.where("text IS NOT NULL").select("block", F.lit(1).alias("is_text"), "lang", "source", F.col("text").alias("content"))
-    dealt = terms.unionByName(texts).repartition(parts_for(docs, BLOCK_BYTES), "block").sortWithinPartitions("block", "is_text")
+    terms = seen.join(kept, ["lang", "term"]).select("block", F.lit(0).alias("is_text"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.col("term").alias("content"))
+    texts = texts.select("block", F.lit(1).alias("is_text"), "lang", "source", F.col("text").alias("content"))
+    dealt = terms.unionByName(texts).repartitionById(blocks, "block").sortWithinPartitions("is_text")
     counts = dealt.mapInArrow(frugal(_second_pass), "lang string, source string, term string, n bigint")
     postings = materialize(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "postings")
-    discard(blocks)
+    discard(seen)
     return kept, postings
 
 
@@ -233,10 +240,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -
     ``docs`` has text, lang, source, nulls count as '', and each row is a document, repeated ones too; other
     columns aren't read. Groups without terms have pairs, a lang without kept terms has pairs of value 0, a lang with
     one source has no pairs, an empty table gives no rows. Ties go to the smaller item by UTF-8. A sum beyond 64
-    bits raises an error. Memory of a task follows ``BLOCK_BYTES``, the distinct terms of its longest text, and
+    bits raises an error. Documents are dealt out by their text and doc_id, if there is one. Memory of a task follows ``BLOCK_BYTES``, the distinct terms of its longest text, and
     the number of sources.
     """
-    docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    key = F.xxhash64(*[F.col(c) for c in ("text", "doc_id") if c in docs.columns])
+    docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")], key.alias("key"))
     kept, postings = count_terms(docs, least)
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("held"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").na.fill(0, ["held"])
