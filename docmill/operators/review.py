@@ -65,26 +65,6 @@ def merge_candidates(elements: DataFrame, breaks: str = "is_deleted OR is_exclud
     return runs.agg(F.min("reading_order").alias("first"), F.max("reading_order").alias("last"), F.count("*").alias("n")).where("n > 1").drop("run")
 
 
-def merge_run(elements: DataFrame, document_id: int, first: int, last: int) -> DataFrame:
-    """Elements with a run merged into its first; the others of the run are deleted, and each keeps
-    its text, so that a merge can be undone."""
-    chosen = (F.col("document_id") == document_id) & F.col("reading_order").between(first, last) & ~F.col("is_deleted")
-    parts = elements.where(chosen).groupBy("document_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "text"))), lambda p: p["text"]), " ").alias("merged"),
-        F.min("confidence").alias("least"),
-    )
-    joined = elements.join(parts, "document_id", "left").withColumn("chosen", chosen)
-    head = F.col("chosen") & (F.col("reading_order") == first)
-    return joined.withColumns(
-        {
-            "text": F.when(head, F.col("merged")).otherwise(F.col("text")),
-            "confidence": F.when(head, F.col("least")).otherwise(F.col("confidence")),
-            "is_deleted": F.col("is_deleted") | (F.col("chosen") & ~head),
-            "version": F.when(F.col("chosen"), F.col("version") + 1).otherwise(F.col("version")),
-        }
-    ).select(*elements.columns)
-
-
 def in_content(elements: DataFrame) -> DataFrame:
     """Elements whose text counts: in the content, not deleted and not excluded."""
     return elements.where("is_in_content AND NOT is_deleted AND NOT is_excluded")
@@ -105,62 +85,6 @@ def progress(elements: DataFrame) -> DataFrame:
     )
 
 
-def merge_snapshot(elements: DataFrame, document_id: int, first: int, last: int) -> DataFrame:
-    """What undoes a merge: document_id, survivor, merged_version, and the run as JSON."""
-    chosen = (F.col("document_id") == document_id) & F.col("reading_order").between(first, last) & ~F.col("is_deleted")
-    run = F.array_sort(F.collect_list(F.struct("reading_order", "text", "confidence")))
-    version = F.max(F.when(F.col("reading_order") == first, F.col("version"))) + 1
-    return elements.where(chosen).groupBy("document_id").agg(F.lit(first).alias("survivor"), version.alias("merged_version"), F.to_json(run).alias("snapshot_json"))
-
-
-SNAPSHOT = "array<struct<reading_order:bigint,text:string,confidence:double>>"
-
-
-def undo_merges(elements: DataFrame, operations: DataFrame) -> DataFrame:
-    """Elements before the merges of operations, as ``merge_snapshot`` gives them.
-
-    A survivor that is gone or has changed since raises OCR_MERGE_UNDO_UNAVAILABLE.
-    """
-    parts = operations.select("document_id", "survivor", "merged_version", F.explode(F.from_json("snapshot_json", SNAPSHOT)).alias("s"))
-    parts = parts.select("document_id", "survivor", "merged_version", F.col("s.reading_order").alias("reading_order"), F.col("s.text").alias("old"), F.col("s.confidence").alias("was"))
-    joined = elements.join(parts, ["document_id", "reading_order"], "left")
-    back, head = F.col("survivor").isNotNull(), F.col("survivor") == F.col("reading_order")
-    changed = head & (F.col("is_deleted") | (F.col("version") != F.col("merged_version")))
-    error = F.raise_error(F.lit("OCR_MERGE_UNDO_UNAVAILABLE")).cast("int")
-    return joined.withColumns(
-        {
-            "text": F.when(back, F.col("old")).otherwise(F.col("text")),
-            "confidence": F.when(back, F.col("was")).otherwise(F.col("confidence")),
-            "is_deleted": F.col("is_deleted") & ~back,
-            "version": F.when(changed, error).when(back, F.col("version") + 1).otherwise(F.col("version")),
-        }
-    ).select(*elements.columns)
-
-
-def split_element(boxes: DataFrame, page: int, box: int, ratio: float, vertical: bool) -> DataFrame:
-    """Boxes with one cut in two at a share of its width (or height); later ones move up by one place.
-
-    The text is halved by its words. The ratio lies between 0.1 and 0.9.
-    """
-    if not 0.1 <= ratio <= 0.9:
-        raise ValueError("OCR_INVALID_STRUCTURE")
-    cut = (F.col("page") == page) & (F.col("box") == box)
-    rows = boxes.withColumn("part", F.explode(F.when(cut, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    words = F.split("text", " ")
-    half = F.ceil(F.size(words) / 2).cast("int")
-    text = F.when(F.col("part") == 0, F.array_join(F.slice(words, F.lit(1), half), " ")).otherwise(F.array_join(F.slice(words, half + 1, F.size(words)), " "))
-    at, length = ("x", "width") if vertical else ("y", "height")
-    share = F.when(F.col("part") == 0, ratio).otherwise(1 - ratio)
-    return rows.withColumns(
-        {
-            "text": F.when(cut, text).otherwise(F.col("text")),
-            at: F.when(cut & (F.col("part") == 1), F.col(at) + F.col(length) * ratio).otherwise(F.col(at)),
-            length: F.when(cut, F.col(length) * share).otherwise(F.col(length)),
-            "box": F.col("box") + F.when((F.col("page") == page) & (F.col("box") > box), 1).otherwise(F.col("part")),
-        }
-    ).drop("part")
-
-
 def paragraph_starts(boxes: DataFrame) -> DataFrame:
     """Boxes that seem to begin a paragraph: indented, or well below the one before."""
     order = Window.partitionBy("page").orderBy("box")

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there.
-
-    The folder is what ``spark.checkpoint.dir`` names; a temporary one is set only where that is unset and
-    the master is local.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and Spark is one process."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        known = context._jsc.sc().getCheckpointDir()
+        where = known.get() if known.isDefined() else None
+    if not where:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(where)
-    return df.checkpoint()
+    return where.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  the JVM may have gone before Python ends
+        pass
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there; the table is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docmill/state-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

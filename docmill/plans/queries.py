@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docmill.functions import embedding
 from docmill.functions import text as t
 from docmill.operators import access, amounts, chunking, documents, layout, reports, review, search
-from docmill.plans import workflow  # noqa: F401  registers its queries
+from docmill.plans import pages, structure, workflow  # noqa: F401  register their queries
 from docmill.plans.registry import PROJECT, QUERIES, SINCE, TERM, UNTIL, USER, query
 from docmill.plans.views import Views, with_views
 
@@ -483,11 +483,6 @@ def review_batch_edit(v: Views) -> DataFrame:
     return review.apply_edits(v.elements, edits).select("document_id", "reading_order", "text", "version")
 
 
-@query("""SELECT reading_order, CASE WHEN reading_order = 0 THEN (SELECT string_agg(text, ' ' ORDER BY reading_order) FROM v_elements
-      WHERE document_id = 1 AND reading_order <= 1) ELSE text END AS text, reading_order = 1 AS is_deleted FROM v_elements WHERE document_id = 1""")
-def review_merge(v: Views) -> DataFrame:
-    return review.merge_run(v.elements, 1, 0, 1).where("document_id = 1").select("reading_order", "text", "is_deleted")
-
 
 # Chunks
 
@@ -617,12 +612,6 @@ def status_transitions(v: Views) -> DataFrame:
     return documents.next_status(v.documents, events).select("id", "status")
 
 
-@query("SELECT document_id, reading_order, text, is_deleted, version + (document_id = 1 AND reading_order < 2)::INT * 2 AS version FROM v_elements")
-def review_merge_undo(v: Views) -> DataFrame:
-    operation = review.merge_snapshot(v.elements, 1, 0, 1)
-    back = review.undo_merges(review.merge_run(v.elements, 1, 0, 1), operation)
-    return back.select("document_id", "reading_order", "text", "is_deleted", "version")
-
 
 @query(f"""WITH b AS ({_BOX}) SELECT page, box, coalesce(x - lag(x) OVER w >= 0.025 OR y - (lag(y) OVER w + lag(height) OVER w) >=
       0.8::DOUBLE * greatest(lag(height) OVER w, height, 0.01), false) AS suggested FROM b WINDOW w AS (PARTITION BY page ORDER BY box)""")
@@ -630,11 +619,6 @@ def paragraph_starts(v: Views) -> DataFrame:
     return review.paragraph_starts(_boxes(v)).select("page", "box", "suggested")
 
 
-@query(f"""WITH b AS ({_BOX} WHERE document_id = 2) SELECT page, box + (box > 1)::INT AS box, x, width FROM b WHERE box <> 1 UNION ALL
-    SELECT page, 1, x, width * 0.25::DOUBLE FROM b WHERE box = 1 UNION ALL SELECT page, 2, x + width * 0.25::DOUBLE, width * 0.75::DOUBLE FROM b WHERE box = 1""")
-def element_split(v: Views) -> DataFrame:
-    return review.split_element(_boxes(v).where("page = 2"), 2, 1, 0.25, vertical=True).select("page", "box", "x", "width")
-
 
 @query(f"""WITH b AS (SELECT *, (box // 4)::INT AS line FROM ({_BOX})) SELECT page, line, string_agg(text, '' ORDER BY x, box) AS text FROM b GROUP BY page, line""")
 def box_line_join(v: Views) -> DataFrame:
