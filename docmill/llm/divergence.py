@@ -83,27 +83,30 @@ class _Recount:
         import ahocorasick
 
         self.automaton, self.terms, self.found, self.held, self.ready = ahocorasick.Automaton(), [], {}, 0, False
+        self.held_terms = 0
 
-    def keep(self, terms: list[str]) -> None:
-        for number, term in enumerate(terms, len(self.terms)):
-            self.automaton.add_word(f" {term} ".encode().decode("latin-1"), number)  # a letter for each byte
-        self.terms += terms
+    def keep(self, terms: pa.Array) -> None:
+        for number, term in enumerate(terms.cast(pa.binary()).to_pylist(), self.held_terms):
+            self.automaton.add_word(f" {term.decode('latin-1')} ", number)  # a letter for each byte
+        self.terms.append(terms)
+        self.held_terms += len(terms)
 
     def count(self, source: str, text: bytes) -> None:
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
-        for piece in pieces(text) if self.terms else ():
+        for piece in pieces(text) if self.held_terms else ():
             ids = np.fromiter(map(itemgetter(1), self.automaton.iter(piece.decode("latin-1"))), np.int32)
             self.found.setdefault(source, []).append(ids)
             self.held += len(ids)
 
     def counted(self) -> Iterator[pa.RecordBatch]:
-        terms = pa.array(self.terms, pa.string())
+        terms = pa.concat_arrays(self.terms) if self.terms else None
         for source, ids in self.found.items():
-            ids, counts = np.unique(np.concatenate(ids), return_counts=True)
+            counts = np.bincount(np.concatenate(ids), minlength=1)
+            ids = np.flatnonzero(counts)
             same = pa.array([source], pa.string()).take(pa.array(np.zeros(len(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([same, terms.take(pa.array(ids)), pa.array(counts.astype(np.int64))], names=["source", "term", "n"])
+            yield pa.RecordBatch.from_arrays([same, terms.take(pa.array(ids)), pa.array(counts[ids].astype(np.int64))], names=["source", "term", "n"])
         self.found, self.held = {}, 0
 
 
@@ -118,7 +121,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in text_slices(batches, "content"):
         texts = int(np.searchsorted(batch.column("is_text").to_numpy(zero_copy_only=False), 1))
-        state.keep(batch.column("content").slice(0, texts).to_pylist())
+        state.keep(batch.column("content").slice(0, texts))
         rest = batch.slice(texts)
         if rest.num_rows:
             lang = rest.column("lang")[0].as_py()
@@ -174,6 +177,19 @@ def differs(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) div ({q}))"
 
 
+def summed(key: np.ndarray, value: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the exact sums of their values, without sums of 0; dense where there are few keys, else by sorting."""
+    if keys <= PAIRS:
+        sums = np.zeros(keys, np.int64)
+        np.add.at(sums, key, value)
+        key = np.flatnonzero(sums)
+        return key, sums[key]
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(value, first) if len(first) else value[:0]
+
+
 def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What terms of both sources add beyond each source's own sums; rows come by lang and term.
 
@@ -183,8 +199,11 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     f = lambda p, q: (p - q) * (p - q) // q
 
     def pairs(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        groups = list(zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist()))
-        ids = np.array([numbers.setdefault(g, len(numbers)) for g in groups], np.int64)
+        langs, sources = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+        k = len(sources.dictionary)
+        seen, ids = np.unique(langs.indices.to_numpy().astype(np.int64) * k + sources.indices.to_numpy(), return_inverse=True)
+        groups = [(langs.dictionary[g // k].as_py(), sources.dictionary[g % k].as_py()) for g in seen.tolist()]
+        ids = np.array([numbers.setdefault(g, len(numbers)) for g in groups], np.int64)[ids]
         p, p0 = (rows.column(c).to_numpy() for c in ("p", "p0"))
         begins = np.r_[0, cuts]
         sizes = np.diff(np.r_[begins, len(ids)])
@@ -196,14 +215,10 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = np.repeat(np.arange(at, end), size[at:end]), places(begin[at:end], size[at:end])
             left, right = left[other := left != right], right[other]
             value = f(p[left], p[right]) - f(p[left], p0[right]) - f(p0[left], p[right]) + f(p0[left], p0[right])
-            key = ids[left] << 32 | ids[right]
-            order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
+            key, sums = summed(ids[left] * len(names) + ids[right], value, len(names) ** 2)
             if len(key):
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                sums, key = np.add.reduceat(value, first), key[first]
-                of = [names[i] for i in (key >> 32).tolist()]
-                items = [names[i][1] for i in (key & 0xFFFFFFFF).tolist()]
+                of = [names[i] for i in (key // len(names)).tolist()]
+                items = [names[i][1] for i in (key % len(names)).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in of], pa.string()), pa.array([x[1] for x in of], pa.string()), pa.array(items, pa.string()), pa.array(sums)], names=["lang", "source", "item", "value"])
             at = end
 
