@@ -1,7 +1,8 @@
 """Edits of reviewed elements that change their structure: batches, merges, their undoing, and splits.
 
 Each request works on all documents at once and is all or nothing within a document: what is asked is checked
-first, a document with any error stays as it is and gets the error as a row, and only the others are changed.
+first, a document with any error stays as it is and gets the error as a row, and only the others are changed. What was
+found fit is written to the shared folder, so that it is checked once for all the tables that change.
 Texts are spliced and ranges moved from the original ranges, so several edits of a document don't meet.
 """
 
@@ -68,7 +69,7 @@ def opened(elements: DataFrame, contents: DataFrame, documents: DataFrame) -> Re
 def _first_errors(asked: DataFrame, errors: DataFrame) -> DataFrame:
     """document_id, error of all documents asked for; of several errors (document_id, step, rank, error) the least."""
     least = errors.where("error IS NOT NULL").groupBy("document_id").agg(F.min(F.struct("step", "rank", "error"))["error"].alias("error"))
-    return asked.select("document_id").distinct().join(least, "document_id", "left")
+    return checkpointed(asked.select("document_id").distinct().join(least, "document_id", "left"))
 
 
 def misfits(edits: DataFrame, contents: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def edit_batch(review: Review, changes: DataFrame, user_id: int) -> tuple[Review
     again = F.coalesce("new_re_ocr_applied", F.lit(False))
     flags = {"text_changed": text, "structure_changed": structure, "type_changed": differs(F.col("new_element_type"), "element_type"), "begins": begins, "again": again}
     flags["changed"] = text | structure | box | again | differs(F.col("new_is_excluded"), "is_excluded")
-    good = good.withColumns(flags).where("changed").select(*KEY, "is_in_content", F.col("text").alias("before"), "version", *flags, *[f"new_{c}" for c in CHANGES])
+    good = checkpointed(good.withColumns(flags).where("changed").select(*KEY, "is_in_content", F.col("text").alias("before"), "version", *flags, *[f"new_{c}" for c in CHANGES]))
 
     replacements = good.where("text_changed AND is_in_content").select(*KEY, F.col("new_text").alias("replacement"))
     elements, contents = _put(review, replacements)
@@ -237,7 +238,7 @@ def merge_groups(review: Review, groups: DataFrame, user_id: int, join_with_spac
     unfit = misfits(edits, review.contents).select("document_id", "step", F.lit(6).alias("rank"), F.lit(MAPPING).alias("error"))
     outcomes = _first_errors(asked, checked.unionByName(unfit))
 
-    good = joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi")
+    good = checkpointed(joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi"))
     members = F.array_sort(F.collect_list(F.struct("reading_order", *[c for c in review.elements.columns if c not in ("document_id", "reading_order", "is_deleted")])))
     each = good.groupBy("document_id", "step").agg(members.alias("m"), F.collect_list("element_id").alias("asked_ids"))
     first = F.col("m")[0]
@@ -258,7 +259,7 @@ def merge_groups(review: Review, groups: DataFrame, user_id: int, join_with_spac
     segment = F.substring(F.col("content"), F.col("origin").cast("int") + 1, (F.col("until") - F.col("origin")).cast("int"))
     saved = F.transform("m", lambda e: F.struct(*[e[c].alias(c) for c in ("element_id", *SAVED, "content_start", "content_end")]))
     snapshot = F.to_json(F.struct(F.lit("NEW_ELEMENT").alias("result_strategy"), F.col("asked_ids").alias("selected_ids"), segment.alias("segment"), F.col("origin"), saved.alias("elements")))
-    each = each.withColumn("snapshot_json", snapshot).drop("content")
+    each = checkpointed(each.withColumn("snapshot_json", snapshot).drop("content"))
 
     at_first = each.select("document_id", first["element_id"].alias("element_id"), "merged", "merged_id", "step")
     replacements = good.select(*KEY).join(at_first.select(*KEY, "merged"), KEY, "left").select(*KEY, F.coalesce("merged", F.lit("")).alias("replacement"))
@@ -311,7 +312,7 @@ def undo_merges(review: Review, chosen: DataFrame, user_id: int) -> tuple[Review
     outcomes = _first_errors(chosen, errors)
 
     fine = outcomes.where("error IS NULL").select("document_id")
-    good, back = found.join(fine, "document_id", "left_semi"), members.join(fine, "document_id", "left_semi")
+    good, back = checkpointed(found.join(fine, "document_id", "left_semi")), checkpointed(members.join(fine, "document_id", "left_semi"))
     replacements = good.where(F.col("s.origin").isNotNull()).select("document_id", F.col("survivor_id").alias("element_id"), F.col("s.segment").alias("replacement"))
     elements, contents = _put(review, replacements)
     columns = elements.columns
@@ -383,7 +384,7 @@ def split_elements(review: Review, requests: DataFrame, user_id: int) -> tuple[R
     unfit = misfits(edits, review.contents).select("document_id", "step", F.lit(4).alias("rank"), F.lit(MAPPING).alias("error"))
     outcomes = _first_errors(asked, checked.unionByName(unfit))
 
-    good = joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi")
+    good = checkpointed(joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi"))
     both = F.concat("first_text", F.lit("\n"), "second_text")
     elements, contents = _put(review, good.select(*KEY, both.alias("replacement")))
     columns = elements.columns

@@ -1,8 +1,12 @@
 """Chunks, context, embeddings and the stream: invariants of what comes out."""
 
+import random
 import tempfile
+import unicodedata
 
 import numpy as np
+import plain_chunks
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
@@ -38,6 +42,74 @@ def test_headings_repeat_in_later_chunks(spark):
     assert "".join(texts).count("x") >= 3000 and len(texts) > 5
 
 
+UNITS = "document_id long, n int, text string, page_number int, element_type string, is_paragraph_start boolean, table_id int, content_start long, content_end long"
+
+
+def mixed_units(document, seed):
+    """Units of all kinds in any order: headings, list items, tables with and without ids, noise, very long units."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefg가다함") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    sentence = lambda k: " ".join(r.choice(words) for _ in range(k)) + r.choice([".", "다", "!", ""])
+    rows, at = [], 0
+    for n in range(r.randint(1, 45)):
+        kind, table = r.choice(["TEXT_LINE"] * 5 + ["HEADING", "TABLE_ROW", "TABLE_ROW", "TABLE_HEADER", "HEADER_FOOTER"]), None
+        text = " ".join(sentence(r.randint(1, 14)) for _ in range(r.choice([1, 1, 2, 3])))
+        if kind.startswith("TABLE"):
+            table = r.choice([1, 1, 1, 2, None])
+            text = " | ".join(r.choice(words) for _ in range(4))
+        text = r.choice([text] * 12 + [f"가. {text}", f" {text}  ", " ", "x" * r.randint(900, 2500), " ".join(words * 12), " ".join(sentence(9) for _ in range(60)), unicodedata.normalize("NFD", text)])
+        rows.append((document, n, text, r.choice([None, 1, 2]), kind, r.random() < 0.2, table, at, at + len(text)))
+        at += len(text) + 1
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_tokens": 40, "min_tokens": 8, "overlap_tokens": 10}, {"max_tokens": 6, "min_tokens": 2, "overlap_tokens": 0}])
+def test_chunks_equal_a_plain_fold(spark, limits):
+    rows = [x for d in range(60) for x in mixed_units(d, d)]
+    found = {}
+    for r in chunking.chunk_units(spark.createDataFrame(rows, UNITS), **limits).orderBy("document_id", "seq").collect():
+        assert r.char_count == len(r.text) and r.token_count == plain_chunks.estimate(r.text)
+        found.setdefault(r.document_id, []).append((r.text, r.page_number, r.content_start, r.content_end, r.heading))
+    names = dict(zip(("max_tokens", "min_tokens", "overlap_tokens"), ("most", "least", "overlap")))
+    for d in range(60):
+        units = [dict(zip(("text", "page", "kind", "start", "table", "a", "b"), x[2:])) for x in rows if x[0] == d]
+        assert found.get(d, []) == plain_chunks.chunks(units, **{names[k]: v for k, v in limits.items()}), d
+
+
+def test_structure_is_found_only_where_there_is_none(spark):
+    rows = [(1, i, text, 1, "TEXT_LINE", False, None, None, None) for i, text in enumerate(["1. Scope", "body", "가. item", "나. item"])]
+    rows += [(2, i, text, 1, kind, False, None, None, None) for i, (text, kind) in enumerate([("1. Scope", "TEXT_LINE"), ("row", "TABLE_ROW")])]
+    found = chunking.repaired(spark.createDataFrame(rows, UNITS)).orderBy("document_id", "n").collect()
+    assert [(r.element_type, r.is_paragraph_start) for r in found] == [("HEADING", True), ("TEXT_LINE", False), ("TEXT_LINE", True), ("TEXT_LINE", True), ("TEXT_LINE", False), ("TABLE_ROW", False)]
+
+
+def test_noise_is_what_most_groups_repeat(spark):
+    rows = [(1, p * 10 + i, text, p, kind, False, None, None, None) for p in range(10) for i, (text, kind) in enumerate([("1. Scope", "HEADING"), ("Confidential", "TEXT_LINE"), (f"Body {p}", "TEXT_LINE"), ("z" * 90, "TEXT_LINE"), ("Confidential ", "TEXT_LINE")])]
+    rows += [(1, 200, "Rare", 3, "TEXT_LINE", False, None, None, None)]
+    units = spark.createDataFrame(rows, UNITS)
+    noise = lambda **more: {r.text.strip() for r in chunking.marked_noise(units, ["document_id"], ["page_number"], **more).where("element_type = 'HEADER_FOOTER'").collect()}
+    assert noise() == {"Confidential"} and noise(max_chars=None) == {"Confidential", "z" * 90}
+    assert noise(mask_digits=True) == {"Confidential", *(f"Body {p}" for p in range(10))} and noise(least=11) == set()
+    report = chunking.noise_report(units, ["document_id"], ["page_number"], ["n"], max_chars=None).collect()
+    assert [(r.key, r.groups, r.sample) for r in report] == [("Confidential", 10, "Confidential"), ("z" * 90, 10, "z" * 90)]
+    everywhere = chunking.marked_noise(units.withColumn("document_id", F.col("page_number").cast("long")), [], ["document_id"])
+    assert everywhere.where("element_type = 'HEADER_FOOTER'").count() == 20
+
+
+def test_chunks_by_a_tokenizer_stay_within_the_limit(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [x for d in range(12) for x in mixed_units(d, 100 + d)]
+    found = chunking.chunk_units(spark.createDataFrame(rows, UNITS), chunking.by_tokenizer(path)).collect()
+    counts = [len(tokenizer.encode(r.text, add_special_tokens=False).ids) for r in found]
+    assert counts == [r.token_count for r in found] and max(counts) <= chunking.MAX_TOKENS
+    held = {d: "".join(r.text for r in found if r.document_id == d) for d in range(12)}
+    assert all(word in held[x[0]] for x in rows if x[4] != "HEADER_FOOTER" and len(x[2]) < 300 for word in unicodedata.normalize("NFC", x[2]).split())
+
+
 def test_context_stays_in_budget(spark):
     rows = [(1, i, i, "f", i, " ".join(f"Sentence {j} of it." for j in range(i, i + 8))) for i in range(10)]
     hits = spark.createDataFrame(rows, "query_id long, rank long, chunk_id long, filename string, seq long, text string")

@@ -54,26 +54,26 @@ def test_a_batch_moves_what_follows_and_counts_once(spark, opened):
     assert after.documents.first()[1:] == ("IN_PROGRESS", 4)
 
 
-@pytest.mark.parametrize(
-    ("change", "error"),
-    [
-        ({"version": 2}, "OCR_EDIT_CONFLICT"),
-        ({"element_id": 9}, "OCR_ELEMENT_NOT_FOUND"),
-        ({"x": 0.9}, "OCR_INVALID_STRUCTURE"),
-        ({"height": 0.0}, "OCR_INVALID_STRUCTURE"),
-        ({"element_type": "TABLE_HEADER", "is_paragraph_start": True}, "OCR_INVALID_STRUCTURE"),
-        ({"element_id": 0}, "OCR_ELEMENT_NOT_FOUND"),  # asked for twice
-    ],
-)
-def test_one_wrong_change_leaves_the_whole_document(spark, opened, change, error):
-    review = opened({1: ["a", "b"], 2: ["a", "b"]})
+WRONG = [
+    ({"version": 2}, "OCR_EDIT_CONFLICT"),
+    ({"element_id": 9}, "OCR_ELEMENT_NOT_FOUND"),
+    ({"x": 0.9}, "OCR_INVALID_STRUCTURE"),
+    ({"height": 0.0}, "OCR_INVALID_STRUCTURE"),
+    ({"element_type": "TABLE_HEADER", "is_paragraph_start": True}, "OCR_INVALID_STRUCTURE"),
+    ({"element_id": 0}, "OCR_ELEMENT_NOT_FOUND"),  # asked for twice
+    ({"element_id": 9, "version": 2, "x": 0.9}, "OCR_ELEMENT_NOT_FOUND"),  # the first of several
+]
+
+
+def test_one_wrong_change_leaves_the_whole_document(spark, opened):
+    review = opened({d: ["a", "b"] for d in range(len(WRONG) + 1)})
     schema = "document_id long, element_id long, version int, text string, x double, height double, element_type string, is_paragraph_start boolean"
     row = lambda d, i, **more: tuple(({"document_id": d, "element_id": i, "version": 1, "text": None, "x": None, "height": None, "element_type": None, "is_paragraph_start": None} | more).values())
-    changes = spark.createDataFrame([row(1, 0, text="new"), row(1, 1, **change), row(2, 0, text="new"), row(3, 0)], schema)
-    after, outcomes = structure.edit_batch(review, changes, 7)
-    assert errors(outcomes) == {1: error, 2: None, 3: "DOCUMENT_NOT_FOUND"}
-    assert content(after).content == "a\nb" and content(after, 2).content == "new\nb"
-    assert after.revisions.count() == 1 and {r.ocr_revision for r in after.documents.collect()} == {3, 4}
+    rows = [row(d, 0, text="new") for d in range(len(WRONG) + 1)] + [row(d, 1, **change) for d, (change, _) in enumerate(WRONG)] + [row(99, 0)]
+    after, outcomes = structure.edit_batch(review, spark.createDataFrame(rows, schema), 7)
+    assert errors(outcomes) == {**{d: e for d, (_, e) in enumerate(WRONG)}, len(WRONG): None, 99: "DOCUMENT_NOT_FOUND"}
+    assert {r.document_id: r.content for r in after.contents.collect()} == {**{d: "a\nb" for d in range(len(WRONG))}, len(WRONG): "new\nb"}
+    assert after.revisions.count() == 1 and {r.document_id: r.ocr_revision for r in after.documents.collect()} == {d: 3 + (d == len(WRONG)) for d in range(len(WRONG) + 1)}
 
 
 def test_boxes_and_exclusions_keep_the_text_version(spark, opened):
@@ -105,25 +105,27 @@ def test_merge_makes_an_element_and_tombstones(spark, opened):
     assert after.operations.count() == 2 and after.events.count() == 2 and after.revisions.count() == 4
 
 
-@pytest.mark.parametrize(
-    ("rows", "own", "error"),
-    [
-        ([(1, 0, 0, 1), (1, 0, 2, 1)], {}, "OCR_INVALID_STRUCTURE"),
-        ([(1, 0, 0, 1), (1, 0, 1, 2)], {}, "OCR_EDIT_CONFLICT"),
-        ([(1, 0, 0, 1), (1, 0, 9, 1)], {}, "OCR_ELEMENT_NOT_FOUND"),
-        ([(1, 0, 0, 1), (1, 0, 1, 1), (1, 1, 1, 1), (1, 1, 2, 1)], {}, "OCR_ELEMENT_NOT_FOUND"),  # the first group took it
-        ([(1, 0, 0, 1), (1, 0, 1, 1)], {"e1_1": {"is_excluded": True}}, "OCR_INVALID_STRUCTURE"),
-        ([(1, 0, 0, 1), (1, 0, 1, 1)], {"e1_1": {"page": 2}}, "OCR_INVALID_STRUCTURE"),
-        ([(1, 0, 0, 1), (1, 0, 1, 1)], {"e1_1": {"y": 0.7}}, "OCR_MERGE_TOO_FAR"),
-    ],
-)
-def test_merges_that_are_refused(spark, opened, rows, own, error):
-    review = opened({1: ["a", "b", "c"]}, **own)
-    after, outcomes = structure.merge_groups(review, spark.createDataFrame(rows, GROUPS), 7)
-    assert errors(outcomes) == {1: error} and content(after).content == "a\nb\nc" and after.operations.count() == 0
-    assert after.elements.where("is_deleted").count() == 0
+REFUSED = [
+    ([(0, 0, 1), (0, 2, 1)], {}, "OCR_INVALID_STRUCTURE"),
+    ([(0, 0, 1), (0, 1, 2)], {}, "OCR_EDIT_CONFLICT"),
+    ([(0, 0, 1), (0, 9, 1)], {}, "OCR_ELEMENT_NOT_FOUND"),
+    ([(0, 0, 1), (0, 1, 1), (1, 1, 1), (1, 2, 1)], {}, "OCR_ELEMENT_NOT_FOUND"),  # the first group took it
+    ([(0, 0, 1), (0, 1, 1)], {"is_excluded": True}, "OCR_INVALID_STRUCTURE"),
+    ([(0, 0, 1), (0, 1, 1)], {"page": 2}, "OCR_INVALID_STRUCTURE"),
+    ([(0, 0, 1), (0, 1, 1)], {"y": 0.7}, "OCR_MERGE_TOO_FAR"),
+    ([(0, 0, 1), (0, 1, 1), (1, 2, 5)], {"y": 0.7}, "OCR_MERGE_TOO_FAR"),  # the first group's error
+]
+
 
+def test_merges_that_are_refused(spark, opened):
+    review = opened({d: ["a", "b", "c"] for d in range(len(REFUSED))}, **{f"e{d}_1": own for d, (_, own, _) in enumerate(REFUSED)})
+    groups = spark.createDataFrame([(d, *r) for d, (rows, _, _) in enumerate(REFUSED) for r in rows], GROUPS)
+    after, outcomes = structure.merge_groups(review, groups, 7)
+    assert errors(outcomes) == {d: e for d, (*_, e) in enumerate(REFUSED)}
+    assert {r.content for r in after.contents.collect()} == {"a\nb\nc"} and after.operations.count() == 0 == after.elements.where("is_deleted").count()
 
+
+@pytest.fixture(scope="module")
 def nested(spark, opened):
     review = opened({1: ["a", "b", "c", "d"], 2: ["a", "b", "c", "d"]})
     both = [(d, 0, i, 1) for d in (1, 2) for i in (0, 1)]
@@ -131,8 +133,8 @@ def nested(spark, opened):
     return structure.merge_groups(review, spark.createDataFrame([(d, 0, i, 1) for d in (1, 2) for i in (4, 2)], GROUPS), 7)[0].settled()
 
 
-def test_nested_merges_come_back(spark, opened):
-    review = nested(spark, opened)
+def test_nested_merges_come_back(spark, nested):
+    review = nested
     assert content(review).content == "a b c\n\n\nd" and ranges(review) == [(5, "a b c", 0, 5), (3, "d", 8, 9)]
     # document 2's merged element has changed since, so nothing of it is undone
     review = structure.edit_batch(review, spark.createDataFrame([(2, 5, 1, "new")], "document_id long, element_id long, version int, text string"), 7)[0].settled()
@@ -145,9 +147,9 @@ def test_nested_merges_come_back(spark, opened):
     assert after.operations.where("undone").groupBy("document_id").count().collect()[0][:] == (1, 2)
 
 
-def test_undo_one_level_and_only_once(spark, opened):
+def test_undo_one_level_and_only_once(spark, nested):
     chosen = spark.createDataFrame([(1, 5)], "document_id long, operation_id long")
-    review, outcomes, restored = structure.undo_merges(nested(spark, opened), chosen, 7)
+    review, outcomes, restored = structure.undo_merges(nested, chosen, 7)
     assert errors(outcomes) == {1: None} and {r.element_id for r in restored.collect()} == {4, 2}
     assert [x[:2] for x in ranges(review)] == [(4, "a b"), (2, "c"), (3, "d")]
     assert review.operations.where("document_id = 1 AND operation_id = 4").first().merged_version == 3  # follows the restored element
