@@ -36,13 +36,15 @@ class Counter:
     """How tokens are counted.
 
     ``sizes`` measures the texts of an array; sizes of joined texts add up, with ``joint`` for what joins them; ``tokens``
-    are the tokens of a size. A token surely holds ``least_chars`` characters.
+    are the tokens of a size. A token surely holds ``least_chars`` characters. Where a budget is filled, each text counts
+    by itself, and what joins two counts ``between``.
     """
 
     sizes: Callable[[Column], Column]
     tokens: Callable[[Column], Column]
     joint: int
     least_chars: float
+    between: int = 0
 
     def size(self, text: Column) -> Column:
         return self.sizes(F.array(text))[0]
@@ -70,7 +72,8 @@ def by_tokenizer(path: str) -> Counter:
             counts = iter([len(e.ids) for e in tokenizer.encode_batch(flat, add_special_tokens=False)])
             yield pd.Series([None if texts is None else [next(counts) for _ in texts] for texts in lists])
 
-    return Counter(sizes, lambda n: n.cast("int"), 1, 0.25)
+    # marked so that Spark doesn't move the calls into folds, where Python can't run
+    return Counter(sizes.asNondeterministic(), lambda n: n.cast("int"), 1, 0.25, 1)
 
 
 UNIT = ["document_id", "n", "text", "page_number", "element_type", "is_paragraph_start", "table_id", "content_start", "content_end"]
@@ -174,17 +177,26 @@ def _joined_size(sizes: Column, joint: int) -> Column:
 _FULL = 1 << 29
 
 
-def packed(items: Column, budget: Column) -> Column:
-    """Runs of items (tokens, alone, ...): each takes what still fits, an item alone is a run of its own."""
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts"))
+def packed(items: Column, kind: str, budget: Column, between: int) -> Column:
+    """Runs of items (tokens, alone, ...; of the type ``kind``): each takes what still fits, an item alone is a run of its own.
+
+    The fold holds the open run, whose length the budget bounds, and the closed ones.
+    """
+    many = lambda k: F.array().cast(f"array<{k}>")
+    state = F.struct(F.lit(0).alias("held"), many(kind).alias("run"), many(f"array<{kind}>").alias("runs"))
+    closed = lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"])
 
     def step(s: Column, x: Column) -> Column:
-        new = (s["i"] == 0) | x["alone"] | (s["held"] + x["tokens"] > budget)
-        held = F.when(x["alone"], _FULL).when(new, x["tokens"]).otherwise(s["held"] + x["tokens"])
-        return F.struct((s["i"] + 1).alias("i"), held.alias("held"), F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"))
+        new = x["alone"] | (s["held"] + between + x["tokens"] > budget)
+        held = F.when(x["alone"], _FULL).when(new | (F.size(s["run"]) == 0), x["tokens"]).otherwise(s["held"] + between + x["tokens"])
+        run = F.when(new, F.array(x)).otherwise(F.concat(s["run"], F.array(x)))
+        return F.struct(held.alias("held"), run.alias("run"), F.when(new, closed(s)).otherwise(s["runs"]).alias("runs"))
+
+    return F.aggregate(items, state, step, closed)
+
 
-    starts = F.aggregate(items, state, step, lambda s: s["starts"])
-    return F.transform(starts, lambda a, j: F.slice(items, a + 1, F.coalesce(F.get(starts, j + 1), F.size(items)) - a))
+PART = "struct<text:string,size:int,alone:boolean,tokens:int>"
+ITEM = "struct<text:string,size:int,tokens:int,alone:boolean,page_number:int,start:bigint,end:bigint>"
 
 
 def _with_pieces(rows: DataFrame, counter: Counter) -> DataFrame:
@@ -204,10 +216,10 @@ def _with_pieces(rows: DataFrame, counter: Counter) -> DataFrame:
     rows = rows.withColumn("parts", F.flatten(F.transform("parts", cut)))
     rows = rows.withColumn("part_sizes", counter.sizes(F.transform("parts", lambda x: x["text"])))
     sized = F.transform("parts", lambda x, i: F.struct(x["text"].alias("text"), F.get("part_sizes", i).alias("size"), x["alone"].alias("alone"), counter.tokens(F.get("part_sizes", i)).alias("tokens")))
-    rows = rows.withColumn("parts", sized)
+    rows = rows.withColumn("parts", sized.cast(f"array<{PART}>"))
     text = lambda run: F.array_join(F.transform(run, lambda x: x["text"]), " ")
     size = lambda run: _joined_size(F.transform(run, lambda x: x["size"]), counter.joint)
-    runs = F.transform(packed(F.col("parts"), F.col("budget")), lambda run: F.struct(text(run).alias("text"), size(run).cast("int").alias("size")))
+    runs = F.transform(packed(F.col("parts"), PART, F.col("budget"), counter.between), lambda run: F.struct(text(run).alias("text"), size(run).cast("int").alias("size")))
     return rows.withColumn("pieces", F.when(F.col("long"), runs)).drop("parts", "part_sizes")
 
 
@@ -240,7 +252,7 @@ def _drafts(units: DataFrame, counter: Counter, max_tokens: int, keep_heading: b
     each = rows.groupBy("document_id", "group").agg(
         F.array_sort(F.collect_list(F.struct("n", "items"))).alias("units"), *[F.first(c).alias(c) for c in ("heading", "heads", "prefix_size", "header_size", "repeats_prefix", "repeats_header", "budget")]
     )
-    each = each.withColumn("items", F.flatten(F.transform("units", lambda u: u["items"])))
+    each = each.withColumn("items", F.flatten(F.transform("units", lambda u: u["items"])).cast(f"array<{ITEM}>"))
     prefix = F.when(F.col("repeats_prefix"), F.concat("heading", F.lit("\n"))).otherwise("")
     header = F.array_join(F.transform("heads", lambda h: h["text"]), "\n")
 
@@ -254,7 +266,7 @@ def _drafts(units: DataFrame, counter: Counter, max_tokens: int, keep_heading: b
         fields = {"text": F.concat(lead, body), "size": size.cast("int"), "lead": lead, "page_number": F.get(values("page_number"), 0), "start": F.array_min(values("start")), "end": F.array_max(values("end")), "heading": F.col("heading")}
         return F.struct(*[x.alias(k) for k, x in fields.items()])
 
-    return each.select("document_id", "group", F.transform(packed(F.col("items"), F.col("budget")), draft).alias("drafts"))
+    return each.select("document_id", "group", F.transform(packed(F.col("items"), ITEM, F.col("budget"), counter.between), draft).alias("drafts"))
 
 
 def _merged(drafts: Column, counter: Counter, min_tokens: int, max_tokens: int) -> Column:
@@ -282,7 +294,8 @@ def _merged(drafts: Column, counter: Counter, min_tokens: int, max_tokens: int)
         return F.when(s["open"] < 0, s["out"]).when(F.size(s["out"]) == 0, alone).when(back, pulled).otherwise(alone)
 
     def merged(r: Column) -> Column:
-        every, own = F.slice(drafts, r["a"] + 1, r["c"] - r["a"] + 1), F.slice(drafts, r["a"] + 1, r["b"] - r["a"] + 1)
+        part = lambda end: F.when(r["a"] == end, F.array(F.get(drafts, r["a"]))).otherwise(F.slice(drafts, r["a"] + 1, end - r["a"] + 1))
+        every, own = part(r["c"]), part(r["b"])
         values = lambda rows, c: F.array_compact(F.transform(rows, lambda d: d[c]))
         fields = {
             "text": F.array_join(F.transform(every, lambda d: d["text"]), "\n"), "size": r["size"], "lead": own[0]["lead"], "page_number": F.get(values(own, "page_number"), 0), "start": F.get(values(own, "start"), 0),

@@ -487,6 +487,37 @@ def review_batch_edit(v: Views) -> DataFrame:
 # Chunks
 
 
+def _chunk_units(v: Views) -> DataFrame:
+    """Lines as units: tables with and without ids, paragraph starts and footers by the number of the line."""
+    n, i = F.col("n"), F.col("document_id")
+    kind = F.when(n % 9 == 8, "HEADER_FOOTER").when((n % 13).isin(5, 6, 7), F.when(n % 13 == 5, "TABLE_HEADER").otherwise("TABLE_ROW")).when(n % 11 == 3, "HEADING").otherwise("TEXT_LINE")
+    text = F.when((n + i) % 7 == 2, F.concat(F.lit("가. "), F.col("text"))).otherwise(F.col("text"))
+    table = F.when((n % 13).isin(5, 6, 7) & (i % 3 != 0), F.floor((n + i % 2) / 7).cast("int"))
+    return chunking.units_of_lines(v.units).withColumns({"element_type": kind, "text": text, "table_id": table, "is_paragraph_start": n % 4 == 1})
+
+
+@query("""WITH u AS (
+      SELECT document_id, line_no AS n, (line_no + document_id) % 7 = 2 AS listed, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare, line_no % 13 IN (5, 6, 7) AND line_no % 9 <> 8 AS tab, line_no % 11 = 3 AND line_no % 13 NOT IN (5, 6, 7) AS head,
+        CASE WHEN line_no % 13 IN (5, 6, 7) AND document_id % 3 <> 0 THEN ((line_no + document_id % 2) // 7)::INT END AS tid, line_no % 4 = 1 AS para FROM v_units WHERE line_no % 9 <> 8),
+    w AS (SELECT *, CASE WHEN listed THEN '가. ' || bare ELSE bare END AS text, head AND NOT listed AS title, lag(tab) OVER o AS was, lag(CASE WHEN tab THEN tid END) OVER o AS was_in FROM u WINDOW o AS (PARTITION BY document_id ORDER BY n)),
+    g AS (SELECT *, sum((title OR was IS NULL OR CASE WHEN tab THEN CASE WHEN was_in IS NULL THEN NOT was ELSE was_in IS DISTINCT FROM tid END ELSE was_in IS NOT NULL OR para AND NOT listed END)::INT) OVER o AS "group",
+        last_value(CASE WHEN title THEN text END IGNORE NULLS) OVER o AS heading FROM w WINDOW o AS (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING))
+    SELECT document_id, "group"::INT AS "group", any_value(heading) AS heading, nullif(arg_max(CASE WHEN tab THEN coalesce(tid, -2) ELSE -1 END, n), -2) AS table_id, min(n) AS first, max(n) AS last, count(*) AS units FROM g GROUP BY 1, 2""")
+def chunk_groups(v: Views) -> DataFrame:
+    found = chunking.chunk_groups(_chunk_units(v))
+    last = _chunk_units(v).select("document_id", F.col("n").alias("last"), F.col("element_type").isin(*chunking.TABLE_KINDS).alias("tab"))
+    found = found.join(last, ["document_id", "last"])
+    return found.select("document_id", "group", "heading", F.when(F.col("tab"), F.col("table_id")).otherwise(-1).alias("table_id"), "first", "last", "units")
+
+
+@query("""WITH k AS (SELECT document_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS key FROM v_units),
+    t AS (SELECT key, count(DISTINCT document_id) AS n FROM k WHERE length(key) <= 80 AND key <> '' GROUP BY key HAVING count(DISTINCT document_id) >= greatest(3, floor((SELECT count(DISTINCT document_id) FROM v_units) * 0.02::DOUBLE + 0.5)))
+    SELECT key, n AS groups, (SELECT regexp_replace(arg_min(line, (u.document_id, u.line_no)), '^\\s+|\\s+$', '', 'g') FROM v_units u JOIN k USING (document_id, line_no) WHERE k.key = t.key) AS sample FROM t""")
+def noise_report(v: Views) -> DataFrame:
+    units = chunking.units_of_lines(v.units).withColumn("element_type", F.lit(chunking.LINE))
+    return chunking.noise_report(units, [], ["document_id"], ["document_id", "n"], ratio=0.02)
+
+
 @query(None)
 def chunk_documents(v: Views) -> DataFrame:
     return chunking.chunk_documents(v.units)

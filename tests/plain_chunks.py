@@ -125,7 +125,7 @@ def chunks(units, most=480, least=30, overlap=48):
     out = []
     for before, d in zip([None, *drafts], drafts):
         text = d["text"]
-        tail = tail_of(before["text"], overlap) if before else ""
+        tail = tail_of(before["text"], overlap) if before and overlap else ""
         if tail:
             lead = ""
             if d["lead"] and text.startswith(d["lead"]):
