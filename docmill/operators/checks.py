@@ -85,7 +85,7 @@ def latest_by_type(analyses: DataFrame) -> DataFrame:
 
 # The lines of a summary report.
 RULE, THIN = "=" * 46, "-" * 46
-REPORT = ("문서 요약 보고서", "파일명      : ", "문서 유형   : ", "업로드 일시 : ", "분석 일시   : ", "[카테고리]", "(분류 근거: ", ")", "[요약]", "생성: PDF Brief AI")
+REPORT = ("문서 요약 보고서", "파일명      : ", "문서 유형   : ", "업로드 일시 : ", "분석 일시   : ", "[카테고리]", "(분류 근거: ", ")", "[요약]", "생성: ")
 
 
 def date_text(value: Column) -> Column:
@@ -93,8 +93,8 @@ def date_text(value: Column) -> Column:
     return F.coalesce(F.date_format(value, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
 
 
-def summary_report(documents: DataFrame, analyses: DataFrame, summary: str = "SUMMARY", category: str = "CATEGORY") -> DataFrame:
-    """document_id, filename, content of a text report for each document that has a summary or a category."""
+def summary_report(documents: DataFrame, analyses: DataFrame, summary: str = "SUMMARY", category: str = "CATEGORY", maker: str = "docmill") -> DataFrame:
+    """document_id, filename, content of a text report for each document that has a summary or a category; ``maker`` signs it."""
     newest = latest_by_type(analyses.where(F.col("analyzer_type").isin(summary, category)))
     field = lambda kind, name: F.max(F.when(F.col("analyzer_type") == kind, F.get_json_object("result_json", f"$.{name}")))
     at = lambda kind: F.max(F.when(F.col("analyzer_type") == kind, F.col("created_at")))
@@ -108,7 +108,7 @@ def summary_report(documents: DataFrame, analyses: DataFrame, summary: str = "SU
     lines = [
         F.lit(RULE), F.lit(title), F.lit(RULE), F.concat(F.lit(file_), "filename"), F.concat(F.lit(kind), F.coalesce("document_type", F.lit("None"))),
         F.concat(F.lit(uploaded), date_text(F.col("created_at"))), F.concat(F.lit(analyzed), date_text(F.col("analyzed_at"))), F.lit(THIN),
-        F.lit(category_), dash("category"), F.concat(F.lit(because), dash("reason"), F.lit(close)), F.lit(""), F.lit(summary_), dash("summary"), F.lit(THIN), F.lit(end),
+        F.lit(category_), dash("category"), F.concat(F.lit(because), dash("reason"), F.lit(close)), F.lit(""), F.lit(summary_), dash("summary"), F.lit(THIN), F.lit(end + maker),
     ]
     base = F.regexp_replace("filename", r"\.[^.]*$", "")
     return joined.select(F.col("id").alias("document_id"), F.concat(base, F.lit("_요약.txt")).alias("filename"), F.array_join(F.array(*lines), "\n").alias("content"))

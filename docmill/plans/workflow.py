@@ -385,7 +385,7 @@ def latest_by_type(v: Views) -> DataFrame:
       coalesce(max(created_at) FILTER (analyzer_type = 'view'), max(created_at)) AS analyzed FROM v_analyses WHERE analyzer_type IN ('view','click') GROUP BY 1)
     SELECT document_id, regexp_replace(filename, '\\.[^.]*$', '') || '_요약.txt' AS filename, concat_ws(chr(10), repeat('=', 46), '문서 요약 보고서', repeat('=', 46),
       '파일명      : ' || filename, '문서 유형   : ' || coalesce(document_type, 'None'), '업로드 일시 : ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'),
-      '분석 일시   : ' || strftime(analyzed, '%Y-%m-%d %H:%M:%S'), repeat('-', 46), '[카테고리]', coalesce(c, '-'), '(분류 근거: -)', '', '[요약]', coalesce(s, '-'), repeat('-', 46), '생성: PDF Brief AI') AS content
+      '분석 일시   : ' || strftime(analyzed, '%Y-%m-%d %H:%M:%S'), repeat('-', 46), '[카테고리]', coalesce(c, '-'), '(분류 근거: -)', '', '[요약]', coalesce(s, '-'), repeat('-', 46), '생성: docmill') AS content
     FROM v_documents d JOIN n ON d.id = document_id""")
 def summary_reports(v: Views) -> DataFrame:
     value = F.get_json_object("result_json", "$.k")

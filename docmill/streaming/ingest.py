@@ -1,4 +1,8 @@
-"""Incremental ingest: documents that arrive become chunks, once for each text version and model."""
+"""Incremental ingest: documents that arrive become chunks, once for each text version and model.
+
+A batch reads and rewrites only the buckets of documents that are due. Completed reviews write a feed of changed
+texts, from which a second stream rebuilds their chunks.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,12 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import running_offset
 from docmill.operators.chunking import chunk_documents
-from docmill.operators.documents import freshness, replace_chunks
+from docmill.operators.documents import freshness
+from docmill.operators.lifecycle import complete_review
+from docmill.streaming.buckets import BucketTable
 
 DOCUMENT = "document_id long, content string, text_version int"
+CHUNK = "document_id long, seq long, text string, token_count int, page_number int, content_start long, content_end long, heading string, text_version int, embedding_model string"
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -19,32 +26,72 @@ def lines(documents: DataFrame) -> DataFrame:
     return placed.where(F.col("line").rlike(r"[^\s\p{Z}\x{85}\x1c-\x1f]")).withColumn("content_end", F.col("content_start") + F.length("line"))
 
 
-def rebuild(current: DataFrame, arrived: DataFrame, model: str) -> DataFrame:
-    """Chunks after documents arrived: fresh ones stay, the others are replaced. Twice gives the same."""
-    newest = arrived.groupBy("document_id").agg(F.max_by(F.struct("content", "text_version"), "text_version").alias("d"))
-    newest = newest.select("document_id", "d.content", "d.text_version")
-    stale = freshness(current, newest, model).where("NOT is_fresh").select("document_id")
-    due = newest.join(stale, "document_id", "left_semi")
-    made = chunk_documents(lines(due)).join(due.select("document_id", "text_version"), "document_id")
-    made = made.select("document_id", "seq", "text", "text_version", F.lit(model).alias("embedding_model"))
-    return replace_chunks(current, made)
+def newest(arrived: DataFrame) -> DataFrame:
+    """The last text version of each document that arrived."""
+    last = arrived.groupBy("document_id").agg(F.max_by(F.struct("content", "text_version"), "text_version").alias("d"))
+    return last.select("document_id", "d.content", "d.text_version")
 
 
-def run(spark: SparkSession, source: str, chunks: str, checkpoint: str, model: str = "hash", **trigger):
-    """A streaming query from a folder of Parquet documents to versions of a chunk table.
+def due(current: DataFrame, arrived: DataFrame, model: str) -> DataFrame:
+    """Documents whose chunks are missing or older than their text; a blank one only if it has chunks to lose."""
+    blank = ~F.col("content").rlike(r"[^\s\p{Z}\x{85}\x1c-\x1f]") | F.col("content").isNull()
+    last = newest(arrived)
+    stale = freshness(current, last, model).where("NOT is_fresh").select("document_id")
+    held = current.select("document_id").distinct().withColumn("held", F.lit(True))
+    late = current.groupBy("document_id").agg(F.max("text_version").alias("known"))
+    found = last.join(stale, "document_id", "left_semi").join(held, "document_id", "left").join(late, "document_id", "left")
+    return found.where(~blank | F.col("held")).where(F.coalesce("known", F.lit(-1)) <= F.col("text_version")).select(*last.columns)
+
+
+def made(documents: DataFrame, model: str) -> DataFrame:
+    """Chunks of documents, with the text version and the model they are made for."""
+    chunks = chunk_documents(lines(documents)).join(documents.select("document_id", "text_version"), "document_id")
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    return chunks.withColumn("embedding_model", F.lit(model)).select(*names)
+
+
+def chunk_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    return BucketTable(spark, path, CHUNK, buckets=buckets)
 
-    Each batch writes a version of its own and reads the one before, so a batch that is run again
-    after a failure gives the same version. Late or repeated documents change nothing.
-    """
-    schema = "document_id long, seq long, text string, text_version int, embedding_model string"
 
-    def version(number: int) -> str:
-        return f"{chunks}/version={number}"
+def ingest_batch(table: BucketTable, arrived: DataFrame, number: int, model: str) -> None:
+    """One batch of documents. Late or repeated ones change nothing, and a batch that is run again does the same."""
+    arrived = newest(arrived)
+    current = table.rows(number, table.touched(arrived))
+    changed = due(current, arrived, model)
+    touched = table.touched(changed)
+    if not touched:
+        return
+    kept = table.rows(number, touched).join(changed.select("document_id"), "document_id", "left_anti")
+    table.replace(number, kept.unionByName(made(changed, model)), touched)
+    table.vacuum()
 
-    def batch(arrived: DataFrame, number: int) -> None:
-        empty = spark.createDataFrame([], schema)
-        current = spark.read.schema(schema).parquet(version(number - 1)) if number else empty
-        rebuild(current, arrived, model).write.mode("overwrite").parquet(version(number))
 
-    stream = spark.readStream.schema(DOCUMENT).parquet(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def run(spark: SparkSession, source: str, chunks: str, checkpoint: str, model: str = "hash", buckets: int = 64, **trigger):
+    """A streaming query from a folder of Parquet documents (``DOCUMENT``) to a chunk table."""
+    table = chunk_table(spark, chunks, buckets)
+    # every folder level below the source is read, so a feed of batches can be the source
+    stream = spark.readStream.schema(DOCUMENT).option("recursiveFileLookup", "true").parquet(source)
+    work = stream.writeStream.foreachBatch(lambda arrived, number: ingest_batch(table, arrived, number, model))
+    return work.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def complete_batch(elements: BucketTable, contents: BucketTable, requests: DataFrame, number: int, feed: str) -> None:
+    """Complete the reviews of the requested documents, and put their texts into the feed; the same again if it is run again."""
+    asked = requests.select("document_id").distinct()
+    touched = elements.touched(asked)
+    rows, texts = elements.rows(number, touched), contents.rows(number, touched)
+    done, after = complete_review(rows.join(asked, "document_id", "left_semi"), texts.join(asked, "document_id", "left_semi"))
+    after.select("document_id", "content", F.col("text_version").cast("int").alias("text_version")).write.mode("overwrite").parquet(f"{feed}/batch={number}")
+    elements.replace(number, rows.join(asked, "document_id", "left_anti").unionByName(done.select(*rows.columns)), touched)
+    contents.replace(number, texts.join(asked, "document_id", "left_anti").unionByName(after.select(*texts.columns)), touched)
+
+
+def run_reviews(elements: BucketTable, contents: BucketTable, source: str, feed: str, checkpoint: str, **trigger):
+    """A streaming query from a folder of requests (document_id) to the feed of completed texts.
+
+    ``run`` over the feed rebuilds the chunks of each changed text once; a review that changes nothing rebuilds nothing.
+    """
+    stream = elements.spark.readStream.schema("document_id long").parquet(source)
+    work = stream.writeStream.foreachBatch(lambda requests, number: complete_batch(elements, contents, requests, number, feed))
+    return work.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

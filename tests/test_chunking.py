@@ -1,7 +1,6 @@
 """Chunks, context, embeddings and the stream: invariants of what comes out."""
 
 import random
-import tempfile
 import unicodedata
 
 import numpy as np
@@ -13,7 +12,6 @@ from conftest import DATA
 from docmill.functions import embedding, text
 from docmill.operators import chunking
 from docmill.plans.views import Views
-from docmill.streaming import ingest
 
 
 def test_chunks_keep_the_rules(spark):
@@ -127,15 +125,3 @@ def test_hash_embedding(spark):
     assert abs(np.linalg.norm(a) - 1) < 1e-9 and not np.allclose(a, b)
     df = spark.createDataFrame([("text",), (None,)], "x string")
     assert np.allclose(df.select(embedding.hashed(F.col("x"), 100)).first()[0], a)
-
-
-def test_stream_is_idempotent(spark):
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    put = lambda rows: spark.createDataFrame(rows, ingest.DOCUMENT).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    read = lambda n: {(r.document_id, r.text, r.text_version) for r in spark.read.parquet(f"{root}/chunks/version={n}").collect()}
-    put([(1, "first text of one", 1), (2, "text of two", 1)])
-    ingest.run(spark, f"{root}/in", f"{root}/chunks", f"{root}/state").awaitTermination()
-    assert read(0) == {(1, "first text of one", 1), (2, "text of two", 1)}
-    put([(1, "second text of one", 2), (2, "text of two", 1)])
-    ingest.run(spark, f"{root}/in", f"{root}/chunks", f"{root}/state").awaitTermination()
-    assert read(1) == {(1, "second text of one", 2), (2, "text of two", 1)}
