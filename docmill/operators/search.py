@@ -57,7 +57,8 @@ def with_names(hits: DataFrame, documents: DataFrame, projects: DataFrame) -> Da
     return named.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id")
 
 
-def _trigrams(text: str) -> list[str]:
+def trigrams(text: str) -> list[str]:
+    """Three letters at a time of each word in lower case, two blanks before it and one behind."""
     words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
     return [f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)]
 
@@ -82,11 +83,11 @@ def _word_similarity(term: set[str], text: list[str]) -> float:
 
 def word_similarity(text: Column, term: str) -> Column:
     """Trigram word similarity: 1.0 for the word itself, 0 without a common trigram."""
-    wanted = set(_trigrams(term))
+    wanted = set(trigrams(term))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _word_similarity(wanted, _trigrams(t)) if t else 0.0)
+        return texts.map(lambda t: _word_similarity(wanted, trigrams(t)) if t else 0.0)
 
     return score(text)
 
@@ -128,6 +129,34 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
     return fused.orderBy(F.desc("fused"), "document_id", "seq").limit(k)
 
 
+def hybrid_search(
+    chunks: DataFrame, query: list[float], term: str, model: str, projects: list[int], k: int = 20, candidates: int = CANDIDATES, document_id: int | None = None
+) -> DataFrame:
+    """The best chunks of a scope by ranks in two lists, by vectors and by words, with the snippet that fits.
+
+    ``chunks`` has chunk_id, document_id, project_id, seq, text, embedding, embedding_model. Each leg is limited to
+    ``candidates``. A term that is too short skips the leg of words, an empty vector that of vectors, an empty scope finds
+    nothing. A hit by words shows its term, any other its beginning.
+    """
+    term = term.strip()
+    scoped = chunks.where((F.col("embedding_model") == model) & F.col("project_id").isin(*projects))
+    if document_id is not None:
+        scoped = scoped.where(F.col("document_id") == document_id)
+    similarity = F.least(cosine_similarity(F.col("embedding"), F.array(*map(F.lit, query)).cast("array<double>")), F.lit(1.0))
+    near = scoped.where(F.lit(bool(query))).withColumn("score", similarity).select("chunk_id", "document_id", "seq", "score")
+    near = near.orderBy(F.desc("score"), "chunk_id").limit(candidates)
+    if len(term) >= MIN_KEYWORD:
+        words = keyword_topk(scoped, term, candidates).select("chunk_id", "document_id", "seq", "score")
+    else:
+        words = scoped.where("false").select("chunk_id", "document_id", "seq", F.lit(0.0).alias("score"))
+    found = fuse(near, words, k)
+    texts = scoped.select("chunk_id", "text").join(F.broadcast(found), "chunk_id")  # k rows
+    by_words = F.col("match_kind") != "vector"
+    snippet, offset = keyword_snippet(F.col("text"), term) if term else (semantic_snippet(F.col("text")), F.lit(None).cast("int"))
+    shown = {"snippet": F.when(by_words, snippet).otherwise(semantic_snippet(F.col("text"))), "hit_offset": F.when(by_words, offset)}
+    return texts.withColumns(shown).drop("text").orderBy(F.desc("fused"), "document_id", "seq")
+
+
 def group_hits(hits: DataFrame) -> DataFrame:
     """Hits (document_id, rank, similarity) by document, in the order of its best hit."""
     return hits.groupBy("document_id").agg(F.min("rank").alias("best_rank"), F.max("similarity").alias("best_similarity"), F.count("*").alias("hits"))

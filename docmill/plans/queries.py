@@ -184,7 +184,21 @@ def keyword_hits(v: Views) -> DataFrame:
     return search.keyword_hits(_chunks(v), TERM).select("document_id", "seq", "hits")
 
 
-@query(None)
+def _word_similarity_sql(rows: str, term: str) -> str:
+    """document_id, seq, score of rows (document_id, seq, text): the best share of the term's trigrams in any stretch of the text."""
+    wanted = search.trigrams(term)
+    listed, n = ", ".join(f"'{g}'" for g in dict.fromkeys(wanted)), len(set(wanted))
+    return f"""ws_words AS (SELECT document_id, seq, words, unnest(words) AS word, unnest(range(len(words))) AS wi FROM (SELECT document_id, seq, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM ({rows}))),
+    ws_grams AS MATERIALIZED (SELECT document_id, seq, row_number() OVER (PARTITION BY document_id, seq ORDER BY wi, i) AS p, gram, gram IN ({listed}) AS hit FROM (
+      SELECT document_id, seq, wi, i, substr('  ' || word || ' ', i, 3) AS gram FROM (SELECT *, unnest(range(1, length(word) + 2)) AS i FROM ws_words WHERE NOT list_contains(words, '{term}')))),
+    ws_score AS (SELECT document_id, seq, max(c / ({n}::DOUBLE + t - c)) AS score FROM (
+        SELECT a.document_id, a.seq, count(DISTINCT s.gram) AS t, count(DISTINCT s.gram) FILTER (s.hit) AS c FROM ws_grams a JOIN ws_grams b ON a.document_id = b.document_id AND a.seq = b.seq AND a.hit AND b.hit AND a.p <= b.p
+          JOIN ws_grams s ON s.document_id = a.document_id AND s.seq = a.seq AND s.p BETWEEN a.p AND b.p GROUP BY a.document_id, a.seq, a.p, b.p) GROUP BY document_id, seq
+      UNION ALL SELECT DISTINCT document_id, seq, 1.0::DOUBLE FROM ws_words WHERE list_contains(words, '{term}'))"""
+
+
+@query(f"""WITH {_word_similarity_sql("SELECT document_id, line_no AS seq, line AS text FROM v_units WHERE line ILIKE '%ation%'", "ation")}
+    SELECT document_id, seq, round(score, 6) AS score FROM ws_score ORDER BY ws_score.score DESC, document_id, seq LIMIT 30""")
 def word_similarity_topk(v: Views) -> DataFrame:
     return search.keyword_topk(_chunks(v), "ation").select("document_id", "seq", F.round("score", 6).alias("score"))
 
@@ -193,26 +207,30 @@ _CHUNK_VECTORS = """SELECT chunk_id, document_id, chunk_id AS seq,
     least(list_cosine_similarity(embedding, (SELECT embedding FROM v_vectors WHERE chunk_id = 1)), 1.0) AS score FROM v_vectors WHERE embedding_model = 'base'"""
 
 
-@query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM ({_CHUNK_VECTORS}) QUALIFY rank <= 30),
-    b AS (SELECT doc_id AS chunk_id, doc_id % 50 AS document_id, doc_id AS seq, (length(text) - length(replace(lower(text), '{TERM}', ''))) // 3 AS score
-      FROM documents WHERE text ILIKE '%{TERM}%'),
-    c AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id, seq) AS rank FROM b QUALIFY rank <= 30)
-    SELECT coalesce(a.chunk_id, c.chunk_id) AS chunk_id, round(coalesce(1 / (60.0 + a.rank), 0) + coalesce(1 / (60.0 + c.rank), 0), 8) AS fused,
-      CASE WHEN c.rank IS NULL THEN 'vector' WHEN a.rank IS NULL THEN 'keyword' ELSE 'both' END AS match_kind
-    FROM a FULL JOIN c ON a.chunk_id = c.chunk_id
-    ORDER BY coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(1 / (60.0::DOUBLE + c.rank), 0) DESC,
-      coalesce(a.document_id, c.document_id), coalesce(a.seq, c.seq) LIMIT 20""")
+_SCOPED = f"""SELECT chunk_id, chunk_id % 50 AS document_id, chunk_id AS seq, content AS text, embedding FROM v_vectors v JOIN v_texts t ON t.document_id = chunk_id
+    WHERE embedding_model = 'base' AND v.project_id IN (SELECT project_id FROM v_members WHERE user_id = {USER})"""
+
+
+def _whole_chunks(v: Views) -> DataFrame:
+    """Texts with vectors as chunks of their own."""
+    texts = v.texts.select(F.col("document_id").alias("chunk_id"), F.col("content").alias("text"))
+    return v.vectors.join(texts, "chunk_id").withColumn("seq", F.col("chunk_id"))
+
+
+@query(f"""WITH s AS ({_SCOPED}), {_word_similarity_sql(f"SELECT document_id, seq, text FROM s WHERE text ILIKE '%{TERM}%'", TERM)},
+    a AS (SELECT chunk_id, document_id, seq, least(list_cosine_similarity(embedding, (SELECT embedding FROM v_vectors WHERE chunk_id = 1)), 1.0) AS score FROM s),
+    n AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM a QUALIFY rank <= 30),
+    c AS (SELECT *, seq AS chunk_id, row_number() OVER (ORDER BY score DESC, document_id, seq) AS rank FROM ws_score QUALIFY rank <= 30)
+    SELECT coalesce(n.chunk_id, c.chunk_id) AS chunk_id, round(coalesce(1 / (60.0 + n.rank), 0) + coalesce(1 / (60.0 + c.rank), 0), 8) AS fused,
+      CASE WHEN c.rank IS NULL THEN 'vector' WHEN n.rank IS NULL THEN 'keyword' ELSE 'both' END AS match_kind
+    FROM n FULL JOIN c ON n.chunk_id = c.chunk_id
+    ORDER BY coalesce(1 / (60.0::DOUBLE + n.rank), 0) + coalesce(1 / (60.0::DOUBLE + c.rank), 0) DESC,
+      coalesce(n.document_id, c.document_id), coalesce(n.seq, c.seq) LIMIT 20""")
 def rrf_hybrid(v: Views) -> DataFrame:
-    similarity = search.cosine_similarity(F.col("embedding"), F.array(*map(F.lit, _query_vector(v))))
-    near = v.vectors.where("embedding_model = 'base'").select(
-        "chunk_id", "document_id", F.col("chunk_id").alias("seq"), F.least(similarity, F.lit(1.0)).alias("score")
-    )
-    near = near.orderBy(F.desc("score"), "chunk_id").limit(search.CANDIDATES)
-    texts = v.texts.select(
-        F.col("document_id").alias("chunk_id"), (F.col("document_id") % 50).alias("document_id"), F.col("document_id").alias("seq"), F.col("content").alias("text")
-    )
-    words = search.keyword_topk(texts, TERM, by_count=True).select("chunk_id", "document_id", "seq", "score")
-    return search.fuse(near, words, 20).select("chunk_id", F.round("fused", 8).alias("fused"), "match_kind")
+    projects = [r[0] for r in search.resolve_scope(v.members, USER).collect()]  # the projects of one user
+    found = search.hybrid_search(_whole_chunks(v), _query_vector(v), TERM, "base", projects)
+    return found.select("chunk_id", F.round("fused", 8).alias("fused"), "match_kind")
+
 
 
 @query("""WITH h AS (SELECT document_id, row_number() OVER (ORDER BY chunk_id) AS rank, chunk_id / 7.0::DOUBLE AS similarity FROM v_vectors)
