@@ -595,6 +595,15 @@ def box_lines(v: Views) -> DataFrame:
     return layout.text_lines(_boxes(v))
 
 
+@query(f"""WITH b AS ({_BOX}) SELECT page, (1 + box // 4)::INT AS line, string_agg(text, ' ' ORDER BY x, box) AS text FROM b GROUP BY 1, 2""")
+def box_lines_mixed(v: Views) -> DataFrame:
+    """Tall boxes and small ones, of which two of a line don't overlap each other."""
+    place = F.col("box") % 4
+    small = place.isin(1, 2)
+    boxes = _boxes(v).withColumns({"y": F.col("y") + F.when(place == 2, 0.055).otherwise(0.0), "height": F.when(small, 0.03).otherwise(0.09)})
+    return layout.text_lines(boxes)
+
+
 @query(f"""WITH b AS ({_BOX}) SELECT page, box // 4 AS "row", string_agg(text, ' | ' ORDER BY box % 4) AS text, min(box) < 4 AS is_header, min(x) AS x, max(x + width) AS x2
     FROM b GROUP BY page, box // 4""")
 def layout_table_rows(v: Views) -> DataFrame:
