@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions.text import is_empty_mark, parse_money, parse_quantity
+
 APPROVED = ("APPROVED", "EDITED")
 
 
@@ -52,15 +54,47 @@ def line_check(items: DataFrame) -> DataFrame:
     return items.select("document_id", "item_name", "quantity", "unit_price", "amount", computed.alias("computed"), (computed == F.col("amount")).alias("matches"))
 
 
-def project_rollup(items: DataFrame) -> DataFrame:
-    """Totals of each project; more than one currency raises CURRENCY_MISMATCH."""
+def project_rollup(items: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Totals of each project; more than one currency raises CURRENCY_MISMATCH.
+
+    ``documents`` (document_id, project_id) are counted with their items or without; if they aren't given, those with items
+    are. A project without items has the default currency and totals of 0.
+    """
     vat = F.coalesce(F.col("category") == "VAT", F.lit(False))
-    sums = items.groupBy("project_id").agg(
-        F.count_distinct("document_id").alias("documents"),
-        F.count_distinct("currency").alias("currencies"),
-        F.coalesce(F.max("currency"), F.lit("KRW")).alias("currency"),
-        F.sum(F.when(~vat, F.col("amount"))).alias("item_total"),
-        F.sum(F.when(vat, F.col("amount"))).alias("vat_total"),
+    each = items.groupBy("project_id", "document_id").agg(
+        F.min("currency").alias("least"), F.max("currency").alias("most"), F.sum(F.when(~vat, F.col("amount"))).alias("items"), F.sum(F.when(vat, F.col("amount"))).alias("vat")
+    )
+    if documents is not None:
+        each = documents.select("project_id", "document_id").distinct().join(each, ["project_id", "document_id"], "left")
+    sums = each.groupBy("project_id").agg(
+        F.count("*").alias("documents"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("items").alias("item_total"), F.sum("vat").alias("vat_total")
     )
-    guard = F.when(F.col("currencies") > 1, F.raise_error(F.lit("CURRENCY_MISMATCH")).cast("string")).otherwise(F.col("currency"))
+    guard = F.when(F.col("least") != F.col("most"), F.raise_error(F.lit("CURRENCY_MISMATCH")).cast("string")).otherwise(F.coalesce("most", F.lit("KRW")))
+    if documents is not None:
+        sums = sums.withColumns({c: F.coalesce(c, F.lit(0)).cast("decimal(38,2)") for c in ("item_total", "vat_total")})
     return sums.select("project_id", "documents", guard.alias("currency"), "item_total", "vat_total")
+
+
+def has_amounts(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """document_id, has_amounts of all documents (document_id)."""
+    held = items.select("document_id").distinct().withColumn("held", F.lit(True))
+    return documents.join(held, "document_id", "left").select("document_id", F.col("held").isNotNull().alias("has_amounts"))
+
+
+#: Texts of an item that may say that they say nothing.
+OPTIONAL = ("unit", "period_from", "period_to", "category", "notes")
+
+
+def normalized_payloads(payloads: DataFrame) -> DataFrame:
+    """Payloads (stated_total, items) with numbers for amounts, prices and quantities, and null for marks of emptiness.
+
+    Items are structs of strings: item_name, amount, unit_price, quantity and ``OPTIONAL``. Payloads without a list of items stay
+    without one, null items stay null.
+    """
+
+    def fixed(item: Column) -> Column:
+        own = {"item_name": item["item_name"], "amount": parse_money(item["amount"]), "unit_price": parse_money(item["unit_price"]), "quantity": parse_quantity(item["quantity"])}
+        own |= {c: F.when(~is_empty_mark(item[c]), item[c]) for c in OPTIONAL}
+        return F.when(item.isNotNull(), F.struct(*[x.alias(c) for c, x in own.items()]))
+
+    return payloads.withColumns({"stated_total": parse_money(F.col("stated_total")), "items": F.transform("items", fixed)})

@@ -100,3 +100,42 @@ def scalars(boxes: DataFrame) -> DataFrame:
 
 def median_heights(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("page").agg(F.percentile("height", F.lit(0.5)).alias("median_height"))
+
+
+# Limits of an image's measures, the steps in the order in which they run, and why each is chosen.
+NARROW, NARROW_UNREAD, SMALL_TEXT, LOW_COLOR, LOW_CONTRAST, POOR_CONTRAST, NOISY, CALM, UNEVEN_LIGHT, BLURRED, SKEWED = 1000, 700, 18, 0.02, 70, 55, 10, 6, 18, 45, 0.12
+STEPS = ("to_grayscale", "upscale", "adjust_contrast", "denoise", "invert", "binarize", "adaptive_binarize", "sharpen")
+WHY = (
+    "글자 또는 이미지 크기가 작아 확대", "어두운 배경과 밝은 글자가 감지되어 반전", "흑백 문서의 대비가 낮아 CLAHE 적용", "점 형태의 노이즈가 많아 제거",
+    "조명이 불균일해 적응형 이진화", "조명이 균일한 저대비 문서라 Otsu 이진화", "약한 흐림이 감지되어 글자 경계 강조", "품질이 충분해 원본 RGB 사용",
+)
+
+
+def preprocess_plans(images: DataFrame) -> DataFrame:
+    """Images with the steps to prepare them, the reasons, and what else to switch on, by their measures alone.
+
+    Measures are width, text_height (null: unknown), color_ratio, contrast, noise_score, illumination_score, blur_score,
+    perspective_score, dark_background, rotation_suspected.
+    """
+    c = F.col
+    known = c("text_height").isNotNull()
+    gray_like = c("color_ratio") < LOW_COLOR
+    upscale = F.when(known, (c("width") < NARROW) & (c("text_height") < SMALL_TEXT)).otherwise(c("width") < NARROW_UNREAD)
+    invert = c("dark_background")
+    contrast = ~invert & gray_like & (c("contrast") < LOW_CONTRAST)
+    denoise = gray_like & (c("noise_score") > NOISY)
+    poor = gray_like & (c("contrast") < POOR_CONTRAST)
+    adaptive, plain = poor & (c("illumination_score") >= UNEVEN_LIGHT), poor & (c("illumination_score") < UNEVEN_LIGHT)
+    sharpen = known & (c("blur_score") < BLURRED) & (c("noise_score") < CALM) & ~poor
+    gray = invert | contrast | denoise | poor | sharpen
+    pick = lambda names, tests: F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in zip(names, tests)]))
+    reasons = pick(WHY, (upscale, invert, contrast, denoise, adaptive, plain, sharpen))
+    return images.withColumns(
+        {
+            "steps": pick(STEPS, (gray, upscale, contrast, denoise, invert, plain, adaptive, sharpen)),
+            "reasons": F.when(F.size(reasons) == 0, F.array(F.lit(WHY[-1]))).otherwise(reasons),
+            "use_doc_orientation_classify": c("rotation_suspected"),
+            "use_doc_unwarping": c("perspective_score") >= SKEWED,
+            "use_textline_orientation": c("rotation_suspected"),
+        }
+    )

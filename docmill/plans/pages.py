@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as t
-from docmill.operators import pages
+from docmill.operators import amounts, geometry, pages
 from docmill.plans.registry import query
 from docmill.plans.views import Views
 
@@ -103,3 +103,64 @@ def initial_elements(v: Views) -> DataFrame:
         F.lit("DETECTED").alias("element_type_source"), F.lit(False).alias("is_paragraph_start"), none.alias("content_start"), none.alias("content_end"),
     )
     return pages.initial_elements(elements, contents).drop("y")
+
+
+# Amount payloads and the plan of an image's preparation
+
+_WORDS = "CASE WHEN i % 7 = 0 THEN '미정' WHEN i % 7 = 1 THEN ' N/A ' WHEN i % 7 = 2 THEN '' ELSE 'note ' || i END"
+
+
+def _payloads(v: Views) -> DataFrame:
+    """Orders as answers of a model: amounts with marks of currency, quantities with units, marks of emptiness."""
+    i = F.col("l_linenumber") + F.col("l_orderkey")
+    word = F.when(i % 7 == 0, "미정").when(i % 7 == 1, " N/A ").when(i % 7 == 2, "").otherwise(F.concat(F.lit("note "), i.cast("string")))
+    amount = F.concat(F.format_string("%,d", F.floor("l_extendedprice").cast("long")), F.when(i % 3 == 0, "원").otherwise(" KRW"))
+    price = F.when(i % 4 == 0, "-").when(i % 4 == 1, F.concat(F.floor("l_extendedprice").cast("string"), F.lit(".5"))).otherwise(F.floor("l_extendedprice").cast("string"))
+    item = F.struct(
+        F.col("l_linenumber").alias("n"), F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("item_name"), amount.alias("amount"), price.alias("unit_price"),
+        F.concat(F.floor("l_quantity").cast("string"), F.lit("인월")).alias("quantity"), *[word.alias(c) for c in amounts.OPTIONAL],
+    )
+    listed = v.table("lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return listed.withColumn("stated_total", F.when(F.col("document_id") % 5 == 0, "없음").otherwise(F.concat(F.lit("₩ "), (F.col("document_id") * 1000).cast("string"))))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS document_id, l_linenumber AS n, l_linenumber + l_orderkey AS i, floor(l_extendedprice)::BIGINT AS a, floor(l_quantity)::BIGINT AS q FROM lineitem)
+    SELECT document_id, CASE WHEN document_id % 5 <> 0 THEN (document_id * 1000)::DECIMAL(38,0) END AS stated_total, n, 'item ' || n AS item_name, a::DECIMAL(38,0) AS amount,
+      CASE WHEN i % 4 > 1 THEN a::DECIMAL(38,0) END AS unit_price, q::DECIMAL(18,4) AS quantity, CASE WHEN i % 7 > 2 THEN {_WORDS} END AS unit, CASE WHEN i % 7 > 2 THEN {_WORDS} END AS notes FROM l""")
+def amount_payloads(v: Views) -> DataFrame:
+    found = amounts.normalized_payloads(_payloads(v)).select("document_id", "stated_total", F.posexplode("items").alias("at", "item"))
+    raw = _payloads(v).select("document_id", F.posexplode("items").alias("at", "raw")).select("document_id", "at", F.col("raw.n").alias("n"))
+    return found.join(raw, ["document_id", "at"]).select("document_id", "stated_total", "n", *[F.col(f"item.{c}").alias(c) for c in ("item_name", "amount", "unit_price", "quantity", "unit", "notes")])
+
+
+@query("""WITH d AS (SELECT o_orderkey AS document_id, c_nationkey AS project_id FROM orders JOIN customer ON o_custkey = c_custkey),
+    i AS (SELECT project_id, document_id, sum(CASE WHEN category IS DISTINCT FROM 'VAT' THEN amount END) AS a, sum(CASE WHEN category = 'VAT' THEN amount END) AS b FROM v_amount_items WHERE decision = 'APPROVED' GROUP BY ALL)
+    SELECT project_id, count(*) AS documents, 'KRW' AS currency, coalesce(sum(a), 0)::DECIMAL(38,2) AS item_total, coalesce(sum(b), 0)::DECIMAL(38,2) AS vat_total FROM d LEFT JOIN i USING (project_id, document_id) GROUP BY project_id""")
+def amount_rollup_with_empty(v: Views) -> DataFrame:
+    documents = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("document_id"), F.col("c_nationkey").alias("project_id"))
+    return amounts.project_rollup(v.amount_items.where("decision = 'APPROVED'"), documents)
+
+
+@query("""SELECT o_orderkey AS document_id, o_orderkey IN (SELECT document_id FROM v_amount_items WHERE decision = 'APPROVED') AS has_amounts FROM orders""")
+def amount_presence(v: Views) -> DataFrame:
+    return amounts.has_amounts(v.table("orders").select(F.col("o_orderkey").alias("document_id")), v.amount_items.where("decision = 'APPROVED'"))
+
+
+_IMAGES = """SELECT p_partkey AS id, (p_size * 40)::INT AS width, CASE WHEN p_partkey % 5 <> 0 THEN (p_size % 30)::INT END AS text_height, (p_partkey % 10) / 200::DOUBLE AS color_ratio, p_partkey % 100 AS contrast,
+    p_partkey % 17 AS noise_score, p_partkey % 31 AS illumination_score, p_partkey % 90 AS blur_score, (p_partkey % 25) / 100::DOUBLE AS perspective_score, p_partkey % 7 = 0 AS dark, p_partkey % 11 = 0 AS turned FROM part"""
+
+
+@query(f"""WITH i AS ({_IMAGES}), t AS (SELECT *, color_ratio < 0.02 AS gray, CASE WHEN text_height IS NOT NULL THEN width < {geometry.NARROW} AND text_height < 18 ELSE width < 700 END AS up,
+      color_ratio < 0.02 AND contrast < 55 AS poor FROM i),
+    u AS (SELECT *, NOT dark AND gray AND contrast < 70 AS lift, gray AND noise_score > 10 AS noisy, coalesce(text_height IS NOT NULL AND blur_score < 45 AND noise_score < 6 AND NOT poor, false) AS sharp FROM t)
+    SELECT id, concat_ws(',', CASE WHEN dark OR lift OR noisy OR poor OR sharp THEN 'to_grayscale' END, CASE WHEN up THEN 'upscale' END, CASE WHEN lift THEN 'adjust_contrast' END, CASE WHEN noisy THEN 'denoise' END,
+        CASE WHEN dark THEN 'invert' END, CASE WHEN poor AND illumination_score < 18 THEN 'binarize' END, CASE WHEN poor AND illumination_score >= 18 THEN 'adaptive_binarize' END, CASE WHEN sharp THEN 'sharpen' END) AS steps,
+      greatest(1, up::INT + dark::INT + lift::INT + noisy::INT + poor::INT + sharp::INT) AS reasons, turned AS use_doc_orientation_classify, perspective_score >= 0.12 AS use_doc_unwarping FROM u""")
+def preprocess_plans(v: Views) -> DataFrame:
+    k = F.col("p_partkey")
+    images = v.table("part").select(
+        k.alias("id"), (F.col("p_size") * 40).cast("int").alias("width"), F.when(k % 5 != 0, (F.col("p_size") % 30).cast("int")).alias("text_height"), ((k % 10) / 200).alias("color_ratio"), (k % 100).alias("contrast"),
+        (k % 17).alias("noise_score"), (k % 31).alias("illumination_score"), (k % 90).alias("blur_score"), ((k % 25) / 100).alias("perspective_score"), (k % 7 == 0).alias("dark_background"), (k % 11 == 0).alias("rotation_suspected"),
+    )
+    found = geometry.preprocess_plans(images)
+    return found.select("id", F.array_join("steps", ",").alias("steps"), F.size("reasons").alias("reasons"), "use_doc_orientation_classify", "use_doc_unwarping")
