@@ -156,7 +156,7 @@ def _undone(v: Views) -> tuple[structure.Review, DataFrame]:
     live = review.elements.where("NOT is_deleted")
     made = review.operations.select("document_id", F.col("survivor_id").alias("element_id"))
     heads = live.join(made, ["document_id", "element_id"], "left_semi")
-    behind = live.where(_I % 4 == 2).join(heads.select("document_id", "page_id"), ["document_id", "page_id"], "left_semi")
+    behind = live.where(F.col("reading_order") % 4 == 2).join(heads.select("document_id", "page_id"), ["document_id", "page_id"], "left_semi")
     pages = behind.select("document_id", "page_id")
     groups = heads.join(pages, ["document_id", "page_id"], "left_semi").unionByName(behind).select("document_id", F.col("page_id").alias("step"), "element_id", "version")
     review = structure.merge_groups(review, groups, USER)[0].settled()
