@@ -6,25 +6,32 @@ some of which ask for what isn't allowed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.operators import lifecycle, structure
 from docmill.plans.registry import USER, query
 from docmill.plans.views import Views
 
-_I, _KIND = F.col("element_id"), F.col("document_id") % 6
+
+
+def _i() -> Column:
+    return F.col("element_id")
+
+
+def _kind() -> Column:
+    return F.col("document_id") % 6
 
 
 def _opened(v: Views) -> structure.Review:
     rows = v.elements.select("document_id", F.col("reading_order").cast("long").alias("reading_order"), "text", "version", "confidence")
     rows = rows.withColumns({"is_deleted": F.lit(False), "is_excluded": F.lit(False)})
     placed, contents = lifecycle.start_review(rows)
-    height = F.when(_KIND == 4, 0.02).otherwise(0.1)
+    height = F.when(_kind() == 4, 0.02).otherwise(0.1)
     elements = placed.withColumn("element_id", F.col("reading_order")).select(
-        "document_id", "element_id", F.floor(_I / 4).alias("page_id"), "reading_order", "text", F.lit(0.1).alias("x"), ((_I % 4) * F.lit(0.2)).alias("y"), F.lit(0.8).alias("width"),
+        "document_id", "element_id", F.floor(_i() / 4).alias("page_id"), "reading_order", "text", F.lit(0.1).alias("x"), ((_i() % 4) * F.lit(0.2)).alias("y"), F.lit(0.8).alias("width"),
         height.alias("height"), "confidence", F.lit("OCR").alias("source"), F.lit("PARAGRAPH").alias("element_type"), F.lit("DETECTED").alias("element_type_source"),
-        (_I % 4 == 0).alias("is_paragraph_start"), "version", "is_deleted", "is_excluded", "is_in_content", "content_start", "content_end",
+        (_i() % 4 == 0).alias("is_paragraph_start"), "version", "is_deleted", "is_excluded", "is_in_content", "content_start", "content_end",
     )
     chars = rows.groupBy("document_id").agg(F.sum(F.length("text")).alias("ocr_char_count"))
     contents = contents.join(chars, "document_id").withColumn("is_confirmed", F.lit(True))
@@ -52,17 +59,17 @@ _DOCUMENT = """document_id, {error} AS error, {content} AS content, length({cont
 
 def _batch(v: Views) -> tuple[structure.Review, DataFrame]:
     review = _opened(v)
-    text = F.when((_KIND < 2) & (_I % 2 == 0), F.concat(F.lit("new "), F.col("document_id").cast("string")))
-    first = _I == 0
+    text = F.when((_kind() < 2) & (_i() % 2 == 0), F.concat(F.lit("new "), F.col("document_id").cast("string")))
+    first = _i() == 0
     changes = review.elements.select(
         "document_id",
-        F.when((_KIND == 5) & first, _I + 1000).otherwise(_I).alias("element_id"),
-        (F.col("version") + (_KIND.isin(1, 5) & first).cast("int")).alias("version"),
+        F.when((_kind() == 5) & first, _i() + 1000).otherwise(_i()).alias("element_id"),
+        (F.col("version") + (_kind().isin(1, 5) & first).cast("int")).alias("version"),
         text.alias("text"),
-        F.when((_KIND == 0) & (_I % 4 == 3), True).alias("is_excluded"),
-        F.when((_KIND == 2) & first, "TABLE_ROW").when((_KIND == 4) & first, "HEADING").alias("element_type"),
-        F.when((_KIND == 2) & first, True).alias("is_paragraph_start"),
-        F.when(_KIND == 3, 0.15).alias("x"),
+        F.when((_kind() == 0) & (_i() % 4 == 3), True).alias("is_excluded"),
+        F.when((_kind() == 2) & first, "TABLE_ROW").when((_kind() == 4) & first, "HEADING").alias("element_type"),
+        F.when((_kind() == 2) & first, True).alias("is_paragraph_start"),
+        F.when(_kind() == 3, 0.15).alias("x"),
     )
     return structure.edit_batch(review, changes, USER)
 
@@ -98,14 +105,14 @@ def review_batch_revisions(v: Views) -> DataFrame:
 
 def _merged(v: Views) -> tuple[structure.Review, DataFrame]:
     review = _opened(v)
-    second = F.when(_KIND == 2, 2).otherwise(1)
+    second = F.when(_kind() == 2, 2).otherwise(1)
     pages = Window.partitionBy("document_id", "page_id")
-    rows = review.elements.where((_I % 4 == 0) | (_I % 4 == second)).withColumn("n", F.count("*").over(pages)).where("n = 2")
+    rows = review.elements.where((_i() % 4 == 0) | (_i() % 4 == second)).withColumn("n", F.count("*").over(pages)).where("n = 2")
     groups = rows.select(
         "document_id",
         F.col("page_id").alias("step"),
-        (_I + F.when(_KIND == 3, 1000).otherwise(0)).alias("element_id"),
-        (F.col("version") + ((_KIND == 1) & (_I % 4 == 0)).cast("int")).alias("version"),
+        (_i() + F.when(_kind() == 3, 1000).otherwise(0)).alias("element_id"),
+        (F.col("version") + ((_kind() == 1) & (_i() % 4 == 0)).cast("int")).alias("version"),
     )
     return structure.merge_groups(review, groups, USER)
 
@@ -186,12 +193,12 @@ def review_merge_undo_elements(v: Views) -> DataFrame:
 
 def _split(v: Views) -> tuple[structure.Review, DataFrame]:
     review = _opened(v)
-    requests = review.elements.where(_I % 4 == 2).select(
+    requests = review.elements.where(_i() % 4 == 2).select(
         "document_id",
         "element_id",
-        (F.col("version") + (_KIND == 1).cast("int")).alias("version"),
-        F.when(_KIND == 0, "VERTICAL").otherwise("HORIZONTAL").alias("orientation"),
-        F.when(_KIND == 2, 0.05).otherwise(0.25).alias("ratio"),
+        (F.col("version") + (_kind() == 1).cast("int")).alias("version"),
+        F.when(_kind() == 0, "VERTICAL").otherwise("HORIZONTAL").alias("orientation"),
+        F.when(_kind() == 2, 0.05).otherwise(0.25).alias("ratio"),
         F.substring("text", 1, 5).alias("first_text"),
         F.expr("substring(text, 6)").alias("second_text"),
     )
