@@ -14,7 +14,6 @@ from docmill.plans.registry import USER, query
 from docmill.plans.views import Views
 
 
-
 def _i() -> Column:
     return F.col("element_id")
 
