@@ -45,7 +45,7 @@ def project_members(members: DataFrame, users: DataFrame, project_id: int) -> Da
 
 
 def invite(invitations: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
-    """Invitations after requests (project_id, invitee_id, inviter_id, role, at), one for a project and person.
+    """What becomes of requests (project_id, invitee_id, inviter_id, role, at), one for a project and person.
 
     ``outcome`` is DUPLICATE_MEMBER for members and for oneself, OWNER_ROLE_RESERVED, DUPLICATE_INVITATION
     while one is open, RESET where an answered one is opened again, or NEW.
@@ -63,6 +63,28 @@ def invite(invitations: DataFrame, members: DataFrame, asked: DataFrame) -> Data
     return joined.select(*asked.columns, outcome.alias("outcome"))
 
 
+def invited(invitations: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """The stored invitations (id, project_id, invitee_id, invited_by, role, status, created_at, responded_at) after requests.
+
+    One that is opened again keeps its id and takes the request's role, inviter and time; new ones have a null id until
+    they are stored. Of several requests for one project and person the earliest counts, then the smallest inviter: the
+    others would find it open. Refused requests change nothing.
+    """
+    key = ["project_id", "invitee_id"]
+    judged = invite(invitations, members, asked).where("outcome IN ('RESET', 'NEW')")
+    first = judged.groupBy(*key).agg(F.min(F.struct("at", "inviter_id", "role", "outcome")).alias("now"))
+    joined = invitations.join(first, key, "full_outer")
+    opened = F.col("now").isNotNull()
+    own = {
+        "invited_by": F.when(opened, F.col("now.inviter_id")).otherwise(F.col("invited_by")),
+        "role": F.when(opened, F.col("now.role")).otherwise(F.col("role")),
+        "status": F.when(opened, "PENDING").otherwise(F.col("status")),
+        "created_at": F.when(opened, F.col("now.at")).otherwise(F.col("created_at")),
+        "responded_at": F.when(~opened, F.col("responded_at")),
+    }
+    return joined.select(*[own.get(c, F.col(c)).alias(c) for c in invitations.columns])
+
+
 def answer(invitations: DataFrame, answers: DataFrame) -> DataFrame:
     """Invitations after answers (id, answer: ACCEPTED, DECLINED or CANCELED); closed ones raise INVITATION_NOT_PENDING."""
     joined = invitations.join(answers, "id", "left")

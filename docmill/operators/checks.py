@@ -114,7 +114,7 @@ def summary_report(documents: DataFrame, analyses: DataFrame, summary: str = "SU
     return joined.select(F.col("id").alias("document_id"), F.concat(base, F.lit("_요약.txt")).alias("filename"), F.array_join(F.array(*lines), "\n").alias("content"))
 
 
-# What a plan's line must hold to be kept, and what it must not begin with.
+#: Words of which a line of a Spark plan must hold one to be kept.
 PLAN_LINES = ("Scan", "Filter", "Join", "Exchange", "Sort", "Limit", "Aggregate", "Window", "Project", "TakeOrdered")
 
 

@@ -123,6 +123,28 @@ def complete_review(elements: DataFrame, contents: DataFrame) -> tuple[DataFrame
     return moved.withColumn("is_in_content", F.when(out, False).when(back, True).otherwise(F.col("is_in_content"))).select(*elements.columns), contents
 
 
+def completed_reviews(documents: DataFrame, contents: DataFrame, elements: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, contents and elements as stored after reviews are completed (document_id, user_id, at), one row each.
+
+    Documents (id, review_status, reviewed_by, reviewed_at) are COMPLETED; contents (with ocr_char_count, is_confirmed,
+    confirmed_by, confirmed_at) have their excluded elements taken out and are confirmed. Other documents stay as
+    they are; an unknown document_id changes nothing, a document without a text is completed all the same.
+    """
+    mark = done.select("document_id", "user_id", "at")
+    one = documents.join(mark.withColumnRenamed("document_id", "id"), "id", "left")
+    reviewed = F.col("at").isNotNull()
+    put = lambda c, value: F.when(reviewed, value).otherwise(F.col(c))
+    own = {"review_status": put("review_status", F.lit("COMPLETED")), "reviewed_by": put("reviewed_by", F.col("user_id")), "reviewed_at": put("reviewed_at", F.col("at"))}
+    stored = one.select(*[own.get(c, F.col(c)).alias(c) for c in documents.columns])
+    ids = mark.select("document_id")
+    plain = ["document_id", "content", "char_count", "text_version"]
+    moved, texts = complete_review(elements.join(ids, "document_id", "left_semi"), contents.join(ids, "document_id", "left_semi").select(*plain))
+    after = texts.join(kept_chars(moved), "document_id", "left").select(*plain, F.coalesce("ocr_char_count", F.lit(0)).cast("long").alias("ocr_char_count"))
+    after = after.join(mark, "document_id").withColumns({"is_confirmed": F.lit(True), "confirmed_by": F.col("user_id"), "confirmed_at": F.col("at")})
+    rest = contents.join(ids, "document_id", "left_anti").unionByName(after.select(*contents.columns))
+    return stored, rest, elements.join(ids, "document_id", "left_anti").unionByName(moved.select(*elements.columns))
+
+
 def kept_chars(elements: DataFrame) -> DataFrame:
     """document_id, ocr_char_count: characters of live elements that aren't excluded."""
     return elements.where("NOT is_deleted AND NOT is_excluded").groupBy("document_id").agg(F.sum(F.length("text")).alias("ocr_char_count"))

@@ -81,45 +81,80 @@ def pending_suggestions(amounts: DataFrame, decisions: DataFrame, schedule: Data
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).agg(F.count("one").alias("pending_suggestions"))
 
 
+# What can't be counted, and why a report can't be made, by kind.
+UNCOUNTABLE = ("completed_tasks",)
+WAITING = ("담을 내용이 없습니다. 승인 대기 중인 제안이 ", "건 있습니다 — 승인하면 담깁니다.")
+NOTHING = {
+    "MEETING_AGENDA": "미결 상태인 결정사항이 없습니다. 안건으로 낼 것이 없습니다.",
+    "DECISION_LOG": "기록된 결정사항이 없습니다.",
+    "WEEKLY_REPORT": "선택한 기간에 문서·결정·일정·금액 변동이 없습니다.",
+    "PROJECT_STATUS": "프로젝트에 담을 내용이 아직 없습니다.",
+}
+COUNTED = ("documents", "decisions", "schedule_items", "amount_items")
+
+
+def _checked_period(kind: str, since: date | None, until: date | None) -> tuple[date | None, date | None]:
+    """The period that a kind looks at, none for most."""
+    if kind not in REPORT_KINDS:
+        raise ValueError("INVALID_DOCUMENT_TYPE")
+    if kind not in NEEDS_PERIOD:
+        return None, None
+    if since is None or until is None:
+        raise ValueError("PERIOD_REQUIRED")
+    if since > until:
+        raise ValueError("INVALID_PROJECT_DATES")
+    return since, until
+
+
+def material(documents: DataFrame, decisions: DataFrame, schedule: DataFrame, amounts: DataFrame, kind: str, since: date | None, until: date | None) -> DataFrame:
+    """project_id and counts of what a report of a kind would hold, and of suggestions that wait; each table is read once."""
+    since, until = _checked_period(kind, since, until)
+    everything = F.lit(kind in ("WEEKLY_REPORT", "PROJECT_STATUS"))
+    waits = F.col("decision") == "PENDING"
+    own = {
+        "documents": (documents, everything & in_period(F.to_date("created_at"), since, until), F.lit(False)),
+        "decisions": (decisions, in_period(F.col("decided_on"), since, until) & (F.lit(kind != "MEETING_AGENDA") | (F.col("status") == "PENDING")), waits),
+        "schedule_items": (schedule, everything & (endpoint_in_period(F.col("starts_on"), F.col("ends_on"), since, until) if since else F.lit(True)), waits),
+        "amount_items": (amounts, everything & in_period(F.col("uploaded_on"), since, until), waits),
+    }
+    parts = None
+    for name, (df, counts, pending) in own.items():
+        n = lambda c: F.count(F.when(c, 1))
+        row = df.groupBy("project_id").agg(n(counts).alias("held"), n(pending).alias("pending"))
+        row = row.select("project_id", *[(F.col("held") if c == name else F.lit(0).cast("long")).alias(c) for c in COUNTED], "pending")
+        parts = row if parts is None else parts.unionByName(row)
+    return parts.groupBy("project_id").agg(*[F.sum(c).alias(c) for c in COUNTED], F.sum("pending").alias("pending_suggestions"))
+
+
+def report_previews(
+    projects: DataFrame, documents: DataFrame, decisions: DataFrame, schedule: DataFrame, amounts: DataFrame,
+    kind: str, since: date | None = None, until: date | None = None,
+) -> DataFrame:
+    """What a report of each project (id) would hold, whether it can be made, and if not why; projects without anything have zeros.
+
+    Only a weekly report looks at the period; other kinds show none. Suggestions that wait don't count towards
+    making it, but are named as the reason. ``uncountable`` lists what isn't counted at all.
+    """
+    since, until = _checked_period(kind, since, until)
+    found = projects.select(F.col("id").alias("project_id")).join(material(documents, decisions, schedule, amounts, kind, since, until), "project_id", "left")
+    found = found.select("project_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (*COUNTED, "pending_suggestions")])
+    can = sum((F.col(c) for c in COUNTED[1:]), F.col(COUNTED[0])) > 0
+    why = F.when(F.col("pending_suggestions") > 0, F.concat(F.lit(WAITING[0]), F.col("pending_suggestions").cast("string"), F.lit(WAITING[1]))).otherwise(NOTHING[kind])
+    return found.select(
+        "project_id", F.lit(kind).alias("kind"), F.lit(since).cast("date").alias("period_from"), F.lit(until).cast("date").alias("period_to"), *COUNTED, "pending_suggestions",
+        can.alias("can_generate"), F.when(~can, why).alias("blocked_reason"), F.lit(kind in NEEDS_PERIOD).alias("needs_period"), F.array(*map(F.lit, UNCOUNTABLE)).alias("uncountable"),
+    )
+
+
 def report_preview(
     documents: DataFrame, decisions: DataFrame, schedule: DataFrame, amounts: DataFrame,
     project_id: int, kind: str, since: date | None = None, until: date | None = None,
 ) -> DataFrame:
-    """What a report would hold: one row of counts, and whether it can be made.
-
-    Only a weekly report looks at the period. Suggestions that wait don't count towards making it.
-    """
-    if kind not in REPORT_KINDS:
-        raise ValueError("INVALID_DOCUMENT_TYPE")
-    if kind in NEEDS_PERIOD:
-        if since is None or until is None:
-            raise ValueError("PERIOD_REQUIRED")
-        if since > until:
-            raise ValueError("INVALID_PROJECT_DATES")
-    else:
-        since = until = None
-    own = F.col("project_id") == project_id
-    everything = kind in ("WEEKLY_REPORT", "PROJECT_STATUS")
-    nothing = F.lit(everything)
-    kept = {
-        "documents": documents.where(own & nothing & in_period(F.to_date("created_at"), since, until)),
-        "decisions": decisions.where(own & in_period(F.col("decided_on"), since, until)),
-        "schedule_items": schedule.where(own & nothing & (endpoint_in_period(F.col("starts_on"), F.col("ends_on"), since, until) if since else F.lit(True))),
-        "amount_items": amounts.where(own & nothing & in_period(F.col("uploaded_on"), since, until)),
-    }
-    if kind == "MEETING_AGENDA":
-        kept["decisions"] = kept["decisions"].where("status = 'PENDING'")
-    waiting = own & (F.col("decision") == "PENDING")
-    kept |= {f"pending_{i}": df.where(waiting) for i, df in enumerate((amounts, decisions, schedule))}
-    tagged = [df.select(F.lit(name.partition("_")[0] if name.startswith("pending") else name).alias("part")) for name, df in kept.items()]
-    rows = tagged[0]
-    for more in tagged[1:]:
-        rows = rows.unionAll(more)
-    n = lambda part: F.count(F.when(F.col("part") == part, 1))
-    names = ("documents", "decisions", "schedule_items", "amount_items")
-    row = rows.agg(*[n(part).alias(part) for part in names], n("pending").alias("pending_suggestions"))
-    countable = F.col("documents") + F.col("decisions") + F.col("schedule_items") + F.col("amount_items")
-    return row.select(F.lit(kind).alias("kind"), *names, "pending_suggestions", (countable > 0).alias("can_generate"))
+    """The preview of one project: one row of counts, and whether the report can be made."""
+    own = lambda df: df.where(F.col("project_id") == project_id)
+    one = documents.sparkSession.range(project_id, project_id + 1)
+    found = report_previews(one, own(documents), own(decisions), own(schedule), own(amounts), kind, since, until)
+    return found.select("kind", *COUNTED, "pending_suggestions", "can_generate")
 
 
 def growth(before: Column, now: Column) -> Column:

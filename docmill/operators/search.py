@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import contains_ignoring_case, keyword_snippet, occurrences, semantic_snippet
+from docmill.operators.checks import plan_summary
 
 #: Added to a rank before it is inverted; hits of each leg; least length of a keyword.
 RRF_K, CANDIDATES, MIN_KEYWORD = 60, 30, 2
@@ -157,6 +158,19 @@ def hybrid_search(
     return texts.withColumns(shown).drop("text").orderBy(F.desc("fused"), "document_id", "seq")
 
 
+# What is said where there is nothing to explain.
+EMPTY_SCOPE, EMPTY_QUERY = "검색 범위가 비어 있다 (멤버인 프로젝트가 없음).", "질의 임베딩이 비어 있어 계획을 낼 수 없다."
+
+
+def explain_search(vectors: DataFrame, query: list[float], model: str, projects: list[int], k: int = CANDIDATES, whole: bool = False) -> str:
+    """How the nearest chunks of a scope are found, without the query's numbers; a sentence if there is nothing to look for."""
+    if not projects:
+        return EMPTY_SCOPE
+    if not query:
+        return EMPTY_QUERY
+    return plan_summary(vector_topk(vectors, query, model, projects, k), whole)
+
+
 def group_hits(hits: DataFrame) -> DataFrame:
     """Hits (document_id, rank, similarity) by document, in the order of its best hit."""
     return hits.groupBy("document_id").agg(F.min("rank").alias("best_rank"), F.max("similarity").alias("best_similarity"), F.count("*").alias("hits"))

@@ -39,3 +39,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     atexit.register(_delete, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/docmill/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docmill.functions import embedding
 from docmill.functions import text as t
 from docmill.operators import access, amounts, chunking, documents, layout, reports, review, search
-from docmill.plans import pages, structure, workflow  # noqa: F401  register their queries
+from docmill.plans import pages, records, structure, workflow  # noqa: F401  register their queries
 from docmill.plans.registry import PROJECT, QUERIES, SINCE, TERM, UNTIL, USER, query
 from docmill.plans.views import Views, with_views
 
