@@ -29,7 +29,7 @@ from docmill.llm.common import discard, frugal, materialize, parts_for, table, t
 ORDER = 4
 #: What Kneser-Ney takes from each count.
 DISCOUNT = 0.75
-#: One of so many rows with a language, by a hash of the text, calibrates the limit of rejection.
+#: One of so many rows with a language, by a hash of the text, calibrates the limit of rejection before it is counted.
 CALIBRATION = 16
 #: Bytes of input, as Spark estimates them, for a block of texts that are scored together.
 BLOCK_BYTES = 12 << 20
@@ -43,9 +43,9 @@ UNKNOWN = 1e-6
 FLOOR = float(np.log(UNKNOWN))
 
 def _symbols(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit symbols of all texts, each text between two blanks, and where each begins.
+    """16-bit symbols of all texts, each after ORDER - 1 blanks and before one, and where each begins.
 
-    Letters are lower case; what isn't a letter is a blank, and a run of blanks is one.
+    So every letter of a text ends an n-gram, its first ones too. Letters are lower case; what isn't a letter is a blank, and a run of blanks is one.
     """
     text = pc.utf8_lower(pc.fill_null(batch_text, ""))
     joined = pc.binary_join_element_wise(pa.scalar(" "), text.cast(pa.string()), pa.scalar("\n"), pa.scalar(""))
@@ -61,7 +61,8 @@ def _symbols(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= blank[1:] & ~blank[:-1]
     symbols = np.where(letters, (codes ^ (codes >> 16) * 40503) & 0xFFFF, 32).astype(np.uint16)[keep]
     starts = (np.cumsum(keep) - 1)[np.concatenate([[0], (last + 1)[:-1]])] if len(last) else np.zeros(0, np.int64)
-    return symbols, starts.astype(np.int64)
+    symbols = np.insert(symbols, np.repeat(starts, ORDER - 2), np.uint16(32))
+    return symbols, starts.astype(np.int64) + (ORDER - 2) * np.arange(len(starts))
 
 
 def _lettered(texts: pa.Array) -> np.ndarray:
@@ -80,7 +81,7 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 
 def _grams(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each symbol but a text's first ORDER - 1, its text, and counts."""
+    """The ORDER-gram that ends at each symbol but the blanks before a text, its place, and counts by text."""
     n = len(symbols) - ORDER + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
@@ -150,12 +151,28 @@ def _suffix(order: int) -> Column:
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """Learn from rows of (lang, text); None if there are none. All rows are counted but those that calibrate."""
+    """Learn from rows of (lang, text); None if there are none.
+
+    All rows are counted. How far cross-entropies lie is seen with a model that leaves out the rows that calibrate, so that
+    these are scored as rows that it doesn't know; their counts are added afterwards.
+    """
     own = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
-    current = materialize(count_ngrams(rows.where(~own)), "language-grams")
-    langs = sorted(r["lang"] for r in current.select("lang").distinct().collect())  # a row for each language
-    if not langs:
+    part, beside = (materialize(count_ngrams(rows.where(which)), "language-grams") for which in (~own, own))
+    added = part.unionByName(beside).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model, without = _model(materialize(added, "language-grams")), _model(part)
+    if not model.langs:
         return None
+    found = _entropies_apart(rows.where(own & F.col("lang").isin(without.langs)), without) if without.langs else {}
+    value = lambda lang, c, none: found[lang if lang in found else None][c] if found else none
+    model.mean = np.array([value(x, "m", -FLOOR) for x in model.langs])
+    model.deviation = np.array([max(value(x, "d", 1.0), 0.02) for x in model.langs])
+    discard(beside, *without.counts.values(), *without.contexts.values())
+    return model
+
+
+def _model(current: DataFrame) -> Model:
+    """The model of counted ORDER-grams (lang, gram, n)."""
+    langs = sorted(r["lang"] for r in current.select("lang").distinct().collect())  # a row for each language
     counts, contexts = {ORDER: current}, {}
     for order in range(ORDER - 1, 0, -1):  # a shorter gram counts once for each symbol seen before it
         shorter = current.groupBy("lang", _suffix(order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
@@ -163,39 +180,65 @@ def fit(rows: DataFrame) -> Model | None:
     for order, df in counts.items():
         totals = df.groupBy("lang", _context(order).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         contexts[order] = materialize(totals, "language-contexts")
-    model = Model(langs, counts, contexts)
-    _calibrate(rows.where(own & F.col("lang").isin(langs)), model)
-    return model
+    return Model(langs, counts, contexts)
+
+
+def _interpolated(width: int, last: bool):
+    """Batches of (gram, own, seen, below) to (gram, values): what each language gives, from the counts that it has."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            kept, passed, total = np.zeros((n, width)), np.ones((n, width)), np.ones((n, width))
+            row, cells = _cells(batch.column("seen"))
+            total[row, cells["place"]] = cells["total"]
+            passed[row, cells["place"]] = DISCOUNT * cells["kinds"] / cells["total"]
+            row, cells = _cells(batch.column("own"))
+            kept[row, cells["place"]] = np.maximum(cells["n"] - DISCOUNT, 0) / total[row, cells["place"]]
+            below = batch.column("below").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            p = kept + passed * below
+            values = np.maximum(np.log(p), FLOOR).astype(np.float32) if last else p
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), lists], names=["gram", "values"])
+
+    return work
+
+
+def _cells(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The rows and the fields of all structs in lists; a null list has none."""
+    flat = lists.flatten()
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
 
 
 def probabilities(model: Model, grams: DataFrame) -> DataFrame:
     """gram, logs for different ``grams``: the log-probability of the last symbol after the others in each language.
 
     An order gives what is left of its counts after the discount, and passes on the rest to the shorter
-    one; a context that a language hasn't seen passes on all. 
+    one; a context that a language hasn't seen passes on all. Only what a language has counted is joined.
     """
-    every = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(x).alias("lang")) for i, x in enumerate(model.langs)])
+    spark, width = grams.sparkSession, len(model.langs)
+    known = spark.createDataFrame(list(zip(model.langs, range(width))), "lang string, place int")
     asked = {ORDER: grams.select("gram").distinct()}
     for order in range(ORDER - 1, 0, -1):
         asked[order] = asked[order + 1].select(_suffix(order).alias("gram")).distinct()
     shorter, done = None, []
     for order in range(1, ORDER + 1):
-        cells = asked[order].select("gram", F.inline(every)).withColumns({"context": _context(order), "suffix": _suffix(order - 1)})
-        cells = cells.join(model.counts[order], ["lang", "gram"], "left").join(model.contexts[order], ["lang", "context"], "left")
+        cells = asked[order].withColumns({"context": _context(order), "suffix": _suffix(order - 1)})
+        own = model.counts[order].join(asked[order], "gram", "left_semi").join(known, "lang").groupBy("gram").agg(F.collect_list(F.struct("place", "n")).alias("own"))
+        seen = model.contexts[order].join(cells.select("context").distinct(), "context", "left_semi").join(known, "lang")
+        seen = seen.groupBy("context").agg(F.collect_list(F.struct("place", "total", "kinds")).alias("seen"))
+        cells = cells.join(own, "gram", "left").join(seen, "context", "left")
         if shorter is None:
-            cells = cells.withColumn("below", F.lit(UNKNOWN))
+            cells = cells.withColumn("below", F.array(F.lit(UNKNOWN)))
         else:
-            cells = cells.join(shorter.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-        kept = F.coalesce(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"), F.lit(0.0))
-        passed = F.coalesce(F.lit(DISCOUNT) * F.col("kinds") / F.col("total"), F.lit(1.0))
-        shorter = cells.select("gram", "lang", "place", (kept + passed * F.col("below")).alias("p"))
-        if order < ORDER:
-            shorter = materialize(shorter, "language-shorter")
+            cells = cells.join(shorter.select(F.col("gram").alias("suffix"), F.col("values").alias("below")), "suffix")
+        last = order == ORDER
+        values = cells.select("gram", "own", "seen", "below").mapInArrow(frugal(_interpolated(width, last)), f"gram bigint, values array<{'float' if last else 'double'}>")
+        shorter = materialize(values, "language-logs" if last else "language-shorter")
+        if not last:
             done.append(shorter)
-    cell = F.struct("place", F.greatest(F.log("p"), F.lit(FLOOR)).alias("log"))
-    found = materialize(shorter.groupBy("gram").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["log"].cast("float")).alias("logs")), "language-logs")
     discard(*done)
-    return found
+    return shorter.withColumnRenamed("values", "logs")
 
 
 def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,24 +315,20 @@ def _entropies(texts: pa.Array, keys: np.ndarray, logs: np.ndarray) -> tuple[np.
     return -total / np.maximum(counts, 1)[:, None], counts
 
 
-def _calibrate(rows: DataFrame, model: Model) -> None:
-    """Mean and deviation of the cross-entropy of rows that weren't learned from, in their own language.
+def _entropies_apart(rows: DataFrame, model: Model) -> dict[str | None, dict[str, float]]:
+    """Mean ``m`` and deviation ``d`` of the cross-entropy of rows that weren't learned from, in their own language.
 
-    A language without such rows takes those of all languages together.
+    Under None those of all languages together, for languages without such rows.
     """
-
-    langs = tuple(model.langs)
+    place = {lang: i for i, lang in enumerate(model.langs)}
 
     def own(rows: pa.RecordBatch, entropies: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        at = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], np.int64)
+        at = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
         return pa.RecordBatch.from_arrays([rows.column("lang"), pa.array(entropies[np.arange(len(at)), at]), pa.array(counts)], names=["lang", "h", "n"])
 
     values = score(rows, model, "text", own, "lang string, h double, n bigint").where("n > 0")
     found = values.rollup("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("d"), F.count(F.lit(1)).alias("n")).collect()
-    by = {r["lang"]: r for r in found if r["n"]}
-    value = lambda lang, c, none: by[lang][c] if lang in by else by[None][c] if None in by else none
-    model.mean = np.array([value(x, "m", -FLOOR) for x in langs])
-    model.deviation = np.array([max(value(x, "d", 1.0), 0.02) for x in langs])
+    return {r["lang"]: {"m": r["m"], "d": r["d"]} for r in found if r["n"]}
 
 
 SCHEMA = "doc_id bigint, lang_pred string, score double, cross_entropy double, rejected boolean"
