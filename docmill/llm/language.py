@@ -159,19 +159,19 @@ def fit(rows: DataFrame) -> Model | None:
     own = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
     part, beside = (materialize(count_ngrams(rows.where(which)), "language-grams") for which in (~own, own))
     added = part.unionByName(beside).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    model, without = _model(materialize(added, "language-grams")), _model(part)
+    model, without = _model(materialize(added, "language-grams")), _model(part, once=True)
     if not model.langs:
         return None
     found = _entropies_apart(rows.where(own & F.col("lang").isin(without.langs)), without) if without.langs else {}
     value = lambda lang, c, none: found[lang if lang in found else None][c] if found else none
     model.mean = np.array([value(x, "m", -FLOOR) for x in model.langs])
     model.deviation = np.array([max(value(x, "d", 1.0), 0.02) for x in model.langs])
-    discard(beside, *without.counts.values(), *without.contexts.values())
+    discard(beside, *without.counts.values())
     return model
 
 
-def _model(current: DataFrame) -> Model:
-    """The model of counted ORDER-grams (lang, gram, n)."""
+def _model(current: DataFrame, once: bool = False) -> Model:
+    """The model of counted ORDER-grams (lang, gram, n). What is read only ``once`` isn't written."""
     langs = sorted(r["lang"] for r in current.select("lang").distinct().collect())  # a row for each language
     counts, contexts = {ORDER: current}, {}
     for order in range(ORDER - 1, 0, -1):  # a shorter gram counts once for each symbol seen before it
@@ -179,7 +179,7 @@ def _model(current: DataFrame) -> Model:
         counts[order] = current = materialize(shorter, "language-grams")
     for order, df in counts.items():
         totals = df.groupBy("lang", _context(order).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        contexts[order] = materialize(totals, "language-contexts")
+        contexts[order] = totals if once else materialize(totals, "language-contexts")
     return Model(langs, counts, contexts)
 
 
@@ -224,9 +224,8 @@ def probabilities(model: Model, grams: DataFrame) -> DataFrame:
     shorter, done = None, []
     for order in range(1, ORDER + 1):
         cells = asked[order].withColumns({"context": _context(order), "suffix": _suffix(order - 1)})
-        own = model.counts[order].join(asked[order], "gram", "left_semi").join(known, "lang").groupBy("gram").agg(F.collect_list(F.struct("place", "n")).alias("own"))
-        seen = model.contexts[order].join(cells.select("context").distinct(), "context", "left_semi").join(known, "lang")
-        seen = seen.groupBy("context").agg(F.collect_list(F.struct("place", "total", "kinds")).alias("seen"))
+        own = model.counts[order].join(known, "lang").groupBy("gram").agg(F.collect_list(F.struct("place", "n")).alias("own"))
+        seen = model.contexts[order].join(known, "lang").groupBy("context").agg(F.collect_list(F.struct("place", "total", "kinds")).alias("seen"))
         cells = cells.join(own, "gram", "left").join(seen, "context", "left")
         if shorter is None:
             cells = cells.withColumn("below", F.array(F.lit(UNKNOWN)))
