@@ -50,8 +50,9 @@ def total_check(items: DataFrame, stated: DataFrame) -> DataFrame:
 
 def line_check(items: DataFrame) -> DataFrame:
     """Quantity times price, halves up to whole units, against the amount; null if a part is missing."""
-    computed = F.round(F.col("quantity") * F.col("unit_price"), 0).cast("decimal(38,0)")
-    return items.select("document_id", "item_name", "quantity", "unit_price", "amount", computed.alias("computed"), (computed == F.col("amount")).alias("matches"))
+    computed = F.round(F.col("quantity") * F.col("unit_price"), 0)
+    matches = computed - F.col("amount") == 0  # compared with a decimal(38,0), the amount would lose its fraction
+    return items.select("document_id", "item_name", "quantity", "unit_price", "amount", computed.cast("decimal(38,0)").alias("computed"), matches.alias("matches"))
 
 
 def project_rollup(items: DataFrame, documents: DataFrame | None = None) -> DataFrame:
