@@ -58,7 +58,8 @@ def split_by(text: Column, term: str) -> Column:
     pattern = "(?i)" + re.escape(term)
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     piece = lambda t, match: F.struct(t.alias("text"), F.lit(match).alias("match"))
-    pairs = F.transform(between, lambda t, i: F.array(piece(t, False), piece(F.coalesce(F.get(found, i), F.lit("")), True)))
+    # zipped, as a lambda would search the whole text again for each piece
+    pairs = F.zip_with(between, found, lambda t, m: F.array(piece(t, False), piece(F.coalesce(m, F.lit("")), True)))
     return F.filter(F.flatten(pairs), lambda p: p["text"] != "")
 
 

@@ -455,9 +455,10 @@ def login_keys(v: Views) -> DataFrame:
 
 @query("""SELECT doc_id, ((length(text) - length(replace(lower(text), 'the', ''))) // 3)::INT AS matches, sum(length(text)) OVER (PARTITION BY doc_id)::BIGINT AS chars FROM documents""")
 def keyword_pieces(v: Views) -> DataFrame:
-    pieces = formats.split_by(F.col("text"), "the")
+    pieces = F.col("pieces")
     size = F.aggregate(pieces, F.lit(0).cast("long"), lambda s, p: s + F.length(p["text"]))
-    return v.table("documents").select("doc_id", F.size(F.filter(pieces, lambda p: p["match"])).alias("matches"), size.alias("chars"))
+    cut = v.table("documents").select("doc_id", formats.split_by(F.col("text"), "the").alias("pieces"))
+    return cut.select("doc_id", F.size(F.filter(pieces, lambda p: p["match"])).alias("matches"), size.alias("chars"))
 
 
 @query("""SELECT doc_id, substr(text, (doc_id % 50 + 1)::INT, 20) AS inside, substr(text, 1, (doc_id % 50)::INT) AS before, substr(text, (doc_id % 50 + 21)::INT) AS behind

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from docmill.functions import formats
 from docmill.functions import text as t
 from docmill.operators import documents, reports, search
 
@@ -73,3 +74,14 @@ def test_scope_and_keyword_errors(spark):
         search.keyword_hits(members, " x ")
     with pytest.raises(ValueError, match="PERIOD_REQUIRED"):
         reports.report_preview(members, members, members, members, 1, "WEEKLY_REPORT")
+
+
+def test_pieces_of_a_term_are_found_once(spark):
+    rows = ["The aTHEthe", "", "none", "the", None, "thethe x", "the " * 40000]
+    found = values(spark, rows, lambda x: formats.split_by(x, "the"))
+    plain = [None if x is None else [(p.text, p.match) for p in x] for x in found]
+    assert plain[:4] == [[("The", True), (" a", False), ("THE", True), ("the", True)], [], [("none", False)], [("the", True)]]
+    assert plain[4:6] == [None, [("the", True), ("the", True), (" x", False)]]
+    assert len(plain[6]) == 80000
+    plan = spark.range(1).select(formats.split_by(F.col("id").cast("string"), "the").alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "get(regexp_extract_all" not in plan  # else each piece searches the whole text
