@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Bytes of a digest.
+DIGEST = 32
+
+
 def hash_embedding(text: str, dimension: int) -> np.ndarray:
     """Bytes of SHA-256 of the text and a big-endian counter, scaled to -1 .. 1, at unit length."""
     data, counter = b"", 0
@@ -38,4 +42,16 @@ def embed(text: Column, model: Callable[[], Callable[[list[str]], list[np.ndarra
 
 
 def hashed(text: Column, dimension: int = 64) -> Column:
-    return embed(text, lambda: lambda texts: [hash_embedding(x, dimension) for x in texts])
+    """``hash_embedding`` of texts, nulls as empty ones; Python gets their digests alone, whatever their length."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    digests = [F.unhex(F.sha2(F.concat(data, F.lit(bytearray(i.to_bytes(4, "big")))), 256)) for i in range(-(-dimension // DIGEST))]
+
+    @F.pandas_udf("array<double>")
+    def scaled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            data = np.frombuffer(b"".join(series), np.uint8).reshape(len(series), -1)
+            values = np.ascontiguousarray(data[:, :dimension]) / 127.5 - 1.0
+            length = np.sqrt((values * values).sum(axis=1, keepdims=True))
+            yield pd.Series(list(values / np.where(length > 0, length, 1.0)))
+
+    return scaled(F.concat(*digests))

@@ -126,3 +126,14 @@ def test_hash_embedding(spark):
     assert abs(np.linalg.norm(a) - 1) < 1e-9 and not np.allclose(a, b)
     df = spark.createDataFrame([("text",), (None,)], "x string")
     assert np.allclose(df.select(embedding.hashed(F.col("x"), 100)).first()[0], a)
+
+
+def test_hash_embeddings_are_made_of_digests(spark):
+    texts = ["", "text", "제3조 목적", "x" * 5000, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for dimension in (1, 32, 64, 100):
+        found = [r[0] for r in df.orderBy("i").select(embedding.hashed(F.col("x"), dimension)).collect()]
+        assert found == [embedding.hash_embedding(x or "", dimension).tolist() for x in texts]
+    column = embedding.hashed(F.col("x"))
+    plan = df.select(column)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan  # what goes to Python is short, however long a text is
