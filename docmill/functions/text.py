@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, Window
@@ -25,6 +26,7 @@ NUMERIC_ONLY = r"^[\d.,%()\-~\s]+$"
 TRAILING_PARENTHESIS = r"\s*[(（][^)）]*[)）]\s*$"
 # Marks of an empty amount, and what is written around one.
 EMPTY_MARKS = ("", "-", "—", "–", "n/a", "na", "없음", "미정", "해당없음", "null", "none")
+EMPTY = r"(?iU)\A\s*+(?:" + "|".join(EMPTY_MARKS) + r")\s*+\z"
 CURRENCY = r"(?iU)[,\s원₩$¥€]|KRW|USD|JPY|EUR"
 
 
@@ -106,22 +108,26 @@ def repeat_key(text: Column) -> Column:
 
 
 def is_empty_mark(raw: Column) -> Column:
-    return raw.isNull() | F.lower(strip(raw)).isin(*EMPTY_MARKS)
+    return raw.isNull() | F.regexp_like(raw, F.lit(EMPTY))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once; in a lambda Spark would compute it wherever it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def parse_money(raw: Column) -> Column:
-    """Whole non-negative amounts; anything that isn't plainly one is null."""
-    bare = F.regexp_replace(raw, CURRENCY, "")
-    value = F.when(F.regexp_like(bare, F.lit(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")), bare).try_cast("decimal(38,10)")
-    whole = (value >= 0) & (value == F.floor(value))
-    return F.when(~is_empty_mark(raw) & whole, value.cast("decimal(38,0)"))
+    """Whole non-negative amounts; anything that isn't plainly one is null, marks of emptiness too, as they hold no digit."""
+    numeric = lambda bare: F.when(F.regexp_like(bare, F.lit(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")), bare).try_cast("decimal(38,10)")
+    whole = lambda x: F.when((x >= 0) & (x % 1 == 0), x.cast("decimal(38,0)"))
+    plain = lambda bare: F.regexp_like(bare, F.lit(r"^\d{1,18}$"))  # noqa: E731  most are, and decimals of 38 digits are slow
+    return _once(F.regexp_replace(raw, CURRENCY, ""), lambda bare: F.when(plain(bare), bare.cast("long").cast("decimal(38,0)")).otherwise(_once(numeric(bare), whole)))
 
 
 def parse_quantity(raw: Column) -> Column:
     """The first number of a string; negative ones are null."""
-    number = F.regexp_extract(F.replace(raw, F.lit(","), F.lit("")), r"(-?\d+(?:\.\d+)?)", 1)
-    value = F.when(number != "", number).try_cast("decimal(18,4)")
-    return F.when(~is_empty_mark(raw) & (value >= 0), value)
+    found = _once(F.regexp_extract(F.replace(raw, F.lit(","), F.lit("")), r"(-?\d+(?:\.\d+)?)", 1), lambda number: F.when(number != "", number).try_cast("decimal(18,4)"))
+    return _once(found, lambda x: F.when(x >= 0, x))
 
 
 # Fixed value: a list item begins with a Hangul syllable and a dot or a bracket.

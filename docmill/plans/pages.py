@@ -114,7 +114,7 @@ def _payloads(v: Views) -> DataFrame:
     """Orders as answers of a model: amounts with marks of currency, quantities with units, marks of emptiness."""
     i = F.col("l_linenumber") + F.col("l_orderkey")
     word = F.when(i % 7 == 0, "미정").when(i % 7 == 1, " N/A ").when(i % 7 == 2, "").otherwise(F.concat(F.lit("note "), i.cast("string")))
-    amount = F.concat(F.format_string("%,d", F.floor("l_extendedprice").cast("long")), F.when(i % 3 == 0, "원").otherwise(" KRW"))
+    amount = F.concat(F.format_number(F.floor("l_extendedprice").cast("long"), 0), F.when(i % 3 == 0, "원").otherwise(" KRW"))
     price = F.when(i % 4 == 0, "-").when(i % 4 == 1, F.concat(F.floor("l_extendedprice").cast("string"), F.lit(".5"))).otherwise(F.floor("l_extendedprice").cast("string"))
     item = F.struct(
         F.col("l_linenumber").alias("n"), F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("item_name"), amount.alias("amount"), price.alias("unit_price"),
@@ -128,9 +128,9 @@ def _payloads(v: Views) -> DataFrame:
     SELECT document_id, CASE WHEN document_id % 5 <> 0 THEN (document_id * 1000)::DECIMAL(38,0) END AS stated_total, n, 'item ' || n AS item_name, a::DECIMAL(38,0) AS amount,
       CASE WHEN i % 4 > 1 THEN a::DECIMAL(38,0) END AS unit_price, q::DECIMAL(18,4) AS quantity, CASE WHEN i % 7 > 2 THEN {_WORDS} END AS unit, CASE WHEN i % 7 > 2 THEN {_WORDS} END AS notes FROM l""")
 def amount_payloads(v: Views) -> DataFrame:
-    found = amounts.normalized_payloads(_payloads(v)).select("document_id", "stated_total", F.posexplode("items").alias("at", "item"))
-    raw = _payloads(v).select("document_id", F.posexplode("items").alias("at", "raw")).select("document_id", "at", F.col("raw.n").alias("n"))
-    return found.join(raw, ["document_id", "at"]).select("document_id", "stated_total", "n", *[F.col(f"item.{c}").alias(c) for c in ("item_name", "amount", "unit_price", "quantity", "unit", "notes")])
+    numbered = _payloads(v).withColumn("n", F.col("items.n"))
+    each = amounts.normalized_payloads(numbered).select("document_id", "stated_total", F.explode(F.arrays_zip("n", "items")).alias("x"))
+    return each.select("document_id", "stated_total", "x.n", *[F.col(f"x.items.{c}").alias(c) for c in ("item_name", "amount", "unit_price", "quantity", "unit", "notes")])
 
 
 @query("""WITH d AS (SELECT o_orderkey AS document_id, c_nationkey AS project_id FROM orders JOIN customer ON o_custkey = c_custkey),
