@@ -15,6 +15,9 @@ CHARS_PER_TOKEN, ROUND_UP = 1.89, 0.999
 SEMANTIC_SNIPPET, KEYWORD_SNIPPET, SNIPPET_KEEP = 220, 160, 0.7
 HEADING_CHARS = 60
 
+#: What (?U)\s matches; trimmed from the ends, as a pattern would look at each character of a long text.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Patterns of headings, and of what isn't one.
 CLAUSE = r"^제\s*\d+\s*[조항목절장편]"
 NUMBERED = r"^\d+(?:\.\d+)*\s*[.)]\s*\S"
@@ -32,7 +35,7 @@ CURRENCY = r"(?iU)[,\s원₩$¥€]|KRW|USD|JPY|EUR"
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def collapsed(text: Column) -> Column:

@@ -85,10 +85,10 @@ def units_of_lines(lines: DataFrame) -> DataFrame:
     List items aren't headings; blank lines go.
     """
     bare = t.strip(F.col("line"))
-    lead = F.length("line") - F.length(F.regexp_replace("line", r"(?U)^\s+", ""))
+    lead = F.length("line") - F.length(F.ltrim(F.col("line"), F.lit(t.WHITE_SPACE)))
     start = F.col("content_start") + lead
     rows = lines.where(bare != "").select("document_id", F.col("line_no").alias("n"), t.nfc(bare).alias("text"), start.alias("content_start"), (start + F.length(bare)).alias("content_end"))
-    title = t.is_strong_heading(F.col("text"))
+    rows, title = rows.withColumn("title", t.is_strong_heading(F.col("text"))), F.col("title")  # found once
     none = F.lit(None).cast("int")
     return rows.withColumns({"page_number": none, "table_id": none, "element_type": F.when(title, HEADING).otherwise(LINE), "is_paragraph_start": title}).select(*UNIT)
 

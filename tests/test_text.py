@@ -85,3 +85,13 @@ def test_pieces_of_a_term_are_found_once(spark):
     assert len(plain[6]) == 80000
     plan = spark.range(1).select(formats.split_by(F.col("id").cast("string"), "the").alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all(") == 1 and "get(regexp_extract_all" not in plan  # else each piece searches the whole text
+
+
+def test_strip_takes_all_white_space_of_a_pattern(spark):
+    ends = [chr(c) for c in (*range(0x250), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    rows = ["", " \n", *[c for c in ends], *[f"{c} {c}a{c}b \n{c}" for c in ends]]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    plain = F.regexp_replace("x", r"(?U)^\s+|\s+$", "")
+    assert df.where(~t.strip(F.col("x")).eqNullSafe(plain)).collect() == []
+    plan = spark.range(1).select(t.strip(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in plan  # which looks at each character of a long text
