@@ -32,13 +32,36 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read from there; the table is deleted when the driver ends."""
+#: Unset, a join by more columns than that of the buckets would shuffle both sides.
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read from there; the table is deleted when the driver ends.
+
+    With ``by`` it lies in buckets of that column, as many as the session's partitions of a shuffle, so that joins and
+    windows by it move no rows. What was written in such buckets isn't written again.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docmill/state-{uuid.uuid4().hex}"
+    if by and getattr(df, "kept_by", None) == by:
+        return df
+    name = f"state-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/docmill/{name}"
     atexit.register(_delete, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), name.replace("-", "_")
+    before = spark.conf.get(_ALL_KEYS, None)
+    spark.conf.set(_ALL_KEYS, "false")
+    try:
+        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
+    finally:
+        spark.conf.set(_ALL_KEYS, before) if before is not None else spark.conf.unset(_ALL_KEYS)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and only ``found`` knows them
+    found.kept_by = by
+    return found
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -48,8 +48,13 @@ class Review:
     events: DataFrame
 
     def settled(self) -> Review:
-        """The same tables with their lineage cut."""
-        return Review(*(checkpointed(x) for x in (self.elements, self.contents, self.documents, self.operations, self.revisions, self.events)))
+        """The same tables with their lineage cut, in buckets of documents; revisions and events, which no edit reads, stay as they are."""
+        return Review(*map(_kept, (self.elements, self.contents, self.documents, self.operations)), self.revisions, self.events)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written in buckets of documents: what an edit does by document then needs no shuffle."""
+    return checkpointed(df, "document_id")
 
 
 OPERATIONS = "operation_id bigint, document_id bigint, survivor_id bigint, merged_version int, snapshot_json string, undone boolean, created_by int"
@@ -69,7 +74,7 @@ def opened(elements: DataFrame, contents: DataFrame, documents: DataFrame) -> Re
 def _first_errors(asked: DataFrame, errors: DataFrame) -> DataFrame:
     """document_id, error of all documents asked for; of several errors (document_id, step, rank, error) the least."""
     least = errors.where("error IS NOT NULL").groupBy("document_id").agg(F.min(F.struct("step", "rank", "error"))["error"].alias("error"))
-    return checkpointed(asked.select("document_id").distinct().join(least, "document_id", "left"))
+    return _kept(asked.select("document_id").distinct().join(least, "document_id", "left"))
 
 
 def misfits(edits: DataFrame, contents: DataFrame) -> DataFrame:
@@ -178,7 +183,7 @@ def edit_batch(review: Review, changes: DataFrame, user_id: int) -> tuple[Review
     again = F.coalesce("new_re_ocr_applied", F.lit(False))
     flags = {"text_changed": text, "structure_changed": structure, "type_changed": differs(F.col("new_element_type"), "element_type"), "begins": begins, "again": again}
     flags["changed"] = text | structure | box | again | differs(F.col("new_is_excluded"), "is_excluded")
-    good = checkpointed(good.withColumns(flags).where("changed").select(*KEY, "is_in_content", F.col("text").alias("before"), "version", *flags, *[f"new_{c}" for c in CHANGES]))
+    good = _kept(good.withColumns(flags).where("changed").select(*KEY, "is_in_content", F.col("text").alias("before"), "version", *flags, *[f"new_{c}" for c in CHANGES]))
 
     replacements = good.where("text_changed AND is_in_content").select(*KEY, F.col("new_text").alias("replacement"))
     elements, contents = _put(review, replacements)
@@ -216,7 +221,7 @@ def merge_groups(review: Review, groups: DataFrame, user_id: int, join_with_spac
     asked = groups.select(*KEY, "step", F.col("version").alias("seen")).withColumn("turn", turn)
     joined = asked.join(active, KEY, "left")
     inside = Window.partitionBy("document_id", "step").orderBy("reading_order", "element_id")
-    joined = joined.withColumns({f"b_{c}": F.lag(c).over(inside) for c in ("x", "y", "width", "height")})
+    joined = _kept(joined.withColumns({f"b_{c}": F.lag(c).over(inside) for c in ("x", "y", "width", "height")}))
     across, x_gap = _overlap("x", "width")
     down, y_gap = _overlap("y", "height")
     reach = F.greatest("height", "b_height") * GAP_HEIGHTS
@@ -238,7 +243,7 @@ def merge_groups(review: Review, groups: DataFrame, user_id: int, join_with_spac
     unfit = misfits(edits, review.contents).select("document_id", "step", F.lit(6).alias("rank"), F.lit(MAPPING).alias("error"))
     outcomes = _first_errors(asked, checked.unionByName(unfit))
 
-    good = checkpointed(joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi"))
+    good = joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi")
     members = F.array_sort(F.collect_list(F.struct("reading_order", *[c for c in review.elements.columns if c not in ("document_id", "reading_order", "is_deleted")])))
     each = good.groupBy("document_id", "step").agg(members.alias("m"), F.collect_list("element_id").alias("asked_ids"))
     first = F.col("m")[0]
@@ -259,7 +264,7 @@ def merge_groups(review: Review, groups: DataFrame, user_id: int, join_with_spac
     segment = F.substring(F.col("content"), F.col("origin").cast("int") + 1, (F.col("until") - F.col("origin")).cast("int"))
     saved = F.transform("m", lambda e: F.struct(*[e[c].alias(c) for c in ("element_id", *SAVED, "content_start", "content_end")]))
     snapshot = F.to_json(F.struct(F.lit("NEW_ELEMENT").alias("result_strategy"), F.col("asked_ids").alias("selected_ids"), segment.alias("segment"), F.col("origin"), saved.alias("elements")))
-    each = checkpointed(each.withColumn("snapshot_json", snapshot).drop("content"))
+    each = _kept(each.withColumn("snapshot_json", snapshot).drop("content"))
 
     at_first = each.select("document_id", first["element_id"].alias("element_id"), "merged", "merged_id", "step")
     replacements = good.select(*KEY).join(at_first.select(*KEY, "merged"), KEY, "left").select(*KEY, F.coalesce("merged", F.lit("")).alias("replacement"))
@@ -277,7 +282,7 @@ def merge_groups(review: Review, groups: DataFrame, user_id: int, join_with_spac
         F.lit("USER").alias("source"), F.lit(CORRECTED).alias("element_type_source"), F.lit(1).alias("version"), F.lit(False).alias("is_deleted"), F.lit(False).alias("is_excluded"), F.lit(True).alias("is_in_content"),
         "content_start", "content_end",
     )
-    elements = elements.join(good.select(*KEY, F.lit(True).alias("gone")), KEY, "left").withColumns(tombs).select(*columns).unionByName(new.select(*columns))
+    elements = _kept(elements.join(good.select(*KEY, F.lit(True).alias("gone")), KEY, "left").withColumns(tombs).select(*columns).unionByName(new.select(*columns)))
     changed = (F.col("merged") != first["text"]) | F.exists(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(1))), lambda e: e["text"] != "")
     after = _counted(review, elements, contents, each.select("document_id", F.lit(1).alias("requests"), changed.cast("int").alias("bumps")))
     operations = each.select(
@@ -299,7 +304,7 @@ def undo_merges(review: Review, chosen: DataFrame, user_id: int) -> tuple[Review
     found = chosen.select("document_id", "operation_id").join(review.operations, ["document_id", "operation_id"], "left")
     found = found.withColumn("s", F.from_json("snapshot_json", SNAPSHOT))
     survivors = review.elements.select("document_id", F.col("element_id").alias("survivor_id"), "version", "is_deleted", "is_in_content", "page_id", "content_start", "content_end", F.col("text").alias("now"))
-    found = found.join(survivors, ["document_id", "survivor_id"], "left")
+    found = _kept(found.join(survivors, ["document_id", "survivor_id"], "left"))
     stale = F.col("snapshot_json").isNull() | F.col("undone") | F.col("version").isNull() | F.col("is_deleted") | (F.col("version") != F.col("merged_version"))
     members = found.select("document_id", "operation_id", "survivor_id", F.explode("s.elements").alias("e"), F.col("s.origin").alias("origin"))
     members = members.select("document_id", "operation_id", "survivor_id", "origin", F.col("e.element_id").alias("element_id"), "e")
@@ -312,7 +317,7 @@ def undo_merges(review: Review, chosen: DataFrame, user_id: int) -> tuple[Review
     outcomes = _first_errors(chosen, errors)
 
     fine = outcomes.where("error IS NULL").select("document_id")
-    good, back = checkpointed(found.join(fine, "document_id", "left_semi")), checkpointed(members.join(fine, "document_id", "left_semi"))
+    good, back = found.join(fine, "document_id", "left_semi"), members.join(fine, "document_id", "left_semi")
     replacements = good.where(F.col("s.origin").isNotNull()).select("document_id", F.col("survivor_id").alias("element_id"), F.col("s.segment").alias("replacement"))
     elements, contents = _put(review, replacements)
     columns = elements.columns
@@ -326,7 +331,7 @@ def undo_merges(review: Review, chosen: DataFrame, user_id: int) -> tuple[Review
     new = {c: F.when(restored, F.col(f"old_{c}")).otherwise(F.col(c)) for c in (*SAVED, "content_start", "content_end")}
     new["is_in_content"] = new["is_in_content"] & ~is_gone
     new |= {"is_deleted": F.col("is_deleted") & ~restored | is_gone, "version": F.col("version") + (restored | is_gone).cast("int")}
-    elements = joined.select(*[new.get(c, F.col(c)).alias(c) for c in columns])
+    elements = _kept(joined.select(*[new.get(c, F.col(c)).alias(c) for c in columns]))
     changed = F.col("s.origin").isNotNull() & (F.col("s.segment") != expected)
     after = _counted(review, elements, contents, good.select("document_id", F.lit(1).alias("requests"), changed.cast("int").alias("bumps")))
 
@@ -347,23 +352,25 @@ def undo_to_originals(review: Review, chosen: DataFrame, user_id: int) -> tuple[
     If any of a document's merges can't be undone, the document stays as it was. Each level is written out; there
     are as many as merges of merges.
     """
-    now, pending, failed = review, chosen.select("document_id", "operation_id"), None
+    now, pending, failed = review, _kept(chosen.select("document_id", "operation_id")), None
     while True:
         now, outcomes, restored = undo_merges(now, pending, user_id)
         outcomes = outcomes.where("error IS NOT NULL")
-        failed = checkpointed(outcomes if failed is None else failed.unionByName(outcomes))
-        restored = checkpointed(restored)
+        failed = outcomes if failed is None else failed.unionByName(outcomes)
         now = now.settled()
         made = now.operations.where("NOT undone").select("operation_id", "document_id", F.col("survivor_id").alias("element_id"), F.col("merged_version").alias("version"))
         newest = made.join(restored, [*KEY, "version"]).groupBy(*KEY).agg(F.max("operation_id").alias("operation_id"))
-        pending = checkpointed(newest.join(failed, "document_id", "left_anti").select("document_id", "operation_id"))
+        pending = _kept(newest.join(failed, "document_id", "left_anti").select("document_id", "operation_id"))
         if pending.isEmpty():
             break
     errors = failed.groupBy("document_id").agg(F.min("error").alias("error"))
+    asked = chosen.select("document_id").distinct().join(errors, "document_id", "left")
+    if failed.isEmpty():
+        return now, asked
     stays = errors.select("document_id")
     pick = lambda old, new: new.join(stays, "document_id", "left_anti").unionByName(old.join(stays, "document_id", "left_semi"))
     names = ("elements", "contents", "documents", "operations", "revisions", "events")
-    return Review(*(pick(getattr(review, n), getattr(now, n)) for n in names)), chosen.select("document_id").distinct().join(errors, "document_id", "left")
+    return Review(*(pick(getattr(review, n), getattr(now, n)) for n in names)), asked
 
 
 def split_elements(review: Review, requests: DataFrame, user_id: int) -> tuple[Review, DataFrame]:
@@ -384,7 +391,7 @@ def split_elements(review: Review, requests: DataFrame, user_id: int) -> tuple[R
     unfit = misfits(edits, review.contents).select("document_id", "step", F.lit(4).alias("rank"), F.lit(MAPPING).alias("error"))
     outcomes = _first_errors(asked, checked.unionByName(unfit))
 
-    good = checkpointed(joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi"))
+    good = _kept(joined.join(outcomes.where("error IS NULL").select("document_id"), "document_id", "left_semi"))
     both = F.concat("first_text", F.lit("\n"), "second_text")
     elements, contents = _put(review, good.select(*KEY, both.alias("replacement")))
     columns = elements.columns

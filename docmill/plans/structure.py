@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.operators import lifecycle, structure
+from docmill.operators.storage import checkpointed
 from docmill.plans.registry import USER, query
 from docmill.plans.views import Views
 
@@ -33,7 +34,7 @@ def _opened(v: Views) -> structure.Review:
         (_i() % 4 == 0).alias("is_paragraph_start"), "version", "is_deleted", "is_excluded", "is_in_content", "content_start", "content_end",
     )
     chars = rows.groupBy("document_id").agg(F.sum(F.length("text")).alias("ocr_char_count"))
-    contents = contents.join(chars, "document_id").withColumn("is_confirmed", F.lit(True))
+    elements, contents = (checkpointed(x, "document_id") for x in (elements, contents.join(chars, "document_id").withColumn("is_confirmed", F.lit(True))))
     status = F.element_at(F.array(*map(F.lit, ("PENDING", "IN_PROGRESS", "COMPLETED"))), (F.col("document_id") % 3 + 1).cast("int"))
     documents = contents.select("document_id", status.alias("review_status"), F.lit(0).alias("ocr_revision"))
     return structure.opened(elements, contents, documents)

@@ -1,6 +1,7 @@
 """Structural edits of a review: what fails leaves the document alone, what is undone comes back."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.operators import structure
@@ -176,3 +177,11 @@ def test_empty_ranges_move_only_behind_the_edit(spark, opened):
     review = structure.replace(review, elements=review.elements.unionByName(twin))
     after, _ = structure.edit_batch(review, spark.createDataFrame([(1, 0, 1, "longer")], "document_id long, element_id long, version int, text string"), 7)
     assert sorted(ranges(after)) == [(0, "longer", 0, 6), (1, "bb", 7, 9), (7, "", 0, 0)]  # the empty one stands where the edit begins
+
+
+def test_settled_tables_lie_in_buckets_and_are_written_once(spark, opened):
+    review = opened({1: ["a", "b"], 2: ["c"]}).settled()
+    assert review.settled().elements is review.elements
+    numbered = review.elements.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("element_id")))
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.document_id, r.text, r.n) for r in numbered.collect()) == [(1, "a", 1), (1, "b", 2), (2, "c", 1)]
