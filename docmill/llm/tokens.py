@@ -28,6 +28,9 @@ _WIDE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|[\x00\x01]"
 _BYTES = np.zeros(256, np.uint8)
 _BYTES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
 _BYTES[[0, 1, 0xC2, 0xE1, 0xE2, 0xE3]] = 4
+#: Bytes of letters and digits.
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: Words that go to the library as one text.
 _JOINED = 500
 
@@ -117,22 +120,32 @@ class PieceEncoder:
             numbers.update(zip(part, range(first, first + len(part))))
         return numbers
 
-    def _numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    def _numbers(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
         """Of each piece the number of its core, and that of the mark at its end or -1; new cores.
 
-        A mark after a letter or digit is a word of its own.
+        A mark after a letter or digit is a word of its own. Each different core is looked up once.
         """
-        marks, cores = np.full(len(pieces), -1, np.int64), list(pieces)
-        for i, p in enumerate(pieces):
-            if p[-1:] in self.marks and p[-2:-1].lower()[-1:].isalnum():
-                cores[i], marks[i] = p[:-1], self.marks[p[-1]]
+        data, offsets = utf8_buffers(pieces)
+        ends = offsets[1:][np.diff(offsets) > 1]
+        last, before = np.zeros(len(pieces), np.uint8), np.zeros(len(pieces), np.uint8)
+        last[np.diff(offsets) > 1], before[np.diff(offsets) > 1] = data[ends - 1], data[ends - 2]
+        marks = np.full(len(pieces), -1, np.int64)
+        for mark, number in self.marks.items():
+            own = last == ord(mark)
+            marks[own & _ALNUM[before]] = number
+            other = np.flatnonzero(own & (before > 127))  # which of these are letters, Python tells
+            letters = [p[-2].lower()[-1:].isalnum() for p in pieces.take(pa.array(other)).to_pylist()]
+            marks[other[np.array(letters, bool)]] = number
+        cores = pc.if_else(pa.array(marks >= 0), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
         if not self.spaced:
-            cores = [c.lower() if c.isascii() else c for c in cores]
+            cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        cores = cores.dictionary_encode()
+        different = cores.dictionary.to_numpy(zero_copy_only=False).tolist()
         where = self.where
-        new = self._learn(list(set(cores) - where.keys()))
+        new = self._learn([c for c in different if c not in where])
         where.update(new)
-        found = np.fromiter(map(where.__getitem__, cores), np.int64, len(cores))
-        return found, marks, new
+        found = np.fromiter(map(where.__getitem__, different), np.int64, len(different))
+        return found[cores.indices.to_numpy(zero_copy_only=False)], marks, new
 
     def _forget(self, new: dict[str, int], count: int, used: int) -> None:
         """Keep the batch's new pieces if there is room for all of them, else none of it."""
@@ -168,7 +181,7 @@ class PieceEncoder:
         flat = pc.dictionary_encode(words.flatten())
         codes = flat.indices.to_numpy(zero_copy_only=False)
         count, used = self.count, self.used
-        cores, marks, new = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
+        cores, marks, new = self._numbers(flat.dictionary)
         whole = np.flatnonzero(wide)
         cores = np.concatenate([cores, [self._add([np.array([end_id], np.uint32)])]])
         if len(whole):
