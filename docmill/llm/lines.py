@@ -321,9 +321,21 @@ def _shared():
     return shared
 
 
+#: Words of 64 bits that tell which of their parts of the range of hashes a set has shingles in.
+_WORDS_OF_SET = 8
+_HELD_BITS = [f"bits{i}" for i in range(_WORDS_OF_SET)]
+
+
+def _occupied(owner: np.ndarray, shingle: np.ndarray, count: int) -> np.ndarray:
+    """The words of each of ``count`` sets, from hashes of 54 bits."""
+    held = np.zeros((count, 64 * _WORDS_OF_SET), bool)
+    held[owner, (shingle >> np.uint64(55 - (64 * _WORDS_OF_SET).bit_length())).astype(np.int64)] = True
+    return np.packbits(held, axis=1).view(np.int64)
+
+
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, value and n (size of the set) of wanted lines (hash, doc_id, line, row, long), and the coarse set
-    (32 bits of each shingle) of long ones."""
+    """hash, value, n (size of the set) and bits (see ``_occupied``) of wanted lines (hash, doc_id, line, row, long), and
+    the coarse set (32 bits of each shingle) of long ones."""
     by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "hash", "long")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,26 +349,35 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         values.append(parts[own["line"]])
                         long.append(own["long"])
             coarse, sizes, at = [None] * len(values), np.zeros(len(values), np.int32), 0
+            bits = np.zeros((len(values), _WORDS_OF_SET), np.int64)
             for part in (block[i : i + 500] for block in _blocks(values) for i in range(0, len(block), 500)):
                 owner, shingle = Shingles(part).sets(54)  # so few lines leave room for all 54 bits
                 counts = np.bincount(owner, minlength=len(part))
                 sizes[at : at + len(part)] = counts
+                bits[at : at + len(part)] = _occupied(owner, shingle, len(part))
                 cuts = np.cumsum(counts)
                 for i in np.flatnonzero(long[at : at + len(part)]).tolist():
                     own = shingle[cuts[i] - counts[i] : cuts[i]] >> np.uint64(22)
                     coarse[at + i] = np.unique(own.astype("<u4")).tobytes()
                 at += len(part)
             columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(sizes), pa.array(coarse, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "n", "coarse"])
+            columns += [pa.array(bits[:, i]) for i in range(_WORDS_OF_SET)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "n", "coarse", *_HELD_BITS])
 
-    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), "hash bigint, value string, n int, coarse binary")
+    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), ", ".join(["hash bigint, value string, n int, coarse binary", *(f"{b} bigint" for b in _HELD_BITS)]))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of lines whose full sets of shingles are as similar as ``percent``."""
-    of = lambda end: texts.select(F.col("hash").alias(end), F.col("value").alias(f"of_{end}"), F.col("n").alias(f"n_{end}"))
+    """Pairs (u, v) of lines whose full sets of shingles are as similar as ``percent``.
+
+    Each part of the range of hashes that only one set is in holds a shingle that the other lacks, so pairs that
+    have too many of them aren't compared.
+    """
+    of = lambda end: texts.select(F.col("hash").alias(end), F.col("value").alias(f"of_{end}"), F.col("n").alias(f"n_{end}"), *[F.col(b).alias(f"{b}_{end}") for b in _HELD_BITS])
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{b}_{x}").bitwiseAND(F.bitwise_not(f"{b}_{y}"))) for b in _HELD_BITS), F.lit(0))
+    most = F.least(F.col("n_u") - lacks("u", "v"), F.col("n_v") - lacks("v", "u"))
     both = pairs.join(of("u"), "u").join(of("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-    both = both.select("u", "v", "of_u", "of_v")
+    both = both.where((100 + percent) * most >= percent * (F.col("n_u") + F.col("n_v"))).select("u", "v", "of_u", "of_v")
     both = both.sortWithinPartitions("v")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +414,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     runs = materialize(dealt.mapInArrow(frugal(_shared()), FOUND), "lines-runs")
     ends = runs.select(F.explode(F.array("hash", "other")).alias("hash"), "long").where("hash IS NOT NULL")
     wanted = ends.groupBy("hash").agg(F.max("long").alias("long"))
-    by_hash = places.where("NOT gone").groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"))
+    by_hash = places.where("NOT gone").groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"), F.count("*").alias("times"))
+    by_hash = materialize(by_hash, "lines-first")
     wanted = wanted.join(by_hash, "hash").select("hash", "at.doc_id", "at.line", "at.row", "long")
     texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
 
@@ -407,10 +429,13 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
 
-    # all places but the first one of each component are later; minima by hash, then by component, are small
-    firsts = by_hash.join(joined.withColumnRenamed("node", "hash"), "hash", "left")
-    firsts = firsts.groupBy(F.coalesce("component", "hash")).agg(F.min("at").alias("at")).select("at.*")
-    later = places.where("NOT gone").select("doc_id", "row", "line").distinct().join(firsts, ["doc_id", "row", "line"], "left_anti")
+    # all places but the first one of each component are later; a line that stands once and is linked with none has no later one
+    named = by_hash.join(joined.withColumnRenamed("node", "hash"), "hash", "left").where("times > 1 OR component IS NOT NULL")
+    named = named.select("hash", "at", F.coalesce("component", "hash").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("at").alias("first"))
+    led = named.select("hash", "component").join(firsts, "component").select("hash", "first")
+    again = places.where("NOT gone").join(led, "hash").where(F.struct("doc_id", "line", "row") != F.col("first"))
+    later = again.select("doc_id", "row", "line").distinct()
     return places.where("gone").select("doc_id", "row", "line").distinct().unionByName(later)
 
 
