@@ -109,6 +109,17 @@ def _give_back(keep: bool) -> None:
         pass
 
 
+#: Bytes that a worker keeps at the top of its memory, so that arrays that come and go take the same pages again.
+_KEPT = 16 << 20
+
+
+def _keep_pages() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, _KEPT)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, _KEPT)  # M_TRIM_THRESHOLD
+
+
 def frugal(work: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
     """``work`` over the batches of a partition, after which the worker gives its memory back.
 
@@ -117,6 +128,7 @@ def frugal(work: Callable[[Iterator], Iterator], keep: bool = False) -> Callable
     """
 
     def run(batches: Iterator) -> Iterator:
+        _keep_pages()
         if not keep:
             for drop in _at_end:
                 drop()

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ SKETCH_DIFFERENCE = 18
 ONE_BAND = 3
 #: Bytes of text that are taken apart at a time.
 SLICE = 1 << 20
-#: Characters of lines that are hashed at a time; small arrays stay in the processor's cache.
-_BLOCK = 1 << 18
+#: Characters of lines that are hashed at a time; small arrays stay near the processor.
+_BLOCK = 1 << 17
 #: Shingles whose minimal hashes are taken at a time.
 _CHUNK = 1 << 17
 _TIMES = (random_words(HASHES, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -55,7 +56,9 @@ class Shingles:
 
     def __init__(self, lines: list[str]):
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # a shingle begins at each character, and an empty line has one
+        text = "".join(lines if sizes.all() else [x or "\0" for x in lines]) + "\0" * (SHINGLE - 1)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         values = _WORDS[codes & 0xFFFF]
         high = np.flatnonzero(codes > 0xFFFF)
         values[high] = mix64(codes[high].astype(np.uint64))
@@ -65,12 +68,18 @@ class Shingles:
             width *= 2
             if bit == "1":
                 every, width = self._joined(every, values, width, 1), width + 1
-        begins = np.cumsum(sizes) - sizes
+        width = np.maximum(sizes, 1)
+        begins = np.cumsum(width) - width
         self.count = np.maximum(sizes - SHINGLE + 1, 1)
         self.first = np.cumsum(self.count) - self.count
-        place = np.repeat(begins - self.first, self.count) + np.arange(self.count.sum())
-        self.hash = every[np.minimum(place, max(len(every) - 1, 0))] if len(every) else np.zeros(len(place), np.uint64)
-        for i in np.flatnonzero(sizes < SHINGLE).tolist():
+        inside = np.ones(len(every), bool)
+        long = np.flatnonzero(sizes >= SHINGLE)
+        inside[(begins[long] + sizes[long])[:, None] - np.arange(1, SHINGLE)] = False
+        short = np.flatnonzero(sizes < SHINGLE).tolist()
+        for i in short:
+            inside[begins[i] + 1 : begins[i] + width[i]] = False
+        self.hash = every[inside]
+        for i in short:
             self.hash[self.first[i]] = line_hash(lines[i])
         self.hash ^= self.hash >> np.uint64(32)
         self.hash *= _C
@@ -98,9 +107,9 @@ def signatures(shingles: Shingles) -> tuple[np.ndarray, np.ndarray]:
     while at < len(ends):  # lines of about _CHUNK shingles
         to = max(at + 1, int(np.searchsorted(ends, shingles.first[at] + _CHUNK, side="right")))
         own = (shingles.hash[shingles.first[at] : ends[to - 1]] >> np.uint64(32)).astype(np.uint32)
-        begin = shingles.first[at:to] - shingles.first[at]
+        begin, turned = shingles.first[at:to] - shingles.first[at], np.empty_like(own)
         for i in range(HASHES):
-            picks[at:to, i] = np.minimum.reduceat(own * _TIMES[i], begin)
+            picks[at:to, i] = np.minimum.reduceat(np.multiply(own, _TIMES[i], out=turned), begin)
         at = to
     picks = mix64(picks + np.arange(HASHES, dtype=np.uint64) * _C)
     sketch = np.zeros((len(picks), 2), np.uint64)
@@ -128,81 +137,87 @@ def _blocks(lines: list[str]) -> Iterator[list[str]]:
         at = to
 
 
-PLACES = "hash bigint, doc_id bigint, line int, row bigint, gone boolean"
-
-
-def _places(docs: DataFrame) -> DataFrame:
-    """Where lines stand: of each hash in a batch the first place, and as ``gone`` all later ones."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            hashes, text, number = [], [], []
-            for i, lines in enumerate(batch.column("text").to_pylist()):
-                for j, line in enumerate(lines.split("\n")):
-                    if line and not line.isspace():
-                        hashes.append(line_hash(line))
-                        text.append(i)
-                        number.append(j)
-            own, number = np.array(hashes, np.uint64), np.array(number, np.int32)
-            doc, row = (batch.column(c).to_numpy(zero_copy_only=False)[np.array(text, np.int64)] for c in ("doc_id", "row"))
-            order = np.lexsort((row, number, doc, own))
-            new = np.concatenate([[True], own[order][1:] != own[order][:-1]])[: len(order)]
-            head = order[_run_heads(~new)] if len(order) else order
-            later = (doc[order] != doc[head]) | (number[order] != number[head]) | (row[order] != row[head])
-            at, gone = order[new | later], later[new | later]  # equal rows name the same place, which isn't later than itself
-            columns = [own[at].view(np.int64), doc[at], number[at], row[at], gone]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PLACES.split(", ")])
-
-    return docs.mapInArrow(frugal(compute), PLACES)
-
-
 #: A line under a band's key.
 _ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("a", "<u8"), ("b", "<u8")])
+#: Where a line stands; ``gone`` if an equal one stands earlier.
+_PLACE = np.dtype([("hash", "<u8"), ("doc_id", "<i8"), ("row", "<i8"), ("line", "<i4"), ("gone", "<i4")])
 #: Entries of a batch of them for each partition, about.
 _ENTRIES = 1000
 #: Hashes of lines that a task remembers, so that it sends an often repeated line once.
 _SEEN = 300_000
 
 
+def _sorted_places(found: np.ndarray) -> np.ndarray:
+    """Of each hash the first place and, as ``gone``, all others; equal rows name the same place, which isn't later than itself."""
+    found = found[np.lexsort((found["row"], found["line"], found["doc_id"], found["hash"]))]
+    new = np.concatenate([[True], found["hash"][1:] != found["hash"][:-1]])[: len(found)]
+    head = found[_run_heads(~new)] if len(found) else found
+    found["gone"] = (found["doc_id"] != head["doc_id"]) | (found["line"] != head["line"]) | (found["row"] != head["row"])
+    return found[new | (found["gone"] > 0)]
+
+
 def _banded(docs: DataFrame, parts: int) -> DataFrame:
-    """part, entries: each different line of a task under the key of each of its bands, many to a row."""
+    """part, entries, places, many to a row: each different line of a task under the key of each of its bands, and where lines stand.
+
+    Of equal lines the first place is dealt by their hash, and later ones, which are settled, by document.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, seen = [], 0, set()
+        held, spots, count, seen = [], [], 0, set()
         for batch in text_slices(batches, limit=SLICE):
             new: dict[int, str] = {}
-            for text in batch.column("text").to_pylist():
-                for line in text.split("\n"):
+            hashes, text, number = [], [], []
+            if len(seen) > _SEEN:
+                seen = set()
+            for i, lines in enumerate(batch.column("text").to_pylist()):
+                for j, line in enumerate(lines.split("\n")):
                     if line and not line.isspace():
-                        new.setdefault(line_hash(line), line)
-            for own in seen.intersection(new):
-                del new[own]
-            seen = seen.union(new) if len(seen) < _SEEN else set(new)
-            if not new:
-                continue
-            counts, bands, sketch = (np.concatenate(x) for x in zip(*map(_signed, _blocks(list(new.values())))))
-            made = np.where(counts > ONE_BAND, BANDS, 1)
-            at = np.repeat(np.arange(len(made)), made)
-            found = np.empty(len(at), _ENTRY)
-            found["key"], found["hash"] = bands[np.arange(BANDS) < made[:, None]], np.fromiter(new, np.uint64, len(new))[at]
-            found["a"], found["b"] = sketch[at, 0], sketch[at, 1]
-            held.append(found)
-            count += len(found)
+                        own = line_hash(line)
+                        hashes.append(own)
+                        text.append(i)
+                        number.append(j)
+                        if own not in seen:
+                            new.setdefault(own, line)
+            seen.update(new)
+            spot = np.zeros(len(hashes), _PLACE)
+            spot["hash"], spot["line"] = np.array(hashes, np.uint64), np.array(number, np.int32)
+            for name in ("doc_id", "row"):
+                spot[name] = batch.column(name).to_numpy(zero_copy_only=False)[np.array(text, np.int64)]
+            spots.append(spot)
+            count += len(spot)
+            if new:
+                counts, bands, sketch = (np.concatenate(x) for x in zip(*map(_signed, _blocks(list(new.values())))))
+                made = np.where(counts > ONE_BAND, BANDS, 1)
+                at = np.repeat(np.arange(len(made)), made)
+                found = np.empty(len(at), _ENTRY)
+                found["key"], found["hash"] = bands[np.arange(BANDS) < made[:, None]], np.fromiter(new, np.uint64, len(new))[at]
+                found["a"], found["b"] = sketch[at, 0], sketch[at, 1]
+                held.append(found)
+                count += len(found)
             if count >= min(_ENTRIES * parts, 1 << 20):
-                yield emit(np.concatenate(held))
-                held, count = [], 0
+                yield from emit(held, spots)
+                held, spots, count = [], [], 0
         if count:
-            yield emit(np.concatenate(held))
+            yield from emit(held, spots)
 
-    def emit(found: np.ndarray) -> pa.RecordBatch:
-        part = ((found["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    def emit(held: list[np.ndarray], spots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            found = np.concatenate(held)
+            part, cuts = dealt(found, found["key"])
+            yield pa.RecordBatch.from_arrays([part, cuts, pa.nulls(len(part), pa.binary())], names=["part", "entries", "places"])
+        found = _sorted_places(np.concatenate(spots))
+        part, cuts = dealt(found, np.where(found["gone"] > 0, mix64(found["doc_id"].view(np.uint64)), found["hash"]))
+        yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.binary()), cuts], names=["part", "entries", "places"])
+
+    def dealt(found: np.ndarray, key: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # short values are counted, not compared
         found, part = found[order], part[order]
-        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
         cuts = [found[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(part)))]
-        return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(cuts, pa.binary())], names=["part", "entries"])
+        return pa.array(part[begin]), pa.array(cuts, pa.binary())
 
-    return docs.mapInArrow(frugal(compute), "part int, entries binary")
+    return docs.mapInArrow(frugal(compute), "part int, entries binary, places binary")
 
 
 #: Different lines under one key that are compared with each other; a longer run is searched as a region.
@@ -222,11 +237,14 @@ def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return count <= SKETCH_DIFFERENCE
 
 
-FOUND = "key bigint, hash bigint, other bigint, long boolean"
+FOUND = "key bigint, hash bigint, other bigint, long boolean, doc_id bigint, line int, row bigint, gone boolean"
+#: Places that a task holds before it lets go of later ones of equal lines.
+_PLACES = 1_000_000
 
 
 def _shared():
-    """Over rows of entries: lines that their sketches allow a link with another one of their key.
+    """Over rows of entries and places: lines that their sketches allow a link with another one of their key, and places.
+    Rows of places have ``doc_id``; of each line one place is the first, others are ``gone``.
 
     In a short run, and in one where a line has few others, each such pair goes on as ``hash`` and ``other``.
     Of another run the lines go on as ``long`` that may be linked with any other of it; ``other`` is the
@@ -236,7 +254,16 @@ def _shared():
     def rows(key, hash_, other, named, long) -> pa.RecordBatch:
         longs = [np.asarray(x, np.uint64).view(np.int64) for x in (key, hash_, other)]
         columns = [pa.array(longs[0]), pa.array(longs[1]), pa.array(longs[2], mask=~np.asarray(named, bool)), pa.array(np.full(len(longs[0]), long))]
-        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+        columns += [pa.nulls(len(longs[0]), x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def stand(found: np.ndarray) -> pa.RecordBatch:
+        column = lambda x: pa.array(np.ascontiguousarray(x))
+        columns = [pa.nulls(len(found), pa.int64()), column(found["hash"].view("<i8")), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.bool_())]
+        columns += [column(found["doc_id"]), column(found["line"]), column(found["row"]), column(found["gone"] > 0)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def distinct(parts: list[np.ndarray], needed: dict[int, np.ndarray] | None = None) -> np.ndarray:
         """Different entries by key and hash; with ``needed`` only those that share their key or have one of its keys."""
@@ -277,9 +304,20 @@ def _shared():
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
+        spots, room = [np.zeros(0, _PLACE)], _PLACES
         leads: dict[int, np.ndarray] = {}  # of runs that were too long to hold
         for batch in batches:
-            for entries in batch.column("entries").to_pylist():
+            places = [np.frombuffer(x, _PLACE) for x in batch.column("places").drop_null().to_pylist()]
+            if places:
+                found = np.concatenate(places)
+                yield stand(found[found["gone"] > 0])
+                spots.append(found[found["gone"] == 0])
+                if sum(map(len, spots)) > room:
+                    found = _sorted_places(np.concatenate(spots))
+                    yield stand(found[found["gone"] > 0])
+                    spots = [found[found["gone"] == 0]]
+                    room = max(_PLACES, 2 * len(spots[0]))
+            for entries in batch.column("entries").drop_null().to_pylist():
                 held.append(np.frombuffer(entries, _ENTRY))
                 count += len(held[-1])
                 if count > _HELD:
@@ -296,6 +334,7 @@ def _shared():
                     held, count = [found], max(0, len(found) - _HELD // 2)
         if held:
             yield from last(distinct(held, leads), leads)
+        yield stand(_sorted_places(np.concatenate(spots)))
 
     def bounds(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.flatnonzero(np.concatenate([[True], found["key"][1:] != found["key"][:-1]])[: len(found)])
@@ -322,7 +361,7 @@ def _shared():
 
 
 #: Words of 64 bits that tell which of their parts of the range of hashes a set has shingles in.
-_WORDS_OF_SET = 8
+_WORDS_OF_SET = 16
 _HELD_BITS = [f"bits{i}" for i in range(_WORDS_OF_SET)]
 
 
@@ -333,21 +372,28 @@ def _occupied(owner: np.ndarray, shingle: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(held, axis=1).view(np.int64)
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, value, n (size of the set) and bits (see ``_occupied``) of wanted lines (hash, doc_id, line, row, long), and
-    the coarse set (32 bits of each shingle) of long ones."""
+def _by_id(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, row, text) packed and dealt by id, with ``twin``; kept on the executors' disks, as two joins read it."""
+    return numbered_twins(_packed(docs).repartition(parts_for(docs), "doc_id", "row")).persist(StorageLevel.DISK_ONLY)
+
+
+def _line_texts(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hash, doc_id, row, line, value, n (size of the set) and bits (see ``_occupied``) of wanted lines (hash, doc_id, line, row, long),
+    and the coarse set (32 bits of each shingle) of long ones."""
     by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "hash", "long")).alias("lines"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, values, long = [], [], []
-            for packed, wanted_lines in zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist()):
+            hashes, values, long, number, at_row = [], [], [], [], []
+            for i, (packed, wanted_lines) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("lines").to_pylist())):
                 parts = _unpack(packed).decode("utf-8", "surrogatepass").split("\n")
                 for own in wanted_lines:
                     if own["line"] < len(parts):
                         hashes.append(own["hash"])
                         values.append(parts[own["line"]])
                         long.append(own["long"])
+                        number.append(own["line"])
+                        at_row.append(i)
             coarse, sizes, at = [None] * len(values), np.zeros(len(values), np.int32), 0
             bits = np.zeros((len(values), _WORDS_OF_SET), np.int64)
             for part in (block[i : i + 500] for block in _blocks(values) for i in range(0, len(block), 500)):
@@ -360,11 +406,14 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     own = shingle[cuts[i] - counts[i] : cuts[i]] >> np.uint64(22)
                     coarse[at + i] = np.unique(own.astype("<u4")).tobytes()
                 at += len(part)
-            columns = [pa.array(hashes, pa.int64()), pa.array(values, pa.string()), pa.array(sizes), pa.array(coarse, pa.binary())]
+            places = [batch.column(c).take(pa.array(at_row, pa.int64())) for c in ("doc_id", "row")] + [pa.array(number, pa.int32())]
+            columns = [pa.array(hashes, pa.int64()), *places, pa.array(values, pa.string()), pa.array(sizes), pa.array(coarse, pa.binary())]
             columns += [pa.array(bits[:, i]) for i in range(_WORDS_OF_SET)]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "value", "n", "coarse", *_HELD_BITS])
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "row", "line", "value", "n", "coarse", *_HELD_BITS])
 
-    return _packed(docs).join(by_doc, ["doc_id", "row"]).select("packed", "lines").mapInArrow(frugal(compute), ", ".join(["hash bigint, value string, n int, coarse binary", *(f"{b} bigint" for b in _HELD_BITS)]))
+    one = packed.where("twin = 0").select("doc_id", "row", "packed")  # equal rows hold the same lines
+    schema = "hash bigint, doc_id bigint, row bigint, line int, value string, n int, coarse binary"
+    return one.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "packed", "lines").mapInArrow(frugal(compute), ", ".join([schema, *(f"{b} bigint" for b in _HELD_BITS)]))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -403,21 +452,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(frugal(confirm), "u bigint, v bigint")
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, row, line: lines that are fuzzy copies of an earlier one.
+def repeated_lines(docs: DataFrame, percent: int = 80, packed: DataFrame | None = None) -> DataFrame:
+    """doc_id, row, line: lines that are fuzzy copies of an earlier one; one may be named again.
 
-    ``docs`` has doc_id (no nulls), text and row, which tells rows of one id apart.
+    ``docs`` has doc_id (no nulls), text and row, which tells rows of one id apart; ``packed`` is ``_by_id`` of it.
     """
     parts = parts_for(docs)
-    places = materialize(_places(docs), "lines-places")
-    dealt = _banded(docs, parts).repartitionById(parts, F.col("part")).select("entries")
-    runs = materialize(dealt.mapInArrow(frugal(_shared()), FOUND), "lines-runs")
+    dealt = _banded(docs, parts).repartitionById(parts, F.col("part")).select("entries", "places")
+    found = materialize(dealt.mapInArrow(frugal(_shared()), FOUND), "lines-runs")
+    runs = found.where("doc_id IS NULL").select("key", "hash", "other", "long")
+    firsts = found.where("NOT gone").select("hash", "doc_id", "line", "row")
     ends = runs.select(F.explode(F.array("hash", "other")).alias("hash"), "long").where("hash IS NOT NULL")
     wanted = ends.groupBy("hash").agg(F.max("long").alias("long"))
-    by_hash = places.where("NOT gone").groupBy("hash").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"), F.count("*").alias("times"))
-    by_hash = materialize(by_hash, "lines-first")
-    wanted = wanted.join(by_hash, "hash").select("hash", "at.doc_id", "at.line", "at.row", "long")
-    texts = materialize(_line_texts(docs, wanted).dropDuplicates(["hash"]), "lines-texts")
+    wanted = wanted.join(firsts, "hash")
+    texts = materialize(_line_texts(_by_id(docs) if packed is None else packed, wanted), "lines-texts")
 
     pairs = runs.where("other IS NOT NULL").select(F.least("hash", "other").alias("u"), F.greatest("hash", "other").alias("v")).distinct()
     links = materialize(_confirmed(pairs, texts, percent), "lines-links")
@@ -425,18 +473,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # what links there are in long runs beside those with the run's first line
     labelled = runs.where("long").join(components.select(F.col("node").alias("hash"), "component"), "hash", "left")
     labelled = labelled.select(F.col("key").alias("region"), F.col("hash").alias("rep"), F.coalesce("component", "hash").alias("component"))
-    second = linked_across(labelled, texts.select(F.col("hash").alias("doc_id"), "coarse"), percent)
+    in_long = texts.where("coarse IS NOT NULL")
+    second = linked_across(labelled, in_long.select(F.col("hash").alias("doc_id"), "coarse"), percent)
     stars = components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    joined = connected_components(stars.unionByName(_confirmed(second, texts, percent)), "lines-components")
+    joined = connected_components(stars.unionByName(_confirmed(second, in_long, percent)), "lines-components")
 
-    # all places but the first one of each component are later; a line that stands once and is linked with none has no later one
-    named = by_hash.join(joined.withColumnRenamed("node", "hash"), "hash", "left").where("times > 1 OR component IS NOT NULL")
-    named = named.select("hash", "at", F.coalesce("component", "hash").alias("component"))
-    firsts = named.groupBy("component").agg(F.min("at").alias("first"))
-    led = named.select("hash", "component").join(firsts, "component").select("hash", "first")
-    again = places.where("NOT gone").join(led, "hash").where(F.struct("doc_id", "line", "row") != F.col("first"))
-    later = again.select("doc_id", "row", "line").distinct()
-    return places.where("gone").select("doc_id", "row", "line").distinct().unionByName(later)
+    # of a line, all places but its first are gone; of a component, the first places of all lines but the earliest
+    led = texts.select("hash", "doc_id", "line", "row").join(joined.withColumnRenamed("node", "hash"), "hash")
+    earliest = led.groupBy("component").agg(F.min(F.struct("doc_id", "line", "row", "hash")).alias("at")).select("at.hash")
+    later = led.join(earliest, "hash", "left_anti").select("doc_id", "row", "line")
+    return found.where("gone").select("doc_id", "row", "line").unionByName(later)
 
 
 SCHEMA = "doc_id bigint, n_lines bigint, n_removed bigint, text string"
@@ -460,7 +506,8 @@ def deduplicate_lines(
     rows = docs.select(key, text, text.isNull().alias("absent"), *([F.struct(*carry).alias("carried")] if carry else []))
     rows = with_row_key(rows)
     texts = rows.select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
-    later = repeated_lines(texts, percent).groupBy("doc_id", "row").agg(F.collect_list("line").alias("lines"))
+    packed = _by_id(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+    later = repeated_lines(texts, percent, packed).groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
     carried = [f for f in rows.schema.fields if f.name == "carried"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +526,7 @@ def deduplicate_lines(
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name) for f in carried)], names=names)
 
     schema = T.StructType([*T._parse_datatype_string(SCHEMA).fields, *carried])
-    return numbered_twins(_packed(rows)).join(later, ["doc_id", "row"], "left").mapInArrow(frugal(cut), schema)
+    return packed.join(later, ["doc_id", "row"], "left").mapInArrow(frugal(cut), schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,28 +224,49 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 #: Items by which a coarse set may overstate what two sets share; three such collisions don't happen.
 _SLACK = 2
+#: Sets that are compared one by one; for more the items' postings are counted.
+_FEW = 12
 
 
 def _links_in_region(reps: np.ndarray, components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of one region in different components whose coarse sets allow a link.
 
-    Each class but those of the largest component counts what it shares with all others, item by item.
+    Each class but those of the largest component counts what it shares with others, item by item, unless the
+    parts of the range of items rule a link out.
     Components that a link beyond doubt has joined need no other link between them.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     owner = np.repeat(np.arange(len(sets)), sizes)
-    values, item = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(item, kind="stable")
-    postings, begin = owner[order], np.searchsorted(item[order], np.arange(len(values) + 1))
+    every = np.concatenate(sets)
+    # parts of the range of items that a set has items in; each part that only one set is in holds an item that the other lacks
+    level = min(max(int(sizes.max()) * 4, 64).bit_length(), 14)
+    bits = np.zeros((len(sets), 1 << level), bool)
+    bits[owner, every >> np.uint32(32 - level)] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    parts = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    postings = None
     found, at = [], np.cumsum(sizes) - sizes
     names, index, counts = np.unique(components, return_inverse=True, return_counts=True)
     root = np.arange(len(names))
     for i in np.flatnonzero(index != np.argmax(counts)):
         alike = 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-        if not (alike & (root[index] != root[index[i]])).any():
+        others = np.flatnonzero(alike & (root[index] != root[index[i]]))
+        both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(sizes[i] - parts[i], sizes[others] - parts[others]) + both
+        others = others[100 * most >= percent * (sizes[others] + sizes[i] - most)]
+        if not len(others):
             continue
-        own = np.unique(item[at[i] : at[i] + sizes[i]])
-        shared = np.bincount(np.concatenate([postings[begin[x] : begin[x + 1]] for x in own]), minlength=len(sets))
+        if len(others) <= _FEW:
+            own, shared = np.sort(sets[i]), np.zeros(len(sets), np.int64)
+            for j in others.tolist():
+                shared[j] = np.count_nonzero(own[np.minimum(np.searchsorted(own, sets[j]), len(own) - 1)] == sets[j])
+        else:
+            if postings is None:
+                values, item = np.unique(every, return_inverse=True)
+                order = np.argsort(item, kind="stable")
+                postings, begin = owner[order], np.searchsorted(item[order], np.arange(len(values) + 1))
+            own = np.unique(item[at[i] : at[i] + sizes[i]])
+            shared = np.bincount(np.concatenate([postings[begin[x] : begin[x + 1]] for x in own]), minlength=len(sets))
         shared = np.minimum(shared, np.minimum(sizes, sizes[i]))
         allowed = lambda n: 100 * n >= percent * (sizes + sizes[i] - n)
         apart = root[index] != root[index[i]]
