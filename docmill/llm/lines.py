@@ -462,12 +462,13 @@ def repeated_lines(docs: DataFrame, percent: int = 80, packed: DataFrame | None
     found = materialize(dealt.mapInArrow(frugal(_shared()), FOUND), "lines-runs")
     runs = found.where("doc_id IS NULL").select("key", "hash", "other", "long")
     firsts = found.where("NOT gone").select("hash", "doc_id", "line", "row")
-    ends = runs.select(F.explode(F.array("hash", "other")).alias("hash"), "long").where("hash IS NOT NULL")
+    pairs = runs.where("other IS NOT NULL").select(F.least("hash", "other").alias("u"), F.greatest("hash", "other").alias("v")).distinct()
+    pairs = materialize(pairs, "lines-pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("hash"), F.lit(False).alias("long")).unionByName(runs.where("long").select("hash", "long"))
     wanted = ends.groupBy("hash").agg(F.max("long").alias("long"))
-    wanted = wanted.join(firsts, "hash")
+    wanted = firsts.join(wanted.hint("shuffle_hash"), "hash")  # so that the many places needn't be sorted
     texts = materialize(_line_texts(_by_id(docs) if packed is None else packed, wanted), "lines-texts")
 
-    pairs = runs.where("other IS NOT NULL").select(F.least("hash", "other").alias("u"), F.greatest("hash", "other").alias("v")).distinct()
     links = materialize(_confirmed(pairs, texts, percent), "lines-links")
     components = materialize(connected_components(links, "lines-components"), "lines-components")
     # what links there are in long runs beside those with the run's first line
