@@ -1,26 +1,32 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Components of a vector are its terms. Rows are gathered in blocks: a block of candidates holds one
-list of postings for each term, a block of queries holds sparse rows. Every block of queries meets
-every block of candidates; a query's terms scatter weighted postings into a dense array of scores,
-from which a partition selects the highest; a window merges what the tasks selected.
+Components of a vector are its terms. Queries are dealt to groups, candidates to parts, and every
+group meets every part in a partition of its own: the group's queries come first and stay, as postings
+of strips, then the candidates stream by, as postings of blocks, ascending by id. The weights that a
+strip and a block have for a term are multiplied into a dense table of scores, one term after the
+other; what is above a query's least score so far is merged into its best. A window merges the parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import frugal, table
 
-#: Rows of a block, and its components at most.
-BLOCK_ROWS = 1024
-BLOCK_SCHEMA = "ids binary, rows binary, terms binary, weights binary"
+#: Queries of a strip and candidates of a block.
+STRIP_ROWS, BLOCK_ROWS = 64, 1024
+#: Components and places of results that a group of queries holds in a worker, about.
+GROUP_CELLS = 1 << 20
+#: Candidates of a part at least, while there are partitions without one, and pairs of a partition, about.
+PART_ROWS, PART_PAIRS = 4096, 1 << 25
+#: Copies of queries that a task makes, about.
+COPIES = 1 << 16
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -31,78 +37,144 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) ->
     return rows.select("id", F.transform("x", lambda v: F.floor(v * F.lit(scale))).alias("x"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse blocks, rows ascending by id: ids, and (row, term, weight) of what isn't zero."""
+class Postings(NamedTuple):
+    """Rows and weights by term, from ``begins`` on, without weights of zero."""
+
+    ids: np.ndarray
+    terms: np.ndarray
+    begins: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+
+    def largest(self) -> int:
+        return max(int(self.weights.max()), -int(self.weights.min())) if len(self.weights) else 0
+
+    def of(self, at: int, kind: type) -> tuple[np.ndarray | slice, np.ndarray]:
+        """Rows and weights of a term; one that a quarter of the rows has gives all rows, with zeros."""
+        part = slice(self.begins[at], self.begins[at + 1])
+        rows, weights = self.rows[part], self.weights[part].astype(kind)
+        if 4 * len(rows) < len(self.ids):
+            return rows, weights
+        dense = np.zeros(len(self.ids), kind)
+        dense[rows] = weights
+        return slice(None), dense
+
+
+def _postings(batch: pa.RecordBatch) -> Postings:
+    lists = batch.column("x")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    weights = lists.flatten().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    terms = np.arange(len(weights)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    full = np.flatnonzero(weights)
+    full = full[np.argsort(terms[full], kind="stable")]
+    found, begins = np.unique(terms[full], return_index=True)
+    return Postings(batch.column("id").to_numpy(zero_copy_only=False), found, np.append(begins, len(full)), rows[full], weights[full])
+
+
+def _scores(strip: Postings, block: Postings, columns: list, kind: type) -> np.ndarray:
+    """Inner products of a strip's rows and a block's; ``columns``: the block's rows and weights by term."""
+    scores = np.zeros((len(strip.ids), len(block.ids)), kind)
+    _, own, other = np.intersect1d(strip.terms, block.terms, assume_unique=True, return_indices=True)
+    for i, j in zip(own.tolist(), other.tolist()):
+        (rows, weights), (places, others) = strip.of(i, kind), columns[j]
+        if not isinstance(rows, slice) and not isinstance(places, slice):
+            rows = rows[:, None]
+        scores[rows, places] += np.multiply.outer(weights, others)
+    return scores
+
+
+class Best(NamedTuple):
+    """A strip's best so far, by row and then from the highest score on, and each row's least if it has k."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    scores: np.ndarray
+    least: np.ndarray
+
+
+def _nothing(rows: int) -> Best:
+    return Best(*(np.zeros(0, np.int64) for _ in range(3)), np.full(rows, np.iinfo(np.int64).min))
+
+
+def _merged(best: Best, scores: np.ndarray, ids: np.ndarray, k: int) -> Best:
+    """``best`` with what is higher in a block whose ids are no smaller than those before: ties don't matter any more."""
+    held, (count, width) = np.iinfo(scores.dtype), scores.shape
+    over = scores > np.clip(best.least, held.min, held.max).astype(scores.dtype)[:, None]
+    if width > k and np.count_nonzero(over) > 4 * k * count:
+        over &= scores >= np.partition(scores, width - k, axis=1)[:, [width - k]]
+    rows, places = np.nonzero(over)
+    if not len(rows):
+        return best
+    found = [best.rows, rows], [best.ids, ids[places]], [best.scores, scores[rows, places].astype(np.int64)]
+    rows, ids, scores = map(np.concatenate, found)
+    order = np.lexsort((ids, -scores, rows))
+    begins = np.searchsorted(rows[order], np.arange(count))
+    order = order[np.arange(len(order)) - begins[rows[order]] < k]
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    ends, least = np.searchsorted(rows, np.arange(count), side="right"), best.least.copy()
+    whole = np.bincount(rows, minlength=count) == k
+    least[whole] = scores[ends[whole] - 1]
+    return Best(rows, ids, scores, least)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Slices of one slot that hold queries alone or candidates alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(at, BLOCK_ROWS)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            part = part.take(pa.array(order := np.argsort(ids, kind="stable")))
-            lists = part.column("x")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            weights = lists.flatten().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            terms = np.arange(len(weights)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            full = weights != 0
-            cells = [ids[order].astype("<i8"), *(x[full].astype("<i4") for x in (rows, terms)), weights[full].astype("<i8")]
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["ids", "rows", "terms", "weights"])
-
-
-def highest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= least)
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))[:k]]
-
-
-def _postings(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    order = np.argsort(terms, kind="stable")
-    found, begins = np.unique(terms[order], return_index=True)
-    parts = zip(np.split(rows[order], begins[1:]), np.split(weights[order], begins[1:]))
-    return dict(zip(found.tolist(), parts)) if len(found) else {}
-
-
-def _search(k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, best = None, {}
-
-        def flush() -> pd.DataFrame:
-            rows = [(q, int(i), int(s)) for q, (ids, scores) in best.items() for i, s in zip(ids, scores)]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for pair in batch.itertuples(index=False):
-                if pair.query_block != block:
-                    if best:
-                        yield flush()
-                    block, best = pair.query_block, {}
-                read = lambda name, kind: np.frombuffer(getattr(pair, name), kind)
-                ids = read("ids", "<i8")
-                postings = _postings(read("rows", "<i4"), read("terms", "<i4"), read("weights", "<i8"))
-                queries = read("q_ids", "<i8")
-                q_rows, q_terms, q_weights = read("q_rows", "<i4"), read("q_terms", "<i4"), read("q_weights", "<i8")
-                begins = np.searchsorted(q_rows, np.arange(len(queries) + 1))
-                for i, query in enumerate(queries.tolist()):
-                    scores = np.zeros(len(ids), np.int64)
-                    for t, w in zip(q_terms[begins[i] : begins[i + 1]].tolist(), q_weights[begins[i] : begins[i + 1]].tolist()):
-                        if t in postings:
-                            scores[postings[t][0]] += w * postings[t][1]
-                    other = ids != query
-                    own_ids, own_scores = ids[other], scores[other]
-                    if query in best:
-                        own_ids = np.concatenate([best[query][0], own_ids])
-                        own_scores = np.concatenate([best[query][1], own_scores])
-                    top = highest(own_scores, own_ids, k)
-                    best[query] = own_ids[top], own_scores[top]
-        if best:
-            yield flush()
+        slots, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "asks"))
+        cuts = np.flatnonzero((np.diff(slots) != 0) | (asks[1:] != asks[:-1])) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            rows = STRIP_ROWS if asks[begin] else BLOCK_ROWS
+            for at in range(begin, end, rows):
+                yield int(slots[at]), bool(asks[at]), batch.slice(at, min(rows, end - at))
+
+
+def _search(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, strips, best, most = None, [], [], 0
+
+        def told() -> pa.RecordBatch:
+            asked = [s.ids[b.rows] for s, b in zip(strips, best)]
+            cells = [np.concatenate(x) for x in (asked, [b.ids for b in best], [b.scores for b in best])]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["query_id", "vec_id", "score"])
+
+        for at, asks, part in _runs(batches):
+            if at != slot:
+                if strips:
+                    yield told()
+                slot, strips, best, most = at, [], [], 0
+            block = _postings(part)
+            if asks:
+                strips.append(block)
+                best.append(_nothing(len(block.ids)))
+                most = max(most, block.largest())
+                continue
+            kind = np.int32 if most * block.largest() * len(block.terms) < np.iinfo(np.int32).max else np.int64
+            columns = [block.of(i, kind) for i in range(len(block.terms))]
+            for i, strip in enumerate(strips):
+                scores = _scores(strip, block, columns, kind)
+                begins, ends = (np.searchsorted(block.ids, strip.ids, side=s) for s in ("left", "right"))
+                for own in np.flatnonzero(ends > begins).tolist():
+                    scores[own, begins[own] : ends[own]] = np.iinfo(kind).min
+                best[i] = _merged(best[i], scores, block.ids, k)
+        if strips:
+            yield told()
 
     return search
 
 
+def _grid(candidates: int, queries: int, cells: int, k: int, slots: int) -> tuple[int, int]:
+    """Groups of queries, which workers can hold, and parts of candidates.
+
+    There are as many parts as give a partition ``PART_PAIRS``, but copies of queries, one for each
+    part, stay about as few as those of candidates, one for each group.
+    """
+    groups = max(1, -(-(cells + 2 * k * queries) // GROUP_CELLS))
+    least = min(slots, -(-candidates // PART_ROWS))
+    wanted = min(-(-candidates * queries // (PART_PAIRS * groups)), -(-groups * candidates // max(1, queries)))
+    return groups, max(1, least, wanted)
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -112,17 +184,22 @@ def top_k(
     Rows with a null id or vector, or with null or non-finite components, take no part. A repeated
     candidate row counts each time, a repeated query id is asked once with its least vector. Vectors
     of different lengths are compared on the components they share. Empty tables give no rows.
+    Both tables are counted first, to deal them.
     """
-    spark = vectors.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = queries.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size(vector_col), F.lit(0)).cast("long"))).first()
+    groups, parts = _grid(vectors.count(), held[0], held[1] or 0, k, slots)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = (F.col("group") * parts + F.col("part")).cast("int").alias("slot")
     asked = integer_vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("x").alias("x"))
-    asked = asked.mapInArrow(frugal(_blocks), BLOCK_SCHEMA).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "terms", "weights")])
-    asked = asked.withColumn("query_block", F.monotonically_increasing_id())
-    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    blocks = integer_vectors(vectors, id_col, vector_col, scale).mapInArrow(frugal(_blocks), BLOCK_SCHEMA)
-    blocks = blocks.withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int"))
-    pairs = blocks.join(asked, "slot").sortWithinPartitions("query_block")
-    found = pairs.mapInPandas(frugal(_search(k)), "query_id bigint, vec_id bigint, score bigint")
+    asked = asked.repartition(max(1, -(-held[0] * parts // COPIES)), F.xxhash64("id"))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("part", every(parts))
+    rows = integer_vectors(vectors, id_col, vector_col, scale)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "x"), F.lit(parts))).withColumn("group", every(groups))
+    pairs = asked.select(slot, F.lit(True).alias("asks"), "id", "x").union(rows.select(slot, F.lit(False).alias("asks"), "id", "x"))
+    pairs = pairs.repartitionById(groups * parts, F.col("slot")).sortWithinPartitions("slot", F.desc("asks"), "id")
+    found = pairs.mapInArrow(frugal(_search(k)), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
